@@ -30,7 +30,8 @@ SYMBOLS, ORDER = 40, 3
 #: At most so many labelled documents of a language are fitted, those with the smallest hashes.
 PER_LANGUAGE = 300
 LETTER = re.compile(r"[^\W\d_]")
-PART = 1 << 20
+#: Bytes whose code lengths are added in single precision.
+PART = 1 << 14
 
 
 def symbol_map(texts: list[bytes], symbols: int = SYMBOLS) -> np.ndarray:

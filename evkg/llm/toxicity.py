@@ -6,11 +6,11 @@ character model of the class; that one discounts strings of four and three chara
 continuation counts which both classes share.  So a rare or unseen expression is judged by the strings it
 is made of, and what neither class knows cancels out.
 
-Each word has a length-normalised log-likelihood ratio.  A document is judged by its two highest
-words (distinct ones) and by the ratio of the whole text over its length; a logistic curve, fitted on a
-part of the sample that the models have not counted, turns these three into a probability.
+A word is spelt along a tree of word beginnings as far as that goes, then by the character model.  A document is judged by the log-likelihood ratios of its three highest words (distinct ones, each
+up to 12) and by the ratio of the whole text over its length; a logistic curve, fitted on parts of
+the sample that the models have not counted, turns these four into a probability.
 
-Defined results: null text is empty; a text without a word has the score of three zeros; labels other than
+Defined results: null text is empty; a text without a word has the score of zeros; labels other than
 0 and 1 are ignored, and of several labels of one document the highest counts; without both classes every
 score is 0; texts are read whole; an empty table gives an empty one; other columns are ignored.
 """
@@ -18,6 +18,7 @@ score is 0; texts are read whole; an empty table gives an empty one; other colum
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -32,12 +33,17 @@ from .language_id import fold, symbol_map
 
 SYMBOLS = 40
 WORD = re.compile(r"[^\W\d_]+")
+END = re.compile(r"[.!?\n]+")
 #: At most so many labelled documents of each class are fitted, those with the smallest hashes.
-PER_CLASS = 4_000
+PER_CLASS = 3_000
 DISCOUNT = 0.75
+#: What is taken from a word's count; over one, so that a word seen once says no more than its spelling.
+WORD_DISCOUNT = 1.5
+#: Bytes of a word's beginning that are counted.
+DEPTH = 8
 #: Ratios of so many distinct words are kept by a worker before it begins anew.
 KEPT = 1_000_000
-FEATURES = 3
+FEATURES = 4
 
 
 def words(text: str | None) -> list[str]:
@@ -86,37 +92,83 @@ def char_models(per_class: list[Counter], to: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-class Model:
-    """Log-likelihood ratios of words, toxic over ordinary."""
+def sentences(text: str | None) -> list[tuple[str, ...]]:
+    return [t for t in (tuple(WORD.findall(x)) for x in END.split(text.lower())) if t] if text else []
+
 
-    def __init__(self, toxic: list[list[str]], ordinary: list[list[str]]):
-        counts = [Counter(w for t in texts for w in t) for texts in (toxic, ordinary)]
-        self.to = symbol_map([w.encode("utf-8", "surrogatepass") for c in counts for w in c], SYMBOLS - 1)
-        chars = char_models(counts, self.to)
+class Model:
+    """Log-likelihood ratios of words, toxic over ordinary.
+
+    Each distinct sentence of a class counts once, so that copies of a document don't pass for habits.
+    A word is spelt along the tree of word beginnings (up to ``DEPTH`` bytes, counted in distinct
+    words) as far as it is known, and by the character model from there on.
+    """
+
+    def __init__(self, toxic: list[list[tuple[str, ...]]], ordinary: list[list[tuple[str, ...]]]):
+        counts = [Counter(w for s in {s for t in texts for s in t} for w in s) for texts in (toxic, ordinary)]
+        coded = [[w.encode("utf-8", "surrogatepass") for w in c] for c in counts]
+        self.to = symbol_map([w for c in coded for w in c], SYMBOLS - 1)
+        chars = char_models([Counter(dict.fromkeys(c, 1)) for c in counts], self.to)
         self.chars = (chars[0] - chars[1]).astype(np.float32)
+        self.tree = self._tree(coded, chars)
         known = sorted(set().union(*counts))
+        left = [max(1.0, sum(min(n, WORD_DISCOUNT) for n in c.values())) for c in counts]
+        self.fresh = float(np.subtract(*[np.log(x / max(1, sum(c.values()))) for x, c in zip(left, counts, strict=True)]))
         self.known: dict[str, float] = {}
-        self.fresh = np.log([DISCOUNT * len(c) / max(1, sum(c.values())) for c in counts]) if known else np.zeros(2)
-        self.cache: dict[str, float] = {}
         if known:
-            at, first = strings(known, self.to)
-            total = np.zeros((2, len(known)))
+            spelt = np.exp(self._spell(known, chars))
+            total = []
             for k, c in enumerate(counts):
-                spelt = np.exp(np.add.reduceat(chars[k][at], first))
                 own = np.array([c[w] for w in known], np.float64)
-                n = max(1, sum(c.values()))
-                total[k] = np.log((np.maximum(own - DISCOUNT, 0) + DISCOUNT * len(c) * spelt) / n)
+                total.append(np.log((np.maximum(own - WORD_DISCOUNT, 0) + left[k] * spelt[k]) / max(1, sum(c.values()))))
             self.known = dict(zip(known, (total[0] - total[1]).tolist(), strict=True))
         self.cache = dict(self.known)
 
+    def _tree(self, coded: list[list[bytes]], chars: list[np.ndarray]) -> dict[bytes, tuple]:
+        """Beginning to (log probabilities by class, log probabilities of leaving the tree by class)."""
+        begun = [Counter(w[:i] for w in ws for i in range(min(DEPTH, len(w)) + 1)) for ws in coded]
+        both = begun[0] + begun[1]
+        keep = {p for p, n in both.items() if n > 1}
+        kids = [Counter(p[:-1] for p in c if p) for c in begun]
+        tree: dict[bytes, tuple] = {}
+        for p in sorted(keep, key=lambda p: (len(p), p)):
+            cum = [0.0, 0.0]
+            if p:
+                s = [0, 0, 0, *(int(x) % (SYMBOLS - 1) + 1 for x in self.to[np.frombuffer(p, np.uint8)])][-4:]
+                at = ((s[0] * SYMBOLS + s[1]) * SYMBOLS + s[2]) * SYMBOLS + s[3]
+                up = tree[p[:-1]][0]
+                for k in (0, 1):
+                    q, n = math.exp(chars[k][at]), begun[k][p[:-1]]
+                    step = (max(begun[k][p] - DISCOUNT, 0) + DISCOUNT * max(1, kids[k][p[:-1]]) * q) / n if n else q
+                    cum[k] = up[k] + math.log(step)
+            leave = [math.log(DISCOUNT * kids[k][p] / begun[k][p]) if kids[k][p] else 0.0 for k in (0, 1)]
+            tree[p] = (tuple(cum), tuple(leave))
+        return tree
+
+    def _spell(self, ws: list[str], tables: list[np.ndarray]) -> np.ndarray:
+        """Log probability of each word by class, without the word counts."""
+        at, first = strings(ws, self.to)
+        last = np.append(first[1:], len(at))
+        tree, depth, base = self.tree, np.zeros(len(ws), np.int64), np.zeros((2, len(ws)))
+        for i, w in enumerate(ws):
+            w = w.encode("utf-8", "surrogatepass")
+            for k in range(min(DEPTH, len(w)), -1, -1):
+                got = tree.get(w[:k])
+                if got:
+                    depth[i] = k
+                    out = k < min(DEPTH, len(w))
+                    base[:, i] = got[0][0] + out * got[1][0], got[0][1] + out * got[1][1]
+                    break
+        for k, t in enumerate(tables):
+            sums = np.concatenate([[0.0], np.cumsum(t[at], dtype=np.float64)])
+            base[k] += sums[last] - sums[first + depth]
+        return base
+
     def learn(self, fresh: list[str]) -> None:
-        """Ratios of words that the sample has not shown, from the character models."""
-        if len(self.cache) > KEPT + len(self.known):
-            self.cache = dict(self.known)
+        """Ratios of words that the sample has not shown."""
         if fresh:
-            at, first = strings(fresh, self.to)
-            r = np.add.reduceat(self.chars[at], first) + (self.fresh[0] - self.fresh[1])
-            self.cache.update(zip(fresh, r.tolist(), strict=True))
+            spelt = self._spell(fresh, [self.chars])
+            self.cache.update(zip(fresh, (spelt[0] - spelt[1] + self.fresh).tolist(), strict=True))
 
     def features(self, texts: list[list[str]]) -> np.ndarray:
         out = np.zeros((len(texts), FEATURES))
@@ -128,9 +180,9 @@ class Model:
             get = self.cache.__getitem__
             for i, t in enumerate(part):
                 if t:
-                    own = sorted({w: get(w) / (len(w) + 1) ** 0.5 for w in set(t)}.values())[-2:]
+                    top = [0.0, 0.0, 0.0, *sorted(map(get, set(t)))[-3:]]
                     r = np.fromiter(map(get, t), np.float64, len(t))
-                    out[at + i] = own[-1], own[0] if len(own) > 1 else 0.0, 20 * r.sum() / (sum(map(len, t)) + len(t))
+                    out[at + i] = *(min(x, 12.0) for x in top[-3:]), 20 * r.sum() / (sum(map(len, t)) + len(t))
         return out
 
 
@@ -150,15 +202,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 60):
 def train(rows: list[tuple[str, int]]):
     """Model and curve, or None without both classes."""
     rows = sorted(set(rows))
-    texts, y = [words(t) for t, _ in rows], np.array([k for _, k in rows])
+    texts, y = [sentences(t) for t, _ in rows], np.array([k for _, k in rows])
     if len(rows) == 0 or min((y == 1).sum(), (y == 0).sum()) < 4:
         return None
-    part = np.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[0] % 4 for t, _ in rows])
+    part = np.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[0] % 2 for t, _ in rows])
     x = np.zeros((len(rows), FEATURES))
-    for k in range(4):  # each part is judged by models of the other three
+    for k in (0, 1):  # each half is judged by models of the other
         rest, own = part != k, np.flatnonzero(part == k)
         by = Model(*[[t for t, m in zip(texts, rest & (y == c), strict=True) if m] for c in (1, 0)])
-        x[own] = by.features([texts[i] for i in own])
+        x[own] = by.features([[w for s in texts[i] for w in s] for i in own])
     w, mid, dev = logistic(x, y.astype(np.float64))
     return Model(*[[t for t, c in zip(texts, y, strict=True) if c == k] for k in (1, 0)]), w, mid, dev
 
