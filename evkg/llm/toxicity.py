@@ -35,7 +35,7 @@ SYMBOLS = 40
 WORD = re.compile(r"[^\W\d_]+")
 END = re.compile(r"[.!?\n]+")
 #: At most so many labelled documents of each class are fitted, those with the smallest hashes.
-PER_CLASS = 3_000
+PER_CLASS = 2_000
 DISCOUNT = 0.75
 #: What is taken from a word's count; over one, so that a word seen once says no more than its spelling.
 WORD_DISCOUNT = 1.5
@@ -202,7 +202,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 60):
 def train(rows: list[tuple[str, int]]):
     """Model and curve, or None without both classes."""
     rows = sorted(set(rows))
-    texts, y = [sentences(t) for t, _ in rows], np.array([k for _, k in rows])
+    one: dict[str, str] = {}  # a word that occurs again is held once
+    texts, y = [[tuple(one.setdefault(w, w) for w in s) for s in sentences(t)] for t, _ in rows], np.array([k for _, k in rows])
     if len(rows) == 0 or min((y == 1).sum(), (y == 0).sum()) < 4:
         return None
     part = np.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[0] % 2 for t, _ in rows])
