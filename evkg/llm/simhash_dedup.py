@@ -35,6 +35,7 @@ from .graph import connected_components
 
 #: Fingerprints in a chunk of a tile: 16 bytes each and an id.
 CHUNK = 16_384
+SALTS = 16
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -145,7 +146,10 @@ def tile_pairs(nodes: DataFrame, payload: list[str], others, chunk: int = CHUNK)
     tile = F.col("tile")
     sizes = cut(nodes.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(float(chunk))).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    packed = cut(nodes.join(sizes, "tile").groupBy("tile", part.alias("part")).agg(F.collect_list(F.struct(*payload)).alias("rows")))
+    # A crowded tile is spread over SALTS keys before it meets its size.
+    salted = sizes.select("tile", "parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SALTS)).cast("int").alias("salt")
+    packed = cut(nodes.select("*", salt).join(salted, ["tile", "salt"]).groupBy("tile", part.alias("part")).agg(F.collect_list(F.struct(*payload)).alias("rows")))
     heads = packed.select("tile", "part", F.explode(others(tile)).alias("tile2"))
     pairs = heads.join(sizes.select(tile.alias("tile2"), "parts"), "tile2").select("tile", "part", "tile2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part2"))
     same = tile == F.col("tile2")
