@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def rid(hid: Column | str, tid: Column | str) -> Column:
@@ -34,7 +35,7 @@ def eid_of(words, pos_tags, dependencies) -> str:
     return hashlib.sha1(json.dumps([edges, list(words), list(pos_tags)]).encode()).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def eid(words: pd.Series, pos_tags: pd.Series, dependencies: pd.Series) -> pd.Series:
     """``eid_of`` over Arrow batches; JSON's escapes of other scripts have no built-in form."""
     return pd.Series([eid_of(list(w), list(p), [(e["gov"], e["dep"], e["dpt"]) for e in d]) for w, p, d in zip(words, pos_tags, dependencies, strict=True)])

@@ -35,7 +35,10 @@ def unparsed(spark: SparkSession, path: str) -> DataFrame:
     """Files that are empty or whose header disagrees with their number of lines."""
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.rtrim("value"), "\n").alias("lines"))
     last = F.element_at(F.from_json(F.col("lines")[0], "struct<sentence_lens:array<int>>")["sentence_lens"], -1)
-    return files.where(last.isNull() | (last != F.size("lines"))).select("path")
+    bad = files.where(last.isNull() | (last != F.size("lines"))).select("path")
+    # The text reader skips empty files; only lengths are read here.
+    empty = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length = 0").select("path")
+    return bad.union(empty)
 
 
 def write_parsed(sentences: DataFrame, path: str) -> None:
