@@ -36,9 +36,20 @@ def unparsed(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.rtrim("value"), "\n").alias("lines"))
     last = F.element_at(F.from_json(F.col("lines")[0], "struct<sentence_lens:array<int>>")["sentence_lens"], -1)
     bad = files.where(last.isNull() | (last != F.size("lines"))).select("path")
-    # The text reader skips empty files; only lengths are read here.
-    empty = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length = 0").select("path")
-    return bad.union(empty)
+    return bad.union(spark.createDataFrame([(p,) for p in empty_files(spark, path)], "path string"))
+
+
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Spark's readers skip empty files, so the file system is asked; only names come back."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    out = []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0:
+            out.append(status.getPath().toString())
+    return sorted(out)
 
 
 def write_parsed(sentences: DataFrame, path: str) -> None:
