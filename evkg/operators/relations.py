@@ -28,7 +28,12 @@ def candidates(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     lower = F.transform("tokens", lambda t: F.lower(t))
     grams = lexicon.select("sense", "words", F.size("words").alias("n"), F.array_join("words", " ").alias("key"))
     lengths = [r[0] for r in grams.select("n").distinct().collect()]  # a handful of phrase lengths
-    each = F.flatten(F.array(*[F.when(F.size("low") >= n, F.transform(F.sequence(F.lit(0), F.size("low") - n), lambda i, n=n: F.struct(i.alias("at"), F.array_join(F.slice("low", i + 1, n), " ").alias("key")))).otherwise(F.array().cast("array<struct<at:int,key:string>>")) for n in sorted(lengths)]))
+
+    def phrases(n: int) -> Column:
+        grams_ = F.transform(F.sequence(F.lit(0), F.size("low") - n), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("low", i + 1, n), " ").alias("key")))
+        return F.when(F.size("low") >= n, grams_).otherwise(F.array().cast("array<struct<at:int,key:string>>"))
+
+    each = F.flatten(F.array(*[phrases(n) for n in sorted(lengths)]))
     found = sentences.select("sid", lower.alias("low")).select("sid", F.explode(each).alias("g")).select("sid", "g.at", "g.key").join(F.broadcast(grams), "key")
     longer = F.max(F.col("at") + F.col("n")).over(Window.partitionBy("sid").orderBy("at", F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1))
     return found.withColumn("until", F.coalesce(longer, F.lit(0))).where("at >= until").select("sid", "sense", "words", "at")

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from evkg.functions import text
 from evkg.functions.ids import rid
-from evkg.operators import concepts, graph, lookup, sampling, stats
+from evkg.operators import concepts, graph, linking, lookup, post, relations, sampling, stats
 from evkg.plans import tpch
 from evkg.plans.tpch import SQL, load
 from evkg.schema import SENSES
@@ -387,3 +387,63 @@ def overlap(s, d):
     other = w.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("v"))
     plain = F.try_divide(F.size(F.array_intersect("w", "v")).cast("double"), F.size(F.array_union("w", "v")))
     return w.join(other, "item_id").select(F.col("item_id").alias("x"), (F.col("item_id") + 1).alias("y"), r6(plain).alias("simple"))
+
+
+# ---- relations, rewriting, linking ---------------------------------------------------------------
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en'),
+ u AS (SELECT doc_id, unnest(w) AS word FROM t)
+ SELECT CASE word WHEN 'and' THEN 'Conjunction' WHEN 'or' THEN 'Alternative' WHEN 'so' THEN 'Result' WHEN 'but' THEN 'Contrast' WHEN 'if' THEN 'Condition' END AS sense, word, count(*) AS n FROM u WHERE word IN ('and', 'or', 'so', 'but', 'if') GROUP BY ALL""", False)
+def connective_candidates(s, d):
+    lexicon = relations.connectives(s, {"Conjunction": ["and"], "Alternative": ["or"], "Result": ["so"], "Contrast": ["but"], "Condition": ["if"]})
+    sents = load(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("sid"), text.tokens(F.col("text")).alias("tokens"))
+    return relations.candidates(sents, lexicon).groupBy("sense", F.array_join("words", " ").alias("word")).agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH e AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part)
+ SELECT p_partkey FROM e WHERE len(w) > 0 AND NOT (len(w) <= 2 AND list_has_any(w, ['red', 'small'])) AND w[1] NOT IN ('blue', 'large') AND NOT list_has_any(w, ['green'])""", False)
+def event_filter(s, d):
+    w = F.split(F.lower("p_name"), " ")
+    return load(s, d, "part").where(post.keep_event(w, ("red", "small"), ("blue", "large"), ("green",))).select("p_partkey")
+
+
+@query("""WITH a AS (SELECT 'user' AS w UNION SELECT 'x'), e AS (SELECT role, count(*)::DOUBLE AS weight FROM conversations GROUP BY 1)
+ SELECT 'PersonX ' || role AS head, 'PersonY reply' AS tail, 'Reason' AS sense, weight FROM e UNION ALL SELECT 'PersonY ' || role, 'PersonX reply', 'Reason', weight FROM e""", False)
+def person_regraph(s, d):
+    e = load(s, d, "conversations").groupBy("role").agg(F.count("*").cast("double").alias("weight"))
+    rows = e.select(F.array(F.lit("i"), "role").alias("head"), F.array(F.lit("you"), F.lit("reply")).alias("tail"), F.lit("Reason").alias("sense"), "weight")
+    return post.regraph(rows)
+
+
+@query("WITH l AS (SELECT p_brand AS mention, p_type AS entity, count(*) AS n FROM part GROUP BY ALL) SELECT mention, entity, round(least(1.0, n / sum(n) OVER (PARTITION BY mention)), 6) AS freq FROM l", False)
+def mention_dictionary(s, d):
+    out = linking.mention_dictionary(load(s, d, "part").groupBy(F.col("p_brand").alias("mention"), F.col("p_type").alias("entity")).agg(F.count("*").alias("n")))
+    return out.withColumn("freq", r6(F.col("freq")))
+
+
+@query("WITH l AS (SELECT p_brand AS mention, p_type AS entity, count(*) AS n FROM part GROUP BY ALL) SELECT mention, entity FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY n DESC, entity) AS r FROM l) WHERE r = 1", False)
+def best_entities(s, d):
+    counts = load(s, d, "part").groupBy(F.col("p_brand").alias("mention"), F.col("p_type").alias("entity")).agg(F.count("*").alias("n"))
+    return linking.best_entities(counts.select("mention").distinct(), linking.mention_dictionary(counts)).select("mention", "entity")
+
+
+@query(", ps AS (SELECT DISTINCT o_orderkey AS post, sha1(p_brand) AS eid FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderkey % 50 = 0), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hid ORDER BY total DESC, tid) AS r FROM tot) WHERE r <= 2) SELECT post, b.hid, e.sense, b.tid FROM ps JOIN b ON ps.eid = b.hid JOIN edges e ON e.hid = b.hid AND e.tid = b.tid WHERE e.sense <> 'Co_Occurrence'")
+def dialogue_inference(s, d):
+    posts = tpch.occurrences(s, d).where("sent % 50 = 0").select(F.col("sent").alias("post"), "eid")
+    return linking.inference(posts, tpch.nodes(s, d), tpch.edges(s, d), 2, 1_000_000)
+
+
+@query("""WITH p AS (SELECT DISTINCT p_partkey AS post, unnest(string_split(p_name, ' ')) AS t FROM part), n AS (SELECT DISTINCT p_name FROM part), x AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM n WHERE contains(p_name, ' '))
+ SELECT p.post, x.a, 'r' AS r, x.b FROM x JOIN p ON p.t = x.a JOIN p q ON q.post = p.post AND q.t = x.b WHERE a <> b""", False)
+def word_pairs(s, d):
+    part = load(s, d, "part")
+    w = F.split("p_name", " ")
+    triples = part.where(F.contains("p_name", F.lit(" "))).select(w[0].alias("a"), F.lit("r").alias("r"), w[1].alias("b")).distinct()
+    return linking.pair_lookup(triples, part.select(F.col("p_partkey").alias("post"), w.alias("tokens")))
+
+
+@query("SELECT count(DISTINCT c_custkey) AS posts, count(DISTINCT o_custkey) AS covered, count(DISTINCT o_orderpriority) AS heads FROM customer LEFT JOIN orders ON c_custkey = o_custkey", False)
+def coverage(s, d):
+    posts = load(s, d, "customer").select(F.col("c_custkey").alias("post"))
+    return linking.coverage(posts, load(s, d, "orders").select(F.col("o_custkey").alias("post"), F.col("o_orderpriority").alias("hid")))

@@ -121,3 +121,26 @@ def test_stream(spark, tmp_path):
         q = upsert.write_sums(stream, ["eid"], "frequency", str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination(60)
     assert sorted(map(tuple, upsert.read_sums(spark, str(tmp_path / "out"), ["eid"], "frequency").collect())) == [("a", 6.0), ("b", 2.0)]
+
+
+def test_seed_relations(spark):
+    from evkg.operators import relations
+
+    rows = [("d|0", "d", 0, "i leave because he comes".split(), [(1, "advcl:because", 4)]), ("d|1", "d", 1, "thus she wins".split(), [(2, "nsubj", 1)])]
+    sents = spark.createDataFrame(rows, "sid string, doc string, sent_idx int, tokens array<string>, dependencies array<struct<gov:int,dep:string,dpt:int>>")
+    occ = spark.createDataFrame([("d|0", "leave", 0.5, [0, 1]), ("d|0", "come", 3.5, [3, 4]), ("d|1", "win", 1.5, [1, 2])], "sid string, eid string, position double, raw_idx array<int>")
+    lexicon = relations.connectives(spark)
+    assert sorted((r["hid"], r["tid"], r["sense"]) for r in relations.within(sents, occ, lexicon).collect()) == [("leave", "come", "Reason")]
+    assert relations.across(sents, occ, lexicon).count() == 0  # the first sentence has two eventualities
+    alone = occ.where("eid <> 'leave'")
+    assert [(r["hid"], r["tid"], r["sense"]) for r in relations.across(sents, alone, lexicon).collect()] == [("come", "win", "Result")]
+    longest = relations.candidates(spark.createDataFrame([("x", "in other words at the same time so".split())], "sid string, tokens array<string>"), lexicon)
+    assert sorted(r["at"] for r in longest.collect()) == [0, 3, 7]
+
+
+def test_name_persons(spark):
+    from evkg.operators import post
+
+    df = spark.createDataFrame([(["i", "see", "him"], ["he", "thank", "me", "and", "us"])], "h array<string>, t array<string>")
+    got = df.select(post.name_persons(F.col("h"), F.col("t")).alias("p")).first()["p"]
+    assert got["head"] == ["PersonX", "see", "PersonY"] and got["tail"] == ["PersonY", "thank", "PersonX", "and", "PeopleX"]
