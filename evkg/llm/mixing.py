@@ -120,7 +120,7 @@ def calibrate(tokens: np.ndarray, shares_: np.ndarray, budget: float) -> float:
     return high
 
 
-def cell_rates(described: DataFrame, targets=None, budget: float = BUDGET, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+def cell_rates(described: DataFrame, targets=None, budget: float = BUDGET, driver_cells: int = DRIVER_CELLS, rounds: int = ROUNDS) -> DataFrame:
     """``(source, lang, topic, weight, probability)`` for each cell."""
     spark = described.sparkSession
     cells = cut(described.groupBy(*AXES).agg(F.sum("tokens").cast("double").alias("tokens")))
@@ -130,11 +130,11 @@ def cell_rates(described: DataFrame, targets=None, budget: float = BUDGET, drive
         tokens = np.array([r[3] for r in rows], np.float64)
         if tokens.sum() <= 0:
             return cells.select(*AXES, F.lit(0.0).alias("weight"), F.lit(1.0).alias("probability"))
-        w = rake([r[:3] for r in rows], tokens.tolist(), targets)
+        w = rake([r[:3] for r in rows], tokens.tolist(), targets, rounds)
         c = calibrate(tokens, w, budget * tokens.sum())
         out = [(*r[:3], float(s * tokens.sum() / r[3]) if r[3] else 0.0, float(min(1.0, c * s / r[3])) if r[3] else 1.0) for r, s in zip(rows, w, strict=True)]
         return spark.createDataFrame(out, "source string, lang string, topic string, weight double, probability double")
-    raked = cut(rake_frame(cells, targets))
+    raked = cut(rake_frame(cells, targets, rounds))
     total = raked.agg(F.sum("tokens")).first()[0]
     rate = F.col("w") / F.col("tokens")
     low, high = 0.0, float(raked.where("w > 0").agg(F.max(1 / rate)).first()[0] or 0)
