@@ -81,9 +81,9 @@ def exact_relations(s, d):
     return lookup.totals(tpch.edges(s, d)).join(F.broadcast(wanted), "rid", "left_semi")
 
 
-@query("SELECT eid, words, frequency + coalesce((SELECT count(*) * 2.0 FROM supplier WHERE s_nationkey % 5 = 0 AND words = 'Brand#1' || (1 + s_nationkey // 5)), 0) AS frequency FROM nodes")
+@query("SELECT eid, words, frequency + coalesce((SELECT count(*) * 2.0 FROM supplier WHERE words = 'Brand#' || (1 + s_nationkey // 5) || (1 + s_nationkey % 5)), 0) AS frequency FROM nodes")
 def upsert_nodes(s, d):
-    sup = load(s, d, "supplier").where("s_nationkey % 5 = 0").select(F.concat(F.lit("Brand#1"), 1 + F.floor(F.col("s_nationkey") / 5)).alias("words"))
+    sup = load(s, d, "supplier").select(F.concat(F.lit("Brand#"), 1 + F.floor(F.col("s_nationkey") / 5), 1 + F.col("s_nationkey") % 5).alias("words"))
     base = tpch.nodes(s, d).select("eid", "words", "frequency")
     news = sup.select(F.sha1("words").alias("eid"), "words", F.lit(2.0).alias("frequency")).join(base.select("eid"), "eid", "left_semi")
     return lookup.upsert(base, news, ["eid", "words"], ["frequency"])
@@ -428,9 +428,9 @@ def best_entities(s, d):
     return linking.best_entities(counts.select("mention").distinct(), linking.mention_dictionary(counts)).select("mention", "entity")
 
 
-@query(", ps AS (SELECT DISTINCT o_orderkey AS post, sha1(p_brand) AS eid FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderkey % 50 = 0), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hid ORDER BY total DESC, tid) AS r FROM tot) WHERE r <= 2) SELECT post, b.hid, e.sense, b.tid FROM ps JOIN b ON ps.eid = b.hid JOIN edges e ON e.hid = b.hid AND e.tid = b.tid WHERE e.sense <> 'Co_Occurrence'")
+@query(", ps AS (SELECT DISTINCT o_orderkey AS post, sha1(p_brand) AS eid FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hid ORDER BY total DESC, tid) AS r FROM tot) WHERE r <= 2) SELECT post, b.hid, e.sense, b.tid FROM ps JOIN b ON ps.eid = b.hid JOIN edges e ON e.hid = b.hid AND e.tid = b.tid WHERE e.sense <> 'Co_Occurrence'")
 def dialogue_inference(s, d):
-    posts = tpch.occurrences(s, d).where("sent % 50 = 0").select(F.col("sent").alias("post"), "eid")
+    posts = tpch.occurrences(s, d).select(F.col("sent").alias("post"), "eid")
     return linking.inference(posts, tpch.nodes(s, d), tpch.edges(s, d), 2, 1_000_000)
 
 
