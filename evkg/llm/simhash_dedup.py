@@ -35,6 +35,8 @@ from .graph import connected_components
 
 #: Fingerprints in a chunk of a tile: 16 bytes each and an id.
 CHUNK = 16_384
+#: Tiles of more than one chunk up to which their table is broadcast (some 10 MB), and the salts of a tile beyond it.
+BROADCAST_TILES, SALTS = 100_000, 16
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -136,6 +138,18 @@ def compare(a: list[np.ndarray], b: list[np.ndarray], radius: int, same: bool, r
     return i, j - off, d
 
 
+def _split(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``nodes`` with the ``part`` of their tile.  Only tiles above one chunk are looked up, so no row moves to its
+    tile's other rows before it has a part: their table is broadcast once it is counted, or joined by tile and salt."""
+    large = sizes.where("parts > 1")
+    if large.count() <= BROADCAST_TILES:
+        known = nodes.join(F.broadcast(large), "tile", "left")
+    else:
+        salts = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        known = nodes.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")).join(salts, ["tile", "salt"], "left").drop("salt")
+    return known.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+
 def tile_pairs(nodes: DataFrame, payload: list[str], others, chunk: int = CHUNK) -> DataFrame:
     """``(same, a_<payload>..., b_<payload>...)``: the columns of two chunks as arrays, for each pair to compare.
 
@@ -144,8 +158,7 @@ def tile_pairs(nodes: DataFrame, payload: list[str], others, chunk: int = CHUNK)
     """
     tile = F.col("tile")
     sizes = cut(nodes.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(float(chunk))).cast("int").alias("parts")))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    packed = cut(nodes.join(sizes, "tile").groupBy("tile", part.alias("part")).agg(F.collect_list(F.struct(*payload)).alias("rows")))
+    packed = cut(_split(nodes, sizes).groupBy("tile", "part").agg(F.collect_list(F.struct(*payload)).alias("rows")))
     heads = packed.select("tile", "part", F.explode(others(tile)).alias("tile2"))
     pairs = heads.join(sizes.select(tile.alias("tile2"), "parts"), "tile2").select("tile", "part", "tile2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part2"))
     same = tile == F.col("tile2")

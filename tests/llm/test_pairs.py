@@ -82,6 +82,19 @@ def test_compare_is_exact():
         assert t[0] - t[1] in steps or t[1] - t[0] in steps
 
 
+def test_large_tiles(spark, monkeypatch):
+    r = random.Random(5)
+    seeds = [r.getrandbits(63) for _ in range(20)]
+    prints = sorted({r.choice(seeds) ^ 1 << r.randrange(60) for _ in range(300)})
+    nodes = spark.createDataFrame([(f, f, (i % 50 == 0,)) for i, f in enumerate(prints)], "id long, f0 long, tile struct<t:boolean>")
+    links = [(a, b) for n, a in enumerate(prints) for b in prints[n + 1 :] if (a ^ b).bit_count() <= 2 and (prints.index(a) % 50 == 0) == (prints.index(b) % 50 == 0)]
+    want = roots_of(prints, links)
+    for most in (100, 0):  # the table of large tiles is broadcast, or joined with salts
+        monkeypatch.setattr(simhash_dedup, "BROADCAST_TILES", most)
+        got = simhash_dedup.tile_links(nodes, 1, 2, lambda t: simhash_dedup.F.array(t), chunk=40).select("a", "b").collect()
+        assert roots_of(prints, [tuple(x) for x in got]) == want
+
+
 def brute_near(texts, k=5):
     sets = {}
     for i, t in texts:
