@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from evkg.functions.ids import eid_of
 from evkg.schema import CLAUSE_WORDS
@@ -107,19 +108,24 @@ def eventualities(tokens, lemmas, tags, edges) -> list[dict]:
             own_words, own_tags = [words[i] for i in at], [tags[i] for i in at]
             deps = sorted(((place[g], d, place[t]) for g, d, t in own), key=lambda e: (e[0], e[2]))
             core_at = sorted({i for g, _, t in skeleton for i in (g, t)})
-            out.append({"eid": eid_of(own_words, own_tags, deps), "pattern": named, "words": own_words, "pos_tags": own_tags, "verbs": [words[i] for i in at if tags[i].startswith("VB")], "skeleton_words": [words[i] for i in core_at if i in place], "position": sum(at) / len(at)})
+            out.append({"eid": eid_of(own_words, own_tags, deps), "pattern": named, "words": own_words, "pos_tags": own_tags, "verbs": [words[i] for i in at if tags[i].startswith("VB")], "skeleton_words": [words[i] for i in core_at if i in place], "position": sum(at) / len(at), "raw_idx": at})
     return out
 
 
-OUT = "sid string, eid string, pattern string, words array<string>, pos_tags array<string>, verbs array<string>, skeleton_words array<string>, position double"
+OUT = "sid string, eid string, pattern string, words array<string>, pos_tags array<string>, verbs array<string>, skeleton_words array<string>, position double, raw_idx array<int>, ners array<string>"
 
 
 def extract(sentences: DataFrame) -> DataFrame:
-    """Occurrences from ``(sid, tokens, lemmas, pos_tags, dependencies)``."""
+    """Occurrences from ``(sid, tokens, lemmas, pos_tags, dependencies)``, with entity types where there are ``ners``."""
 
     def run(batches):
         for b in batches:
-            rows = [{"sid": s, **e} for s, t, m, p, d in zip(b["sid"], b["tokens"], b["lemmas"], b["pos_tags"], b["dependencies"], strict=True) for e in eventualities(list(t), list(m), list(p), [(x["gov"], x["dep"], x["dpt"]) for x in d])]
+            rows = []
+            for s, t, m, p, d, n in zip(b["sid"], b["tokens"], b["lemmas"], b["pos_tags"], b["dependencies"], b["ners"], strict=True):
+                for e in eventualities(list(t), list(m), list(p), [(x["gov"], x["dep"], x["dpt"]) for x in d]):
+                    rows.append({"sid": s, **e, "ners": [n[i] for i in e["raw_idx"]]})
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return sentences.select("sid", "tokens", "lemmas", "pos_tags", "dependencies").mapInPandas(run, OUT)
+    ners = F.transform("tokens", lambda _: F.lit("O"))
+    ners = F.coalesce("ners", ners) if "ners" in sentences.columns else ners
+    return sentences.select("sid", "tokens", "lemmas", "pos_tags", "dependencies", ners.alias("ners")).mapInPandas(run, OUT)

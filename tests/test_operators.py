@@ -144,3 +144,22 @@ def test_name_persons(spark):
     df = spark.createDataFrame([(["i", "see", "him"], ["he", "thank", "me", "and", "us"])], "h array<string>, t array<string>")
     got = df.select(post.name_persons(F.col("h"), F.col("t")).alias("p")).first()["p"]
     assert got["head"] == ["PersonX", "see", "PersonY"] and got["tail"] == ["PersonY", "thank", "PersonX", "and", "PeopleX"]
+
+
+def test_build(spark, tmp_path):
+    from evkg.plans import build
+
+    sents = sentences(spark).withColumn("doc", F.lit("d")).withColumn("sent_idx", F.substring("sid", 3, 9).cast("int")).withColumn("ners", F.transform("tokens", lambda t: F.when(t == "boat", "CITY").otherwise("O")))
+    twice = sents.union(sents.withColumn("sid", F.concat(F.lit("e"), "sid")).withColumn("doc", F.lit("e")))
+    tax = spark.createDataFrame([("building", "accommodation", 3), ("place", "accommodation", 1)], "concept string, instance string, freq long")
+    got = build.build(twice, tax, str(tmp_path), 2.0, 2.0, 1.0, 2)
+    nodes = {" ".join(r["words"]): r for r in got["nodes"].collect()}
+    assert {"my army will find you boat", "we could find you suitable accommodation"} <= nodes.keys() and all(r["frequency"] == 2.0 for r in nodes.values())
+    assert nodes["my army will find you boat"]["ners"] == ["O"] * 5 + ["CITY"]
+    ids = {r["eid"] for r in nodes.values()}
+    edges = got["edges"].collect()
+    assert all(r["hid"] in ids and r["tid"] in ids and r["weight"] >= 2.0 for r in edges) and got["core_edges"].count() == len(edges)
+    named = {" ".join(r["words"]): r["weight"] for r in got["concepts"].collect()}
+    assert named["__PERSON__0 could find __PERSON__1 suitable building"] == pytest.approx(2 * 3 / 4) and any("__CITY__0" in w for w in named)
+    assert set(got) == {"occurrences", "relation_occurrences", "nodes", "edges", "core_nodes", "core_edges", "concept_pairs", "concepts", "concept_edges"}
+    assert build.build(twice.where("false"), tax, str(tmp_path / "none"))["concept_edges"].count() == 0
