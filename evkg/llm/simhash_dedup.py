@@ -9,8 +9,8 @@ holds fingerprints with the same *skip key*, and tile pairs whose keys rule out
 formed.  For a small radius the key is the bit count of each 16-bit quarter: the sum of the four
 differences is a lower bound of the distance.  For similarity links the key is the logarithm of the
 shingle count: a similarity of ``s`` bounds the ratio of counts.  Large tiles are split into chunks of
-bounded size by a hash, so one crowded key is spread over many tasks.  A tile pair returns a minimum
-spanning forest of its links, never all of them.
+bounded size by a hash, so one crowded key is spread over many tasks.  A tile pair returns minimum
+spanning forests of its links, never all of them.
 
 Defined results: null text is like empty text (fingerprint zero, linked like any other); repeated
 rows and equal fingerprints share a component; rows with a null id get the component of their
@@ -37,8 +37,10 @@ from .graph import connected_components
 CHUNK = 16_384
 #: Tiles of more than one chunk up to which their table is broadcast (some 10 MB), and the salts of a tile beyond it.
 BROADCAST_TILES, SALTS = 100_000, 16
-#: Shingles whose bits are counted at once.
+#: Shingles whose bits are counted, and links that are looked through, at once.
 BLOCK = 1 << 16
+#: Similarity links: bits that may differ in all and in either half of 128, and the spanning forests that are kept.
+RADIUS, HALF, FORESTS = 32, 22, 4
 
 
 def shingles(text: bytes, k: int) -> list[bytes]:
@@ -86,56 +88,75 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
     up = list(range(n))
     keep = []
     left = len(np.unique(np.concatenate([i, j])))
-    for at in np.argsort(d, kind="stable").tolist():
-        x, y = int(i[at]), int(j[at])
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        while up[y] != y:
-            up[y] = up[up[y]]
-            y = up[y]
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            keep.append(at)
-            if len(keep) == left - 1:
-                break
+    order = np.argsort(d, kind="stable")
+    for lo in range(0, len(order), BLOCK):
+        at = order[lo : lo + BLOCK]
+        root = np.array(up, np.int64)
+        while (root[root] != root).any():
+            root = root[root]
+        up = root.tolist()
+        for link in at[root[i[at]] != root[j[at]]].tolist():
+            x, y = int(i[link]), int(j[link])
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            while up[y] != y:
+                up[y] = up[up[y]]
+                y = up[y]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                keep.append(link)
+                if len(keep) == left - 1:
+                    return np.array(keep, np.int64)
     return np.array(keep, np.int64)
 
 
-def _thin(n: int, found: list) -> list:
-    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
-    keep = _forest(n, i, j, d)
-    return [(i[keep], j[keep], d[keep])]
+def _thin(n: int, found: list, forests: int) -> list:
+    """The links of ``forests`` spanning forests, each of what the ones before it left, and the number of each link's."""
+    i, j, d = (np.concatenate([x[c] for x in found]) for c in range(3))
+    rest, kept, no = np.arange(len(i)), [], []
+    for f in range(forests):
+        own = _forest(n, i[rest], j[rest], d[rest]) if len(rest) else rest
+        kept.append(rest[own])
+        no.append(np.full(len(own), f, np.int64))
+        rest = np.delete(rest, own)
+    kept = np.concatenate(kept)
+    return [(i[kept], j[kept], d[kept], np.concatenate(no))]
 
 
-def compare(a: list[np.ndarray], b: list[np.ndarray], radius: int, same: bool, rows: int = 128, most: int = 1 << 20):
-    """Spanning links between two chunks (lists of fingerprint words): indexes into a, b and distances."""
+def compare(a: list[np.ndarray], b: list[np.ndarray], radius: int, same: bool, rows: int = 128, most: int = 1 << 20, forests: int = 1, part: int | None = None):
+    """Spanning links between two chunks (lists of fingerprint words): indexes into a, b, distances and forest numbers.
+
+    Words link at ``radius`` or fewer differing bits in all and, where ``part`` is given, as many in each word.
+    """
     na, nb = len(a[0]), len(b[0])
     off = 0 if same else na
+    part = radius if part is None else part
     found, held = [], 0
     for at in range(0, na, rows):
         lo = at if same else 0
         d = np.bitwise_count(a[0][at : at + rows, None] ^ b[0][None, lo:])
-        x, y = np.nonzero(d <= radius)
+        x, y = np.nonzero(d <= min(part, radius))
         if same:
             up = x < y
             x, y = x[up], y[up]
         d = d[x, y].astype(np.int64)
         y = y + lo
         for u, v in zip(a[1:], b[1:], strict=True):
-            d += np.bitwise_count(u[at + x] ^ v[y])
-            near = d <= radius
+            more = np.bitwise_count(u[at + x] ^ v[y])
+            d += more
+            near = (d <= radius) & (more <= part)
             x, y, d = x[near], y[near], d[near]
         if len(x):
             found.append((x + at, y + off, d))
             held += len(x)
             if held > most:  # thin what is held, so memory follows the chunk and not its links
-                found = _thin(na + nb, found)
+                found = _thin(na + nb, found, forests)
                 held = len(found[0][0])
     if not found:
         return None
-    i, j, d = _thin(na + nb, found)[0]
-    return i, j - off, d
+    i, j, d, f = _thin(na + nb, found, forests)[0]
+    return i, j - off, d, f
 
 
 def _split(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -179,22 +200,22 @@ def pair_rows(batch: pa.RecordBatch):
         yield same, {c: v[o[r] : o[r + 1]] for c, (o, v) in at.items()}
 
 
-def tile_links(nodes: DataFrame, words: int, radius: int, others, chunk: int = CHUNK) -> DataFrame:
-    """Spanning links ``(a, b, d)`` between rows ``(id, tile, f0, ...)`` of tiles that ``others`` pairs; ids are unique and not null."""
+def tile_links(nodes: DataFrame, words: int, radius: int, others, chunk: int = CHUNK, forests: int = 1, part: int | None = None) -> DataFrame:
+    """Spanning links ``(a, b, d, forest)`` between rows ``(id, tile, f0, ...)`` of tiles that ``others`` pairs; ids are unique and not null."""
     names = [f"f{i}" for i in range(words)]
 
     def run(batches):
         for batch in batches:
-            out = ([], [], [])
+            out = ([], [], [], [])
             for same, x in pair_rows(batch):
-                got = compare(*([x[f"{s}_{c}"].view(np.uint64) for c in names] for s in "ab"), radius, same)
+                got = compare(*([x[f"{s}_{c}"].view(np.uint64) for c in names] for s in "ab"), radius, same, forests=forests, part=part)
                 if got is not None:
-                    for o, v in zip(out, (x["a_id"][got[0]], x["b_id"][got[1]], got[2]), strict=True):
+                    for o, v in zip(out, (x["a_id"][got[0]], x["b_id"][got[1]], *got[2:]), strict=True):
                         o.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["a", "b", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["a", "b", "d", "forest"])
 
-    return tile_pairs(nodes, ["id", *names], others, chunk).mapInArrow(run, schema(a=LONG, b=LONG, d=LONG))
+    return tile_pairs(nodes, ["id", *names], others, chunk).mapInArrow(run, schema(a=LONG, b=LONG, d=LONG, forest=LONG))
 
 
 def steps(offsets: list[int]):
@@ -253,8 +274,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
     """``(id, component)`` of documents that have a near copy: word shingles of ``k`` words whose sets
     have a Jaccard similarity of ``similarity`` or more.
 
-    128-bit fingerprints propose links (radius 28 of 128: similar pairs at 0.8 differ in 19.3 bits
-    on average, unrelated ones in 64), every spanning link is verified on the exact shingle sets.
+    128-bit fingerprints propose links (``RADIUS`` of 128 bits, ``HALF`` of either 64: similar pairs at
+    0.8 differ in 19.4 bits on average, unrelated ones in 64), which are verified on the exact shingle
+    sets.  Of the links of a tile pair, ``FORESTS`` spanning forests are kept: those of the first are all
+    verified, those of the others where their ends are not in one group yet.  So a link that a
+    rejected one stood for is still found, and the number of links follows that of the documents.
     Documents with equal fingerprints and counts are copies.  Rows without an id are left out.
     """
     prints = cut(fingerprints(docs, k, 2, id_col, text_col, distinct=True).where(F.col("id").isNotNull()))
@@ -262,13 +286,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
     nodes = cut(prints.groupBy(*same).agg(F.min("id").alias("id")))
     step = -math.log(similarity) + 1e-9
     tile = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(step)).cast("long")
-    links = cut(tile_links(nodes.withColumn("tile", F.struct(tile.alias("t"))), 2, 28, steps([0, 1])).select("a", "b"))
-    wanted = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    links = cut(tile_links(nodes.withColumn("tile", F.struct(tile.alias("t"))), 2, RADIUS, steps([0, 1]), forests=FORESTS, part=HALF).select("a", "b", "forest"))
     src = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
-    sets = src.join(wanted, "id", "left_semi").mapInArrow(_hash_sets(k), schema(id=LONG, s=T.BinaryType()))
-    first, second = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    sure = links.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(similarity), schema(a=LONG, b=LONG))
-    roots = connected_components(sure).select(F.col("node").alias("least"), "root")
+
+    def verified(links: DataFrame) -> DataFrame:
+        wanted = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+        sets = src.join(wanted, "id", "left_semi").mapInArrow(_hash_sets(k), schema(id=LONG, s=T.BinaryType()))
+        first, second = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+        return links.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(similarity), schema(a=LONG, b=LONG))
+
+    sure = cut(verified(links.where("forest = 0")))
+    roots = connected_components(sure)
+    first, second = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    open_ = links.where("forest > 0").join(first, "a", "left").join(second, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    more = cut(verified(cut(open_.select("a", "b").distinct())))
+    if more.take(1):
+        roots = connected_components(sure.union(more))
+    roots = roots.select(F.col("node").alias("least"), "root")
     of = nodes.withColumnRenamed("id", "least").join(roots, "least", "left").select(*same, F.coalesce("root", "least").alias("component"))
     on = [F.col(c) == F.col(f"of_{c}") for c in same]
     return prints.join(of.select(*[F.col(c).alias(f"of_{c}") for c in same], "component"), on).select("id", "component")

@@ -69,11 +69,11 @@ def test_compare_is_exact():
     core = r.integers(0, 2**64, 40, dtype=np.uint64)
     x = r.permutation(np.unique(np.concatenate([core, core ^ np.uint64(1), core ^ np.uint64(6), r.integers(0, 2**64, 400, dtype=np.uint64)])))
     want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if int(x[i] ^ x[j]).bit_count() <= 3}
-    i, j, _ = simhash_dedup.compare([x], [x], 3, True, rows=16, most=8)
+    i, j, *_ = simhash_dedup.compare([x], [x], 3, True, rows=16, most=8)
     n = range(len(x))
     assert roots_of(n, want) == roots_of(n, list(zip(i.tolist(), j.tolist(), strict=True)))
     half = len(x) // 2
-    i, j, _ = simhash_dedup.compare([x[:half]], [x[half:]], 3, False, rows=16, most=8)
+    i, j, *_ = simhash_dedup.compare([x[:half]], [x[half:]], 3, False, rows=16, most=8)
     got = roots_of(n, list(zip(i.tolist(), (j + half).tolist(), strict=True)))
     assert got == roots_of(n, [(a, b) for a, b in want if a < half <= b])
     steps = set(simhash_dedup.count_offsets(2))
@@ -95,6 +95,20 @@ def test_large_tiles(spark, monkeypatch):
         assert roots_of(prints, [tuple(x) for x in got]) == want
 
 
+def test_forests_are_disjoint():
+    r = np.random.default_rng(4)
+    x = [r.integers(0, 1 << 8, 60).astype(np.uint64) for _ in range(2)]
+    i, j, d, f = simhash_dedup.compare(x, x, 7, True, rows=16, most=50, forests=3, part=4)
+    bits = [np.bitwise_count(w[:, None] ^ w[None]).astype(int) for w in x]
+    near = {(a, b) for a, b in np.argwhere((sum(bits) <= 7) & (bits[0] <= 4) & (bits[1] <= 4)).tolist() if a < b}
+    got = [set(zip(i[f == k].tolist(), j[f == k].tolist(), strict=True)) for k in range(3)]
+    rest = set(near)
+    for own in got:
+        assert own <= rest and roots_of(range(60), own) == roots_of(range(60), rest)
+        rest -= own
+    assert (d == sum(bits)[i, j]).all() and sum(map(len, got)) < len(near)
+
+
 def brute_near(texts, k=5):
     sets = {}
     for i, t in texts:
@@ -116,7 +130,7 @@ def test_near_duplicates(spark):
     df = spark.createDataFrame([*texts, (None, "a b")], "doc_id long, text string").selectExpr("*", "1 as component")
     got = {x["id"]: x["component"] for x in simhash_dedup.near_duplicates(df).collect()}
     want = brute_near(texts)
-    assert got.keys() == want.keys() and np.mean([got[k] == want[k] for k in want]) > 0.97
+    assert got.keys() == want.keys() and np.mean([got[k] == want[k] for k in want]) > 0.99
     assert all(want[k] == want[got[k]] for k in got)  # what is grouped is near
     kept = simhash_dedup.drop_near_duplicates(df)
     assert kept.columns == df.columns and {x["doc_id"] for x in kept.collect()} == {*(k for k in got if got[k] == k), None}
@@ -128,7 +142,7 @@ def test_near_duplicates_of_table(spark):
     got = {x["id"]: x["component"] for x in simhash_dedup.near_duplicates(docs).collect()}
     want = brute_near([(x["doc_id"], x["text"]) for x in docs.collect()])
     again = [k for k in want if want[k] != k]
-    assert np.mean([got[k] == want[k] for k in again]) > 0.95 and all(got[k] == k for k in want if k not in again)
+    assert np.mean([got[k] == want[k] for k in again]) > 0.99 and all(got[k] == k for k in want if k not in again)
 
 
 def test_embeddings(spark):
