@@ -39,6 +39,8 @@ CHUNK = 16_384
 BROADCAST_TILES, SALTS = 100_000, 16
 #: Shingles whose bits are counted, and links that are looked through, at once.
 BLOCK = 1 << 16
+#: Ids up to which their table is broadcast to the texts (16 MB); beyond it the texts are shuffled by id.
+BROADCAST_IDS = 2_000_000
 #: Similarity links: bits that may differ in all and in either half of 128, and the spanning forests that are kept.
 RADIUS, HALF, FORESTS = 32, 22, 4
 
@@ -270,6 +272,12 @@ def _verify(least: float):
     return run
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """``ids``, written and counted, with a broadcast hint where they are few enough."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, component)`` of documents that have a near copy: word shingles of ``k`` words whose sets
     have a Jaccard similarity of ``similarity`` or more.
@@ -291,7 +299,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
 
     def verified(links: DataFrame) -> DataFrame:
         wanted = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-        sets = src.join(wanted, "id", "left_semi").mapInArrow(_hash_sets(k), schema(id=LONG, s=T.BinaryType()))
+        sets = src.join(_sent(wanted), "id", "left_semi").mapInArrow(_hash_sets(k), schema(id=LONG, s=T.BinaryType()))
         first, second = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
         return links.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(similarity), schema(a=LONG, b=LONG))
 
@@ -315,7 +323,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, i
     """
     of = near_duplicates(docs, k, similarity, id_col, text_col)
     gone = of.groupBy("id").agg(F.min("component").alias("c")).where(F.col("id") != F.col("c")).select(F.col("id").alias("_gone"))
-    return docs.join(gone, docs[f"`{id_col}`"] == F.col("_gone"), "left_anti")
+    return docs.join(_sent(gone), docs[f"`{id_col}`"] == F.col("_gone"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
