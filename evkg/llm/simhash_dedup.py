@@ -41,6 +41,8 @@ BROADCAST_TILES, SALTS = 100_000, 16
 BLOCK = 1 << 16
 #: Ids up to which their table is broadcast to the texts (16 MB); beyond it the texts are shuffled by id.
 BROADCAST_IDS = 2_000_000
+#: Shingles in a chunk whose sets are compared: 8 bytes each.
+SET_CHUNK = 1 << 20
 #: Similarity links: bits that may differ in all and in either half of 128, and the spanning forests that are kept.
 RADIUS, HALF, FORESTS = 32, 22, 4
 
@@ -113,8 +115,11 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def _thin(n: int, found: list, forests: int) -> list:
-    """The links of ``forests`` spanning forests, each of what the ones before it left, and the number of each link's."""
+def _thin(n: int, found: list, forests: int, left: np.ndarray | None = None) -> list:
+    """The links of ``forests`` spanning forests, each of what the ones before it left, and the number of each link's.
+
+    ``left`` is set at the ends of the links that none of them holds.
+    """
     i, j, d = (np.concatenate([x[c] for x in found]) for c in range(3))
     rest, kept, no = np.arange(len(i)), [], []
     for f in range(forests):
@@ -122,20 +127,19 @@ def _thin(n: int, found: list, forests: int) -> list:
         kept.append(rest[own])
         no.append(np.full(len(own), f, np.int64))
         rest = np.delete(rest, own)
+    if left is not None:
+        left[i[rest]] = left[j[rest]] = True
     kept = np.concatenate(kept)
     return [(i[kept], j[kept], d[kept], np.concatenate(no))]
 
 
-def compare(a: list[np.ndarray], b: list[np.ndarray], radius: int, same: bool, rows: int = 128, most: int = 1 << 20, forests: int = 1, part: int | None = None):
-    """Spanning links between two chunks (lists of fingerprint words): indexes into a, b, distances and forest numbers.
+def near(a: list[np.ndarray], b: list[np.ndarray], radius: int, same: bool, rows: int = 128, part: int | None = None):
+    """All links between two chunks (lists of fingerprint words), some rows of ``a`` at a time: indexes into a, b and distances.
 
     Words link at ``radius`` or fewer differing bits in all and, where ``part`` is given, as many in each word.
     """
-    na, nb = len(a[0]), len(b[0])
-    off = 0 if same else na
     part = radius if part is None else part
-    found, held = [], 0
-    for at in range(0, na, rows):
+    for at in range(0, len(a[0]), rows):
         lo = at if same else 0
         d = np.bitwise_count(a[0][at : at + rows, None] ^ b[0][None, lo:])
         x, y = np.nonzero(d <= min(part, radius))
@@ -147,17 +151,29 @@ def compare(a: list[np.ndarray], b: list[np.ndarray], radius: int, same: bool, r
         for u, v in zip(a[1:], b[1:], strict=True):
             more = np.bitwise_count(u[at + x] ^ v[y])
             d += more
-            near = (d <= radius) & (more <= part)
-            x, y, d = x[near], y[near], d[near]
+            close = (d <= radius) & (more <= part)
+            x, y, d = x[close], y[close], d[close]
         if len(x):
-            found.append((x + at, y + off, d))
-            held += len(x)
-            if held > most:  # thin what is held, so memory follows the chunk and not its links
-                found = _thin(na + nb, found, forests)
-                held = len(found[0][0])
+            yield x + at, y, d
+
+
+def compare(a: list[np.ndarray], b: list[np.ndarray], radius: int, same: bool, rows: int = 128, most: int = 1 << 20, forests: int = 1, part: int | None = None, left: np.ndarray | None = None):
+    """Spanning links between two chunks, of those that ``near`` finds: indexes into a, b, distances and forest numbers.
+
+    ``left``, false for each row of ``a`` and, in another chunk, ``b``, is set at the ends of links in no forest.
+    """
+    na, nb = len(a[0]), len(b[0])
+    off = 0 if same else na
+    found, held = [], 0
+    for x, y, d in near(a, b, radius, same, rows, part):
+        found.append((x, y + off, d))
+        held += len(x)
+        if held > most:  # thin what is held, so memory follows the chunk and not its links
+            found = _thin(na + nb, found, forests, left)
+            held = len(found[0][0])
     if not found:
         return None
-    i, j, d, f = _thin(na + nb, found, forests)[0]
+    i, j, d, f = _thin(na + nb, found, forests, left)[0]
     return i, j - off, d, f
 
 
@@ -173,14 +189,15 @@ def _split(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
     return known.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
 
 
-def tile_pairs(nodes: DataFrame, payload: list[str], others, chunk: int = CHUNK) -> DataFrame:
+def tile_pairs(nodes: DataFrame, payload: list[str], others, chunk: int = CHUNK, load=None) -> DataFrame:
     """``(same, a_<payload>..., b_<payload>...)``: the columns of two chunks as arrays, for each pair to compare.
 
     ``nodes`` has ``id``, a struct ``tile`` and the payload; ``others`` makes of a tile the array of
-    itself and the tiles to compare it with, of which only one names the other.
+    itself and the tiles to compare it with, of which only one names the other.  A chunk holds about
+    ``chunk`` rows, or as much of the aggregate ``load``.
     """
     tile = F.col("tile")
-    sizes = cut(nodes.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(float(chunk))).cast("int").alias("parts")))
+    sizes = cut(nodes.groupBy("tile").agg(F.ceil((F.count("*") if load is None else load) / F.lit(float(chunk))).cast("int").alias("parts")))
     packed = cut(_split(nodes, sizes).groupBy("tile", "part").agg(F.collect_list(F.struct(*payload)).alias("rows")))
     heads = packed.select("tile", "part", F.explode(others(tile)).alias("tile2"))
     pairs = heads.join(sizes.select(tile.alias("tile2"), "parts"), "tile2").select("tile", "part", "tile2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part2"))
@@ -202,20 +219,30 @@ def pair_rows(batch: pa.RecordBatch):
         yield same, {c: v[o[r] : o[r + 1]] for c, (o, v) in at.items()}
 
 
-def tile_links(nodes: DataFrame, words: int, radius: int, others, chunk: int = CHUNK, forests: int = 1, part: int | None = None) -> DataFrame:
-    """Spanning links ``(a, b, d, forest)`` between rows ``(id, tile, f0, ...)`` of tiles that ``others`` pairs; ids are unique and not null."""
+def tile_links(nodes: DataFrame, words: int, radius: int, others, chunk: int = CHUNK, forests: int = 1, part: int | None = None, rest: bool = False) -> DataFrame:
+    """Spanning links ``(a, b, d, forest)`` between rows ``(id, tile, f0, ...)`` of tiles that ``others`` pairs; ids are unique and not null.
+
+    With ``rest`` also ``(a, null, null, null)`` for each end of a link that is in no forest.
+    """
     names = [f"f{i}" for i in range(words)]
 
     def run(batches):
         for batch in batches:
-            out = ([], [], [], [])
+            out, ends = ([], [], [], []), []
             for same, x in pair_rows(batch):
-                got = compare(*([x[f"{s}_{c}"].view(np.uint64) for c in names] for s in "ab"), radius, same, forests=forests, part=part)
+                ids = np.concatenate([x["a_id"], x["b_id"]])
+                left = np.zeros(len(ids), bool) if rest else None
+                got = compare(*([x[f"{s}_{c}"].view(np.uint64) for c in names] for s in "ab"), radius, same, forests=forests, part=part, left=left)
+                if rest:
+                    ends.append(ids[left])
                 if got is not None:
                     for o, v in zip(out, (x["a_id"][got[0]], x["b_id"][got[1]], *got[2:]), strict=True):
                         o.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["a", "b", "d", "forest"])
+            if ends:
+                a = pa.array(np.unique(np.concatenate(ends)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([a, *[pa.nulls(len(a), pa.int64())] * 3], names=["a", "b", "d", "forest"])
 
     return tile_pairs(nodes, ["id", *names], others, chunk).mapInArrow(run, schema(a=LONG, b=LONG, d=LONG, forest=LONG))
 
@@ -272,6 +299,65 @@ def _verify(least: float):
     return run
 
 
+def _open(names: list[str], radius: int, part: int):
+    """Ids of the ends of links between rows of different groups."""
+
+    def run(batches):
+        for batch in batches:
+            ids = []
+            for same, x in pair_rows(batch):
+                for i, j, _ in near(*([x[f"{s}_{c}"].view(np.uint64) for c in names] for s in "ab"), radius, same, part=part):
+                    apart = x["a_root"][i] != x["b_root"][j]
+                    ids += [np.unique(x["a_id"][i[apart]]), np.unique(x["b_id"][j[apart]])]
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(ids)).astype(np.int64))], names=["id"])
+
+    return run
+
+
+def similar(names: list[str], radius: int, part: int, least: float, same: bool, x: dict):
+    """``(i, j)``: links between two chunks that join groups and whose sets are similar.  Each link of two groups that
+    the ones before it did not join is looked at, on the exact sets."""
+    sets = [np.frombuffer(v, np.uint64) for v in x["a_s"]] + ([] if same else [np.frombuffer(v, np.uint64) for v in x["b_s"]])
+    size = np.array([len(v) for v in sets], np.int64)
+    known, place = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(place, np.cumsum(size)[:-1])
+    roots, group = np.unique(np.concatenate([x["a_root"], *([] if same else [x["b_root"]])]), return_inverse=True)
+    off = 0 if same else len(x["a_s"])
+    label = np.arange(len(roots))  # of each group: the group it is in by now
+    has = np.zeros(len(known), bool)
+    for i, j, _ in near(*([x[f"{s}_{c}"].view(np.uint64) for c in names] for s in "ab"), radius, same, part=part):
+        j = j + off
+        can = (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j])) & (np.minimum(size[i], size[j]) > 0)
+        i, j = i[can], j[can]
+        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+        for at, end in itertools.pairwise([*starts, len(i)]):
+            one, ys = int(i[at]), j[at:end]
+            ys = ys[label[group[ys]] != label[group[one]]]
+            has[own[one]] = True
+            for lo in range(0, len(ys), 256):
+                some = ys[lo : lo + 256]
+                some = some[label[group[some]] != label[group[one]]]
+                if not len(some):
+                    continue
+                both = np.add.reduceat(has[np.concatenate([own[y] for y in some])], np.r_[0, np.cumsum(size[some])[:-1]], dtype=np.int64)
+                for y in some[both >= least * (size[some] + size[one] - both)].tolist():
+                    u, v = label[group[one]], label[group[y]]
+                    if u != v:
+                        label[label == v] = u
+                        yield one, y - off
+            has[own[one]] = False
+
+
+def _similar(names: list[str], radius: int, part: int, least: float):
+    def run(batches):
+        for batch in batches:
+            out = [(x["a_id"][i], x["b_id"][j]) for same, x in pair_rows(batch) for i, j in similar(names, radius, part, least, same, x)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def _sent(ids: DataFrame) -> DataFrame:
     """``ids``, written and counted, with a broadcast hint where they are few enough."""
     ids = cut(ids)
@@ -284,9 +370,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
 
     128-bit fingerprints propose links (``RADIUS`` of 128 bits, ``HALF`` of either 64: similar pairs at
     0.8 differ in 19.4 bits on average, unrelated ones in 64), which are verified on the exact shingle
-    sets.  Of the links of a tile pair, ``FORESTS`` spanning forests are kept: those of the first are all
-    verified, those of the others where their ends are not in one group yet.  So a link that a
-    rejected one stood for is still found, and the number of links follows that of the documents.
+    sets.  Of the links of a tile pair, ``FORESTS`` spanning forests are verified first: those of the first
+    all, those of the others where their ends are not in one group yet.  Then every other proposed link
+    whose ends are still in different groups is verified, chunk against chunk with the sets of the
+    documents that have one, so a true link is found however many false ones are nearer.
     Documents with equal fingerprints and counts are copies.  Rows without an id are left out.
     """
     prints = cut(fingerprints(docs, k, 2, id_col, text_col, distinct=True).where(F.col("id").isNotNull()))
@@ -294,12 +381,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
     nodes = cut(prints.groupBy(*same).agg(F.min("id").alias("id")))
     step = -math.log(similarity) + 1e-9
     tile = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(step)).cast("long")
-    links = cut(tile_links(nodes.withColumn("tile", F.struct(tile.alias("t"))), 2, RADIUS, steps([0, 1]), forests=FORESTS, part=HALF).select("a", "b", "forest"))
+    nodes = nodes.withColumn("tile", F.struct(tile.alias("t")))
+    links = cut(tile_links(nodes, 2, RADIUS, steps([0, 1]), forests=FORESTS, part=HALF, rest=True).select("a", "b", "forest"))
+    left = links.where("b IS NULL").select(F.col("a").alias("id")).distinct()
+    links = links.where("b IS NOT NULL")
     src = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return src.join(_sent(wanted), "id", "left_semi").mapInArrow(_hash_sets(k), schema(id=LONG, s=T.BinaryType()))
+
     def verified(links: DataFrame) -> DataFrame:
-        wanted = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-        sets = src.join(_sent(wanted), "id", "left_semi").mapInArrow(_hash_sets(k), schema(id=LONG, s=T.BinaryType()))
+        sets = sets_of(links.select(F.col("a").alias("id")).union(links.select("b")).distinct())
         first, second = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
         return links.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(similarity), schema(a=LONG, b=LONG))
 
@@ -309,7 +401,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
     open_ = links.where("forest > 0").join(first, "a", "left").join(second, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     more = cut(verified(cut(open_.select("a", "b").distinct())))
     if more.take(1):
-        roots = connected_components(sure.union(more))
+        sure = cut(sure.union(more))
+        roots = connected_components(sure)
+    names, gone = ["f0", "f1"], left.take(1)
+    if gone:
+        placed = nodes.join(left, "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        placed = cut(placed.select("id", "tile", "n", *names, "root"))
+        apart = cut(tile_pairs(placed, ["id", *names, "root"], steps([0, 1])).mapInArrow(_open(names, RADIUS, HALF), schema(id=LONG)).distinct())
+        gone = apart.take(1)
+    if gone:
+        held = placed.join(sets_of(apart).distinct(), "id")
+        pairs = tile_pairs(held, ["id", *names, "root", "s"], steps([0, 1]), SET_CHUNK, F.sum(F.greatest("n", F.lit(1))))
+        last = cut(pairs.mapInArrow(_similar(names, RADIUS, HALF, similarity), schema(a=LONG, b=LONG)))
+        roots = connected_components(sure.union(last))
     roots = roots.select(F.col("node").alias("least"), "root")
     of = nodes.withColumnRenamed("id", "least").join(roots, "least", "left").select(*same, F.coalesce("root", "least").alias("component"))
     on = [F.col(c) == F.col(f"of_{c}") for c in same]

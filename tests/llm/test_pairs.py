@@ -146,6 +146,30 @@ def test_near_duplicates_of_table(spark, monkeypatch):
     assert np.mean([got[k] == want[k] for k in again]) > 0.99 and all(got[k] == k for k in want if k not in again)
 
 
+def template_family(n, seed):
+    """Texts of one template, similar at about 0.71, in pairs that are similar at 0.84 to 0.86."""
+    r = random.Random(seed)
+    base = ["t%d" % j for j in range(250)]
+    out = []
+    for i in range(n):
+        own = [f"o{i}x{j}" for j in range(50)]
+        copy = own.copy()
+        copy[25:] = [f"c{i}x{j}" for j in range(r.randrange(22, 26))]
+        out += [" ".join(base + own), " ".join(base + copy)]
+    return list(enumerate(out))
+
+
+def test_near_duplicates_of_template(spark, monkeypatch):
+    texts = template_family(250, 1)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute_near(texts)
+    assert len(set(want.values())) == 250  # only the copies are near
+    for chunk in (simhash_dedup.SET_CHUNK, 20_000):  # the family in one chunk, and in several
+        monkeypatch.setattr(simhash_dedup, "SET_CHUNK", chunk)
+        got = {x["id"]: x["component"] for x in simhash_dedup.near_duplicates(df).collect()}
+        assert got == want
+
+
 def test_embeddings(spark):
     rows = [tuple(x) for x in table(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding", "label").collect()]
     r = np.random.default_rng(2)
