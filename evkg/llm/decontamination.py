@@ -1,16 +1,18 @@
 """Benchmark decontamination, in DataFrame functions only.
 
 Words are runs of letters and digits, lower-cased; shingles have five words (a text of fewer is one
-shingle).  A window is a stretch of a document with as many words as a benchmark item has.  Windows are
-laid wherever a document shares a shingle with an item, aligned by the places of that shingle in both: any
-window with a similarity above zero to an item shares one, so none is missed, and the rest of the corpus
-never leaves the scan (the shingles of the benchmark are broadcast after their number is checked).
-
-Each window has a 64-bit SimHash.  Multi-index blocks (eight of eight bits, at most one bit changed)
-guarantee that every item fingerprint within 15 bits is found; each is then verified by the exact
-weighted similarity of the shingle sets, ``sum of weights shared / sum of weights of either``, where a
-shingle weighs ``ln(1 + items / items that hold it)`` and one outside the item as much as a
-unique one.  0.8 or more is contamination.
+shingle).  A window is a stretch of a document with as many words as a benchmark item has.  Similarity is
+that of the shingle sets, ``sum of weights shared / sum of weights of either``, where a shingle weighs
+``ln(1 + items / items that hold it)`` and one outside the item as much as a unique one.  0.8 or more is
+contamination.
+
+Every window that shares a shingle with an item is judged exactly; without one the similarity is zero.
+Items of fewer than five words are found only in documents of fewer than five words.
+Documents and items meet on equal shingles (those of the benchmark are broadcast after their number is
+checked), so the rest of the corpus never leaves the scan.  The places where they meet are dealt by document,
+item and *segment*, two window lengths that overlap by one, so a window lies within a segment and no row
+grows with its document.  Segments, then windows, whose shared weight is below 0.8 of the item's are
+dropped: the similarity can't be higher than that share.
 
 Defined results: null texts are empty and match nothing, as do empty items; rows without an id are never
 reported; repeated rows and repeated items count once; a document shorter than an item is one
@@ -26,8 +28,8 @@ from .common import cut, pick, table
 
 K = 5
 SIMILARITY = 0.8
-BLOCKS, BITS = 8, 8
-RADIUS = 2 * BLOCKS - 1
+#: Slack of the bounds, so that rounding drops no window.
+SLACK = 1e-6
 #: Shingles of a benchmark up to which it is broadcast (about 50 MB); beyond it the joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -49,61 +51,43 @@ def shingles(h: Column, k: int = K) -> Column:
     )
 
 
-def simhash(hs: Column) -> Column:
-    """64 bits, one where over half of the hashes have one."""
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(63)),
-        F.lit(0).cast("long"),
-        lambda acc, i: F.when(
-            F.size(F.filter(hs, lambda h: F.getbit(h, i) == 1)) * 2 > F.size(hs), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))
-        ).otherwise(acc),
-    )
-
-
-def _blocks(f: Column, near: bool) -> Column:
-    """``struct(i, v)`` of each block of a fingerprint; with ``near`` also those with one bit changed."""
-    out = []
-    for i in range(BLOCKS):
-        v = F.shiftright(f, BITS * i).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
-        for flip in [0, *[1 << b for b in range(BITS)]] if near else [0]:
-            out.append(F.struct(F.lit(i).alias("i"), v.bitwiseXOR(F.lit(flip)).alias("v")))
-    return F.array(*out)
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, item_id, similarity, start_word, windows)``: each item that a document holds, and where it fits best."""
     items = pick(benchmark, item_id=item_col, text=item_text_col).where("item_id IS NOT NULL")
-    items = items.select("item_id", word_hashes(words(F.col("text"))).alias("w")).select("item_id", F.size("w").alias("len"), shingles(F.col("w")).alias("s")).where("len > 0")
-    items = cut(items.withColumn("f", simhash(F.array_distinct("s"))).distinct())
+    items = items.select("item_id", word_hashes(words(F.col("text"))).alias("w")).select("item_id", F.xxhash64("item_id", "w").alias("item"), F.size("w").alias("len"), shingles(F.col("w")).alias("s")).where("len > 0")
+    items = cut(items.withColumn("s", F.array_distinct("s")).distinct())
     n_items = items.count()
-    parts = items.select("item_id", "len", F.posexplode("s").alias("ipos", "h"))
-    small = parts.count() <= BROADCAST_ROWS
-    send = F.broadcast if small else (lambda x: x)
-
-    df = parts.groupBy("h").agg(F.count_distinct("item_id").alias("df"))
-    weights = parts.select("item_id", "h").distinct().join(df, "h").withColumn("w", F.log1p(F.lit(float(n_items)) / F.col("df")))
-    item_weights = weights.groupBy("item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("h", "w")))).alias("weights"))
+    parts = items.select("item", "len", F.explode("s").alias("h"))
+    df = parts.groupBy("h").agg(F.count("*").alias("df"))
+    parts = cut(parts.join(df, "h").withColumn("w", F.log1p(F.lit(float(n_items)) / F.col("df"))))
+    items = items.select("item_id", "item", "len").join(parts.groupBy("item").agg(F.sum("w").alias("total")), "item")
+    send = F.broadcast if parts.count() <= BROADCAST_ROWS else (lambda x: x)
     lone = F.log1p(F.lit(float(n_items)))
+    least = F.lit(similarity - SLACK) * F.col("total")
 
     src = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    hashed = src.select("doc_id", word_hashes(words(F.col("text"))).alias("w"))
-    seen = hashed.select("doc_id", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"))).alias("pos", "h"))
+    hashed = src.select("doc_id", word_hashes(words(F.col("text"))).alias("w")).withColumn("doc", F.xxhash64("doc_id", "w"))
+    seen = hashed.select("doc", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"))).alias("pos", "h"))
     hits = seen.join(send(parts), "h")
-    long = F.least("len", "n")
-    windows = cut(hits.select("doc_id", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("ipos"), F.col("n") - long)).alias("start"), long.alias("len")).distinct())
-
-    held = hashed.join(windows.select("doc_id").distinct(), "doc_id", "left_semi")
-    cuts = windows.join(held, "doc_id").select("doc_id", "start", "len", F.array_distinct(shingles(F.slice("w", F.col("start") + 1, F.col("len")))).alias("s"))
-    prints = cut(cuts.distinct().withColumn("f", simhash(F.col("s"))))
-    keys = items.select("item_id", F.col("f").alias("g"), F.explode(_blocks(F.col("f"), True)).alias("k"))
-    tried = prints.select("doc_id", "start", "len", "f", F.explode(_blocks(F.col("f"), False)).alias("k")).join(send(keys), "k")
-    near = tried.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS).select("doc_id", "start", "len", "item_id").distinct()
-    both = near.join(prints.select("doc_id", "start", "len", "s"), ["doc_id", "start", "len"]).join(send(item_weights), "item_id")
-    of = lambda h: F.try_element_at("weights", h)
-    shared = F.aggregate(F.filter("s", lambda h: of(h).isNotNull()), F.lit(0.0), lambda a, h: a + of(h))
-    total = F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, w: a + w)
-    other = F.size(F.filter("s", lambda h: of(h).isNull())) * lone
-    sure = both.withColumn("similarity", F.round(shared / (total + other), 9)).where(F.col("similarity") >= similarity)
+    long = F.least("len", "n")  # words of a window
+    wide = F.greatest(long - K + 1, F.lit(1))  # and its shingles
+    seg = F.floor(F.col("pos") / wide).cast("int")
+    dealt = hits.select("doc", "item", "n", F.explode(F.when(seg > 0, F.array(seg - 1, seg)).otherwise(F.array(seg))).alias("seg"), F.struct("pos", "h", "w").alias("hit"))
+    weight = lambda hits: F.aggregate(F.array_distinct(F.transform(hits, lambda x: F.struct(x["h"], x["w"]))), F.lit(0.0), lambda a, x: a + x["w"])
+    segments = dealt.groupBy("doc", "item", "n", "seg").agg(F.collect_set("hit").alias("hits")).join(send(items), "item")
+    segments = segments.where(weight(F.col("hits")) >= least).withColumn("long", long).withColumn("wide", wide)
+    first = F.col("seg") * F.col("wide")
+    last = F.least(first + F.col("wide") - 1, F.col("n") - F.col("long"))
+    laid = segments.where(last >= first).withColumn("start", F.explode(F.sequence(first, last)))
+    own = F.filter("hits", lambda x: (x["pos"] >= F.col("start")) & (x["pos"] < F.col("start") + F.col("wide")))
+    laid = laid.select("doc", "item_id", "start", "long", "total", own.alias("own"))
+    common = F.size(F.array_distinct(F.transform("own", lambda x: x["h"])))
+    windows = cut(laid.select("doc", "item_id", "start", "long", "total", weight(F.col("own")).alias("shared"), common.alias("common")).where(F.col("shared") >= least))
+
+    held = hashed.join(windows.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    cuts = windows.join(held, "doc").withColumn("held", F.size(F.array_distinct(shingles(F.slice("w", F.col("start") + 1, F.col("long"))))))
+    other = (F.col("held") - F.col("common")) * lone
+    sure = cuts.withColumn("similarity", F.round(F.col("shared") / (F.col("total") + other), 9)).where(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("at"))).alias("best")
     return sure.groupBy("doc_id", "item_id").agg(best, F.count("*").alias("windows")).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.at")).cast("long").alias("start_word"), "windows")
 

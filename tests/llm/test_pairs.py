@@ -241,6 +241,25 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(d.where("false"), b).count() == 0 and decontamination.find_leaks(d, b.where("false")).count() == 0
 
 
+def test_leaks_of_edited_items(spark):
+    r = random.Random(8)
+    fresh = lambda n: ["".join(r.choices("abcdefghij", k=9)) for _ in range(n)]
+    prompt = fresh(24)
+    items = [(i, prompt + fresh(25)) for i in range(60)] + [(100 + i, fresh(r.randrange(50, 60))) for i in range(100)]
+    docs = [(i, w[20:]) for i, w in items[:60]]  # own part of an item with a shared prompt, shorter than it
+    for i, w in items[60:]:
+        docs.append((i, fresh(40) + [*w[:25], "changed", *w[26:]] + fresh(40)))  # a word of a long item is another
+    turned = fresh(90)
+    items.append((900, turned))
+    docs += [(900, fresh(9) + turned[45:] + turned[:45] + fresh(9)), (901, fresh(80) + turned[30:60]), (901, items[70][1])]  # turned halves; too little; an id with two texts
+    docs, items = ([(i, " ".join(w)) for i, w in x] for x in (docs, items))
+    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in got.collect()}
+    want = brute_leaks(docs, items)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert len(want) == 162 and {(5, 5), (900, 900), (901, 110)} <= want.keys()
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
