@@ -25,19 +25,48 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder, so that later stages survive lost executors.
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, made of ``names``."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"{name}_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
 
-    The folder is the one ``spark.checkpoint.dir`` names; only where none is set (tests on one
-    machine) a temporary one is made.
+    Only a session on one machine (tests) may leave it unset and gets a temporary one; a cluster is refused.
     """
+    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="checkpoint-")
+    return at
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder, so that later stages survive lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids up to which their table is broadcast (16 MB).
+BROADCAST_IDS = 2_000_000
+
+
+def sent(ids: DataFrame, most: int | None = None) -> DataFrame:
+    """``ids``, written and counted, with a broadcast hint where they are few enough; else the join shuffles."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= (BROADCAST_IDS if most is None else most) else ids
+
+
 def bounded_sample(df: DataFrame, group: str, key: str, per_group: int, seed: int = 0) -> DataFrame:
     """At most ``per_group`` rows of each non-null ``group``, those with the smallest hash of ``key``.
 

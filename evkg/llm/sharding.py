@@ -7,8 +7,8 @@ prime and never grows with the data.  Shards own equal numbers of slots to withi
 the shard list moves few keys.
 
 Defined results: a null key goes to the slot of the empty string; repeated keys share a shard; empty
-tables stay empty; all columns of the input are kept (the two new names are parameters; where the
-input has such a column already, the new one replaces it).
+tables stay empty; all columns of the input are kept, whatever their names (the two new names are
+parameters; where the input has such a column already, the new one replaces it).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, table, unused
 
 #: Slots: a prime far above a hundred times the number of shards.
 SLOTS = 65_537
@@ -57,10 +57,12 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
 
 def assign_shards(df: DataFrame, key_col: str = "doc_id", shards=SHARDS, slots: int = SLOTS, slot_name: str = "slot", shard_name: str = "shard") -> DataFrame:
     owner = lookup_table(shards, slots)
-    names = df.sparkSession.createDataFrame([(i, owner[i], shards[owner[i]]) for i in range(slots)], "_slot int, _no int, _shard string")
     kept = df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in (slot_name.lower(), shard_name.lower())])
-    placed = kept.withColumn("_at", slot(kept[f"`{key_col}`"], slots).cast("int"))
-    return placed.join(F.broadcast(names), F.col("_at") == F.col("_slot")).select(*[F.col(f"`{c}`") for c in kept.columns], F.col("_slot").alias(slot_name), F.col("_shard").alias(shard_name))
+    at, name = unused(df, "_slot", "_shard")
+    names = df.sparkSession.createDataFrame([(i, shards[owner[i]]) for i in range(slots)], f"{at} int, {name} string")
+    key = kept[f"`{key_col}`"] if key_col.lower() in {c.lower() for c in kept.columns} else df[f"`{key_col}`"]
+    placed = kept.join(F.broadcast(names), slot(key, slots).cast("int") == names[at])
+    return placed.select(*[kept[f"`{c}`"] for c in kept.columns], names[at].alias(slot_name), names[name].alias(shard_name))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

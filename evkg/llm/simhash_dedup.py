@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, cut, pick, schema
+from .common import LONG, cut, pick, schema, sent, unused
 from .graph import connected_components
 
 #: Fingerprints in a chunk of a tile: 16 bytes each and an id.
@@ -39,8 +39,6 @@ CHUNK = 16_384
 BROADCAST_TILES, SALTS = 100_000, 16
 #: Shingles whose bits are counted, and links that are looked through, at once.
 BLOCK = 1 << 16
-#: Ids up to which their table is broadcast to the texts (16 MB); beyond it the texts are shuffled by id.
-BROADCAST_IDS = 2_000_000
 #: Shingles in a chunk whose sets are compared: 8 bytes each.
 SET_CHUNK = 1 << 20
 #: Similarity links: bits that may differ in all and in either half of 128, and the spanning forests that are kept.
@@ -358,12 +356,6 @@ def _similar(names: list[str], radius: int, part: int, least: float):
     return run
 
 
-def _sent(ids: DataFrame) -> DataFrame:
-    """``ids``, written and counted, with a broadcast hint where they are few enough."""
-    ids = cut(ids)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, component)`` of documents that have a near copy: word shingles of ``k`` words whose sets
     have a Jaccard similarity of ``similarity`` or more.
@@ -388,7 +380,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
     src = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("string"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return src.join(_sent(wanted), "id", "left_semi").mapInArrow(_hash_sets(k), schema(id=LONG, s=T.BinaryType()))
+        return src.join(sent(wanted), "id", "left_semi").mapInArrow(_hash_sets(k), schema(id=LONG, s=T.BinaryType()))
 
     def verified(links: DataFrame) -> DataFrame:
         sets = sets_of(links.select(F.col("a").alias("id")).union(links.select("b")).distinct())
@@ -426,8 +418,9 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, i
     Rows that share an id are one document and stay or go together; rows without an id stay.
     """
     of = near_duplicates(docs, k, similarity, id_col, text_col)
-    gone = of.groupBy("id").agg(F.min("component").alias("c")).where(F.col("id") != F.col("c")).select(F.col("id").alias("_gone"))
-    return docs.join(_sent(gone), docs[f"`{id_col}`"] == F.col("_gone"), "left_anti")
+    (name,) = unused(docs, "_gone")
+    gone = sent(of.groupBy("id").agg(F.min("component").alias("c")).where(F.col("id") != F.col("c")).select(F.col("id").alias(name)))
+    return docs.join(gone, docs[f"`{id_col}`"] == gone[name], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

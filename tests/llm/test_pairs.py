@@ -6,7 +6,7 @@ import re
 import numpy as np
 import xxhash
 
-from evkg.llm import decontamination, embedding_dedup, simhash_dedup
+from evkg.llm import common, decontamination, embedding_dedup, simhash_dedup
 from evkg.llm.common import table
 from evkg.llm.graph import connected_components
 
@@ -139,7 +139,7 @@ def test_near_duplicates(spark):
 
 def test_near_duplicates_of_table(spark, monkeypatch):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
-    monkeypatch.setattr(simhash_dedup, "BROADCAST_IDS", 0)  # the way beyond the bound; the other tests take the broadcast
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)  # the way beyond the bound; the other tests take the broadcast
     got = {x["id"]: x["component"] for x in simhash_dedup.near_duplicates(docs).collect()}
     want = brute_near([(x["doc_id"], x["text"]) for x in docs.collect()])
     again = [k for k in want if want[k] != k]
