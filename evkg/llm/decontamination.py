@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, table
+from .common import cut, pick, sent, table, unused
 
 K = 5
 SIMILARITY = 0.8
@@ -66,25 +66,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     least = F.lit(similarity - SLACK) * F.col("total")
 
     src = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    hashed = src.select("doc_id", word_hashes(words(F.col("text"))).alias("w")).withColumn("doc", F.xxhash64("doc_id", "w"))
-    seen = hashed.select("doc", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"))).alias("pos", "h"))
+    hash_words = lambda rows: rows.select("doc_id", word_hashes(words(F.col("text"))).alias("w")).withColumn("doc", F.xxhash64("doc_id", "w"))
+    hashed = hash_words(src)
+    seen = hashed.select("doc_id", "doc", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"))).alias("pos", "h"))
     hits = seen.join(send(parts), "h")
     long = F.least("len", "n")  # words of a window
     wide = F.greatest(long - K + 1, F.lit(1))  # and its shingles
     seg = F.floor(F.col("pos") / wide).cast("int")
-    dealt = hits.select("doc", "item", "n", F.explode(F.when(seg > 0, F.array(seg - 1, seg)).otherwise(F.array(seg))).alias("seg"), F.struct("pos", "h", "w").alias("hit"))
+    dealt = hits.select("doc_id", "doc", "item", "n", F.explode(F.when(seg > 0, F.array(seg - 1, seg)).otherwise(F.array(seg))).alias("seg"), F.struct("pos", "h", "w").alias("hit"))
     weight = lambda hits: F.aggregate(F.array_distinct(F.transform(hits, lambda x: F.struct(x["h"], x["w"]))), F.lit(0.0), lambda a, x: a + x["w"])
-    segments = dealt.groupBy("doc", "item", "n", "seg").agg(F.collect_set("hit").alias("hits")).join(send(items), "item")
+    segments = dealt.groupBy("doc_id", "doc", "item", "n", "seg").agg(F.collect_set("hit").alias("hits")).join(send(items), "item")
     segments = segments.where(weight(F.col("hits")) >= least).withColumn("long", long).withColumn("wide", wide)
     first = F.col("seg") * F.col("wide")
     last = F.least(first + F.col("wide") - 1, F.col("n") - F.col("long"))
     laid = segments.where(last >= first).withColumn("start", F.explode(F.sequence(first, last)))
     own = F.filter("hits", lambda x: (x["pos"] >= F.col("start")) & (x["pos"] < F.col("start") + F.col("wide")))
-    laid = laid.select("doc", "item_id", "start", "long", "total", own.alias("own"))
+    laid = laid.select("doc_id", "doc", "item_id", "start", "long", "total", own.alias("own"))
     common = F.size(F.array_distinct(F.transform("own", lambda x: x["h"])))
-    windows = cut(laid.select("doc", "item_id", "start", "long", "total", weight(F.col("own")).alias("shared"), common.alias("common")).where(F.col("shared") >= least))
+    windows = cut(laid.select("doc_id", "doc", "item_id", "start", "long", "total", weight(F.col("own")).alias("shared"), common.alias("common")).where(F.col("shared") >= least))
 
-    held = hashed.join(windows.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    # Only the documents that have a window are read again and shuffled.
+    held = hash_words(src.join(sent(windows.select("doc_id").distinct()), "doc_id", "left_semi")).dropDuplicates(["doc"]).select("doc", "w")
     cuts = windows.join(held, "doc").withColumn("held", F.size(F.array_distinct(shingles(F.slice("w", F.col("start") + 1, F.col("long"))))))
     other = (F.col("held") - F.col("common")) * lone
     sure = cuts.withColumn("similarity", F.round(F.col("shared") / (F.col("total") + other), 9)).where(F.col("similarity") >= similarity)
@@ -94,8 +96,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns as they are."""
-    gone = find_leaks(docs, benchmark, id_col, text_col, similarity=similarity).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"] == F.col("_gone"), "left_anti")
+    (name,) = unused(docs, "_gone")
+    gone = sent(find_leaks(docs, benchmark, id_col, text_col, similarity=similarity).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, docs[f"`{id_col}`"] == gone[name], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
