@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from evkg.llm import decontamination, mixing, sharding, simhash_dedup, toxicity
-from evkg.llm.common import table
+from evkg.llm.common import shared_folder, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,17 +42,20 @@ STAGES = [("toxicity", toxic), ("simhash", near_copies), ("decontamination", lea
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder among the shared ones of the cluster."""
-    sc = spark.sparkContext
-    at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{at.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, at = table(spark, sf_dir, "documents"), _folder(spark)
+    """The rows that the last stage leaves; what a stage wrote is removed once the next one is written."""
+    docs, at = table(spark, sf_dir, "documents"), f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         out = f"{at}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            _remove(spark, before)
+        before = out
     return docs
