@@ -1,18 +1,21 @@
-"""Language ID by prediction by partial matching.
+"""Language ID by prediction by partial matching over bytes.
 
-For each language a context tree over bytes, of order 0 to ``ORDER``, is counted on a bounded sample
-of its labelled texts.  A symbol that a context has not seen costs an escape and is coded by the
-next shorter context, with the symbols already seen excluded (escape method C); below order 0 all
-symbols are equally likely.  The statistics are then frozen: the exact code length of every symbol
-after every context is a table, and a text costs the sum over its bytes.  The cheapest language wins;
-its score is its posterior probability when all languages are equally likely beforehand.
+For each language a tree of byte contexts, of order 0 to ``ORDER``, is counted on a bounded sample of its
+labelled texts (A-Z lower-cased).  A byte that a context has not seen costs an escape and is coded by the next shorter
+context, with the bytes already seen excluded (escape method C); below order 0 all 256 bytes are equally
+likely.  Contexts of more than ``WHOLE`` bytes that were seen only once are pruned.  The statistics are then frozen:
+the exact code length of each string in a tree, and the cost of leaving each context, are sorted arrays.  A text
+costs the sum over its bytes: the longest string ending there that a tree holds, and the escapes of the longer
+contexts.  The cheapest language wins; its score is its posterior probability when all languages are
+equally likely beforehand.
 
-Bytes are A-Z lower-cased and mapped to ``SYMBOLS`` symbols: the commonest of the sample, and one for
-the rest.  A table has ``SYMBOLS ** (ORDER + 1)`` entries a language, 10 MB, which bounds what is broadcast.
+The arrays of all languages are merged, so a string is looked up once for all of them: 8 bytes and 4 a language for
+each string.  The sample bounds them: ``PER_LANGUAGE`` texts of up to ``MOST_CHARS`` characters of each of the
+``LANGUAGES`` most frequent labels (longer texts are not learned from; what is judged is read whole).
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; so is all text if
-nothing is labelled; ties go to the alphabetically first language; texts of any length are read
-whole; an empty table gives an empty one; other columns are ignored.
+nothing is labelled; ties go to the alphabetically first language; an empty table gives an empty one; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,99 +23,153 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import DBL, LONG, STR, bounded_sample, pick, schema, table
 
-SYMBOLS, ORDER = 40, 3
-#: At most so many labelled documents of a language are fitted, those with the smallest hashes.
-PER_LANGUAGE = 300
+ORDER, WHOLE = 4, 2
+#: At most so many labelled documents of a language are fitted, those with the smallest hashes, none above so many characters.
+PER_LANGUAGE, MOST_CHARS, LANGUAGES = 300, 20_000, 32
 LETTER = re.compile(r"[^\W\d_]")
-#: Bytes whose code lengths are added in single precision.
-PART = 1 << 14
+#: Bytes that are judged at once.
+PART = 1 << 20
 
 
-def symbol_map(texts: list[bytes], symbols: int = SYMBOLS) -> np.ndarray:
-    n = sum(np.bincount(np.frombuffer(t.lower(), np.uint8), minlength=256) for t in texts) + np.zeros(256, np.int64)
-    to = np.full(256, symbols - 1, np.uint8)
-    common = [b for b in np.argsort(-n, kind="stable").tolist() if n[b]][: symbols - 1]
-    to[common] = np.arange(len(common))
-    return to
-
-
-def contexts(text: bytes, to: np.ndarray, symbols: int = SYMBOLS, order: int = ORDER) -> np.ndarray:
-    """For each byte the number that stands for it and the ``order`` before it; a text begins after blanks."""
-    s = to[np.frombuffer(b" " * order + text.lower(), np.uint8)].astype(np.int32)
-    at = np.zeros(len(s) - order, np.int32)
+def keys(text: bytes, order: int = ORDER) -> np.ndarray:
+    """For each byte the number that it and the ``order`` bytes before it make; a text begins after blanks."""
+    s = np.frombuffer(b" " * order + text.lower(), np.uint8).astype(np.int64)
+    at = np.zeros(len(s) - order, np.int64)
     for i in range(order + 1):
-        at = at * symbols + s[i : len(s) - order + i]
+        at = (at << 8) | s[i : len(s) - order + i]
     return at
 
 
-def code_lengths(counts: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
-    """Bits of each symbol after each context, from counts of ``symbols ** (order + 1)`` strings."""
-    order = round(np.log(counts.size) / np.log(symbols)) - 1
-    p = np.full((1, symbols), 1.0 / symbols)
+def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``known``, and whether they are there."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
+
+
+class Trees:
+    """Levels by order: sorted strings of order + 1 bytes with their bits by language, sorted contexts with the bits
+    of leaving them.  A context that a language lacks costs it nothing."""
+
+    def __init__(self, width: int, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        self.width, self.levels = width, levels
+
+    def bits(self, strings: np.ndarray, order: int) -> np.ndarray:
+        """Bits of the last byte after the ones before it, by language."""
+        out = np.zeros((len(strings), self.width))
+        left = np.arange(len(strings))
+        for k in range(min(order, len(self.levels) - 1), -1, -1):
+            known, cost, contexts, leave = self.levels[k]
+            own = strings[left] & ((1 << 8 * (k + 1)) - 1)
+            at, there = _find(known, own)
+            out[left[there]] += cost[at[there]]
+            left, own = left[~there], own[~there]
+            at, there = _find(contexts, own >> 8)
+            out[left[there]] += leave[at[there]]
+        out[left] += 8.0
+        return out
+
+
+def tree(texts: list[bytes], order: int = ORDER, whole: int = WHOLE) -> Trees:
+    """The context tree of one language."""
+    every = np.concatenate([keys(t, order) for t in texts]) if texts else np.zeros(0, np.int64)
+    out = Trees(1, [])
     for k in range(order + 1):
-        c = counts.reshape(-1, symbols ** (k + 1)).sum(0).reshape(-1, symbols).astype(np.float64)
-        lower = np.tile(p, (len(c) // len(p), 1))  # the context less its oldest symbol
-        n, seen = c.sum(1, keepdims=True), c > 0
-        d = seen.sum(1, keepdims=True)
-        rest = np.where(seen, 0.0, lower).sum(1, keepdims=True)  # what the excluded symbols leave
-        full = d == symbols
-        escape = np.where(full, 0.0, d / np.maximum(n + d, 1))
-        p = np.where(n == 0, lower, np.where(seen, c / np.maximum(n + np.where(full, 0, d), 1), escape * lower / np.maximum(rest, 1e-300)))
-    return -np.log2(p).reshape(-1).astype(np.float32)
+        strings, n = np.unique(every & ((1 << 8 * (k + 1)) - 1), return_counts=True)
+        if k > whole:
+            ctx, place = np.unique(strings >> 8, return_inverse=True)
+            total = np.bincount(place, n, len(ctx))
+            strings, n = strings[total[place] > 1], n[total[place] > 1]
+        ctx, place = np.unique(strings >> 8, return_inverse=True)
+        total, kinds = np.bincount(place, n, len(ctx)), np.bincount(place, minlength=len(ctx))
+        lower = np.exp2(-out.bits(strings, k - 1)[:, 0])
+        full = kinds == 256
+        cost = -np.log2(n / (total + np.where(full, 0, kinds))[place])
+        rest = np.maximum(1 - np.bincount(place, lower, len(ctx)), 1e-300)  # what the excluded bytes leave
+        leave = np.where(full, 0.0, -np.log2(kinds / (total + kinds)) + np.log2(rest))
+        out.levels.append((strings, cost[:, None], ctx, leave[:, None]))
+    return out
+
+
+def merge(trees: list[Trees]) -> Trees:
+    """One tree with the bits of all languages at each string and context that any of them has."""
+    levels = []
+    for k in range(max((len(t.levels) for t in trees), default=0)):
+        strings = np.unique(np.concatenate([t.levels[k][0] for t in trees]))
+        contexts = np.unique(np.concatenate([t.levels[k][2] for t in trees]))
+        leave = np.zeros((len(contexts), len(trees)), np.float32)
+        for i, t in enumerate(trees):
+            leave[np.searchsorted(contexts, t.levels[k][2]), i] = t.levels[k][3][:, 0]
+        cost = np.stack([t.bits(strings, k)[:, 0] for t in trees], 1).astype(np.float32)
+        levels.append((strings, cost, contexts, leave))
+    return Trees(len(trees), levels)
 
 
 def train(rows: list[tuple[str, bytes]]):
-    """``(languages, symbol map, table of strings by language)`` or None."""
+    """``(languages, trees)`` or None."""
     rows = sorted(rows)
     langs = sorted({k for k, _ in rows})
-    if not langs:
-        return None
-    to = symbol_map([t for _, t in rows])
-    out = np.empty((SYMBOLS ** (ORDER + 1), len(langs)), np.float32)
-    for i, lang in enumerate(langs):
-        c = np.zeros(SYMBOLS ** (ORDER + 1), np.int64)
-        for k, t in rows:
-            if k == lang:
-                np.add.at(c, contexts(t, to), 1)
-        out[:, i] = code_lengths(c)
-    return langs, to, out
-
-
-def costs(text: bytes, to: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    total = np.zeros(bits.shape[1])
-    for at in range(0, len(text), PART):
-        head = max(0, at - ORDER)
-        x = contexts(text[head : at + PART], to)[at - head :]
-        total += np.ones(len(x), np.float32) @ bits[x]
+    return (langs, merge([tree([t for k, t in rows if k == lang]) for lang in langs])) if langs else None
+
+
+def costs(texts: list[bytes], trees: Trees) -> np.ndarray:
+    """Bits of each text by language; each distinct string of a part is looked up once."""
+    total = np.zeros((len(texts), trees.width))
+    held, size = [], 0
+
+    def judge():
+        code, distinct = pd.factorize(np.concatenate([k for _, k in held]))
+        bits = trees.bits(distinct, ORDER)[code]
+        starts = np.cumsum([0] + [len(k) for _, k in held[:-1]])
+        np.add.at(total, [i for i, _ in held], np.add.reduceat(bits, starts))
+
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), PART):
+            head = max(0, at - ORDER)
+            held.append((i, keys(text[head : at + PART])[at - head :]))
+            size += len(held[-1][1])
+            if size >= PART:
+                judge()
+                held, size = [], 0
+    if held:
+        judge()
     return total
 
 
-def predict(text: str | None, model) -> tuple[str, float]:
-    if not text or model is None or not LETTER.search(text):
-        return "und", 0.0
-    langs, to, bits = model
-    c = costs(text.encode("utf-8", "surrogatepass"), to, bits)
-    best = int(c.argmin())
-    return langs[best], float(1 / np.exp2(np.clip(c[best] - c, -1000, 0)).sum())
+def predict(texts: list[str | None], model) -> list[tuple[str, float]]:
+    out = [("und", 0.0)] * len(texts)
+    asked = [i for i, t in enumerate(texts) if t and model is not None and LETTER.search(t)]
+    if asked:
+        c = costs([texts[i].encode("utf-8", "surrogatepass") for i in asked], model[1])
+        best = c.argmin(1)
+        p = 1 / np.exp2(np.clip(c.min(1, keepdims=True) - c, -1000, 0)).sum(1)
+        for i, b, s in zip(asked, best.tolist(), p.tolist(), strict=True):
+            out[i] = (model[0][b], s)
+    return out
 
 
 def identify(docs: DataFrame, train_on: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
     """``(doc_id, lang_pred, score)``; learns from the texts and labels of ``train_on`` alone."""
-    known = pick(train_on, id=id_col, text=text_col, lang=lang_col).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    model = train([(r["lang"], r["text"].encode("utf-8", "surrogatepass")) for r in bounded_sample(known, "lang", "id", per_language).select("lang", "text").collect()])
+    known = pick(train_on, id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & (F.length("text") <= MOST_CHARS))
+    common = known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "of").limit(LANGUAGES)
+    some = bounded_sample(known.join(F.broadcast(common), F.col("lang") == F.col("of"), "left_semi"), "lang", "id", per_language)
+    model = train([(r["lang"], r["text"].encode("utf-8", "surrogatepass")) for r in some.select("lang", "text").collect()])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = sent.value
         for b in batches:
-            got = [predict(t.as_py(), model) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                got = predict(part.column(1).to_pylist(), sent.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     src = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     return src.mapInArrow(run, schema(doc_id=LONG, lang_pred=STR, score=DBL))

@@ -7,12 +7,13 @@ continuation counts which both classes share.  So a rare or unseen expression is
 is made of, and what neither class knows cancels out.
 
 A word is spelt along a tree of word beginnings as far as that goes, then by the character model.  A document is judged by the log-likelihood ratios of its three highest words (distinct ones, each
-up to 12) and by the ratio of the whole text over its length; a logistic curve, fitted on parts of
+up to ``HIGHEST``) and by the ratio of the whole text over its length; a logistic curve, fitted on parts of
 the sample that the models have not counted, turns these four into a probability.
 
 Defined results: null text is empty; a text without a word has the score of zeros; labels other than
-0 and 1 are ignored, and of several labels of one document the highest counts; without both classes every
-score is 0; texts are read whole; an empty table gives an empty one; other columns are ignored.
+0 and 1 are ignored, of several labels of one document the highest counts and of several texts of one id that
+with the smallest hash; without both classes every score is 0; texts are judged whole (longer ones than ``MOST_CHARS``
+are not learned from); an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,23 +30,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import DBL, LONG, bounded_sample, pick, schema, table
-from .language_id import fold, symbol_map
+from .language_id import fold
 
 SYMBOLS = 40
 WORD = re.compile(r"[^\W\d_]+")
 END = re.compile(r"[.!?\n]+")
-#: At most so many labelled documents of each class are fitted, those with the smallest hashes.
-PER_CLASS = 2_000
+#: At most so many labelled documents of each class are fitted, those with the smallest hashes, none above so many characters.
+PER_CLASS, MOST_CHARS = 2_000, 100_000
 DISCOUNT = 0.75
 #: What is taken from a word's count; over one, so that a word seen once says no more than its spelling.
 WORD_DISCOUNT = 1.5
 #: Bytes of a word's beginning that are counted.
 DEPTH = 8
 #: Ratios of so many distinct words are kept by a worker before it begins anew.
-KEPT = 1_000_000
+KEPT = 250_000
 FEATURES = 4
 
 
+#: A ratio of a word above this says no more than this; part of the model.
+HIGHEST = 12.0
+
+
+def symbol_map(texts: list[bytes], symbols: int) -> np.ndarray:
+    """Bytes to symbols: the commonest by themselves, the last symbol for the rest."""
+    n = sum(np.bincount(np.frombuffer(t.lower(), np.uint8), minlength=256) for t in texts) + np.zeros(256, np.int64)
+    to = np.full(256, symbols - 1, np.uint8)
+    common = [b for b in np.argsort(-n, kind="stable").tolist() if n[b]][: symbols - 1]
+    to[common] = np.arange(len(common))
+    return to
+
+
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
@@ -182,7 +196,7 @@ class Model:
                 if t:
                     top = [0.0, 0.0, 0.0, *sorted(map(get, set(t)))[-3:]]
                     r = np.fromiter(map(get, t), np.float64, len(t))
-                    out[at + i] = *(min(x, 12.0) for x in top[-3:]), 20 * r.sum() / (sum(map(len, t)) + len(t))
+                    out[at + i] = *(min(x, HIGHEST) for x in top[-3:]), 20 * r.sum() / (sum(map(len, t)) + len(t))
         return out
 
 
@@ -229,7 +243,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = pick(labels, id=id_col, y=label_col).where("y IN (0, 1) AND id IS NOT NULL").groupBy(F.col("id").cast("long").alias("id")).agg(F.max(F.col("y").cast("int")).alias("y"))
     some = bounded_sample(marks, "y", "id", per_class).select(F.col("id").alias("_id"), "y")
     src = pick(docs, id=id_col, text=text_col)
-    rows = src.join(F.broadcast(some), src["id"] == F.col("_id")).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "y")
+    own = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = src.where(F.length(own) <= MOST_CHARS).join(F.broadcast(some), src["id"] == F.col("_id")).select("_id", own.alias("text"), "y")
+    # Rows that repeat an id count once, so what reaches the driver stays within the bound.
+    rows = rows.groupBy("_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return docs.sparkSession.sparkContext.broadcast(train([(r["text"], r["y"]) for r in rows.collect()]))
 
 
