@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(at)
     return at
 
 
@@ -57,6 +59,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, before: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, and its path; the table ``before`` is removed.
+
+    For loops: a checkpoint keeps the size that Spark guesses for its plan, and a guess that each join of a loop
+    multiplies soon takes the driver longer than the data; a table has the size of its files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if before:
+        remove(spark, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows of ids up to which their table is broadcast (16 MB).
 BROADCAST_IDS = 2_000_000
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     aggregated before its shuffle; the join that follows is an inner equi-join that AQE can split.
     """
     u, v = F.col("u"), F.col("v")
-    e = cut(
+    e, path = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (u != v))
         .distinct()
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(u.alias("u"), F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = cut(small.select("x.u", "x.v").where(u != v).distinct())
+        e, path = written(small.select("x.u", "x.v").where(u != v).distinct(), path)
         now = _digest(e)
         if now == seen:
             break

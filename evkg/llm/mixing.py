@@ -6,29 +6,42 @@ with a probability in proportion to raked over observed tokens, calibrated so th
 are the budget (a probability stops at one, the rest makes up for it).  Whether a document is kept depends
 on a hash of its id alone, so a run can be repeated.
 
-A target left out is the observed share to the power of ``FLATTEN``.  Topics are lexical: the first
-pattern that a text matches.  Cells are few (sources x languages x topics); up to ``DRIVER_CELLS`` they
-are raked on the driver, more of them by DataFrame joins; both ways do the same steps.
+A target left out is the observed share to the power of ``FLATTEN``; in a given one ``*`` stands for each value that
+it does not name.  Topics are lexical: the first pattern that a text matches.  Cells are few (sources x languages x
+topics); up to ``DRIVER_CELLS`` they are raked on the driver, more of them by DataFrame joins; both ways take the same
+steps and stop at the same gap of the marginals.  Where the targets contradict one another (no cell holds what they
+ask for), raking stops after ``ROUNDS`` with the last axis fitted and warns of the gap that is left.
 
 Defined results: null source or language is ``unknown``; null text has no words and topic ``general``;
 targets of values that don't occur are left out and the rest is scaled to one; a value without a target gets
-none; rows without an id are sampled by the hash of the empty string; repeated rows are kept or
-dropped together; an empty table gives an empty one; other columns are kept by ``sample``.
+none; a target that names no observed value counts as left out; rows without an id are sampled by the hash of the
+empty string; repeated rows are kept or dropped together; an empty table gives an empty one; other columns are kept
+by ``sample``, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, table
+from .common import cut, pick, remove, table, unused, written
 
 FLATTEN = 0.7
 BUDGET = 0.5
 ROUNDS, CLOSE = 60, 1e-9
+#: Halvings of the interval in which the sampling factor lies.
+HALVINGS = 64
 DRIVER_CELLS = 50_000
 AXES = ("source", "lang", "topic")
+#: The given targets: all sources alike, shares of the languages and of the topics.
+TARGETS = {
+    "source": {"*": 1.0},
+    "lang": {"en": 0.4, "de": 0.18, "fr": 0.18, "es": 0.18, "*": 0.06},
+    "topic": {"general": 0.85, "web": 0.05, "contact": 0.05, "legal": 0.05},
+}
 #: Topics and what a text of it holds; the first that fits, else ``general``.
 TOPICS = (("legal", r"(?i)\b(?:licen[sc]e|copyright|warranty|permission)"), ("web", r"(?i)https?://|\bcookies?\b|\bclick here\b"), ("contact", r"@[a-z0-9-]+\.[a-z]|\b\d{3}[-. ]\d{3,4}\b"))
 
@@ -49,13 +62,17 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def shares(observed: dict[str, float], target: dict[str, float] | None, flatten: float = FLATTEN) -> dict[str, float]:
     """Target shares over the observed values; they sum to one."""
-    want = {k: (observed[k] ** flatten if observed[k] > 0 else 0.0) if target is None else float(target.get(k, 0.0)) for k in observed}
+    given = {k: float(target.get(k, target.get("*", 0.0))) for k in observed} if target else {}
+    want = given if sum(given.values()) > 0 else {k: (v**flatten if v > 0 else 0.0) for k, v in observed.items()}
     total = sum(want.values())
-    if total <= 0:
-        raise ValueError("no target names an observed value")
     return {k: v / total for k, v in want.items()}
 
 
+def _warn(gap: float) -> None:
+    if gap >= 1e-6:
+        warnings.warn(f"raking left a gap of {gap:.3g} in a marginal: the targets contradict one another", stacklevel=3)
+
+
 def rake(cells: list[tuple], tokens: list[float], targets: dict[str, dict[str, float] | None] | None = None, rounds: int = ROUNDS) -> np.ndarray:
     """Raked shares of the cells, on the driver."""
     seen = np.array(tokens, np.float64)
@@ -68,6 +85,7 @@ def rake(cells: list[tuple], tokens: list[float], targets: dict[str, dict[str, f
         want = shares(have, (targets or {}).get(axis))
         codes.append(code)
         goals.append(np.array([want[n] for n in names]))
+    off = 0.0
     for _ in range(rounds):
         off = 0.0
         for code, goal in zip(codes, goals, strict=True):
@@ -76,6 +94,7 @@ def rake(cells: list[tuple], tokens: list[float], targets: dict[str, dict[str, f
             w = w * np.where(now > 0, goal / np.where(now > 0, now, 1), 0)[code]
         if off < CLOSE:
             break
+    _warn(off)
     return w
 
 
@@ -86,25 +105,27 @@ def rake_frame(cells: DataFrame, targets: dict[str, dict[str, float] | None] | N
     goals = {}
     for axis in AXES:
         have = now.groupBy(axis).agg(F.sum("w").alias("have"))
-        given = (targets or {}).get(axis)
-        if given is None:
-            goal = have.withColumn("goal", F.pow("have", F.lit(FLATTEN)))
-        else:
+        given, goal = (targets or {}).get(axis), have.withColumn("goal", F.pow("have", F.lit(FLATTEN)))
+        if given:
             rows = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], "_k string, _v double")
-            goal = have.join(F.broadcast(rows), F.col(axis) == F.col("_k"), "left").withColumn("goal", F.coalesce("_v", F.lit(0.0)))
-        whole = goal.agg(F.sum("goal")).first()[0]
-        if not whole:
-            raise ValueError("no target names an observed value")
+            asked = have.join(F.broadcast(rows), F.col(axis) == F.col("_k"), "left").withColumn("goal", F.coalesce("_v", F.lit(float(given.get("*", 0.0)))))
+            goal = asked if asked.agg(F.sum("goal")).first()[0] else goal
+        whole = goal.agg(F.sum("goal")).first()[0] or 1
         goals[axis] = cut(goal.select(axis, (F.col("goal") / F.lit(float(whole))).alias("goal")))
+    off, path, made, spark = 0.0, None, [], cells.sparkSession
     for _ in range(rounds):
-        before = now
+        off = 0.0
         for axis in AXES:
-            have = now.groupBy(axis).agg(F.sum("w").alias("have")).join(goals[axis], axis)
+            have, have_path = written(now.groupBy(axis).agg(F.sum("w").alias("have")).join(goals[axis], axis))
+            made.append(have_path)
+            off = max(off, float(have.agg(F.max(F.abs(F.col("have") - F.col("goal")))).first()[0] or 0))
             now = now.join(have, axis).withColumn("w", F.when(F.col("have") > 0, F.col("w") * F.col("goal") / F.col("have")).otherwise(0.0)).select(*AXES, "tokens", "w")
-        now = cut(now)
-        off = now.join(before.select(*AXES, F.col("w").alias("_w")), list(AXES)).agg(F.max(F.abs(F.col("w") - F.col("_w")))).first()[0]
-        if (off or 0) < CLOSE:
+        now, path = written(now, path)
+        while made:
+            remove(spark, made.pop())
+        if off < CLOSE:
             break
+    _warn(off)
     return now
 
 
@@ -114,7 +135,7 @@ def calibrate(tokens: np.ndarray, shares_: np.ndarray, budget: float) -> float:
     can = tokens[rate > 0].sum()
     goal = min(budget, can)
     low, high = 0.0, 1.0 / rate[rate > 0].min() if (rate > 0).any() else 0.0
-    for _ in range(200):
+    for _ in range(HALVINGS):
         mid = (low + high) / 2
         low, high = (mid, high) if (tokens * np.minimum(1, mid * rate)).sum() < goal else (low, mid)
     return high
@@ -139,7 +160,7 @@ def cell_rates(described: DataFrame, targets=None, budget: float = BUDGET, drive
     rate = F.col("w") / F.col("tokens")
     low, high = 0.0, float(raked.where("w > 0").agg(F.max(1 / rate)).first()[0] or 0)
     can = float(raked.where("w > 0").agg(F.sum("tokens")).first()[0] or 0)
-    for _ in range(60):
+    for _ in range(HALVINGS):
         mid = (low + high) / 2
         got = raked.agg(F.sum(F.when(F.col("tokens") > 0, F.col("tokens") * F.least(F.lit(1.0), F.lit(mid) * rate)))).first()[0]
         low, high = (mid, high) if got < min(budget * total, can) else (low, mid)
@@ -166,14 +187,17 @@ def mix(docs: DataFrame, targets=None, budget: float = BUDGET, driver_cells: int
 def sample(docs: DataFrame, targets=None, budget: float = BUDGET, driver_cells: int = DRIVER_CELLS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """The sampled rows of ``docs``, all columns as they are; no join on ids."""
     described = describe(docs, id_col, text_col, source_col, lang_col)
-    rates = cell_rates(described, targets, budget, driver_cells).select(F.struct(*[F.col(a).alias(f"_{a}") for a in AXES]).alias("_cell"), F.col("probability").alias("_p"))
+    cell_name, p_name = unused(docs, "_cell", "_p")
+    rates = cell_rates(described, targets, budget, driver_cells).select(F.struct(*AXES).alias(cell_name), F.col("probability").alias(p_name))
+    rates = cut(rates)
     lower = {c.lower(): c for c in docs.columns}
     of = lambda c: docs[f"`{lower[c.lower()]}`"] if c.lower() in lower else F.lit(None).cast("string")
     named = lambda c, n: F.coalesce(of(c).cast("string"), F.lit("unknown")).alias(n)
-    cell = F.struct(named(source_col, "_source"), named(lang_col, "_lang"), topic_of(of(text_col)).alias("_topic"))
+    cell = F.struct(named(source_col, "source"), named(lang_col, "lang"), topic_of(of(text_col)).alias("topic"))
     few = F.broadcast if rates.count() <= driver_cells else (lambda x: x)
-    return docs.join(few(rates), (cell == F.col("_cell")) & (unit(of(id_col)) < F.col("_p")), "left_semi")
+    return docs.join(few(rates), (cell == rates[cell_name]) & (unit(of(id_col)) < rates[p_name]), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    """All documents with their probability under the given targets."""
+    return mix(table(spark, sf_dir, "documents"), TARGETS)
