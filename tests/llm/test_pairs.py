@@ -195,6 +195,8 @@ def test_embeddings(spark):
     want = roots_of([x[0] for x in rows + odd if x[0] is not None], links)
     assert np.mean([got[k][1] == want[k] for k in want]) > 0.99
     assert all(got[k][:2] == (0, k) and got[k][2] for k in (-1, -2, -3, -4, -5, -6, -8, -9)) and got[None][:2] == (0, None)
+    split = {x["vec_id"]: tuple(x)[1:] for x in embedding_dedup.link_embeddings(df, chunk=90).collect()}
+    assert split == got  # bins in many parts
     assert len(got) == len(rows) + len(odd) and embedding_dedup.link_embeddings(df.where("false")).count() == 0
 
 
@@ -224,7 +226,7 @@ def brute_leaks(docs, items):
 
 
 def test_decontamination(spark):
-    docs = [(x["doc_id"], x["text"]) for x in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").limit(250).collect()]
+    docs = [(x["doc_id"], x["text"]) for x in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
     items = [(x["item_id"], x["text"]) for x in table(spark, "/root/testdata/sf0.01", "benchmark").collect()]
     long = items[0][1].split()
     docs += [(-1, None), (-2, ""), (-3, items[1][1].upper()), (-4, "so: " + " ".join([*long[:9], "other", *long[10:]]) + " end"), (-5, "tiny one"), (-3, items[1][1].upper()), (-6, " ".join(long[: len(long) // 2])), (-7, "foo " * 40_000 + items[2][1])]
