@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from evkg.llm import decontamination, mixing, sharding, simhash_dedup, toxicity
-from evkg.llm.common import shared_folder, table
+from evkg.llm.common import remove, shared_folder, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled to the target shares of sources, languages and topics."""
-    return mixing.sample(docs)
+    return mixing.sample(docs, mixing.TARGETS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +42,6 @@ STAGES = [("toxicity", toxic), ("simhash", near_copies), ("decontamination", lea
 ORACLE_SQL = None
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage leaves; what a stage wrote is removed once the next one is written."""
     docs, at = table(spark, sf_dir, "documents"), f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
@@ -56,6 +51,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
         if before:
-            _remove(spark, before)
+            remove(spark, before)
         before = out
     return docs
