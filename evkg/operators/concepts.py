@@ -40,41 +40,74 @@ def chain(scored: DataFrame, starts: DataFrame, length: int = 5) -> DataFrame:
 
 
 def seed_form(words, ners):
-    """Words with entity types and persons replaced by ``__TYPE__k``; k counts the distinct words of a type in order."""
+    """Words or phrases with entity types and persons replaced by ``__TYPE__k``; k counts the distinct ones of a type in order."""
     kind = F.transform(
         F.arrays_zip(words.alias("w"), ners.alias("n")),
-        lambda x: F.struct(x["w"].alias("w"), F.when(x["n"].isin(*CONCEPT_TYPES), x["n"]).when(F.lower(x["w"]).isin(*PERSON_WORDS), F.lit("PERSON")).alias("t")),
+        lambda x: F.struct(x["w"].alias("w"), F.when(x["n"].isin(*CONCEPT_TYPES), x["n"]).when(x["w"].isin(*PERSON_WORDS), F.lit("PERSON")).alias("t")),
     )
     seen = F.array_distinct(F.filter(kind, lambda x: x["t"].isNotNull()))
     no = lambda x: F.array_position(F.transform(F.filter(seen, lambda y: y["t"] == x["t"]), lambda y: y["w"]), x["w"]) - 1
     return F.transform(kind, lambda x: F.when(x["t"].isNotNull(), F.concat(F.lit("__"), x["t"], F.lit("__"), no(x).cast("string"))).otherwise(x["w"]))
 
 
+def is_seed(word):
+    """Whether a word is the bare name of a type."""
+    return word.isin(*[f"__{t}__" for t in CONCEPT_TYPES])
+
+
+def is_pronoun(word):
+    return word.isin(*PERSON_WORDS, "it")
+
+
+def seed_concepts(nodes: DataFrame) -> DataFrame:
+    """One concept of each node ``(eid, pattern, phrases, phrase_ners)``: its phrases in seed form, with score 1."""
+    out = nodes.withColumn("w", seed_form(F.col("phrases"), F.col("phrase_ners")))
+    return out.select(pid(cid("w"), "eid").alias("pid"), cid("w").alias("cid"), "eid", "pattern", F.col("w").alias("words"), F.lit(1.0).alias("score"))
+
+
 def conceptualize(nodes: DataFrame, taxonomy: DataFrame, k: int = 3, method: str = "likelihood") -> DataFrame:
-    """Concept-instance pairs of nodes ``(eid, pattern, words, pos_tags, ners)``.
+    """Concept-instance pairs of nodes ``(eid, pattern, skeleton_phrases, skeleton_pos, skeleton_ners)``.
 
-    The seed form first; then each non-empty choice of its nouns is replaced by each of the noun's
-    ``k`` best concepts, all occurrences of a noun together, with the product of the scores; at most ``k ** k``
-    best forms stay.  A node without a known noun keeps its seed form with score 1.
+    The seed form of the skeleton's phrases first; then each non-empty choice of its nouns is replaced by each of
+    the noun's ``k`` best concepts, all occurrences of a noun together, with the product of the scores; the ``k ** k``
+    best forms stay, and no more are held at any step: a form is never better than the one it was made of.  A node without a known
+    noun keeps its seed form with score 1.
     """
-    formed = nodes.withColumn("form", seed_form(F.col("words"), F.col("ners")))
-    nouns = F.array_distinct(F.transform(F.filter(F.arrays_zip("form", "pos_tags"), lambda x: F.startswith(x["pos_tags"], F.lit("NN")) & ~F.startswith(x["form"], F.lit("__"))), lambda x: x["form"]))
+    formed = nodes.withColumn("form", seed_form(F.col("skeleton_phrases"), F.col("skeleton_ners")))
+    noun = lambda x: F.startswith(x["t"], F.lit("NN")) & ~is_seed(x["f"]) & ~is_pronoun(x["f"])
+    nouns = F.array_distinct(F.transform(F.filter(F.arrays_zip(F.col("form").alias("f"), F.col("skeleton_pos").alias("t")), noun), lambda x: x["f"]))
     top = top_concepts(scores(taxonomy, method), k).groupBy("instance").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("concept").alias("c")))).alias("options"))
     each = formed.select("eid", F.posexplode(nouns).alias("at", "instance")).join(top, "instance")
     of = each.groupBy("eid").agg(F.array_sort(F.collect_list(F.struct("at", "instance", "options"))).alias("nouns"))
-    start = F.array(F.struct(F.col("form").alias("w"), F.lit(1.0).alias("s"), F.lit(0).alias("n")))
+    start = F.array(F.struct(F.lit(0).alias("n"), F.lit(1.0).alias("s"), F.col("form").alias("w")))
+    best = lambda forms: F.slice(F.reverse(F.array_sort(F.filter(forms, lambda f: f["n"] > 0))), 1, k**k)
 
     def replaced(forms, noun):
-        more = F.flatten(F.transform(noun["options"], lambda o: F.transform(forms, lambda f: F.struct(F.transform(f["w"], lambda x: F.when(x == noun["instance"], o["c"]).otherwise(x)).alias("w"), (f["s"] * -o["s"]).alias("s"), (f["n"] + 1).alias("n")))))
-        return F.concat(forms, more)
+        new = lambda f, o: F.struct(F.lit(1).alias("n"), (f["s"] * -o["s"]).alias("s"), F.transform(f["w"], lambda x: F.when(x == noun["instance"], o["c"]).otherwise(x)).alias("w"))
+        more = F.flatten(F.transform(noun["options"], lambda o: F.transform(forms, lambda f: new(f, o))))
+        return F.concat(F.filter(forms, lambda f: f["n"] == 0), best(F.concat(forms, more)))
 
     joined = formed.join(of, "eid", "left")
     forms = F.when(F.col("nouns").isNull(), start).otherwise(F.filter(F.aggregate("nouns", start, replaced), lambda f: f["n"] > 0))
-    best = F.slice(F.reverse(F.array_sort(F.transform(forms, lambda f: F.struct(f["s"].alias("s"), f["w"].alias("w"))))), 1, k**k)
-    out = joined.select("eid", "pattern", F.explode(best).alias("f")).select(cid("f.w").alias("cid"), "eid", "pattern", F.col("f.w").alias("words"), F.col("f.s").alias("score"))
+    out = joined.select("eid", "pattern", F.explode(forms).alias("f")).select(cid("f.w").alias("cid"), "eid", "pattern", F.col("f.w").alias("words"), F.col("f.s").alias("score"))
     return out.groupBy(pid("cid", "eid").alias("pid"), "cid", "eid", "words").agg(F.mode("pattern", True).alias("pattern"), F.sum("score").alias("score"))
 
 
+def instantiate(pairs: DataFrame, nodes: DataFrame, cids: DataFrame) -> DataFrame:
+    """The nodes behind concepts: ``(cid, score)`` and the columns of each node."""
+    return pairs.join(cids.select("cid").distinct(), "cid", "left_semi").select("cid", "eid", "score").join(nodes, "eid")
+
+
+def instances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(cid, n)``: how many nodes of the graph each concept has."""
+    return pairs.join(nodes.select("eid"), "eid", "left_semi").groupBy("cid").agg(F.count_distinct("eid").alias("n"))
+
+
+def sizes(taxonomy: DataFrame) -> DataFrame:
+    """Distinct concepts and instances, and the sum of frequencies."""
+    return taxonomy.agg(F.count_distinct("concept").alias("concepts"), F.count_distinct("instance").alias("instances"), F.sum("freq").alias("freq"))
+
+
 def concept_weights(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(cid, weight)``: scores times node frequencies."""
     return pairs.join(nodes.select("eid", "frequency"), "eid").groupBy("cid").agg(F.sum(F.col("score") * F.col("frequency")).alias("weight"))

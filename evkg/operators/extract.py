@@ -1,9 +1,6 @@
-"""Eventualities from dependency parses, by pattern rules.
+"""Eventualities from dependency parses, by pattern rules, of sentences or of their clauses.
 
-A rule has a positive core (edges that must be there, the first that fits is taken), possible edges
-(all that fit are added) and a list of edges that the anchor may have besides; any other edge rejects.
-The fourteen patterns share their possible edges by the role of a word (verb, noun), so they are built from
-their cores.  Sentences are independent rows: the work is one Arrow batch function without a shuffle.
+Sentences are independent rows: the work is one Arrow batch function without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,119 +10,144 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evkg.functions.ids import eid_of
+from evkg.operators import trees
+from evkg.operators.rules import MODIFIERS, PATTERNS, SPLITS, Pattern
 from evkg.schema import CLAUSE_WORDS
 
-# Positive cores, in order; a label after ^ is an edge into the first word.
-CORES = {
-    "s-v": ["V1 nsubj S1"],
-    "s-v-o": ["V1 nsubj S1", "V1 dobj O1"],
-    "s-v-o-o": ["V1 nsubj S1", "V1 dobj O1", "V1 iobj O2"],
-    "s-be-a": ["V1 ^cop A1", "A1 nsubj S1"],
-    "s-v-be-a": ["V1 nsubj S1", "V1 xcomp A1", "A1 cop V2"],
-    "s-v-v-o": ["V1 nsubj S1", "V1 xcomp V2", "V2 dobj O1"],
-    "s-v-v": ["V1 nsubj S1", "V1 xcomp V2"],
-    "spass-v": ["V1 nsubjpass S1"],
-    "s-v-o-v-o": ["V1 nsubj S1", "V1 dobj O1", "V1 xcomp V2", "V2 dobj O2"],
-    "s-v-o-be-a": ["V1 nsubj S1", "V1 dobj O1", "V1 xcomp A1", "A1 cop V2"],
-    "spass-v-v-o": ["V1 nsubjpass S1", "V1 xcomp V2", "V2 dobj O1"],
-    "spass-v-o": ["V1 nsubjpass S1", "V1 dobj O1"],
-    "there-be-o": ["V1 nsubj S1", "V1 expl X1"],
-    "s-v-o-v-o-o": ["V1 nsubj S1", "V1 dobj O1", "V1 xcomp V2", "V2 dobj O2", "V2 iobj O3"],
-}
-# Modifiers of a word, further edges of verbs and of nouns, edges that an anchor may have besides.
-MODIFIERS = tuple("nmod:" + p for p in "near into for around with poss inside at outside_of than from in on to away_from down up tmod along over out_of of without by through about agent".split()) + ("amod:as",)
-OF_VERB = ("advmod", "neg", "aux", "compound:prt")
-OF_NOUN = ("acl", "amod", "neg", "nummod", "compound", "det", "nmod:poss", "mark", "det:qmod", "case")
-BESIDES = ("ccomp", "parataxis", "aux", "conj:but", "advcl", "dep", "cc", "punct", "mark", "conj:and") + tuple("advcl:" + p for p in "to though after if while as for in since from before because based_on with although by so at on upon until 's instead_of despite through unless in_order ago".split())
-BESIDES_OF = {"s-be-a": ("auxpass", "cop", "nsubj"), "spass-v": ("auxpass",), "spass-v-o": ("auxpass",), "spass-v-v-o": ("auxpass",)}
-# Patterns that the tag of the predicate splits: edge, end of the edge, tag to pattern.
-SPLITS = {"s-v-v": ("xcomp", 2, {"VB": "s-v-v", "JJ": "s-v-a"}), "s-v-be-a": ("xcomp", 2, {"JJ": "s-v-be-a", "NN": "s-v-be-o"}), "s-be-a": ("cop", 0, {"JJ": "s-be-a", "NN": "s-be-o"}), "s-v-o-be-a": ("xcomp", 2, {"JJ": "s-v-o-be-a", "NN": "s-v-o-be-o"})}
-
-
-def match(core: list[str], verb: int, edges: list[tuple[int, str, int]], besides: set[str]):
-    """Edges of the core and possible edges, or None."""
-    bound, taken = {"V1": verb}, []
-    for part in core:
-        a, label, b = part.split()
-        turned = label[0] == "^"
-        for g, d, t in edges:
-            own, other = (t, g) if turned else (g, t)
-            if d == label.lstrip("^") and own == bound.get(a) and b not in bound:
-                bound[b] = other
-                taken.append((g, d, t))
-                break
-        else:
-            return None
-    skeleton = list(taken)
-    for name, at in list(bound.items()):
-        last = None
-        for e in edges:
-            if e[0] == at and e[1] in MODIFIERS:
-                taken.append(e)
-                last = e[2]  # a later modifier replaces an earlier one as the place of the case
-        taken += [e for e in edges if last is not None and e[0] == last and e[1] == "case"]
-        taken += [e for e in edges if e[0] == at and e[1] in (OF_VERB if name[0] == "V" else OF_NOUN if name[0] in "SO" else OF_VERB + OF_NOUN)]
-    anchors = {bound[n] for n in bound if n[0] == "V" or n == "A1" and core[0].startswith("V1 ^cop")}
-    chosen = set(taken)
-    if any(e[0] in anchors and e not in chosen and e[1] not in besides for e in edges):
-        return None
-    return skeleton, sorted(chosen, key=lambda e: (e[0], e[2]))
-
 
-def split_pattern(pattern: str, edges, tags, words) -> str | None:
-    if pattern == "s-v":
-        return pattern if any(d == "nsubj" and (g > t or words[g] == "be") for g, d, t in edges) else None
-    if pattern in SPLITS:
-        label, end, to = SPLITS[pattern]
-        for e in edges:
-            if e[1] == label:
-                return next((p for tag, p in to.items() if tag in tags[e[end]]), None)
-    return pattern
+def match(pattern: Pattern, verb: int, edges: list[tuple[int, str, int]]):
+    """``(core edges, all edges)`` of a pattern around a verb, or None.
 
-
-def eventualities(tokens, lemmas, tags, edges) -> list[dict]:
-    """All eventualities of one sentence, by pattern, then verb."""
-    if any(w in CLAUSE_WORDS for w in tokens):
+    Each core edge is the first that fits; its governor or its dependent is known from the ones before.
+    """
+    place, core = {"V1": verb}, []
+    for g, label, t in pattern.core:
+        known, fresh, at, to = (g, t, 0, 2) if g in place else (t, g, 2, 0)
+        edge = next((e for e in edges if e[1] == label and e[at] == place[known]), None)
+        if edge is None:
+            return None
+        place[fresh] = edge[to]
+        core.append(edge)
+    own = set(core)
+    for word in pattern.modified:
+        found = [e for e in edges if e[0] == place[word] and e[1] in MODIFIERS]
+        own.update(found)
+        if found:  # the last modifier brings its preposition
+            own.update([e for e in edges if e[0] == found[-1][2] and e[1] == "case"][:1])
+    for word, labels in pattern.joins.items():
+        own.update(e for e in edges if e[0] == place[word] and e[1] in labels)
+    for word, labels in pattern.besides.items():
+        if any(e[0] == place[word] and e not in own and e[1] not in labels for e in edges):
+            return None
+    said = {place[w] for w in pattern.no_ccomp}
+    if any(e[1] == "ccomp" and e[2] in said and e not in own for e in edges):
+        return None
+    return core, own
+
+
+def construct(name: str, core, own, words: list[str], tags: list[str]) -> dict | None:
+    """An eventuality of its edges.  A leading preposition goes, with the edges at it; the words keep their number."""
+    at = sorted({i for g, _, t in own for i in (g, t)})
+    if tags[at[0]] == "IN":
+        core, own = ([e for e in x if at[0] not in (e[0], e[2])] for x in (core, own))
+        at = at[1:]
+    kept = sorted({i for g, _, t in own for i in (g, t)})
+    place = {x: i for i, x in enumerate(kept)}
+    edges = sorted({(place[g], d, place[t]) for g, d, t in own}, key=lambda e: (e[0], e[2]))
+    own_words, own_tags = [words[i] for i in at], [tags[i] for i in at]
+    if not own_words or "|" in own_words:
+        return None
+    named = named_pattern(name, edges, own_words, own_tags)
+    if named is None:
+        return None
+    skeleton = [place[i] for i in sorted({i for g, _, t in core for i in (g, t)})]
+    parts = trees.segments(len(own_words), edges)
+    part_of = {i: p for p in parts for i in range(p[1], p[2] + 1)}
+    phrase = lambda p: " ".join(own_words[p[1] : p[2] + 1])
+    return {
+        "eid": eid_of(own_words, own_tags, edges), "pattern": named, "words": own_words, "pos_tags": own_tags, "verbs": [w for w, t in zip(own_words, own_tags, strict=True) if t.startswith("VB")],
+        "skeleton_words": [own_words[i] for i in skeleton], "skeleton_pos": [own_tags[i] for i in skeleton], "phrases": [phrase(p) for p in parts], "phrase_at": [p[0] for p in parts],
+        "skeleton_phrases": [phrase(part_of[i]) for i in skeleton], "skeleton_at": [part_of[i][0] for i in skeleton], "dependencies": edges,
+        "position": sum(kept) / len(kept) if kept else 0.0, "raw_idx": kept, "word_idx": at,
+    }
+
+
+def named_pattern(name: str, edges, words: list[str], tags: list[str]) -> str | None:
+    """The pattern after the look at its predicate, or None where that has another tag or the subject follows."""
+    if name == "s-v":
+        return name if any(d == "nsubj" and (g > t or words[g] == "be") for g, d, t in edges) else None
+    if name in SPLITS:
+        label, end, to = SPLITS[name]
+        edge = next((e for e in edges if e[1] == label), None)
+        found = [p for tag, p in to.items() if edge and tag in tags[edge[end]]]
+        return found[-1] if found else None
+    return name
+
+
+def eventualities(tokens, lemmas, tags, edges, skip=CLAUSE_WORDS, use_lemma: bool = True) -> list[dict]:
+    """All eventualities of one sentence, by position; none where it holds a word of ``skip``."""
+    if set(skip) & set(tokens):
         return []
-    edges = sorted({tuple(e) for e in edges}, key=lambda e: (e[0], e[2]))
-    words = [w.lower() for w in lemmas]
+    edges = [tuple(e) for e in edges]
+    words = [w.lower() for w in (lemmas if use_lemma else tokens)]
     out = []
-    for pattern, core in CORES.items():
-        besides = {*BESIDES, *BESIDES_OF.get(pattern, ())}
+    for name, pattern in PATTERNS.items():
         for verb, tag in enumerate(tags):
-            got = match(core, verb, edges, besides) if tag.startswith("VB") else None
-            if not got:
-                continue
-            skeleton, own = got
-            at = sorted({i for g, _, t in own for i in (g, t)})
-            if at and tags[at[0]] == "IN":  # a preposition does not begin an eventuality
-                own = [e for e in own if at[0] not in (e[0], e[2])]
-                at = sorted({i for g, _, t in own for i in (g, t)})
-            named = split_pattern(pattern, own, tags, words)
-            if not named or not own or any("|" in words[i] for i in at):
-                continue
-            place = {x: i for i, x in enumerate(at)}
-            own_words, own_tags = [words[i] for i in at], [tags[i] for i in at]
-            deps = sorted(((place[g], d, place[t]) for g, d, t in own), key=lambda e: (e[0], e[2]))
-            core_at = sorted({i for g, _, t in skeleton for i in (g, t)})
-            out.append({"eid": eid_of(own_words, own_tags, deps), "pattern": named, "words": own_words, "pos_tags": own_tags, "verbs": [words[i] for i in at if tags[i].startswith("VB")], "skeleton_words": [words[i] for i in core_at if i in place], "position": sum(at) / len(at), "raw_idx": at})
-    return out
-
-
-OUT = "sid string, eid string, pattern string, words array<string>, pos_tags array<string>, verbs array<string>, skeleton_words array<string>, position double, raw_idx array<int>, ners array<string>"
-
-
-def extract(sentences: DataFrame) -> DataFrame:
-    """Occurrences from ``(sid, tokens, lemmas, pos_tags, dependencies)``, with entity types where there are ``ners``."""
+            got = match(pattern, verb, edges) if tag.startswith("VB") else None
+            made = construct(name, *got, words, tags) if got else None
+            if made:
+                out.append(made)
+    return sorted(out, key=lambda e: e["position"])
+
+
+def by_clauses(tokens, lemmas, tags, edges, parse, connectives=(), skip=(), use_lemma: bool = True) -> list[dict]:
+    """Eventualities of each clause, placed in the whole sentence; one of the same words at the same places counts once."""
+    out, seen = [], set()
+    for clause in trees.clauses(list(tokens), parse, set(connectives)):
+        to = {j: i for i, j in enumerate(clause)}
+        inner = [(to[g], d, to[t]) for g, d, t in edges if g in to and t in to]
+        pick = lambda x: [x[i] for i in clause]  # noqa: B023, E731
+        for e in eventualities(pick(tokens), pick(lemmas), pick(tags), inner, skip, use_lemma):
+            e["raw_idx"], e["word_idx"] = ([clause[i] for i in e[k]] for k in ("raw_idx", "word_idx"))
+            e["position"] = sum(e["raw_idx"]) / len(e["raw_idx"]) if e["raw_idx"] else 0.0
+            if (e["eid"], tuple(e["raw_idx"])) not in seen:
+                out.append(e)
+                seen.add((e["eid"], tuple(e["raw_idx"])))
+    return sorted(out, key=lambda e: e["position"])
+
+
+OUT = (
+    "sid string, eid string, pattern string, words array<string>, pos_tags array<string>, verbs array<string>, skeleton_words array<string>, skeleton_pos array<string>, phrases array<string>, "
+    "skeleton_phrases array<string>, position double, raw_idx array<int>, ners array<string>, phrase_at array<int>, skeleton_at array<int>, dependencies array<struct<gov:int,dep:string,dpt:int>>"
+)
+
+
+def extract(sentences: DataFrame, clause_split: bool = False, skip=None, use_lemma: bool = True) -> DataFrame:
+    """Occurrences from ``(sid, tokens, lemmas, pos_tags, dependencies)``, with entity types where there are ``ners``.
+
+    With ``clause_split`` the ``parse`` and, where there is such a column, the ``connective_idx`` (indexes of tokens
+    of connectives) cut sentences into clauses first, and no word makes a sentence be skipped unless ``skip`` says so.
+    """
+    skip = tuple((() if clause_split else CLAUSE_WORDS) if skip is None else skip)
 
     def run(batches):
         for b in batches:
             rows = []
-            for s, t, m, p, d, n in zip(b["sid"], b["tokens"], b["lemmas"], b["pos_tags"], b["dependencies"], b["ners"], strict=True):
-                for e in eventualities(list(t), list(m), list(p), [(x["gov"], x["dep"], x["dpt"]) for x in d]):
-                    rows.append({"sid": s, **e, "ners": [n[i] for i in e["raw_idx"]]})
+            for s, t, m, p, d, n, tree, conn in zip(b["sid"], b["tokens"], b["lemmas"], b["pos_tags"], b["dependencies"], b["ners"], b["parse"], b["connective_idx"], strict=True):
+                t, m, p, d = list(t), list(m), list(p), [(x["gov"], x["dep"], x["dpt"]) for x in d]
+                found = by_clauses(t, m, p, d, tree, conn if conn is not None else (), skip, use_lemma) if clause_split else eventualities(t, m, p, d, skip, use_lemma)
+                for e in found:
+                    deps = [{"gov": g, "dep": x, "dpt": y} for g, x, y in e.pop("dependencies")]
+                    rows.append({"sid": s, **e, "dependencies": deps, "ners": [n[i] for i in e["word_idx"]]})
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    ners = F.transform("tokens", lambda _: F.lit("O"))
-    ners = F.coalesce("ners", ners) if "ners" in sentences.columns else ners
-    return sentences.select("sid", "tokens", "lemmas", "pos_tags", "dependencies", ners.alias("ners")).mapInPandas(run, OUT)
+    has = lambda c, other: F.coalesce(F.col(c), other) if c in sentences.columns else other
+    ners = has("ners", F.transform("tokens", lambda _: F.lit("O")))
+    parse, conn = has("parse", F.lit(None).cast("string")), has("connective_idx", F.array().cast("array<int>"))
+    return sentences.select("sid", "tokens", "lemmas", "pos_tags", "dependencies", ners.alias("ners"), parse.alias("parse"), conn.alias("connective_idx")).mapInPandas(run, OUT)
+
+
+def merged(occurrences: DataFrame) -> DataFrame:
+    """One row for each eventuality, by id, with its frequency: the output that is not in order."""
+    same = [F.min(c).alias(c) for c in ("pattern", "words", "pos_tags", "verbs", "skeleton_words")]
+    return occurrences.groupBy("eid").agg(F.count("*").cast("double").alias("frequency"), *same)

@@ -16,7 +16,9 @@ def merge_nodes(occurrences: DataFrame) -> DataFrame:
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(rid("hid", "tid").alias("rid"), "hid", "tid", "sense").agg(F.sum("weight").alias("weight"))
+    """Weights add up by ends and sense; the id is made once for each sum, not for each occurrence."""
+    out = edges.groupBy("hid", "tid", "sense").agg(F.sum("weight").alias("weight"))
+    return out.select(rid("hid", "tid").alias("rid"), "hid", "tid", "sense", "weight")
 
 
 def cooccurrence(occurrences: DataFrame, sense: Column | None = None) -> DataFrame:
@@ -61,10 +63,16 @@ def core_nodes(nodes: DataFrame, least: float) -> DataFrame:
     return nodes.where(F.col("frequency") >= least)
 
 
+def above_mean(nodes: DataFrame) -> DataFrame:
+    """Nodes whose frequency is the mean or more; the mean is one row that is sent to the nodes."""
+    mean = nodes.agg(F.avg("frequency").alias("mean_"))
+    return nodes.join(F.broadcast(mean), F.col("frequency") >= F.col("mean_")).drop("mean_")
+
+
 def core_edges(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """Edges of enough total weight whose ends both remain."""
-    heavy = edges.groupBy("rid").agg(F.sum("weight").alias("total")).where(F.col("total") >= least)
-    return keep_ends(edges.join(heavy, "rid", "left_semi"), nodes)
+    total = edges.withColumn("total", F.sum("weight").over(Window.partitionBy("rid")))
+    return keep_ends(total.where(F.col("total") >= least).drop("total"), nodes)
 
 
 def keep_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -134,15 +142,75 @@ def to_triplets(edges: DataFrame) -> DataFrame:
     return edges.where("weight >= 1").select("hid", "sense", "tid", F.explode(F.array_repeat(F.lit(1), F.col("weight").cast("int"))).alias("one")).drop("one")
 
 
-def slices(edges: DataFrame, size: int) -> DataFrame:
-    """Heads in order of id, cut into slices of about ``size`` edges; a slice holds all edges of its heads.
+def merge_with_sources(*tables: tuple[DataFrame, DataFrame], key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Several graphs' nodes or edges with their provenance ``(key, sources)``: values added, lists joined in order."""
+    rows = merge_graphs(*[t for t, _ in tables], keys=[key], value=value)
+    every = None
+    for n, (_, sources) in enumerate(tables):
+        own = sources.select(key, F.lit(n).alias("n"), "sources")
+        every = own if every is None else every.union(own)
+    joined = every.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "sources"))), lambda x: x["sources"])).alias("sources"))
+    return rows, joined.join(rows, key, "left_semi")
+
+
+def loose_relation(edges: DataFrame, nodes: DataFrame, head: str, tail: str) -> DataFrame:
+    """``(sense, weight)`` between two nodes, where either end may be any node of the same pattern and skeleton."""
+    end = nodes.where(F.col("eid").isin(head, tail)).select(F.col("eid").alias("own"), "pattern", "skeleton_words")
+    like = nodes.join(F.broadcast(end), ["pattern", "skeleton_words"]).select("own", "eid")  # two rows at most are sent
+    tails = edges.where(F.col("hid") == head).join(like.where(F.col("own") == tail), F.col("tid") == F.col("eid"), "left_semi")
+    heads = edges.where(F.col("tid") == tail).join(like.where(F.col("own") == head), F.col("hid") == F.col("eid"), "left_semi")
+    return tails.union(heads).groupBy("sense").agg(F.sum("weight").alias("weight"))
+
+
+def relate(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(sense, weight, n)`` of the edges from one set of nodes to another."""
+    own = edges.join(left, edges["hid"] == left["eid"], "left_semi").join(right, edges["tid"] == right["eid"], "left_semi")
+    return own.groupBy("sense").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+
+
+def with_texts(sources: DataFrame, sentences: DataFrame) -> DataFrame:
+    """``(rid, head_text, tail_text)`` of provenance ``(rid, head_sid, tail_sid)``."""
+    text = sentences.select("sid", "text")
+    out = sources.join(text.toDF("head_sid", "head_text"), "head_sid").join(text.toDF("tail_sid", "tail_text"), "tail_sid")
+    return out.select("rid", "head_sid", "tail_sid", "head_text", "tail_text")
+
+
+def crossing_share(sources: DataFrame) -> DataFrame:
+    """``(n, crossing, share)``: how many sources of edges lie in two sentences."""
+    crossing = F.count_if(F.col("head_sid") != F.col("tail_sid"))
+    return sources.agg(F.count("*").alias("n"), crossing.alias("crossing"), F.try_divide(crossing.cast("double"), F.count("*")).alias("share"))
+
+
+def slices(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edges: int, ranges: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``(eid, slice)`` of nodes without edges, ``max_nodes`` a slice by id, and ``(hid, range, slice)`` of heads.
 
-    The running total is taken over counts of key ranges first, so no single task sees all heads.
+    Heads are taken by id; a slice is closed when it holds ``max_nodes`` distinct nodes or ``max_edges`` edges,
+    and holds all edges of its heads.  Of one range the slices follow one another exactly; with more ranges
+    of ids each is sliced by itself, in its own task, whose memory is one slice.
     """
-    heads = edges.groupBy("hid").agg(F.count_distinct("tid").alias("n"))
-    shard = F.substring("hid", 1, 3)
-    base = heads.groupBy(shard.alias("shard")).agg(F.sum("n").alias("m"))
+    shard = F.substring("eid", 1, 3)
+    lone = singletons(nodes, edges).select("eid").withColumn("shard", shard)
+    base = lone.groupBy("shard").agg(F.count("*").alias("m"))
     before = base.select("shard", (F.sum("m").over(Window.orderBy("shard")) - F.col("m")).alias("before"))  # 4,096 rows at most
-    own = heads.withColumn("shard", shard).join(F.broadcast(before), "shard")
-    start = F.col("before") + F.sum("n").over(Window.partitionBy("shard").orderBy("hid")) - F.col("n")
-    return own.select("hid", "n", F.floor(start / F.lit(size)).cast("long").alias("slice"))
+    at = F.col("before") + F.row_number().over(Window.partitionBy("shard").orderBy("eid")) - 1
+    alone = lone.join(F.broadcast(before), "shard").select("eid", F.floor(at / F.lit(max_nodes)).cast("long").alias("slice"))
+
+    def cut(batches):
+        now, held, count, where = 0, set(), 0, None
+        for b in batches:
+            out = []
+            for r, hid, tids, n in zip(b["range"], b["hid"], b["tids"], b["n"], strict=True):
+                if where is not None and (r != where or len(held) >= max_nodes or count >= max_edges):
+                    now, held, count = (now + 1 if r == where else 0), set(), 0
+                where = r
+                held.update([hid, *tids])
+                count += n
+                out.append(now)
+            b = b[["hid", "range"]].copy()
+            b["slice"] = out
+            yield b
+
+    heads = edges.groupBy("hid").agg(F.collect_set("tid").alias("tids"), F.count_distinct("rid").alias("n"))
+    of = F.floor(F.conv(F.substring("hid", 1, 4), 16, 10).cast("long") * F.lit(ranges) / F.lit(65_536)).cast("long")
+    heads = heads.withColumn("range", of).repartition(ranges, "range").sortWithinPartitions("range", "hid")
+    return alone, heads.select("hid", "range", "tids", "n").mapInPandas(cut, "hid string, range long, slice long")

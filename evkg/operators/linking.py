@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evkg.functions.text import has_word
+
 
 def mention_dictionary(links: DataFrame) -> DataFrame:
     """``(mention, entity, freq)`` from counts ``(mention, entity, n)``: shares of a mention, one at most."""
@@ -35,10 +37,61 @@ def inference(posts: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 8,
 
 
 def contained(keys: DataFrame, posts: DataFrame) -> DataFrame:
-    """``(key, post)``: keys all of whose tokens a post has, by an inverted index of either."""
-    k = keys.select("key", F.array_distinct("tokens").alias("t")).select("key", F.size("t").alias("n"), F.explode("t").alias("t"))
-    p = posts.select("post", F.explode(F.array_distinct("tokens")).alias("t"))
-    return k.join(p, "t").groupBy("key", "post", "n").agg(F.count("*").alias("c")).where("c = n").select("key", "post")
+    """``(key, post)``: keys all of whose tokens a post has.  A key is looked up by its rarest token alone, so a
+    common token brings no pair that another would rule out."""
+    k = keys.select("key", F.array_distinct("tokens").alias("t")).where(F.size("t") > 0).distinct()
+    p = posts.select("post", F.array_distinct("tokens").alias("own"))
+    often = p.select(F.explode("own").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    each = k.select("key", "t", F.explode("t").alias("token")).join(often, "token", "left")
+    rare = each.groupBy("key", "t").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    held = p.select("post", "own", F.explode("own").alias("token"))
+    return rare.join(held, "token").where(F.forall("t", lambda x: F.array_contains("own", x))).select("key", "post").distinct()
+
+
+def aliases(phrase: Column, stop_words) -> Column:
+    """Names that a mention may go by: itself, and its words with capitals, stop words without; months and days have
+    their abbreviations instead, with and without a dot."""
+    low, upper = F.lower(phrase), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2_147_483_647))
+    dotted = lambda xs: F.flatten(F.transform(xs, lambda x: F.array(x, F.concat(x, F.lit(".")))))
+    short = F.array(upper(F.substring(phrase, 1, 3)))
+    more = F.lit(None).cast("array<string>")
+    for name, others in MORE_SHORT.items():
+        more = F.when(low == name, F.array(*[F.lit(o) for o in others])).otherwise(more)
+    named = dotted(F.concat(short, F.coalesce(more, F.array().cast("array<string>"))))
+    stop = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
+    form = F.array_join(F.transform(F.split(phrase, " "), lambda w: F.when(F.array_contains(stop, w), F.lower(w)).otherwise(upper(F.lower(w)))), " ")
+    return F.array_distinct(F.when(low.isin(*TIMES), named).otherwise(F.array(phrase, form)))
+
+
+# Names of months and days that have abbreviations, and the ones of some besides their first three letters.
+TIMES = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+    "sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday",
+)
+MORE_SHORT = {"september": ("Sept",), "tuesday": ("Tu", "Tues"), "thursday": ("Thur", "Thurs", "Th")}
+
+
+def same_persons(mentions: DataFrame) -> DataFrame:
+    """``(doc, mention, person)``: persons' mentions of one document that hold one another at word borders, directly or
+    over others, have the smallest of their texts as ``person``.
+
+    Mentions of a document are few and meet in one row; a document's groups are found there by repeated minimum.
+    """
+    docs = mentions.where("ner = 'PERSON'").groupBy("doc").agg(F.array_sort(F.collect_set("mention")).alias("all"))
+    linked = F.transform("all", lambda m: F.struct(m.alias("m"), F.filter("all", lambda n: has_word(m, n) | has_word(n, m)).alias("near")))
+    start = F.transform(linked, lambda x: F.struct(x["m"].alias("m"), x["near"].alias("near"), F.array_min(x["near"]).alias("least")))
+    least = lambda now, x: F.array_min(F.transform(F.filter(now, lambda y: F.array_contains(x["near"], y["m"])), lambda y: y["least"]))
+    settle = lambda now, _: F.transform(now, lambda x: F.struct(x["m"].alias("m"), x["near"].alias("near"), least(now, x).alias("least")))
+    done = docs.withColumn("x", F.explode(F.aggregate("all", start, settle)))
+    return done.select("doc", F.col("x.m").alias("mention"), F.col("x.least").alias("person"))
+
+
+def shared_candidates(candidates: DataFrame, persons: DataFrame) -> DataFrame:
+    """``(doc, person, entity, freq)``: the candidates of all mentions of a person; the frequency of one that several
+    mentions bring is the mean of what is had so far and the next one's, in order of the mentions."""
+    own = persons.join(candidates, ["doc", "mention"]).groupBy("doc", "person", "entity").agg(F.array_sort(F.collect_list(F.struct("mention", "freq"))).alias("x"))
+    freq = F.aggregate(F.slice("x", 2, F.size("x")), F.col("x")[0]["freq"], lambda a, y: (a + y["freq"]) / 2)
+    return own.select("doc", "person", "entity", freq.alias("freq"))
 
 
 def pair_lookup(triples: DataFrame, posts: DataFrame) -> DataFrame:

@@ -70,6 +70,41 @@ def upsert(df: DataFrame, news: DataFrame, keys: list[str], sums: list[str]) ->
     return both.groupBy(*keys).agg(*aggs).select(*df.columns)
 
 
+def insert(df: DataFrame, news: DataFrame, key: str) -> DataFrame:
+    """``df`` with the rows of ``news`` whose key it lacks; of several with one key the smallest."""
+    rest = [c for c in df.columns if c != key]
+    one = news.groupBy(key).agg(F.min(F.struct(*rest)).alias("x")).select(key, *[F.col(f"x.{c}").alias(c) for c in rest])
+    return df.unionByName(one.join(df.select(key), key, "left_anti").select(*df.columns))
+
+
+def create(spark, name: str, schema: str) -> None:
+    """A table of the session's catalogue; one that is there stays."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet")
+
+
+def encode(df: DataFrame, lists: list[str], keep: list[str]) -> DataFrame:
+    """Rows as a table stores them: word lists as text, all other columns as JSON in ``info``."""
+    rest = [c for c in df.columns if c not in (*lists, *keep)]
+    return df.select(*keep, *[F.array_join(c, " ").alias(c) for c in lists], F.to_json(F.struct(*rest)).alias("info"))
+
+
+def decode(df: DataFrame, lists: list[str], info: str) -> DataFrame:
+    """The other way; ``info`` is the schema of the JSON."""
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "").alias(c)
+    plain = [c for c in df.columns if c not in (*lists, "info")]
+    return df.withColumn("x", F.from_json("info", info)).select(*plain, *[words(c) for c in lists], "x.*")
+
+
+def near_tokens(tokens: DataFrame, skip: list[str], forward: bool = False, most: int = 10) -> DataFrame:
+    """Each token ``(doc, sent_idx, tok_idx, token)`` with the place and text of the one before (or after) it that is
+    not to be skipped, across sentences, within ``most`` tokens; -1 where there is none."""
+    w = Window.partitionBy("doc").orderBy("sent_idx", "tok_idx")
+    own = F.when(~F.col("token").isin(*skip), F.struct("sent_idx", "tok_idx", "token"))
+    near = F.first(own, True).over(w.rowsBetween(1, most)) if forward else F.last(own, True).over(w.rowsBetween(-most, -1))
+    out = tokens.withColumn("x", near)
+    return out.select("doc", "sent_idx", "tok_idx", "token", F.coalesce("x.sent_idx", F.lit(-1)).alias("near_sent"), F.coalesce("x.tok_idx", F.lit(-1)).alias("near_tok"), F.col("x.token").alias("near"))
+
+
 def apply_updates(df: DataFrame, key: str, deltas: DataFrame, column: str, op: str) -> DataFrame:
     """``column op delta`` where a delta exists; ``+`` and ``-`` sum repeated deltas, ``=`` takes the largest."""
     agg = {"+": F.sum, "-": F.sum, "*": F.product, "/": F.product, "=": F.max}[op]
@@ -80,6 +115,6 @@ def apply_updates(df: DataFrame, key: str, deltas: DataFrame, column: str, op: s
 
 
 def context(sentences: DataFrame, k: int) -> DataFrame:
-    """Each sentence with the texts of ``k`` sentences on either side, cut at the document's ends."""
+    """Each sentence with the texts of ``k`` sentences on either side, cut at the document's ends, in order."""
     w = Window.partitionBy("doc").orderBy("sent_idx").rowsBetween(-k, k)
     return sentences.withColumn("context", F.collect_list("text").over(w))

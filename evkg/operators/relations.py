@@ -8,40 +8,63 @@ from pyspark.sql.window import Window
 
 from evkg.schema import CONNECTIVES
 
-#: Words between the middle of a connective and an argument of the neighbouring sentence, at most.
+#: Words between two eventualities of neighbouring sentences, fewer than which a connective joins them.
 NEAR = 10
 
 
-def connectives(spark, table=CONNECTIVES) -> DataFrame:
-    """``(sense, words)``, a few rows that every executor gets."""
-    return spark.createDataFrame([(s, c.split()) for s, all_ in table.items() for c in all_], "sense string, words array<string>")
+def lexicon(table=CONNECTIVES) -> Column:
+    """``array<struct<sense, connective, first, second>>`` of phrases by sense; ``a..b`` has two parts."""
+    words = lambda x: F.array(*[F.lit(w) for w in x.split()]).cast("array<string>")
+    rows = [(sense, c, *(c.split("..") + [""])[:2]) for sense, all_ in table.items() for c in all_]
+    return F.array(*[F.struct(F.lit(s).alias("sense"), F.lit(c).alias("connective"), words(a).alias("first"), words(b).alias("second")) for s, c, a, b in rows])
 
 
-def place(tokens: Column, words: Column) -> Column:
-    """Where a phrase begins, or null."""
-    starts = F.filter(F.sequence(F.lit(1), F.size(tokens) - F.size(words) + 1), lambda i: F.slice(tokens, i, F.size(words)) == words)
-    return F.when(F.size(tokens) >= F.size(words), F.try_element_at(starts, F.lit(1)) - 1)
+def places(tokens: Column, words: Column) -> Column:
+    """All 0-based places where a phrase begins."""
+    starts = F.when(F.size(tokens) >= F.size(words), F.sequence(F.lit(0), F.size(tokens) - F.size(words))).otherwise(F.array().cast("array<int>"))
+    return F.filter(starts, lambda i: F.slice(tokens, i + 1, F.size(words)) == words)
 
 
-def candidates(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``(sid, sense, words, at)``: phrases of the lexicon, longest first where they overlap."""
-    lower = F.transform("tokens", lambda t: F.lower(t))
-    grams = lexicon.select("sense", "words", F.size("words").alias("n"), F.array_join("words", " ").alias("key"))
-    lengths = [r[0] for r in grams.select("n").distinct().collect()]  # a handful of phrase lengths
+def candidates(sentences: DataFrame, table=CONNECTIVES) -> DataFrame:
+    """``(sid, sense, connective, indices)``: phrases in a sentence, of one or two parts, in any case of letters.
+
+    Where some share words, those of more words come first, then those that begin later.
+    """
+    low = sentences.select("sid", F.transform("tokens", lambda t: F.lower(t)).alias("low"))
+    run = lambda i, w: F.sequence(i, i + F.size(w) - 1)
+
+    def found(x):
+        one = lambda i: F.array(run(i, x["first"]))
+        two = lambda i: F.transform(F.filter(places(F.col("low"), x["second"]), lambda j: j >= i + F.size(x["first"])), lambda j: F.concat(run(i, x["first"]), run(j, x["second"])))
+        every = F.flatten(F.transform(places(F.col("low"), x["first"]), lambda i: F.when(F.size(x["second"]) > 0, two(i)).otherwise(one(i))))
+        return F.transform(every, lambda at: F.struct((-F.size(at)).alias("n"), (-at[0]).alias("b"), x["sense"].alias("sense"), x["connective"].alias("connective"), at.alias("indices")))
+
+    every = F.array_sort(F.flatten(F.transform(lexicon(table), found)))
+    none = F.filter(every, lambda x: F.lit(False))
+    kept = F.aggregate(every, none, lambda a, x: F.when(F.exists(a, lambda y: F.arrays_overlap(y["indices"], x["indices"])), a).otherwise(F.concat(a, F.array(x))))
+    return low.select("sid", F.explode(kept).alias("x")).select("sid", "x.sense", "x.connective", "x.indices")
+
+
+def present(tokens: Column, table=CONNECTIVES) -> Column:
+    """``array<struct<sense, mid, last>>`` of the connectives whose words and phrase ``tokens`` hold, as they are written.
+
+    ``mid`` is the mean of the words' first places; ``last`` marks the one that follows both eventualities.
+    """
+    said = F.array_join(tokens, " ")
+    here = F.filter(lexicon(table), lambda x: F.forall(x["first"], lambda w: F.array_contains(tokens, w)) & F.contains(said, F.array_join(x["first"], " ")))
+    mid = lambda x: F.aggregate(x["first"], F.lit(0.0), lambda a, w: a + F.array_position(tokens, w) - 1) / F.size(x["first"])
+    return F.transform(here, lambda x: F.struct(x["sense"].alias("sense"), mid(x).alias("mid"), F.array_contains(x["first"], "instead").alias("last")))
 
-    def phrases(n: int) -> Column:
-        grams_ = F.transform(F.sequence(F.lit(0), F.size("low") - n), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("low", i + 1, n), " ").alias("key")))
-        return F.when(F.size("low") >= n, grams_).otherwise(F.array().cast("array<struct<at:int,key:string>>"))
 
-    each = F.flatten(F.array(*[phrases(n) for n in sorted(lengths)]))
-    found = sentences.select("sid", lower.alias("low")).select("sid", F.explode(each).alias("g")).select("sid", "g.at", "g.key").join(F.broadcast(grams), "key")
-    longer = F.max(F.col("at") + F.col("n")).over(Window.partitionBy("sid").orderBy("at", F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    return found.withColumn("until", F.coalesce(longer, F.lit(0))).where("at >= until").select("sid", "sense", "words", "at")
+def joined(conn: Column, head: Column, tail: Column) -> Column:
+    """Senses of the connectives between two positions, or after both for the one that follows."""
+    own = F.filter(conn, lambda x: F.when(x["last"], (head < tail) & (tail < x["mid"])).otherwise((head < x["mid"]) & (x["mid"] < tail)))
+    return F.array_distinct(F.transform(own, lambda x: x["sense"]))
 
 
 def clause_link(edges: Column, head: Column, tail: Column) -> Column:
     """Whether an ``advcl`` edge leads from a word of the head to one of the tail; false where they share words."""
-    link = F.exists(edges, lambda e: F.startswith(e["dep"], F.lit("advcl")) & F.array_contains(head, e["gov"]) & F.array_contains(tail, e["dpt"]))
+    link = F.exists(edges, lambda e: F.contains(e["dep"], F.lit("advcl")) & F.array_contains(head, e["gov"]) & F.array_contains(tail, e["dpt"]))
     return link & ~F.arrays_overlap(head, tail)
 
 
@@ -52,26 +75,25 @@ def shrink(edges: Column, head: Column, tail: Column) -> Column:
     return F.when(~F.arrays_overlap(head, tail), out)
 
 
-def within(sentences: DataFrame, occurrences: DataFrame, lexicon: DataFrame) -> DataFrame:
+def within(sentences: DataFrame, occurrences: DataFrame, table=CONNECTIVES) -> DataFrame:
     """Seed relations of one sentence: ``occurrences`` has ``(sid, eid, position, raw_idx)``.
 
     The head is before the tail, a clause edge leads from one to the other and the connective's middle
     lies between them; ``instead`` follows both.
     """
-    conn = candidates(sentences, lexicon).withColumn("mid", F.col("at") + (F.size("words") - 1) / 2.0)
     h = occurrences.select("sid", F.col("eid").alias("hid"), F.col("position").alias("hp"), F.col("raw_idx").alias("hi"))
     t = occurrences.select("sid", F.col("eid").alias("tid"), F.col("position").alias("tp"), F.col("raw_idx").alias("ti"))
-    both = h.join(t, "sid").where("hp < tp").join(sentences.select("sid", "dependencies"), "sid").where(clause_link(F.col("dependencies"), F.col("hi"), F.col("ti")))
-    between = (F.col("hp") < F.col("mid")) & (F.col("mid") < F.col("tp"))
-    after = (F.array_join("words", " ") == "instead") & (F.col("mid") > F.col("tp"))
-    return both.join(conn, "sid").where(between | after).select("hid", "tid", "sense", F.lit(1.0).alias("weight"), "sid").distinct()
+    own = sentences.select("sid", "dependencies", present(F.col("tokens"), table=table).alias("conn")).where(F.size("conn") > 0)
+    both = h.join(t, "sid").where("hp < tp").join(own, "sid").where(clause_link(F.col("dependencies"), F.col("hi"), F.col("ti")))
+    return both.select("hid", "tid", F.explode(joined(F.col("conn"), F.col("hp"), F.col("tp"))).alias("sense"), F.lit(1.0).alias("weight"), "sid")
 
 
-def across(sentences: DataFrame, occurrences: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Seed relations of neighbouring sentences with one eventuality each; the connective is in the second, near and before its eventuality."""
+def across(sentences: DataFrame, occurrences: DataFrame, table=CONNECTIVES, near: int = NEAR) -> DataFrame:
+    """Seed relations of neighbouring sentences with one eventuality each, fewer than ``near`` words apart; the
+    connective may be in either sentence, between the eventualities or, for ``instead``, after both."""
     one = occurrences.groupBy("sid").agg(F.count("*").alias("n"), F.min("eid").alias("eid"), F.min("position").alias("position")).where("n = 1")
     w = Window.partitionBy("doc").orderBy("sent_idx")
-    pairs = sentences.select("doc", "sent_idx", "sid", F.lead("sid").over(w).alias("next")).where("next IS NOT NULL")
-    conn = candidates(sentences, lexicon).select(F.col("sid").alias("next"), "sense", (F.col("at") + (F.size("words") - 1) / 2.0).alias("mid"))
-    out = pairs.join(one.select("sid", F.col("eid").alias("hid")), "sid").join(one.select(F.col("sid").alias("next"), F.col("eid").alias("tid"), "position"), "next").join(conn, "next")
-    return out.where((F.col("mid") < F.col("position")) & (F.col("position") - F.col("mid") < NEAR)).select("hid", "tid", "sense", F.lit(1.0).alias("weight"), "sid").distinct()
+    pairs = sentences.select("sid", F.col("tokens").alias("a"), F.lead("sid").over(w).alias("next"), F.lead("tokens").over(w).alias("b")).where("next IS NOT NULL")
+    out = pairs.join(one.select("sid", F.col("eid").alias("hid"), F.col("position").alias("hp")), "sid").join(one.select(F.col("sid").alias("next"), F.col("eid").alias("tid"), F.col("position").alias("tp")), "next")
+    out = out.withColumn("tp", F.col("tp") + F.size("a")).where(F.col("tp") - F.col("hp") < near)
+    return out.select("hid", "tid", F.explode(joined(present(F.concat("a", "b"), table=table), F.col("hp"), F.col("tp"))).alias("sense"), F.lit(1.0).alias("weight"), "sid")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evkg.schema import SENSES
 
@@ -26,9 +27,29 @@ def major_senses(edges: DataFrame, senses=SENSES) -> DataFrame:
     return edges.groupBy("rid", "sense").agg(F.sum("weight").alias("weight")).groupBy("rid").agg(F.max_by("sense", rank).alias("sense"))
 
 
-def per_sense(edges: DataFrame) -> DataFrame:
-    sums = edges.groupBy("sense").agg(F.sum("weight").alias("weight"), F.count_distinct("rid").alias("n"))
-    return sums.join(major_senses(edges).groupBy("sense").agg(F.count("*").alias("n_major")), "sense", "left").fillna(0, ["n_major"])
+def per_sense(edges: DataFrame, senses=SENSES) -> DataFrame:
+    """Weight, edges and edges of which it is the major sense, by sense, from one pass over the edges."""
+    sums = edges.groupBy("rid", "sense").agg(F.sum("weight").alias("weight"))
+    order = F.array_position(F.array(*[F.lit(s) for s in senses]), F.col("sense"))
+    rank = F.struct((F.col("sense") != senses[-1]).alias("other"), F.col("weight"), (-order).alias("o"))
+    major = F.col("sense") == F.max_by("sense", rank).over(Window.partitionBy("rid"))
+    return sums.withColumn("major", major).groupBy("sense").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"), F.count_if("major").alias("n_major"))
+
+
+def sizes(texts: DataFrame, words: Column) -> DataFrame:
+    """Rows and words by language."""
+    return texts.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.size(words)).cast("long").alias("n_tokens"))
+
+
+def commonest(df: DataFrame, group: str, value: str) -> DataFrame:
+    """The commonest value of each group, the smallest of several."""
+    return df.groupBy(group).agg(F.mode(value, True).alias("common"))
+
+
+def shares(df: DataFrame, group: Column, distinct: str, condition: Column) -> DataFrame:
+    """Distinct values and the percentage of rows of a condition, by group ``k``."""
+    share = F.lit(100.0) * F.count_if(condition) / F.count("*")
+    return df.groupBy(group.alias("k")).agg(F.count_distinct(distinct).alias("parts"), share.alias("share"))
 
 
 def vocabulary(words: DataFrame, top: int) -> DataFrame:

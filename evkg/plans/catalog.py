@@ -3,28 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from evkg.functions import text
 from evkg.functions.ids import rid
 from evkg.operators import concepts, graph, linking, lookup, post, relations, sampling, stats
 from evkg.plans import tpch
-from evkg.plans.tpch import SQL, load
-from evkg.schema import SENSES
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, graph_views: bool = True):
-    def add(f):
-        name = f.__name__
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = f"WITH RECURSIVE {SQL}{sql}" if graph_views else sql
-        return f
-
-    return add
+from evkg.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from evkg.plans.tpch import load
+from evkg.schema import PRONOUNS, SENSES
 
 
 def r6(c):
@@ -58,11 +44,9 @@ def multi_get_nodes(s, d):
     return lookup.multi_get(tpch.nodes(s, d), ids, "eid").select("ord", "eid", "words", "frequency")
 
 
-@query("SELECT p_partkey, p_brand, p_size FROM part WHERE p_brand = 'Brand#11' AND p_size = (SELECT min(p_size) FROM part) ORDER BY p_partkey LIMIT 20", False)
+@query("SELECT p_partkey, p_brand, p_size FROM part WHERE p_brand = 'Brand#11' AND p_size = 1 ORDER BY p_partkey LIMIT 20", False)
 def keys_equal(s, d):
-    part = load(s, d, "part")
-    least = part.agg(F.min("p_size")).first()[0]
-    return lookup.by_keys(part, {"p_brand": "Brand#11", "p_size": least, "unknown": 1}, ["p_partkey"], False, 20).select("p_partkey", "p_brand", "p_size")
+    return lookup.by_keys(load(s, d, "part"), {"p_brand": "Brand#11", "p_size": 1, "unknown": 1}, ["p_partkey"], False, 20).select("p_partkey", "p_brand", "p_size")
 
 
 @query("SELECT p_partkey FROM part WHERE false", False)
@@ -96,10 +80,10 @@ def bulk_update(s, d):
     return out.withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
-@query("SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 6) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)", False)
+@query("SELECT event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), ' ') AS context FROM events", False)
 def context_frame(s, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 2)
-    return load(s, d, "events").select("event_id", F.count("*").over(w).alias("n"), r6(F.sum("value").over(w)).alias("total"))
+    sents = load(s, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("sent_idx"), F.col("event_type").alias("text"))
+    return lookup.context(sents, 2).select(F.col("sent_idx").alias("event_id"), F.array_join("context", " ").alias("context"))
 
 
 # ---- filters ----------------------------------------------------------------------------------
@@ -107,14 +91,12 @@ def context_frame(s, d):
 
 @query("SELECT eid, frequency FROM nodes WHERE frequency >= (SELECT avg(frequency) FROM nodes)")
 def core_nodes(s, d):
-    n = tpch.nodes(s, d)
-    return graph.core_nodes(n, n.agg(F.avg("frequency")).first()[0]).select("eid", "frequency")
+    return graph.above_mean(tpch.nodes(s, d)).select("eid", "frequency")
 
 
 @query(", keep AS (SELECT eid FROM nodes WHERE frequency >= (SELECT avg(frequency) FROM nodes)) SELECT e.rid, e.sense, e.weight FROM edges e JOIN tot USING (rid) WHERE total >= 3 AND e.hid IN (SELECT eid FROM keep) AND e.tid IN (SELECT eid FROM keep)")
 def core_edges(s, d):
-    n = tpch.nodes(s, d)
-    return graph.core_edges(tpch.edges(s, d), graph.core_nodes(n, n.agg(F.avg("frequency")).first()[0]), 3).select("rid", "sense", "weight")
+    return graph.core_edges(tpch.edges(s, d), graph.above_mean(tpch.nodes(s, d)), 3).select("rid", "sense", "weight")
 
 
 @query(", th(threshold) AS (SELECT unnest([50.0, 30.0, 20.0, 10.0, 5.0, 3.0])::DOUBLE) SELECT threshold, (SELECT count(*) FROM nodes WHERE frequency >= threshold) AS n_nodes, (SELECT count(*) FROM tot JOIN nodes h ON hid = h.eid JOIN nodes t ON tid = t.eid WHERE least(h.frequency, t.frequency) >= threshold) AS n_edges FROM th")
@@ -128,16 +110,16 @@ def neighbours_by_sense(s, d):
     return lookup.neighbours(tpch.edges(s, d), ids, ["Reason", "Result"])
 
 
-@query("SELECT DISTINCT tid AS eid, hid AS other FROM edges WHERE sense = 'Contrast' AND tid = sha1('Brand#31')")
+@query("SELECT DISTINCT tid AS eid, hid AS other FROM edges WHERE sense = 'Contrast' AND tid = sha1('Brand#23')")
 def predecessors(s, d):
-    ids = s.createDataFrame([("Brand#31",)], "w string").select(F.sha1("w").alias("eid"))
+    ids = s.createDataFrame([("Brand#23",)], "w string").select(F.sha1("w").alias("eid"))
     return lookup.neighbours(tpch.edges(s, d), ids, ["Contrast"], False)
 
 
-@query("SELECT c_custkey AS eid FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", False)
+@query("SELECT c_custkey AS eid FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)", False)
 def singleton_nodes(s, d):
     nodes = load(s, d, "customer").select(F.col("c_custkey").alias("eid"))
-    edges = load(s, d, "orders").select(F.col("o_custkey").alias("hid"), F.col("o_custkey").alias("tid"))
+    edges = load(s, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("hid"), F.col("o_custkey").alias("tid"))
     return graph.singletons(nodes, edges)
 
 
@@ -173,41 +155,39 @@ def adjacent_sentences(s, d):
     return out.groupBy("hid", "tid").agg(F.count("*").alias("weight"))
 
 
-@query("SELECT user_id, event_type AS h, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, event_id FROM events", False)
+@query("""SELECT user_id AS doc, event_id // 100 AS sent_idx, event_id % 100 AS tok_idx, coalesce(x // 100, -1) AS near_sent, coalesce(x % 100, -1) AS near_tok, near
+ FROM (SELECT *, last_value(CASE WHEN event_type <> 'click' THEN event_id END IGNORE NULLS) OVER w AS x, last_value(CASE WHEN event_type <> 'click' THEN event_type END IGNORE NULLS) OVER w AS near
+       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))""", False)
 def event_sequence(s, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return load(s, d, "events").select("user_id", F.col("event_type").alias("h"), F.lead("event_type").over(w).alias("t"), "event_id")
+    e = load(s, d, "events").select(F.col("user_id").alias("doc"), F.floor(F.col("event_id") / 100).alias("sent_idx"), (F.col("event_id") % 100).alias("tok_idx"), F.col("event_type").alias("token"))
+    return lookup.near_tokens(e, ["click"]).drop("token").withColumn("near_sent", F.col("near_sent").cast("long")).withColumn("near_tok", F.col("near_tok").cast("long"))
 
 
-@query("SELECT n.concept, count(DISTINCT n.eid) AS n FROM pairs n JOIN nodes USING (eid) GROUP BY 1")
+@query("SELECT n.cid, count(DISTINCT n.eid) AS n FROM pairs n JOIN nodes USING (eid) GROUP BY 1")
 def instances_of_concept(s, d):
-    return tpch.pairs(s, d).join(tpch.nodes(s, d).select("eid"), "eid").groupBy("concept").agg(F.count_distinct("eid").alias("n"))
+    return concepts.instances(tpch.pairs(s, d), tpch.nodes(s, d))
 
 
 @query("SELECT e.sense, sum(e.weight) AS weight, count(*) AS n FROM edges e WHERE e.hid IN (SELECT eid FROM nodes WHERE words < 'Brand#3') AND e.tid IN (SELECT eid FROM nodes WHERE words >= 'Brand#3') GROUP BY 1")
 def category_pairs(s, d):
     n = tpch.nodes(s, d)
-    left, right = n.where("words < 'Brand#3'").select("eid"), n.where("words >= 'Brand#3'").select("eid")
-    e = tpch.edges(s, d)
-    e = e.join(left, e["hid"] == left["eid"], "left_semi").join(right, e["tid"] == right["eid"], "left_semi")
-    return e.groupBy("sense").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    return graph.relate(tpch.edges(s, d), n.where("words < 'Brand#3'").select("eid"), n.where("words >= 'Brand#3'").select("eid"))
 
 
-@query("SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o JOIN customer c ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n_nationkey WHERE o_totalprice > 300000", False)
+@query("SELECT o_orderkey AS rid, 'c' || o_custkey AS head_sid, 'n' || (o_custkey % 25) AS tail_sid, c_name AS head_text, n_name AS tail_text FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = o_custkey % 25 WHERE o_totalprice > 300000", False)
 def provenance_join(s, d):
-    o = load(s, d, "orders").where("o_totalprice > 300000")
-    out = o.join(load(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(load(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return out.select("o_orderkey", "c_name", "n_name")
+    c, n = load(s, d, "customer"), load(s, d, "nation")
+    sents = c.select(F.concat(F.lit("c"), "c_custkey").alias("sid"), F.col("c_name").alias("text")).union(n.select(F.concat(F.lit("n"), "n_nationkey"), "n_name"))
+    sources = load(s, d, "orders").where("o_totalprice > 300000").select(F.col("o_orderkey").alias("rid"), F.concat(F.lit("c"), "o_custkey").alias("head_sid"), F.concat(F.lit("n"), F.col("o_custkey") % 25).alias("tail_sid"))
+    return graph.with_texts(sources, sents)
 
 
 @query("""WITH k AS (SELECT p_name, list_distinct(string_split(p_name, ' ')) AS w FROM (SELECT DISTINCT p_name FROM part)),
  i AS (SELECT p_name, unnest(w) AS t, len(w) AS n FROM k)
  SELECT a.p_name AS key, count(*) AS n FROM (SELECT x.p_name, y.p_name AS other FROM i x JOIN i y ON x.t = y.t GROUP BY x.p_name, y.p_name, x.n HAVING count(*) = x.n) a GROUP BY 1""", False)
 def token_containment(s, d):
-    k = load(s, d, "part").select("p_name").distinct().select("p_name", F.array_distinct(F.split("p_name", " ")).alias("w"))
-    i = k.select("p_name", F.size("w").alias("n"), F.explode("w").alias("t"))
-    hit = i.join(i.select(F.col("p_name").alias("other"), "t"), "t").groupBy("p_name", "other", "n").agg(F.count("*").alias("c")).where("c = n")
-    return hit.groupBy(F.col("p_name").alias("key")).agg(F.count("*").alias("n"))
+    k = load(s, d, "part").select(F.col("p_name").alias("key"), F.split("p_name", " ").alias("tokens")).distinct()
+    return linking.contained(k, k.withColumnRenamed("key", "post")).groupBy("key").agg(F.count("*").alias("n"))
 
 
 # ---- aggregates -------------------------------------------------------------------------------
@@ -246,14 +226,14 @@ def relation_triplets(s, d):
     return graph.to_triplets(tpch.edges(s, d)).groupBy("hid", "sense", "tid").agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT lang, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(lower(text), '[a-z]+'))) AS BIGINT) AS n_tokens FROM documents GROUP BY 1", False)
+@query(r"SELECT lang, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(lower(text), '\p{L}+'))) AS BIGINT) AS n_tokens FROM documents GROUP BY 1", False)
 def token_stats(s, d):
-    return load(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.size(text.tokens(F.col("text")))).cast("long").alias("n_tokens"))
+    return stats.sizes(load(s, d, "documents"), text.tokens(F.col("text")))
 
 
-@query(r"WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en'), t AS (SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, word LIMIT 100) SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS id FROM t", False)
+@query(r"WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents), t AS (SELECT word, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, word LIMIT 100) SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS id FROM t", False)
 def vocabulary(s, d):
-    w = load(s, d, "documents").where("lang = 'en'").select(F.explode(text.tokens(F.col("text"))).alias("word"))
+    w = load(s, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("word"))
     return stats.vocabulary(w, 100).withColumn("id", F.col("id").cast("long"))
 
 
@@ -271,25 +251,28 @@ def merged_words(s, d):
 
 @query("SELECT l_returnflag, l_linenumber AS common FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_linenumber) AS r FROM (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE r = 1", False)
 def mode_with_ties(s, d):
-    return load(s, d, "lineitem").groupBy("l_returnflag").agg(F.mode("l_linenumber", True).alias("common"))
+    return stats.commonest(load(s, d, "lineitem"), "l_returnflag", "l_linenumber")
+
 
 
 @query("SELECT l_orderkey % 7 AS k, count(DISTINCT l_partkey) AS parts, round(100.0 * sum(CASE WHEN l_shipdate < TIMESTAMP '1996-01-01' THEN 1 ELSE 0 END) / count(*), 6) AS share FROM lineitem GROUP BY 1", False)
 def conditional_shares(s, d):
-    early = F.sum(F.when(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp"), 1).otherwise(0))
-    return load(s, d, "lineitem").groupBy((F.col("l_orderkey") % 7).alias("k")).agg(F.count_distinct("l_partkey").alias("parts"), r6(F.lit(100.0) * early / F.count("*")).alias("share"))
+    early = F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp")
+    return stats.shares(load(s, d, "lineitem"), F.col("l_orderkey") % 7, "l_partkey", early).withColumn("share", r6(F.col("share")))
+
 
 
 # ---- order, top-k, sets -------------------------------------------------------------------------
 
 
-@query("""WITH n AS (SELECT p_partkey AS eid, list_distinct(string_split(p_name, ' ')) AS w, p_retailprice AS frequency FROM part),
- q AS (SELECT w FROM n WHERE eid = (SELECT min(eid) FROM n)), s AS (SELECT eid, frequency, len(list_intersect(n.w, q.w)) / (len(n.w) + len(q.w) - len(list_intersect(n.w, q.w))) AS sim FROM n, q)
- SELECT eid, round(sim, 6) AS similarity, frequency FROM s WHERE sim >= 0.3 ORDER BY sim DESC, frequency DESC, eid DESC LIMIT 10""", False)
+@query("""WITH n AS (SELECT p_partkey AS eid, list_distinct(string_split(p_name, ' ')) AS w, p_retailprice AS frequency, p_brand, p_type FROM part),
+ f AS (SELECT *, CASE WHEN p_brand = 'Brand#11' AND p_type = 'none' THEN 0 WHEN p_brand = 'Brand#11' THEN 1 ELSE 2 END AS grain FROM n WHERE p_brand = 'Brand#11' OR p_type = 'STANDARD'),
+ s AS (SELECT eid, frequency, len(list_intersect(w, ['small', 'red'])) / (len(w) + 2 - len(list_intersect(w, ['small', 'red']))) AS sim FROM f WHERE grain = (SELECT min(grain) FROM f))
+ SELECT eid, round(sim, 6) AS similarity, frequency FROM s WHERE sim >= 0.1 ORDER BY sim DESC, frequency DESC, eid DESC LIMIT 10""", False)
 def partial_match(s, d):
-    part = load(s, d, "part").select(F.col("p_partkey").alias("eid"), F.split("p_name", " ").alias("words"), F.col("p_retailprice").alias("frequency"), F.lit("x").alias("any"))
-    own = part.orderBy("eid").first()
-    return lookup.partial_match(part, list(own["words"]) if own else [], {"any": "x"}, 0.3, 10).select("eid", r6(F.col("similarity")).alias("similarity"), "frequency")
+    part = load(s, d, "part").select(F.col("p_partkey").alias("eid"), F.split("p_name", " ").alias("words"), F.col("p_retailprice").alias("frequency"), F.concat_ws("/", "p_brand", "p_type").alias("fine"), F.col("p_brand").alias("mid"), F.col("p_type").alias("coarse"))
+    out = lookup.partial_match(part, ["small", "red"], {"fine": "Brand#11/none", "mid": "Brand#11", "coarse": "STANDARD"}, 0.1, 10)
+    return out.select("eid", r6(F.col("similarity")).alias("similarity"), "frequency")
 
 
 @query("SELECT instance, replace(concept, ' ', '-') AS concept, round(score, 6) AS score, rank FROM top")
@@ -300,18 +283,27 @@ def top_concepts(s, d):
 
 @query("SELECT p_type, p_partkey FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 3", False)
 def top_per_group(s, d):
-    w = Window.partitionBy("p_type").orderBy(F.col("p_retailprice").desc(), "p_partkey")
-    return load(s, d, "part").withColumn("r", F.row_number().over(w)).where("r <= 3").select("p_type", "p_partkey")
+    return sampling.top(load(s, d, "part").select("p_type", "p_partkey", "p_retailprice"), "p_type", [F.col("p_retailprice").desc(), F.col("p_partkey")], 3).select("p_type", "p_partkey")
 
 
-@query()
+
+@query("SELECT p_type, p_partkey FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY md5(p_partkey || '|0'), p_partkey) AS r FROM part) WHERE r <= 5", False)
 def stratified_sample(s, d):
     return sampling.per_group(load(s, d, "part").select("p_type", "p_partkey"), "p_type", "p_partkey", 5)
 
 
-@query(", h AS (SELECT hid, count(DISTINCT tid) AS n FROM edges GROUP BY 1) SELECT hid, n, CAST(floor((sum(n) OVER (ORDER BY hid) - n) / 100) AS BIGINT) AS slice FROM h")
+@query(""", h AS (SELECT hid, count(DISTINCT rid) AS n, row_number() OVER (ORDER BY hid) AS i FROM edges GROUP BY 1),
+ cut(i, hid, slice, held) AS (SELECT i, hid, 0, n FROM h WHERE i = 1 UNION ALL SELECT h.i, h.hid, CASE WHEN held >= 60 THEN slice + 1 ELSE slice END, CASE WHEN held >= 60 THEN n ELSE held + n END FROM cut JOIN h ON h.i = cut.i + 1)
+ SELECT hid, CAST(slice AS BIGINT) AS slice FROM cut""")
 def graph_slices(s, d):
-    return graph.slices(tpch.edges(s, d), 100)
+    return graph.slices(tpch.nodes(s, d), tpch.edges(s, d), 1000, 60)[1].select("hid", "slice")
+
+
+@query("SELECT sha1(c_custkey::VARCHAR) AS eid, CAST((row_number() OVER (ORDER BY sha1(c_custkey::VARCHAR)) - 1) // 40 AS BIGINT) AS slice FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)", False)
+def lone_slices(s, d):
+    name = lambda c: F.sha1(F.col(c).cast("string"))
+    edges = load(s, d, "orders").where("o_orderkey % 7 = 0").select(name("o_custkey").alias("hid"), name("o_custkey").alias("tid"), F.lit("r").alias("rid"))
+    return graph.slices(load(s, d, "customer").select(name("c_custkey").alias("eid")), edges, 40, 40)[0]
 
 
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", False)
@@ -319,9 +311,9 @@ def set_intersect(s, d):
     return load(s, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(load(s, d, "supplier").select("s_nationkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders", False)
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0", False)
 def set_except(s, d):
-    return load(s, d, "customer").select(F.col("c_custkey").alias("k")).subtract(load(s, d, "orders").select("o_custkey"))
+    return load(s, d, "customer").select(F.col("c_custkey").alias("k")).subtract(load(s, d, "orders").where("o_orderkey % 7 = 0").select("o_custkey"))
 
 
 # ---- concepts ---------------------------------------------------------------------------------
@@ -351,7 +343,7 @@ def concept_weights(s, d):
 
 @query("SELECT count(DISTINCT concept) AS concepts, count(DISTINCT instance) AS instances, CAST(sum(freq) AS BIGINT) AS freq FROM tax")
 def taxonomy_size(s, d):
-    return tpch.taxonomy(s, d).agg(F.count_distinct("concept").alias("concepts"), F.count_distinct("instance").alias("instances"), F.sum("freq").alias("freq"))
+    return concepts.sizes(tpch.taxonomy(s, d))
 
 
 @query("""WITH t AS (SELECT n_name AS instance, r_name AS concept FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'WORLD' FROM region)
@@ -380,25 +372,24 @@ def clean_text(s, d):
     return load(s, d, "documents").select("doc_id", F.length(text.clean(F.col("text"))).cast("long").alias("n"))
 
 
-@query("""WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark)
- SELECT a.item_id AS x, b.item_id AS y, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS simple FROM w a JOIN w b ON b.item_id = a.item_id + 1""", False)
+@query(f"""WITH w AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}+')), lambda x: x NOT IN ({", ".join(f"'{p}'" for p in PRONOUNS)})) AS w FROM benchmark)
+ SELECT a.item_id AS x, b.item_id AS y, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 6) AS simpson FROM w a JOIN w b ON b.item_id = a.item_id + 1""", False)
 def overlap(s, d):
-    w = load(s, d, "benchmark").select("item_id", F.array_distinct(text.tokens(F.col("text"))).alias("w"))
+    w = load(s, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("w"))
     other = w.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("v"))
-    plain = F.try_divide(F.size(F.array_intersect("w", "v")).cast("double"), F.size(F.array_union("w", "v")))
-    return w.join(other, "item_id").select(F.col("item_id").alias("x"), (F.col("item_id") + 1).alias("y"), r6(plain).alias("simple"))
+    both = text.jaccard(F.col("w"), F.col("v")), text.simpson(text.content_words("w"), text.content_words("v"))
+    return w.join(other, "item_id").select(F.col("item_id").alias("x"), (F.col("item_id") + 1).alias("y"), r6(both[0]).alias("jaccard"), r6(both[1]).alias("simpson"))
 
 
 # ---- relations, rewriting, linking ---------------------------------------------------------------
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en'),
- u AS (SELECT doc_id, unnest(w) AS word FROM t)
+@query(r"""WITH u AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents)
  SELECT CASE word WHEN 'and' THEN 'Conjunction' WHEN 'or' THEN 'Alternative' WHEN 'so' THEN 'Result' WHEN 'but' THEN 'Contrast' WHEN 'if' THEN 'Condition' END AS sense, word, count(*) AS n FROM u WHERE word IN ('and', 'or', 'so', 'but', 'if') GROUP BY ALL""", False)
 def connective_candidates(s, d):
-    lexicon = relations.connectives(s, {"Conjunction": ["and"], "Alternative": ["or"], "Result": ["so"], "Contrast": ["but"], "Condition": ["if"]})
-    sents = load(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("sid"), text.tokens(F.col("text")).alias("tokens"))
-    return relations.candidates(sents, lexicon).groupBy("sense", F.array_join("words", " ").alias("word")).agg(F.count("*").alias("n"))
+    table = {"Conjunction": ["and"], "Alternative": ["or"], "Result": ["so"], "Contrast": ["but"], "Condition": ["if"]}
+    sents = load(s, d, "documents").select(F.col("doc_id").alias("sid"), text.tokens(F.col("text")).alias("tokens"))
+    return relations.candidates(sents, table).groupBy("sense", F.col("connective").alias("word")).agg(F.count("*").alias("n"))
 
 
 @query(r"""WITH e AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part)
@@ -447,3 +438,6 @@ def word_pairs(s, d):
 def coverage(s, d):
     posts = load(s, d, "customer").select(F.col("c_custkey").alias("post"))
     return linking.coverage(posts, load(s, d, "orders").select(F.col("o_custkey").alias("post"), F.col("o_orderpriority").alias("hid")))
+
+
+from evkg.plans import made  # noqa: E402, F401  (registers its queries)

@@ -17,10 +17,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(sent, pos, eid, words, pattern, frequency, flag)``; parts are joined by the line items' key."""
-    part = load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    # Names are hashed once a part, before the join.
+    part = load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.sha1("p_brand").alias("eid"))
     line = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("flag"))
     out = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return out.select(F.col("l_orderkey").alias("sent"), F.col("l_linenumber").alias("pos"), F.sha1("p_brand").alias("eid"), F.col("p_brand").alias("words"), F.col("p_type").alias("pattern"), F.lit(1.0).alias("frequency"), "flag")
+    return out.select(F.col("l_orderkey").alias("sent"), F.col("l_linenumber").alias("pos"), "eid", F.col("p_brand").alias("words"), F.col("p_type").alias("pattern"), F.lit(1.0).alias("frequency"), "flag")
 
 
 def nodes(spark, sf_dir) -> DataFrame:

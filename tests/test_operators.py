@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evkg.functions import ids, text
-from evkg.operators import concepts, extract, graph, lookup
+from evkg.operators import concepts, extract, graph, lookup, trees
 from evkg.sources import corpus
 from evkg.streaming import upsert
 
@@ -18,6 +18,9 @@ SURE = (
 )
 
 
+PARSE = "(ROOT (S (PP (IN In) (NP (DT the) (NN meantime))) (, ,) (NP (PRP I)) (VP (VBP 'm) (ADJP (JJ sure) (SBAR (S (NP (PRP we)) (VP (MD could) (VP (VB find) (NP (PRP you)) (NP (JJ suitable) (NNS accommodations)))))))) (. .)))"
+
+
 @pytest.mark.parametrize(("words", "tags", "want"), [("i think", "PRP VBP", "269dda803d3ec7cea532a0cb1ccda7c855a0c222"), ("i ordered", "PRP VBD", "9a557e7b3187e7629dd58ef08d59763a934777aa"), ("they looked", "PRP VBD", "5f9816d1ded488fee20664808c8cdbd954743a1c")])
 def test_node_ids(spark, words, tags, want):
     df = spark.createDataFrame([(words.split(), tags.split(), [(1, "nsubj", 0)])], "w array<string>, t array<string>, d array<struct<gov:int,dep:string,dpt:int>>")
@@ -40,12 +43,52 @@ def test_extraction(spark):
     assert ("d|1", "we could find you suitable accommodation", "s-v-o-o") in got
     assert not [g for g in got if "meantime ," in g[1]]
     assert extract.eventualities(["who", "runs"], ["who", "run"], ["WP", "VBZ"], [(1, "nsubj", 0)]) == []
+    halves = {(r["sid"], " ".join(r["words"]), tuple(r["raw_idx"])) for r in extract.extract(sentences(spark).withColumn("parse", F.when(F.col("sid") == "d|1", F.lit(PARSE))), clause_split=True).collect()}
+    assert ("d|1", "i be sure", (4, 5, 6)) in halves and ("d|1", "we could find you suitable accommodation", (7, 8, 9, 10, 11, 12)) in halves
+
+
+# One sentence for each pattern: words, tags, edges, what comes out.
+BY_PATTERN = [
+    ("they go out", "PRP VBP RP", [(1, "nsubj", 0), (1, "compound:prt", 2)], "s-v", "they go out"),
+    ("they see two dogs", "PRP VBP CD NNS", [(1, "nsubj", 0), (1, "dobj", 3), (3, "nummod", 2)], "s-v-o", "they see two dogs"),
+    ("they give me food", "PRP VBP PRP NN", [(1, "nsubj", 0), (1, "iobj", 2), (1, "dobj", 3)], "s-v-o-o", "they give me food"),
+    ("it be two good", "PRP VBZ CD JJ", [(3, "nsubj", 0), (3, "cop", 1), (3, "dep", 2)], "s-be-a", "it be good"),
+    ("it be a dog", "PRP VBZ DT NN", [(3, "nsubj", 0), (3, "cop", 1), (3, "det", 2)], "s-be-o", "it be a dog"),
+    ("they want to be good", "PRP VBP TO VB JJ", [(1, "nsubj", 0), (1, "xcomp", 4), (4, "mark", 2), (4, "cop", 3)], "s-v-be-a", "they want to be good"),
+    ("they want to be king", "PRP VBP TO VB NN", [(1, "nsubj", 0), (1, "xcomp", 4), (4, "mark", 2), (4, "cop", 3)], "s-v-be-o", "they want to be king"),
+    ("they want to eat food", "PRP VBP TO VB NN", [(1, "nsubj", 0), (1, "xcomp", 3), (3, "mark", 2), (3, "dobj", 4)], "s-v-v-o", "they want to eat food"),
+    ("they want to go", "PRP VBP TO VB", [(1, "nsubj", 0), (1, "xcomp", 3), (3, "mark", 2)], "s-v-v", "they want to go"),
+    ("they feel good", "PRP VBP JJ", [(1, "nsubj", 0), (1, "xcomp", 2)], "s-v-a", "they feel good"),
+    ("they be see", "PRP VBD VBN", [(2, "nsubjpass", 0), (2, "auxpass", 1)], "spass-v", "they be see"),
+    ("they ask him to eat food", "PRP VBP PRP TO VB NN", [(1, "nsubj", 0), (1, "dobj", 2), (1, "xcomp", 4), (4, "mark", 3), (4, "dobj", 5)], "s-v-o-v-o", "they ask him eat food"),
+    ("they make him be good", "PRP VBP PRP VB JJ", [(1, "nsubj", 0), (1, "dobj", 2), (1, "xcomp", 4), (4, "cop", 3)], "s-v-o-be-a", "they make him be good"),
+    ("they make him be king", "PRP VBP PRP VB NN", [(1, "nsubj", 0), (1, "dobj", 2), (1, "xcomp", 4), (4, "cop", 3)], "s-v-o-be-o", "they make him be king"),
+    ("they be ask to eat food", "PRP VBD VBN TO VB NN", [(2, "nsubjpass", 0), (2, "auxpass", 1), (2, "xcomp", 4), (4, "mark", 3), (4, "dobj", 5)], "spass-v-v-o", "they be ask eat food"),
+    ("they be give food", "PRP VBD VBN NN", [(2, "nsubjpass", 0), (2, "auxpass", 1), (2, "dobj", 3)], "spass-v-o", "they be give food"),
+    ("there be a dog", "EX VBZ DT NN", [(1, "expl", 0), (1, "nsubj", 3), (3, "det", 2)], "there-be-o", "there be a dog"),
+    ("they ask him to give me food", "PRP VBP PRP TO VB PRP NN", [(1, "nsubj", 0), (1, "dobj", 2), (1, "xcomp", 4), (4, "mark", 3), (4, "iobj", 5), (4, "dobj", 6)], "s-v-o-v-o-o", "they ask him give me food"),
+    ("it be good after lunch", "PRP VBZ JJ IN NN", [(2, "nsubj", 0), (2, "cop", 1), (2, "nmod:after", 4), (4, "case", 3)], "s-be-a", "it be good"),
+]
+
+
+@pytest.mark.parametrize("case", BY_PATTERN, ids=lambda c: c[3])
+def test_patterns(case):
+    words, tags, edges, pattern, want = case
+    got = [(g["pattern"], " ".join(g["words"])) for g in extract.eventualities(words.split(), words.split(), tags.split(), edges)]
+    assert (pattern, want) in got
 
 
 def test_match_rules():
-    edges = [(1, "nsubj", 0), (1, "xcomp", 3), (3, "aux", 2)]
-    got = extract.eventualities("they want to go".split(), "they want to go".split(), ["PRP", "VBP", "TO", "VB"], edges)
-    assert [(g["pattern"], g["words"]) for g in got] == [("s-v-v", ["they", "want", "to", "go"])]
+    said = lambda words, tags, edges: [" ".join(g["words"]) for g in extract.eventualities(words.split(), words.split(), tags.split(), edges)]
+    within = [(1, "nsubj", 0), (1, "ccomp", 3), (3, "nsubj", 2), (3, "xcomp", 5), (5, "mark", 4), (5, "dobj", 6)]
+    assert said("i say they want to eat food", "PRP VBP PRP VBP TO VB NN", within) == ["i say"]  # no s-v-v-o inside a clause of saying
+    # a leading preposition goes, with its edges; only the first case word of the last modifier comes along
+    lead = [(2, "nsubj", 1), (1, "case", 0), (2, "nmod:to", 5), (5, "case", 3), (5, "case", 4)]
+    assert said("of dogs go up to town", "IN NNS VBP IN TO NN", lead) == ["dogs go up town"]
+    assert trees.segments(4, [(2, "compound", 0), (2, "compound", 1), (3, "nsubj", 2)]) == [(2, 0, 2), (3, 3, 3)]
+    assert trees.segments(4, [(3, "compound", 0), (3, "compound", 2)]) == [(0, 0, 0), (1, 1, 1), (2, 2, 3)]
+    assert trees.strip([",", "a", ",", "b", "."], [0, 1, 2, 3, 4]) == [1, 2, 3]
+    assert trees.lowest_common(PARSE, [7, 8]) == "S" and trees.path_to_root(PARSE, 4) == ["PRP", "NP", "S", "ROOT"]
     # an edge outside the allow-list of the verb rejects
     assert extract.eventualities("they go x".split(), "they go x".split(), ["PRP", "VBP", "NN"], [(1, "nsubj", 0), (1, "strange", 2)]) == []
 
@@ -57,7 +100,7 @@ def test_seed_form(spark):
 
 def test_conceptualize(spark):
     tax = spark.createDataFrame([("food", "bread", 10), ("carbohydrate", "bread", 3), ("product", "bread", 1), ("food", "egg", 6), ("animal product", "egg", 2)], "concept string, instance string, freq long")
-    nodes = spark.createDataFrame([("e1", "s-v-o", ["i", "eat", "bread"], ["PRP", "VBP", "NN"], ["O"] * 3), ("e2", "s-v", ["he", "run"], ["PRP", "VBZ"], ["O"] * 2), ("e3", "s-v-o", ["egg", "beat", "egg", "bread"], ["NN", "VBP", "NN", "NN"], ["O"] * 4)], "eid string, pattern string, words array<string>, pos_tags array<string>, ners array<string>")
+    nodes = spark.createDataFrame([("e1", "s-v-o", ["i", "eat", "bread"], ["PRP", "VBP", "NN"], ["O"] * 3), ("e2", "s-v", ["he", "run"], ["PRP", "VBZ"], ["O"] * 2), ("e3", "s-v-o", ["egg", "beat", "egg", "bread"], ["NN", "VBP", "NN", "NN"], ["O"] * 4)], "eid string, pattern string, skeleton_phrases array<string>, skeleton_pos array<string>, skeleton_ners array<string>")
     got = {(r["eid"], " ".join(r["words"])): r["score"] for r in concepts.conceptualize(nodes, tax, 2).collect()}
     assert got["e1", "__PERSON__0 eat food"] == pytest.approx(10 / 14) and got["e2", "__PERSON__0 run"] == 1.0
     best = {"food beat food bread": 6 / 8, "egg beat egg food": 10 / 14, "food beat food food": 6 / 8 * 10 / 14, "animal-product beat animal-product bread": 2 / 8}
@@ -126,16 +169,49 @@ def test_stream(spark, tmp_path):
 def test_seed_relations(spark):
     from evkg.operators import relations
 
-    rows = [("d|0", "d", 0, "i leave because he comes".split(), [(1, "advcl:because", 4)]), ("d|1", "d", 1, "thus she wins".split(), [(2, "nsubj", 1)])]
+    rows = [("d|0", "d", 0, "i leave because he comes".split(), [(1, "advcl:because", 4)]), ("d|1", "d", 1, "thus she wins".split(), [(2, "nsubj", 1)]), ("d|2", "d", 2, "i leave instead he comes".split(), [(1, "advcl", 4)])]
     sents = spark.createDataFrame(rows, "sid string, doc string, sent_idx int, tokens array<string>, dependencies array<struct<gov:int,dep:string,dpt:int>>")
-    occ = spark.createDataFrame([("d|0", "leave", 0.5, [0, 1]), ("d|0", "come", 3.5, [3, 4]), ("d|1", "win", 1.5, [1, 2])], "sid string, eid string, position double, raw_idx array<int>")
-    lexicon = relations.connectives(spark)
-    assert sorted((r["hid"], r["tid"], r["sense"]) for r in relations.within(sents, occ, lexicon).collect()) == [("leave", "come", "Reason")]
-    assert relations.across(sents, occ, lexicon).count() == 0  # the first sentence has two eventualities
-    alone = occ.where("eid <> 'leave'")
-    assert [(r["hid"], r["tid"], r["sense"]) for r in relations.across(sents, alone, lexicon).collect()] == [("come", "win", "Result")]
-    longest = relations.candidates(spark.createDataFrame([("x", "in other words at the same time so".split())], "sid string, tokens array<string>"), lexicon)
-    assert sorted(r["at"] for r in longest.collect()) == [0, 3, 7]
+    occ = spark.createDataFrame([("d|0", "leave", 0.5, [0, 1]), ("d|0", "come", 3.5, [3, 4]), ("d|1", "win", 1.5, [1, 2]), ("d|2", "leave", 0.5, [0, 1]), ("d|2", "come", 3.5, [3, 4])], "sid string, eid string, position double, raw_idx array<int>")
+    said = lambda df: [(r["hid"], r["tid"], r["sense"]) for r in df.collect()]
+    assert said(relations.within(sents, occ)) == [("leave", "come", "Reason")]  # ``instead`` between them joins nothing
+    assert relations.across(sents, occ).count() == 0  # the first sentence has two eventualities
+
+    def pair(first, second, hp, tp):
+        s = spark.createDataFrame([("a", "d", 0, first.split()), ("b", "d", 1, second.split())], "sid string, doc string, sent_idx int, tokens array<string>")
+        return said(relations.across(s, spark.createDataFrame([("a", "h", hp), ("b", "t", tp)], "sid string, eid string, position double")))
+
+    assert pair("he left", "thus she wins", 0.5, 1.5) == [("h", "t", "Result")]
+    assert pair("he left " + "x " * 20, "thus she wins", 0.5, 1.5) == []  # too far from one another
+    assert pair("he left so", "she wins", 0.5, 0.5) == [("h", "t", "Result")]  # in the first sentence
+    assert pair("he left", "she wins instead", 0.5, 0.5) == [("h", "t", "ChosenAlternative")]
+    assert pair("he left", "Thus she wins", 0.5, 1.5) == []  # as it is written
+    longest = relations.candidates(spark.createDataFrame([("x", "in other words at the same time so".split())], "sid string, tokens array<string>"))
+    assert sorted(r["indices"] for r in longest.collect()) == [[0, 1, 2], [3, 4, 5, 6], [7]]
+
+
+def test_texts(spark):
+    df = spark.createDataFrame([("see example.com now", True), ("mail a@b.com", False), ("no dot", False), ("http://x.y", True), ("u.s. and p.m.", False)], "t string, want boolean")
+    assert all(r["got"] == r["want"] for r in df.select("want", text.has_url(F.col("t")).alias("got")).collect())
+    long = "a" * 30 + ". " + "b" * 30 + "\n\n" + "c" * 30 + "\n" + "d" * 20 + ", " + "e" * 30
+    got = spark.createDataFrame([(long,)], "t string").select(text.short_pieces(F.col("t"), 40)).first()[0]
+    assert got == ["a" * 30 + ".", "b" * 30, "c" * 30, "d" * 20, "e" * 30]
+
+
+def test_parser_is_given(spark):
+    from evkg.plans import facade
+
+    def parser(t):
+        w = t.split()
+        return [{"text": t, "tokens": w, "lemmas": w, "pos_tags": ["PRP", "VBP"], "ners": ["O"] * 2, "parse": None, "dependencies": [(0, "ROOT", 2), (2, "nsubj", 1)]}]
+
+    paras = spark.createDataFrame([("a", 0, "we go"), ("a", 1, "they run"), ("b", 0, "we go"), ("c", 0, "i rest")], "doc string, para_idx int, text string")
+    sents = facade.parse_text(paras, parser, done=spark.createDataFrame([("c",)], "doc string"))
+    assert sorted((r["sid"], r["dependencies"][0]["gov"]) for r in sents.collect()) == [("a|1", 1), ("a|2", 1), ("b|1", 1)]
+    found, related = facade.eventualities_and_relations(sents)
+    assert found.count() == 3 and related.count() == 0
+    assert sorted(r["frequency"] for r in facade.eventualities(sents, in_order=False).collect()) == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        facade.eventualities(sents, "other")
 
 
 def test_name_persons(spark):
@@ -160,6 +236,7 @@ def test_build(spark, tmp_path):
     edges = got["edges"].collect()
     assert all(r["hid"] in ids and r["tid"] in ids and r["weight"] >= 2.0 for r in edges) and got["core_edges"].count() == len(edges)
     named = {" ".join(r["words"]): r["weight"] for r in got["concepts"].collect()}
-    assert named["__PERSON__0 could find __PERSON__1 suitable building"] == pytest.approx(2 * 3 / 4) and any("__CITY__0" in w for w in named)
-    assert set(got) == {"occurrences", "relation_occurrences", "nodes", "edges", "core_nodes", "core_edges", "concept_pairs", "concepts", "concept_edges"}
+    assert named["__PERSON__0 find __PERSON__1 building"] == pytest.approx(2 * 3 / 4) and any("__CITY__0" in w for w in named)
+    assert [len(r["sources"]) for r in got["node_sources"].collect()] == [2] * len(nodes)
+    assert set(got) == {"occurrences", "relation_occurrences", "nodes", "edges", "core_nodes", "core_edges", "concept_pairs", "concepts", "concept_edges", "node_sources", "edge_sources"}
     assert build.build(twice.where("false"), tax, str(tmp_path / "none"))["concept_edges"].count() == 0

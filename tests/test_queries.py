@@ -29,16 +29,6 @@ def test_matches_sql(spark, duck, sf, name):
     assert same, [x for x in zip(got, want, strict=False) if x[0] != x[1]][:3]
 
 
-def test_sample(spark, sf):
-    rows = catalog.QUERIES["stratified_sample"](spark, sf).collect()
-    again = catalog.QUERIES["stratified_sample"](spark, sf).collect()
-    assert sorted(rows) == sorted(again)
-    sizes = {}
-    for r in rows:
-        sizes[r["p_type"]] = sizes.get(r["p_type"], 0) + 1
-    assert set(sizes.values()) == {5}
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 
