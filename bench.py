@@ -18,14 +18,19 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from evkg.plans import catalog
 
-    took = {}
-    for name in NAMES:
-        run = lambda: catalog.QUERIES[name](spark, at).write.format("noop").mode("overwrite").save()  # noqa: B023, E731
-        run()
+    try:  # the corpus operators may be taken away
+        from evkg.llm.queries import QUERIES as corpus
+    except ModuleNotFoundError:
+        corpus = {}
+    took, once = {}, {}
+    for name, call in {**{n: catalog.QUERIES[n] for n in NAMES}, **corpus}.items():
+        run = lambda: call(spark, at).write.format("noop").mode("overwrite").save()  # noqa: B023, E731
+        if name not in corpus:
+            run()  # the headline queries are timed warm, the corpus operators in their only run
         begun = time.perf_counter()
         run()
-        took[name] = round(time.perf_counter() - begun, 3)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(at.rstrip("/"))}))
+        (once if name in corpus else took)[name] = round(time.perf_counter() - begun, 3)
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "corpus_queries": once, "sf": os.path.basename(at.rstrip("/"))}))
 
 
 if __name__ == "__main__":

@@ -40,7 +40,10 @@ def raw_edges(spark, sf_dir) -> DataFrame:
 
 
 def edges(spark, sf_dir) -> DataFrame:
-    return graph.merge_edges(raw_edges(spark, sf_dir))
+    """Pairs meet and add up by name; the ids are made of the sums."""
+    named = occurrences(spark, sf_dir).withColumn("eid", F.col("words"))
+    sums = graph.cooccurrence(named, sense()).groupBy("hid", "tid", "sense").agg(F.sum("weight").alias("weight"))
+    return graph.merge_edges(sums.withColumn("hid", F.sha1("hid")).withColumn("tid", F.sha1("tid")))
 
 
 def sentences(spark, sf_dir) -> DataFrame:
