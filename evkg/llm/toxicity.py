@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
 from collections import Counter
 
@@ -238,16 +239,42 @@ def score(model, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((x - mid) / dev @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS):
-    """A model from the labelled documents, as a broadcast variable."""
+class Packed:
+    """A trained model as bytes; a worker unpacks it once."""
+
+    def __init__(self, packed: bytes):
+        self.packed, self.model = packed, None
+
+    def __reduce__(self):
+        return Packed, (self.packed,)
+
+    def open(self):
+        if self.model is None:
+            self.model = pickle.loads(self.packed)
+        return self.model
+
+
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
+    """``(text, y)`` of the labelled documents that are learned from."""
     marks = pick(labels, id=id_col, y=label_col).where("y IN (0, 1) AND id IS NOT NULL").groupBy(F.col("id").cast("long").alias("id")).agg(F.max(F.col("y").cast("int")).alias("y"))
     some = bounded_sample(marks, "y", "id", per_class).select(F.col("id").alias("_id"), "y")
     src = pick(docs, id=id_col, text=text_col)
     own = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = src.where(F.length(own) <= MOST_CHARS).join(F.broadcast(some), src["id"] == F.col("_id")).select("_id", own.alias("text"), "y")
-    # Rows that repeat an id count once, so what reaches the driver stays within the bound.
-    rows = rows.groupBy("_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    return docs.sparkSession.sparkContext.broadcast(train([(r["text"], r["y"]) for r in rows.collect()]))
+    # Rows that repeat an id count once, so the sample stays within its bound.
+    return rows.groupBy("_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS):
+    """A model from the labelled documents, as a broadcast variable.  The bounded sample meets in one task, which
+    trains; the driver passes on the packed model and holds neither texts nor counts."""
+
+    def run(batches):
+        rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
+
+    one = sampled(docs, labels, id_col, text_col, label_col, per_class).repartition(1).mapInArrow(run, "model binary").collect()
+    return docs.sparkSession.sparkContext.broadcast(Packed(bytes(one[0]["model"]) if one else pickle.dumps(None)))
 
 
 def scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,7 +283,7 @@ def scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                p = score(model.value, b.column(1).slice(at, 512).to_pylist())
+                p = score(model.value.open(), b.column(1).slice(at, 512).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
     src = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -271,7 +298,7 @@ def drop_toxic(docs: DataFrame, model, text_col: str = "text", at: float = 0.5)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                yield part.filter(pa.array(score(model.value, part.column(place).to_pylist()) < at))
+                yield part.filter(pa.array(score(model.value.open(), part.column(place).to_pylist()) < at))
 
     return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
 
