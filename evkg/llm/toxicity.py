@@ -37,7 +37,7 @@ SYMBOLS = 40
 WORD = re.compile(r"[^\W\d_]+")
 END = re.compile(r"[.!?\n]+")
 #: At most so many labelled documents of each class are fitted, those with the smallest hashes, none above so many characters.
-PER_CLASS, MOST_CHARS = 2_000, 100_000
+PER_CLASS, MOST_CHARS = 3_000, 100_000
 DISCOUNT = 0.75
 #: What is taken from a word's count; over one, so that a word seen once says no more than its spelling.
 WORD_DISCOUNT = 1.5
