@@ -7,7 +7,7 @@ that of the shingle sets, ``sum of weights shared / sum of weights of either``,
 contamination.
 
 Every window that shares a shingle with an item is judged exactly; without one the similarity is zero.
-Items of fewer than five words are found only in documents of fewer than five words.
+An item of fewer than five words is one shingle, and is found where a document has these words in a row.
 Documents and items meet on equal shingles (those of the benchmark are broadcast after their number is
 checked), so the rest of the corpus never leaves the scan.  The places where they meet are dealt by document,
 item and *segment*, two window lengths that overlap by one, so a window lies within a segment and no row
@@ -51,12 +51,20 @@ def shingles(h: Column, k: int = K) -> Column:
     )
 
 
+def placed(h: Column, short: list[int]) -> Column:
+    """``array<struct<pos, h>>``: the shingles of an array of word hashes, and all its runs of as many words as short items have."""
+    at = lambda grams: F.transform(grams, lambda x, i: F.struct(i.alias("pos"), x.alias("h")))
+    runs = lambda n: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(F.slice(h, i + 1, n)))).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(at(shingles(h)), *[at(runs(n)) for n in short])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, item_id, similarity, start_word, windows)``: each item that a document holds, and where it fits best."""
     items = pick(benchmark, item_id=item_col, text=item_text_col).where("item_id IS NOT NULL")
     items = items.select("item_id", word_hashes(words(F.col("text"))).alias("w")).select("item_id", F.xxhash64("item_id", "w").alias("item"), F.size("w").alias("len"), shingles(F.col("w")).alias("s")).where("len > 0")
     items = cut(items.withColumn("s", F.array_distinct("s")).distinct())
     n_items = items.count()
+    short = sorted(r["len"] for r in items.where(F.col("len") < K).select("len").distinct().collect())  # four lengths at most
     parts = items.select("item", "len", F.explode("s").alias("h"))
     df = parts.groupBy("h").agg(F.count("*").alias("df"))
     parts = cut(parts.join(df, "h").withColumn("w", F.log1p(F.lit(float(n_items)) / F.col("df"))))
@@ -68,7 +76,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     src = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
     hash_words = lambda rows: rows.select("doc_id", word_hashes(words(F.col("text"))).alias("w")).withColumn("doc", F.xxhash64("doc_id", "w"))
     hashed = hash_words(src)
-    seen = hashed.select("doc_id", "doc", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"))).alias("pos", "h"))
+    w = F.col("w")
+    grams = F.inline(placed(w, short)) if short else F.posexplode(shingles(w)).alias("pos", "h")
+    seen = hashed.select("doc_id", "doc", F.size("w").alias("n"), grams)
     hits = seen.join(send(parts), "h")
     long = F.least("len", "n")  # words of a window
     wide = F.greatest(long - K + 1, F.lit(1))  # and its shingles

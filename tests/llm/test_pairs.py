@@ -215,7 +215,7 @@ def brute_leaks(docs, items):
         have = set(sh(x))
         for i, y in iw.items():
             own = set(sh(y))
-            if not own & have:
+            if not y or (len(y) >= 5 and not own & have):
                 continue
             for at in range(max(1, len(x) - len(y) + 1)):
                 win = set(sh(x[at : at + len(y)]))
@@ -231,13 +231,16 @@ def test_decontamination(spark):
     long = items[0][1].split()
     docs += [(-1, None), (-2, ""), (-3, items[1][1].upper()), (-4, "so: " + " ".join([*long[:9], "other", *long[10:]]) + " end"), (-5, "tiny one"), (-3, items[1][1].upper()), (-6, " ".join(long[: len(long) // 2])), (-7, "foo " * 40_000 + items[2][1])]
     items += [(900, None), (901, ""), (902, "Tiny, one!"), (902, "Tiny, one!")]
+    docs += [(-8, "so a Tiny one, " + "and more " * 9 + "tiny ONE"), (-9, "a zzq b"), (-10, "pa pe pi po"), (-11, "pa pe pi po pu"), (-12, "pa pe pi"), (-13, "tiny and one")]
+    items += [(903, "zzq"), (904, "pa pe pi po")]
     d = spark.createDataFrame([*docs, (None, items[0][1])], "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as s")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontamination.find_leaks(d, b).collect()}
     want = brute_leaks([x for x in docs if x[0] != -7], items)
     assert got.pop((-7, items[2][0])) == 1.0
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
-    assert {(-3, items[1][0]), (-5, 902)} <= set(want) and not [k for k in want if k[0] == -6]
+    assert {(-3, items[1][0]), (-5, 902), (-8, 902), (-9, 903), (-10, 904), (-11, 904)} <= set(want) and not {(-12, 904), (-13, 902)} & set(want)
+    assert not [k for k in want if k[0] == -6]
     kept = decontamination.drop_contaminated(d, b)
     assert kept.columns == d.columns and kept.count() == len(docs) + 1 - sum(i in {k[0] for k in got} | {-7} for i, _ in docs)
     assert decontamination.find_leaks(d.where("false"), b).count() == 0 and decontamination.find_leaks(d, b.where("false")).count() == 0
