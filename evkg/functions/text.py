@@ -91,12 +91,16 @@ def one_hot(values: Column, size: int) -> Column:
 
 
 def bracketed(text: Column) -> Column:
-    """``array<struct<role, words>>`` of texts like ``{I}_[subject] {like}_[verb]``; what follows ``||`` in a part goes."""
+    """``array<struct<role, words>>`` of texts like ``{I}_[subject] {like}_[verb]``; what follows ``||`` in a part goes.
+    A role stands once, at its first place with its last words."""
     parts = F.filter(F.split(F.trim(text), "\\]"), lambda p: F.element_at(F.split(p, "\\["), -1) != "")
     role = lambda p: F.element_at(F.split(p, "\\["), -1)
     first = lambda p: F.split(F.regexp_replace(F.regexp_replace(F.element_at(F.split(p, "\\["), 1), "\\{", ""), "\\}_", ""), "\\|\\|")[0]
     said = lambda p: F.when(F.contains(p, F.lit("||")), F.regexp_replace(F.split(p, "\\|\\|")[0], "\\{", "")).otherwise(first(p))
-    return F.transform(parts, lambda p: F.struct(role(p).alias("role"), F.trim(said(p)).alias("words")))
+    every = F.transform(parts, lambda p: F.struct(role(p).alias("role"), F.trim(said(p)).alias("words")))
+    last = lambda xs, r: F.element_at(F.filter(xs, lambda x: x["role"] == r), -1)
+    one = lambda xs: F.transform(F.array_distinct(F.transform(xs, lambda x: x["role"])), lambda r: last(xs, r))
+    return F.get(F.transform(F.array(every), one), 0)
 
 
 def bracketed_text(parts: Column) -> Column:

@@ -35,12 +35,22 @@ def totals(edges: DataFrame) -> DataFrame:
     return edges.groupBy("rid", "hid", "tid").agg(F.sum("weight").alias("total"))
 
 
+def successors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(rid, hid, tid, total)`` and the columns of the tails, nodes or concepts, of edges."""
+    return totals(edges).join(nodes, F.col("tid") == F.col("eid"))
+
+
 def related(nodes: DataFrame, edges: DataFrame, eid, reverse: bool = False) -> DataFrame:
     """Successors of a node by total weight, lightest first unless ``reverse``; ties by edge id."""
-    out = totals(edges.where(F.col("hid") == eid)).join(nodes, F.col("tid") == F.col("eid"))
+    out = successors(nodes, edges.where(F.col("hid") == eid))
     return out.orderBy(F.col("total").desc() if reverse else F.col("total").asc(), "rid")
 
 
+def exact(df: DataFrame, wanted: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Rows of ``df`` whose columns equal those of a wanted row (``keys``: own name to wanted name), with its other columns."""
+    return df.join(wanted.withColumnsRenamed({v: k for k, v in keys.items()}), list(keys))
+
+
 def neighbours(edges: DataFrame, ids: DataFrame, senses=None, forward: bool = True) -> DataFrame:
     """``(eid, other)``: distinct neighbours of many nodes over any of the senses."""
     own, other = ("hid", "tid") if forward else ("tid", "hid")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evkg.functions.text import has_digit, has_url, swap_persons
+from evkg.functions.text import bracketed, bracketed_text, has_digit, has_url, swap_persons
 
-# Verbs of saying, deictic words, words that begin a question.
+# Verbs of saying, deictic words, words that no event begins with.
 SAYING = ("say", "do", "tell")
 DEICTIC = ("this", "that", "these", "those", "here", "there")
-ASKING = ("who", "what", "when", "where", "why", "how", "which")
+ASKING = ("be", "how", "t", "what", "when", "where", "which", "who", "why", "do", "-lsb-", "whatever", "whose", "whom", "if")
 
 
 def among(words: Column, some) -> Column:
@@ -30,27 +30,92 @@ def clean_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.where(keep_event(F.col("words")) & ~has_url(said) & ~has_digit(said))
 
 
-# How pronouns of an edge are named, in the order in which persons appear.
-SINGULAR = {"i": ("i", "me", "my", "mine", "myself"), "you": ("you", "your", "yours", "yourself"), "he": ("he", "him", "his", "himself"), "she": ("she", "her", "hers", "herself")}
-PLURAL = {"we": ("we", "us", "our", "ours", "ourselves"), "they": ("they", "them", "their", "theirs", "themselves")}
-NAMES = {"s": ("PersonX", "PersonY", "PersonZ", "PersonA"), "p": ("PeopleX", "PeopleY")}
+# Words for one person and for several, and the names that they get.
+SINGULAR = ("i", "you", "he", "she", "someone", "guy", "man", "woman", "somebody")
+PLURAL = ("they", "we")
+PERSONS = ("PersonX", "PersonY", "PersonZ", "PersonA", "PersonB")
+GROUPS = ("PeopleX", "PeopleY")
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)``, the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _renamed(words: Column, order: Column, names) -> Column:
+    """Words that stand in ``order`` as the name of that place; those beyond the names stay."""
+    named = F.array(*[F.lit(n) for n in names])
+    at = lambda w: F.nullif(F.array_position(order, w), F.lit(0)).cast("int")
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(named, at(w)), w))
+
+
+def _subject(words: Column) -> Column:
+    return F.coalesce(F.get(words, 0).isin(*SINGULAR), F.lit(False))
+
+
+def _singular(head: Column, tail: Column) -> Column:
+    """Words for one person in order of appearance, the subjects of head and tail before all others if both are such words."""
+    first = F.when(_subject(head) & _subject(tail), F.array(F.get(head, 0), F.get(tail, 0))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(first, F.filter(F.concat(head, tail), lambda w: w.isin(*SINGULAR))))
 
 
 def name_persons(head: Column, tail: Column) -> Column:
-    """``struct(head, tail)`` of word arrays, pronouns replaced by PersonX... and PeopleX... in order of appearance."""
-    every = [(w, k, "s") for k, ws in SINGULAR.items() for w in ws] + [(w, k, "p") for k, ws in PLURAL.items() for w in ws]
-    of = F.create_map(*[x for w, k, n in every for x in (F.lit(w), F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")))])
-    both = F.concat(head, tail)
-    seen = F.array_distinct(F.filter(F.transform(both, lambda w: F.try_element_at(of, w)), lambda x: x.isNotNull()))
-    kind = lambda n: F.transform(F.filter(seen, lambda x: x["n"] == n), lambda x: x["k"])
-    named = {n: F.array(*[F.lit(x) for x in names]) for n, names in NAMES.items()}
-
-    def word(w):
-        p = F.try_element_at(of, w)
-        name = lambda n: F.try_element_at(named[n], F.array_position(kind(n), p["k"]).cast("int"))
-        return F.coalesce(F.when(p["n"] == "s", name("s")).when(p["n"] == "p", name("p")), w)
-
-    return F.struct(F.transform(head, word).alias("head"), F.transform(tail, word).alias("tail"))
+    """``struct(head, tail)`` of word arrays: ``my`` is read as ``i``, one person becomes PersonX..., several PeopleX..., in
+    order of appearance, but the two subjects first.  Persons beyond the names keep their words."""
+    mine = lambda ws: F.transform(ws, lambda w: F.when(w == "my", F.lit("i")).otherwise(w))
+    plural = lambda x: F.array_distinct(F.filter(F.concat(x["h"], x["t"]), lambda w: w.isin(*PLURAL)))
+    orders = lambda x: F.struct(x["h"].alias("h"), x["t"].alias("t"), _singular(x["h"], x["t"]).alias("s"), plural(x).alias("p"))
+    both = lambda x, ws: _renamed(_renamed(ws, x["s"], PERSONS), x["p"], GROUPS)
+    named = lambda x: F.struct(both(x, x["h"]).alias("head"), both(x, x["t"]).alias("tail"))
+    return _once(_once(F.struct(mine(head).alias("h"), mine(tail).alias("t")), orders), named)
+
+
+def name_subjects(head: Column, tail: Column, names=PERSONS[:3]) -> Column:
+    """``struct(head, tail)`` with up to three persons named, if the subject of either is a word for one person."""
+    order = F.when(_subject(head) | _subject(tail), _singular(head, tail)).otherwise(F.array().cast("array<string>"))
+    named = lambda o: F.struct(_renamed(head, o, names).alias("head"), _renamed(tail, o, names).alias("tail"))
+    return _once(order, named)
+
+
+# Which senses lead from a node to what holds beside it, to its causes and to its effects, as the head
+# of an edge (out), as its tail (in), or as either (both).
+DIRECTIONS = {
+    "stative": {"out": (), "in": (), "both": ("Synchronous", "Reason", "Result", "Condition", "Conjunction", "Restatement", "Alternative")},
+    "cause": {"out": ("Succession", "Condition", "Reason"), "in": ("Precedence", "Result"), "both": ("Synchronous", "Conjunction")},
+    "effect": {"out": ("Precedence", "Result"), "in": ("Succession", "Condition", "Reason"), "both": ("Synchronous", "Conjunction")},
+}
+
+
+def by_direction(edges: DataFrame, kind: str) -> DataFrame:
+    """``(eid, other, sense, weight)``: each edge from the node whose ``kind`` (of ``DIRECTIONS``) its other end is."""
+    way = DIRECTIONS[kind]
+    own = edges.where(F.col("sense").isin(*way["out"], *way["in"], *way["both"]))
+    side = lambda name, a, b: F.when(F.col("sense").isin(*way[name], *way["both"]), F.struct(F.col(a).alias("eid"), F.col(b).alias("other")))
+    ends = F.filter(F.array(side("out", "hid", "tid"), side("in", "tid", "hid")), lambda x: x.isNotNull())
+    return own.select(F.explode(ends).alias("x"), "sense", "weight").select("x.*", "sense", "weight")
+
+
+# Words of bracketed texts that name more persons, places or things than can be told apart.
+UNUSABLE = (
+    "&", "C", "D", "E", "F", "Someone_E", "Someone_F", "Someone_G", "People_D", "SomePeople_D", "People_E", "SomePeople_E", "People_F",
+    "SomePeople_F", "Somewhere_C", "Somewhere_D", "Somewhere_E", "Somewhere_F", "Something_D", "Something_E", "Something_F",
+)
+
+
+def usable(text: Column) -> Column:
+    """Whether no word of a bracketed text is among ``UNUSABLE``."""
+    return ~among(F.split(bracketed_text(bracketed(text)), " "), UNUSABLE)
+
+
+def regraph_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(words, frequency)`` of the nodes of ``regraph``: every end of an edge brings the frequency of its old node
+    ``(words, frequency)``, once for its name and once for that with persons swapped."""
+    named = edges.withColumn("p", name_persons(F.col("head"), F.col("tail")))
+    ends = named.select(F.explode(F.array(F.struct(F.col("head").alias("words"), F.col("p.head").alias("named")), F.struct(F.col("tail").alias("words"), F.col("p.tail").alias("named")))).alias("x"))
+    # Ends are counted before they meet their node, so a node of many edges is joined once a name.
+    counted = ends.groupBy("x.words", "x.named").agg(F.count("*").alias("n")).join(nodes.select("words", "frequency"), "words")
+    own = counted.select(F.explode(F.array("named", swap_persons(F.col("named")))).alias("w"), (F.col("n") * F.col("frequency")).alias("f"))
+    return own.groupBy(F.array_join("w", " ").alias("words")).agg(F.sum("f").alias("frequency"))
 
 
 def regraph(edges: DataFrame) -> DataFrame:

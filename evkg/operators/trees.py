@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import groupby
 
 # Tokens that end a clause, and tokens that are stripped from both ends of one.
 SEPARATORS = frozenset([".", ",", ":", ";", "?", "!", "~", "-", "..", "...", "--", "---"])
@@ -37,6 +38,30 @@ def lowest_common(parse: str, leaves: list[int]) -> str | None:
     return next((label for _, label, a, b in reversed(spans(parse)) if a <= min(leaves) and max(leaves) < b), None)
 
 
+def siblings(parse: str, node: tuple, side: str = "both") -> list[tuple[int, str, int, int]]:
+    """The other children of a node's parent, all or those on its ``left`` or ``right``."""
+    depth, _, first, end = node
+    over = next(((a, b) for d, _, a, b in spans(parse) if d == depth - 1 and a <= first and end <= b), None)
+    if over is None:
+        return []
+    own = [x for x in spans(parse) if x[0] == depth and over[0] <= x[2] and x[3] <= over[1] and x != node]
+    return [x for x in own if side == "both" or (x[2] < first) == (side == "left")]
+
+
+def node_path(parse: str, one: tuple, two: tuple) -> str:
+    """Labels from one node up to the lowest common one (``>``) and down to the other (``<``)."""
+    line = lambda node: [x for x in reversed(spans(parse)) if x[0] <= node[0] and x[2] <= node[2] and node[3] <= x[3]]
+    up, down = line(one), line(two)
+    top = next(x for x in up if x in down)
+    rise, fall = up[: up.index(top) + 1], down[: down.index(top)]
+    return ">".join(x[1] for x in rise) + "".join(f"<{x[1]}" for x in reversed(fall))
+
+
+def compressed(labels: list[str]) -> list[str]:
+    """A path without repeats of a label in a row."""
+    return [label for label, _ in groupby(labels)]
+
+
 def strip(tokens: list[str], clause: list[int]) -> list[int]:
     """A clause without punctuation at either end."""
     lo, hi = 0, len(clause)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evkg.functions import text
 from evkg.functions.ids import rid
-from evkg.operators import concepts, extract, graph, linking, lookup, relations, sampling
+from evkg.operators import concepts, extract, graph, linking, lookup, post, relations, sampling
 from evkg.plans import tpch
 from evkg.plans.registry import query
 from evkg.plans.tpch import load
@@ -272,3 +272,103 @@ def shared_candidates(s, d):
 def triples(s, d):
     c = load(s, d, "customer")
     return c.select(rid(F.sha1("c_name"), F.sha1("c_mktsegment")).alias("rid"), F.concat_ws("$", "c_name", "c_mktsegment").alias("triple"), "c_custkey")
+
+
+# ---- persons, directions, places ----------------------------------------------------------------------
+
+#: Head and tail; with persons and groups named; with the persons of an edge between persons named.
+PERSONS = (
+    ("i see he", "you thank my friend and we", "PersonX see PersonZ", "PersonY thank PersonX friend and PeopleX", "PersonX see PersonZ", "PersonY thank my friend and we"),
+    ("it make she cry", "they tell she and we", "it make PersonX cry", "PeopleX tell PersonX and PeopleY", "it make she cry", "they tell she and we"),
+    ("he call he", "it ring and you hear i", "PersonX call PersonX", "it ring and PersonY hear PersonZ", "PersonX call PersonX", "it ring and PersonY hear PersonZ"),
+    ("you he i she guy man", "guy go", "PersonX PersonZ PersonA PersonB PersonY man", "PersonY go", "PersonX PersonZ i she PersonY man", "PersonY go"),
+    ("rain fall", "road be wet", "rain fall", "road be wet", "rain fall", "road be wet"),
+)
+
+
+def _person_pairs(s, d):
+    one = F.get(F.array(*[F.struct(F.split(F.lit(x[0]), " ").alias("head"), F.split(F.lit(x[1]), " ").alias("tail")) for x in PERSONS]), (F.col("c_custkey") % len(PERSONS)).cast("int"))
+    return load(s, d, "customer").select(F.col("c_custkey").alias("k"), one.alias("x")).select("k", "x.*")
+
+
+def _person_sql(head: int, tail: int) -> str:
+    rows = ", ".join(f"({i}, '{x[head]}', '{x[tail]}')" for i, x in enumerate(PERSONS))
+    return f"SELECT c_custkey AS k, h AS head, t AS tail FROM customer JOIN (VALUES {rows}) v(i, h, t) ON c_custkey % {len(PERSONS)} = i"
+
+
+def _said(df, named):
+    return df.withColumn("p", named(F.col("head"), F.col("tail"))).select("k", F.array_join("p.head", " ").alias("head"), F.array_join("p.tail", " ").alias("tail"))
+
+
+@query(_person_sql(2, 3), False)
+def person_names(s, d):
+    return _said(_person_pairs(s, d), post.name_persons)
+
+
+@query(_person_sql(4, 5), False)
+def subject_names(s, d):
+    return _said(_person_pairs(s, d), post.name_subjects)
+
+
+@query(f"""WITH own AS ({_person_sql(0, 1)}), named AS ({_person_sql(2, 3)}), freq AS (SELECT w, count(*)::DOUBLE AS f FROM (SELECT head AS w FROM own UNION ALL SELECT tail FROM own) GROUP BY 1),
+ ends AS (SELECT o.head AS w, n.head AS words FROM own o JOIN named n USING (k) UNION ALL SELECT o.tail, n.tail FROM own o JOIN named n USING (k)),
+ twins AS (SELECT w, words FROM ends UNION ALL SELECT w, replace(replace(replace(words, 'PersonX', '?'), 'PersonY', 'PersonX'), '?', 'PersonY') FROM ends) SELECT words, sum(f) AS frequency FROM twins JOIN freq USING (w) GROUP BY 1""", False)
+def person_nodes(s, d):
+    e = _person_pairs(s, d)
+    nodes = e.select(F.explode(F.array("head", "tail")).alias("words")).groupBy("words").agg(F.count("*").cast("double").alias("frequency"))
+    return post.regraph_nodes(e, nodes)
+
+
+@query(""", c AS (SELECT hid AS eid, tid AS other, sense, weight FROM edges WHERE sense IN ('Succession', 'Condition', 'Reason', 'Synchronous', 'Conjunction')
+ UNION ALL SELECT tid, hid, sense, weight FROM edges WHERE sense IN ('Precedence', 'Result', 'Synchronous', 'Conjunction')) SELECT eid, sense, count(*) AS n, sum(weight) AS weight FROM c GROUP BY ALL""")
+def causes(s, d):
+    return post.by_direction(tpch.edges(s, d), "cause").groupBy("eid", "sense").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+@query(", c AS (SELECT hid AS eid, sense FROM edges WHERE sense IN ('Reason', 'Result') UNION ALL SELECT tid, sense FROM edges WHERE sense IN ('Reason', 'Result')) SELECT eid, sense, count(*) AS n FROM c GROUP BY ALL")
+def stative_neighbours(s, d):
+    return post.by_direction(tpch.edges(s, d), "stative").groupBy("eid", "sense").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 1", False)
+def usable_texts(s, d):
+    texts = ("{Someone_A}_[subject] {buys||sells}_[verb] {Something_A}_[object]", "{Someone_A}_[subject] {sees}_[verb] {Someone_E}_[object]", "{Someone_E}_[subject] {Someone_B}_[subject] {rest}_[verb]")
+    one = F.get(F.array(*[F.lit(t) for t in texts]), (F.col("c_custkey") % 3).cast("int"))
+    return load(s, d, "customer").where(post.usable(one)).select("c_custkey")
+
+
+_NEAR = "last_value(CASE WHEN t <> 'NO' THEN {c} END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY s, i ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"""WITH r AS (SELECT l_suppkey AS doc, l_orderkey AS s, l_linenumber AS i, min(l_returnflag || l_linestatus) AS t FROM lineitem GROUP BY 1, 2, 3)
+ SELECT doc, s AS sent_idx, i AS tok_idx, coalesce({_NEAR.format(c="s")}, -1) AS near_sent, coalesce({_NEAR.format(c="i")}, -1) AS near_tok, {_NEAR.format(c="t")} AS near FROM r""", False)
+def previous_token(s, d):
+    place = [F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("sent_idx"), F.col("l_linenumber").alias("tok_idx")]
+    rows = load(s, d, "lineitem").groupBy(*place).agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("token"))
+    return lookup.near_tokens(rows, ["NO"]).select("doc", "sent_idx", "tok_idx", "near_sent", "near_tok", "near")
+
+
+@query(", n AS (SELECT * FROM nodes WHERE frequency >= 2.0) SELECT rid, sense, weight FROM edges JOIN tot USING (rid, hid, tid) WHERE total >= 1.0001 AND hid IN (SELECT eid FROM n) AND tid IN (SELECT eid FROM n)")
+def merged_core(s, d):
+    return graph.core_edges(tpch.edges(s, d), graph.core_nodes(tpch.nodes(s, d), 2.0), 1.0001).select("rid", "sense", "weight")
+
+
+_CONCEPT_EDGES = ", ce AS (SELECT sha1(h.cid || '$' || t.cid) AS rid, h.cid AS hid, t.cid AS tid, sense, sum(weight * h.score * t.score) AS weight FROM edges e JOIN pairs h ON e.hid = h.eid JOIN pairs t ON e.tid = t.eid WHERE h.cid <> t.cid GROUP BY ALL), first AS (SELECT min(cid) AS c FROM pairs)"
+
+
+@query(_CONCEPT_EDGES + " SELECT rid, tid, round(sum(weight), 4) AS total FROM ce WHERE hid = (SELECT c FROM first) AND tid IN (SELECT cid FROM pairs) GROUP BY ALL")
+def concept_successors(s, d):
+    pairs = tpch.pairs(s, d)
+    nodes = pairs.select(F.col("cid").alias("eid")).distinct()
+    own = pairs.agg(F.min("cid").alias("hid"))  # one row
+    edges = concepts.concept_edges(tpch.edges(s, d), pairs).join(F.broadcast(own), "hid", "left_semi")
+    return lookup.successors(nodes, edges).select("rid", "tid", F.round("total", 4).alias("total"))
+
+
+@query(_CONCEPT_EDGES + " SELECT concept, sense, round(sum(weight), 4) AS weight FROM ce JOIN (SELECT DISTINCT cid, concept FROM pairs) ON tid = cid WHERE hid = (SELECT c FROM first) AND concept LIKE 'PROMO%' GROUP BY ALL")
+def concept_relations(s, d):
+    pairs = tpch.pairs(s, d)
+    wanted = pairs.select("cid", "concept").distinct().where(F.startswith("concept", F.lit("PROMO")))
+    own = pairs.agg(F.min("cid").alias("hid"))
+    edges = concepts.concept_edges(tpch.edges(s, d), pairs).join(F.broadcast(own), "hid", "left_semi")
+    return lookup.exact(edges, wanted, {"tid": "cid"}).groupBy("concept", "sense").agg(F.round(F.sum("weight"), 4).alias("weight"))

@@ -140,7 +140,7 @@ def test_sources(spark, tmp_path):
     assert [r["text"] for r in corpus.read_paragraphs(spark, str(tmp_path / "raw")).orderBy("para_idx").collect()] == ["One.\nTwo.", "Three.", "Four."]
     (tmp_path / "parsed").mkdir()
     rows = [{"text": t[0], "tokens": t[0].split(), "lemmas": t[1].split(), "pos_tags": t[2].split(), "dependencies": t[3]} for t in (ARMY, SURE)]
-    (tmp_path / "parsed" / "a.jsonl").write_text("\n".join(map(json.dumps, [{"sentence_lens": [2, 3]}, *rows])))
+    (tmp_path / "parsed" / "a.jsonl").write_text("\n".join(map(json.dumps, [{"sentence_lens": [2, 3]}, *rows])) + "\n")
     (tmp_path / "parsed" / "b.jsonl").write_text("")
     parsed = corpus.read_parsed(spark, str(tmp_path / "parsed")).orderBy("sent_idx").collect()
     assert [(r["sent_idx"], r["para_idx"], r["dependencies"][0]["dep"]) for r in parsed] == [(1, 0, "nmod:poss"), (2, 1, "case")] and parsed[0]["sid"].endswith("|1")
@@ -217,9 +217,71 @@ def test_parser_is_given(spark):
 def test_name_persons(spark):
     from evkg.operators import post
 
-    df = spark.createDataFrame([(["i", "see", "him"], ["he", "thank", "me", "and", "us"])], "h array<string>, t array<string>")
-    got = df.select(post.name_persons(F.col("h"), F.col("t")).alias("p")).first()["p"]
-    assert got["head"] == ["PersonX", "see", "PersonY"] and got["tail"] == ["PersonY", "thank", "PersonX", "and", "PeopleX"]
+    df = spark.createDataFrame([(["i", "see", "he"], ["he", "thank", "my", "and", "they"]), ([], ["i"]), (["we", "they", "you"], [])], "h array<string>, t array<string>")
+    got = [r["p"] for r in df.select(post.name_persons(F.col("h"), F.col("t")).alias("p")).collect()]
+    assert got[0]["head"] == ["PersonX", "see", "PersonY"] and got[0]["tail"] == ["PersonY", "thank", "PersonX", "and", "PeopleX"]
+    assert got[1]["tail"] == ["PersonX"] and got[2]["head"] == ["PeopleX", "PeopleY", "PersonX"]
+    words = spark.createDataFrame([("if you go", False), ("be quiet", False), ("he leave", True), ("-lsb- he leave", False)], "w string, want boolean")
+    assert all(r["want"] == r["got"] for r in words.select("want", post.keep_event(F.split("w", " ")).alias("got")).collect())
+    edges = spark.createDataFrame([("a", "b", s, 1.0) for s in ("Reason", "Result", "Conjunction", "Contrast")], "hid string, tid string, sense string, weight double")
+    ways = {k: sorted((r["eid"], r["sense"]) for r in post.by_direction(edges, k).collect()) for k in post.DIRECTIONS}
+    assert ways["effect"] == [("a", "Conjunction"), ("a", "Result"), ("b", "Conjunction"), ("b", "Reason")]
+    assert ways["cause"] == [("a", "Conjunction"), ("a", "Reason"), ("b", "Conjunction"), ("b", "Result")] and len(ways["stative"]) == 6
+
+
+def test_tree_paths():
+    nodes = trees.spans("(ROOT (S (NP (PRP we)) (VP (VBP sell) (NP (NN bread))) (. .)))")
+    by = {x[1]: x for x in nodes if x[1] != "NP"}
+    tree = "(ROOT (S (NP (PRP we)) (VP (VBP sell) (NP (NN bread))) (. .)))"
+    assert [x[1] for x in trees.siblings(tree, by["VP"])] == ["NP", "."] and [x[1] for x in trees.siblings(tree, by["VP"], "left")] == ["NP"]
+    assert [x[1] for x in trees.siblings(tree, by["VP"], "right")] == ["."] and trees.siblings(tree, by["ROOT"]) == []
+    assert trees.node_path(tree, by["PRP"], by["NN"]) == "PRP>NP>S<VP<NP<NN" and trees.node_path(tree, by["NN"], by["VP"]) == "NN>NP>VP"
+    assert trees.compressed(["a", "a", "b", "a"]) == ["a", "b", "a"] and trees.compressed([]) == []
+
+
+def test_paths_and_paragraphs(spark, tmp_path):
+    (tmp_path / "raw" / "in").mkdir(parents=True)
+    (tmp_path / "raw" / "in" / "a.b.txt").write_text("x" * 30 + "\n" + "y.START z\n")
+    (tmp_path / "raw" / "b.txt").write_text(".START 1\nOne\r\n\r\n \nTwo\n.START")
+    read = lambda most: sorted((r["path"][-5:], r["para_idx"], r["text"]) for r in corpus.read_paragraphs(spark, str(tmp_path / "raw"), most).collect())
+    assert read(20) == sorted([("b.txt", 0, "x" * 30), ("b.txt", 1, "y.START z"), ("b.txt", 0, "One"), ("b.txt", 1, "Two")])
+    assert [x[2] for x in read(100) if x[2].startswith("x")] == ["x" * 30 + "\ny.START z"]
+    paths = corpus.list_paths(spark, str(tmp_path / "raw"), "txt")
+    corpus.write_paths(paths, str(tmp_path / "list"))
+    root = paths.orderBy("path").first()["path"].rsplit("/", 1)[0]
+    assert sorted(r["name"] for r in corpus.read_paths(spark, str(tmp_path / "list"), root).collect()) == ["b.txt", "in/a.b.txt"]
+    names = spark.createDataFrame([("a/x.b.txt",), ("x",)], "p string").select(corpus.change_extension(F.col("p")))
+    assert [r[0] for r in names.collect()] == ["a/x.b.jsonl", "jsonl"]
+
+
+def test_store(spark, tmp_path):
+    from evkg.sources import store
+
+    nodes = spark.createDataFrame([("a", "we go", 1.0), ("b", "they go", 2.0)], "eid string, words string, frequency double")
+    store.write({"nodes": nodes}, str(tmp_path / "kg"))
+    for mode in store.MODES:
+        with store.Store(spark, str(tmp_path / "kg"), mode, "words") as kg:
+            assert kg.names() == ["nodes"] and kg.table("nodes").where("words = 'we go'").first()["eid"] == "a"
+            assert bool(kg.held) == (mode != "insert")
+    with store.Store(spark, str(tmp_path / "kg"), "memory") as kg:
+        kg.append("nodes", nodes.limit(1))
+        assert kg.table("nodes").count() == 3
+    for wrong in ({"mode": "x"}, {"grain": "x"}, {"kind": "mongo"}):
+        with pytest.raises(ValueError):
+            store.Store(spark, str(tmp_path / "kg"), **wrong)
+    corpus.write_sqlite(nodes.withColumn("l", F.split("words", " ")), str(tmp_path / "kg.db"), "Nodes")
+    with sqlite3.connect(tmp_path / "kg.db") as con:
+        assert con.execute('SELECT eid, frequency, l FROM "Nodes" ORDER BY eid').fetchall() == [("a", 1.0, '["we","go"]'), ("b", 2.0, '["they","go"]')]
+
+
+def test_parsed_files(spark, tmp_path):
+    sents = sentences(spark).withColumns({"doc": F.lit("d"), "sent_idx": F.substring("sid", 3, 9).cast("int"), "para_idx": F.substring("sid", 3, 9).cast("int"), "text": F.array_join("tokens", " ")})
+    corpus.write_parsed_files(sents, str(tmp_path / "p"))
+    back = corpus.read_parsed(spark, str(tmp_path / "p")).orderBy("sent_idx").collect()
+    assert [(r["text"], r["para_idx"], r["sent_idx"]) for r in back] == [(ARMY[0], 0, 1), (SURE[0], 1, 2)]
+    assert [tuple(x) for x in back[0]["dependencies"]] == ARMY[3] and corpus.unparsed(spark, str(tmp_path / "p")).count() == 0
+    corpus.write_parsed(sents, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
 
 
 def test_build(spark, tmp_path):
