@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from itertools import groupby
 
 # Tokens that end a clause, and tokens that are stripped from both ends of one.
@@ -11,7 +12,8 @@ SEPARATORS = frozenset([".", ",", ":", ";", "?", "!", "~", "-", "..", "...", "--
 PUNCTUATION = frozenset(list("!\"#&'*+,-..../:;<=>?@[\\]^_`|~") + ["``", "''", "-LCB-", "-LRB-"])
 
 
-def spans(parse: str | None) -> list[tuple[int, str, int, int]]:
+@lru_cache(maxsize=256)
+def spans(parse: str | None) -> tuple[tuple[int, str, int, int], ...]:
     """``(depth, label, first leaf, last leaf + 1)`` of the inner nodes of a bracketed parse, level by level."""
     out, open_, leaf = [], [], 0
     for part in re.findall(r"\(|\)|[^\s()]+", parse or ""):
@@ -25,7 +27,7 @@ def spans(parse: str | None) -> list[tuple[int, str, int, int]]:
             open_[-1][0] = part
         else:
             leaf += 1
-    return sorted(out, key=lambda s: (s[0], s[2]))
+    return tuple(sorted(out, key=lambda s: (s[0], s[2])))
 
 
 def path_to_root(parse: str, leaf: int) -> list[str]:

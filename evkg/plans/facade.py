@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evkg.functions import text
-from evkg.operators import extract, graph, relations
+from evkg.operators import discourse, extract, graph, relations
 from evkg.schema import CONNECTIVES
 
 PARSED = "doc string, para_idx int, sent_idx int, text string, tokens array<string>, lemmas array<string>, pos_tags array<string>, ners array<string>, parse string, dependencies array<struct<gov:int,dep:string,dpt:int>>"
@@ -53,13 +53,21 @@ def eventualities(sentences: DataFrame, preset: str = "seed", in_order: bool = T
     return out if in_order else extract.merged(out)
 
 
-def relations_of(sentences: DataFrame, occurrences: DataFrame, table=CONNECTIVES) -> DataFrame:
-    """``(hid, tid, sense, weight, sid)``: co-occurrence and seed relations inside sentences and between neighbours."""
+def relations_of(sentences: DataFrame, occurrences: DataFrame, table=CONNECTIVES, models=None, similarity=text.simpson, threshold: float = 0.8) -> DataFrame:
+    """``(hid, tid, sense, weight, sid)``: co-occurrence, and relations inside sentences and between neighbours; by
+    seed connectives, or with trained ``models`` (``operators.discourse``) by discourse parsing, of sentences with ``doc``."""
+    if not 0.0 <= threshold <= 1.0:
+        raise ValueError("threshold must be between 0 and 1")
     placed = occurrences.select(F.col("sid").alias("sent"), "eid", F.col("position").alias("pos"))
     both = graph.cooccurrence(placed).withColumnRenamed("sent", "sid")
-    return both.unionByName(relations.within(sentences, occurrences, table)).unionByName(relations.across(sentences, occurrences, table))
+    if models is None:
+        return both.unionByName(relations.within(sentences, occurrences, table)).unionByName(relations.across(sentences, occurrences, table))
+    own = occurrences.join(sentences.select("sid", "doc", "sent_idx"), "sid").select("doc", "sent_idx", "eid", F.col("raw_idx").alias("places"))
+    found = discourse.parse(sentences, models, occurrences, table)
+    told = discourse.edges(found, own, similarity, threshold)
+    return both.unionByName(told.join(sentences.select("doc", F.col("sent_idx").cast("int").alias("sent_idx"), "sid"), ["doc", "sent_idx"]).select("hid", "tid", "sense", "weight", "sid"))
 
 
-def eventualities_and_relations(sentences: DataFrame, preset: str = "seed") -> tuple[DataFrame, DataFrame]:
+def eventualities_and_relations(sentences: DataFrame, preset: str = "seed", models=None) -> tuple[DataFrame, DataFrame]:
     found = eventualities(sentences, preset)
-    return found, relations_of(sentences, found)
+    return found, relations_of(sentences, found, models=models)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evkg.functions import text
 from evkg.functions.ids import rid
-from evkg.operators import concepts, extract, graph, linking, lookup, post, relations, sampling
+from evkg.operators import concepts, discourse, extract, graph, linking, lookup, post, relations, sampling
 from evkg.plans import tpch
 from evkg.plans.registry import query
 from evkg.plans.tpch import load
@@ -372,3 +372,59 @@ def concept_relations(s, d):
     own = pairs.agg(F.min("cid").alias("hid"))
     edges = concepts.concept_edges(tpch.edges(s, d), pairs).join(F.broadcast(own), "hid", "left_semi")
     return lookup.exact(edges, wanted, {"tid": "cid"}).groupBy("concept", "sense").agg(F.round(F.sum("weight"), 4).alias("weight"))
+
+
+# ---- discourse parsing --------------------------------------------------------------------------------
+
+#: A document of three sentences about a name (``*``): tokens, lemmas, tags, edges, parse.
+TALK = (
+    ("* stay because it rain .", "* stay because it rain .", "NN VBP IN PRP VBP .", [(1, "nsubj", 0), (1, "advcl", 4), (4, "mark", 2), (4, "nsubj", 3)], "(ROOT (S (NP (NN *)) (VP (VBP stay) (SBAR (IN because) (S (NP (PRP it)) (VP (VBP rain))))) (. .)))"),
+    ("* sleep .", "* sleep .", "NN VBP .", [(1, "nsubj", 0)], "(ROOT (S (NP (NN *)) (VP (VBP sleep)) (. .)))"),
+    ("so * dream so much .", "so * dream so much .", "RB NN VBP RB RB .", [(2, "nsubj", 1), (2, "advmod", 4)], "(ROOT (S (RB so) (NP (NN *)) (VP (VBP dream) (ADVP (RB so) (RB much))) (. .)))"),
+)
+TALK_TABLE = {"Reason": ("because",), "Result": ("so",)}
+
+
+def _talk(rows, name):
+    """The three sentences of each row of ``(doc, <name>)``."""
+    all_ = F.array(*[F.struct(F.lit(k).alias("sent_idx"), *[c.alias(n) for n, c in _sentence(t, name).items()]) for k, t in enumerate(TALK, 1)])
+    parse = F.replace(F.col("x.parse"), F.lit("*"), name)
+    out = rows.withColumn("x", F.explode(all_)).select("doc", "x.*", parse.alias("named")).withColumn("parse", F.col("named")).drop("named")
+    return out.withColumn("sid", F.concat_ws("|", "doc", "sent_idx"))
+
+
+def _trained(s):
+    """Models that are trained on a few named documents."""
+    own = _talk(s.createDataFrame([(f"d{i}", n) for i, n in enumerate(("ann", "bo", "cy"))], "doc string, n string"), F.col("n"))
+    gold = [x for i in range(3) for x in ((f"d{i}|1", [2], f"d{i}|1", [0, 1], [3, 4], "Reason"), (f"d{i}|3", [0], f"d{i}|2", [0, 1], [1, 2, 3, 4], "Result"))]
+    known = s.createDataFrame(gold, "sid string, indices array<int>, arg1_sid string, arg1 array<int>, arg2 array<int>, sense string")
+    return discourse.fit(discourse.examples(own, known, TALK_TABLE).cache())
+
+
+def _parts(s, d):
+    brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
+    return _talk(load(s, d, "part").select(F.col("p_partkey").cast("string").alias("doc"), brand.alias("n")), F.col("n"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS doc, v.* FROM part, (VALUES (1, 'because', '2', 1, '0,1', '3,4', 'Reason'), (3, 'so', '0', 2, '0,1', '1,2,3,4', 'Result')) v(sent_idx, connective, indices, arg1_idx, arg1, arg2, sense)""", False)
+def discourse_connectives(s, d):
+    found = discourse.parse(_parts(s, d), _trained(s), table=TALK_TABLE)
+    said = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",").alias(c)
+    return found.select("doc", "sent_idx", "connective", said("indices"), "arg1_idx", said("arg1"), said("arg2"), "sense")
+
+
+_BRAND = "lower(replace(p_brand, '#', ''))"
+_HALF = {
+    w.split()[1]: _eid(w, t, e).replace("lower(p_brand)", _BRAND)
+    for w, t, e in (("* stay", "NN VBP", [(1, "nsubj", 0)]), ("it rain", "PRP VBP", [(1, "nsubj", 0)]), ("* sleep", "NN VBP", [(1, "nsubj", 0)]), ("* dream much", "NN VBP RB", [(1, "nsubj", 0), (1, "advmod", 2)]))
+}
+
+
+@query(f"""SELECT hid, tid, sense, sum(w) AS weight FROM (SELECT {_HALF["stay"]} AS hid, {_HALF["rain"]} AS tid, 'Reason' AS sense, 1.0::DOUBLE AS w FROM part UNION ALL SELECT {_HALF["stay"]}, {_HALF["rain"]}, 'Co_Occurrence', 1.0 FROM part
+ UNION ALL SELECT {_HALF["sleep"]}, {_HALF["dream"]}, 'Result', 1.0 FROM part) GROUP BY ALL""", False)
+def discourse_relations(s, d):
+    from evkg.plans import facade
+
+    sents = _parts(s, d)
+    out = facade.relations_of(sents, extract.extract(sents, clause_split=True), TALK_TABLE, _trained(s))
+    return out.groupBy("hid", "tid", "sense").agg(F.sum("weight").alias("weight"))

@@ -284,6 +284,50 @@ def test_parsed_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 2
 
 
+TABLE = {"Reason": ("because", "if..then"), "Result": ("so",)}
+
+
+def _talk(names):
+    """Documents of three sentences: one with its reason, one with its result in the next, which has a phrase that is none."""
+    rows, known = [], []
+    for i, n in enumerate(names):
+        texts = (
+            (f"{n} stay because it rain .", "NN VBP IN PRP VBP .", f"(ROOT (S (NP (NN {n})) (VP (VBP stay) (SBAR (IN because) (S (NP (PRP it)) (VP (VBP rain))))) (. .)))"),
+            (f"{n} sleep .", "NN VBP .", f"(ROOT (S (NP (NN {n})) (VP (VBP sleep)) (. .)))"),
+            (f"so {n} like so much .", "RB NN VBP RB JJ .", f"(ROOT (S (RB so) (NP (NN {n})) (VP (VBP like) (ADJP (RB so) (JJ much))) (. .)))"),
+        )
+        rows += [(f"d{i}", k, f"d{i}|{k}", t.split(), p.split(), x) for k, (t, p, x) in enumerate(texts, 1)]
+        known += [(f"d{i}|1", [2], f"d{i}|1", [0, 1], [3, 4], "Reason"), (f"d{i}|3", [0], f"d{i}|2", [0, 1], [1, 2, 3, 4], "Result")]
+    return rows, known
+
+
+def test_discourse(spark):
+    from evkg.operators import discourse
+
+    shape, gold = "doc string, sent_idx int, sid string, tokens array<string>, pos_tags array<string>, parse string", "sid string, indices array<int>, arg1_sid string, arg1 array<int>, arg2 array<int>, sense string"
+    rows, known = _talk(["ann", "bo", "cy"])
+    learned = discourse.examples(spark.createDataFrame(rows, shape), spark.createDataFrame(known, gold), TABLE).cache()
+    counts = {(r["step"], r["label"]): r["count"] for r in learned.groupBy("step", "label").count().collect()}
+    assert counts[("connective", "1")] == 6 and counts[("connective", "0")] == 3 and counts[("position", "SS")] == counts[("position", "PS")] == 3
+    assert counts[("constituent", "1")] == 6 and counts[("constituent", "2")] == 3  # noun and verb before, clause after
+    models = discourse.fit(learned)
+    assert set(models) == set(discourse.STEPS) and models["sense"].labels == ["Reason", "Result"]
+    rows, known = _talk(["dee", "ed"])
+    new = spark.createDataFrame(rows, shape)
+    got = sorted((r["doc"], r["sent_idx"], r["indices"], r["arg1_idx"], r["arg1"], r["arg2"], r["sense"]) for r in discourse.parse(new, models, table=TABLE).collect())
+    assert got == sorted((s[:2], int(s[3:]), at, int(t[3:]), a, b, sense) for s, at, t, a, b, sense in known)
+    places = [("d0", 1, "e1", [0, 1]), ("d0", 1, "e2", [3, 4]), ("d0", 2, "e3", [0, 1]), ("d0", 3, "e4", [1, 2]), ("d0", 3, "e5", [2, 3])]
+    placed = spark.createDataFrame(places, "doc string, sent_idx int, eid string, places array<int>")
+    edges = discourse.edges(discourse.parse(new, models, table=TABLE), placed, text.simpson)
+    assert sorted(map(tuple, edges.select("hid", "tid", "sense", "weight").collect())) == [("e1", "e2", "Reason", 1.0), ("e3", "e4", "Result", 0.5), ("e3", "e5", "Result", 0.5)]
+    some = spark.createDataFrame([("d0|3",)], "sid string")  # sentences without eventualities count as empty
+    assert discourse.parse(new, models, some, TABLE).count() == 0
+    assert discourse.parse(new.where("false"), models, table=TABLE).count() == 0 and discourse.fit(learned.where("false")) == {}
+    s = discourse.Sentence("if it rain , then we stay .".split(), "IN PRP VBP , RB PRP VBP .".split(), None)
+    assert discourse.parallel([0, 4]) and discourse.between(s, [0, 4]) == ([1, 2], [5, 6]) and discourse.constituents(s, [0]) == []
+    assert discourse.without(s, [0, 1, 2, 3, 4, 5, 6], [(1, 2)]) == [0, 4, 5, 6] and discourse.filled(s, [2, 4]) == [2, 3, 4]
+
+
 def test_build(spark, tmp_path):
     from evkg.plans import build
 
