@@ -26,11 +26,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DBL, LONG, bounded_sample, pick, schema, table
+from .common import DBL, LONG, bounded_sample, pick, schema, table, written
 from .language_id import fold
 
 SYMBOLS = 40
@@ -239,18 +241,19 @@ def score(model, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((x - mid) / dev @ w[:-1] + w[-1], -30, 30)))
 
 
-class Packed:
-    """A trained model as bytes; a worker unpacks it once."""
+class Stored:
+    """A trained model in a Parquet file that Spark brings to each executor; a worker reads it once."""
 
-    def __init__(self, packed: bytes):
-        self.packed, self.model = packed, None
+    def __init__(self, name: str | None):
+        self.name, self.model = name, None
 
     def __reduce__(self):
-        return Packed, (self.packed,)
+        return Stored, (self.name,)
 
     def open(self):
-        if self.model is None:
-            self.model = pickle.loads(self.packed)
+        if self.model is None and self.name is not None:
+            for packed in pq.read_table(SparkFiles.get(self.name), partitioning=None).column(0):
+                self.model = pickle.loads(packed.as_py())
         return self.model
 
 
@@ -266,15 +269,19 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS):
-    """A model from the labelled documents, as a broadcast variable.  The bounded sample meets in one task, which
-    trains; the driver passes on the packed model and holds neither texts nor counts."""
+    """A model from the labelled documents, as a broadcast variable that names its file.  The bounded sample meets in
+    one task, which trains and writes the model to the shared folder, where executors fetch it: it is many times
+    its size in the driver's memory when collected, so the driver holds neither texts nor counts nor the model."""
 
     def run(batches):
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
 
-    one = sampled(docs, labels, id_col, text_col, label_col, per_class).repartition(1).mapInArrow(run, "model binary").collect()
-    return docs.sparkSession.sparkContext.broadcast(Packed(bytes(one[0]["model"]) if one else pickle.dumps(None)))
+    one, _ = written(sampled(docs, labels, id_col, text_col, label_col, per_class).repartition(1).mapInArrow(run, "model binary"))
+    sc, files = docs.sparkSession.sparkContext, one.inputFiles()  # one file, or none of no rows
+    if files:
+        sc.addFile(files[0])
+    return sc.broadcast(Stored(files[0].rsplit("/", 1)[1] if files else None))
 
 
 def scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Chat formatting, secrets, language, toxicity, urls, sharding, mixing against plain Python."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -248,6 +249,23 @@ def test_toxicity(spark):
     assert toxicity.scores(more, none).agg({"score": "max"}).first()[0] == 0
 
 
+def test_toxicity_model_stays_off_the_driver(spark, monkeypatch):
+    """The model goes through the shared folder: nothing is collected, only its file's name is broadcast."""
+    texts = [(i, f"{'vile nasty' if i % 2 else 'kind good'} words {i} number {i * i}") for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    with monkeypatch.context() as m:
+        for name in ("collect", "toPandas", "toArrow", "toLocalIterator"):
+            m.setattr(type(docs), name, None)
+        model, none = toxicity.fit(docs, labels), toxicity.fit(docs, labels.where("false"))
+    assert len(pickle.dumps(model.value)) < 1000
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, model).collect()}
+    want = toxicity.score(toxicity.train([(t, i % 2) for i, t in texts]), [t for _, t in texts])
+    assert np.allclose([got[i] for i, _ in texts], want, rtol=0, atol=1e-12) and min(want) < 0.5 < max(want)
+    assert sorted(r["doc_id"] for r in toxicity.drop_toxic(docs, model).collect()) == [i for i, _ in texts if want[i] < 0.5]
+    assert {r["score"] for r in toxicity.scores(docs, none).collect()} == {0.0}
+
+
 def test_urls(spark):
     link = lambda u: f'<html><head><LINK href="{u}" rel="canonical"></head>'
     data = [
