@@ -9,17 +9,19 @@ costs the sum over its bytes: the longest string ending there that a tree holds,
 contexts.  The cheapest language wins; its score is its posterior probability when all languages are
 equally likely beforehand.
 
-The arrays of all languages are merged, so a string is looked up once for all of them: 8 bytes and 4 a language for
-each string.  The sample bounds them: ``PER_LANGUAGE`` texts of up to ``MOST_CHARS`` characters of each of the
-``LANGUAGES`` most frequent labels (longer texts are not learned from; what is judged is read whole).
+The arrays of ``BLOCK`` languages are merged, so a string is looked up once for all of them: 8 bytes and 4 a language for
+each string of the block; memory grows in proportion to the number of languages.  Every label is learned, from
+``PER_LANGUAGE`` pieces of its texts at most: a text of over ``MOST_CHARS`` characters makes several pieces, each of which
+may be drawn.  A block is trained in one task and kept in a file that executors fetch.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; so is all text if
-nothing is labelled; ties go to the alphabetically first language; an empty table gives an empty one; other columns
-are ignored.
+nothing is labelled; ties go to the alphabetically first language; of several texts of one id and label that with
+the smallest hash is learned from; texts are judged whole; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -27,12 +29,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import DBL, LONG, STR, bounded_sample, pick, schema, table
+from .common import DBL, LONG, STR, drawn, pick, pieces_of, schema, stored, table
 
 ORDER, WHOLE = 4, 2
-#: At most so many labelled documents of a language are fitted, those with the smallest hashes, none above so many characters.
-PER_LANGUAGE, MOST_CHARS, LANGUAGES = 300, 20_000, 32
+#: At most so many pieces of labelled documents of a language are fitted, those with the smallest hashes, of so many characters.
+PER_LANGUAGE, MOST_CHARS = 300, 20_000
+#: Languages whose arrays are merged.
+BLOCK = 16
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are judged at once.
 PART = 1 << 20
@@ -144,31 +149,43 @@ def costs(texts: list[bytes], trees: Trees) -> np.ndarray:
     return total
 
 
-def predict(texts: list[str | None], model) -> list[tuple[str, float]]:
+def predict(texts: list[str | None], models: list) -> list[tuple[str, float]]:
+    """Language and score of each text, by models of blocks of languages."""
+    models = sorted((m for m in models if m is not None), key=lambda m: m[0])
     out = [("und", 0.0)] * len(texts)
-    asked = [i for i, t in enumerate(texts) if t and model is not None and LETTER.search(t)]
+    asked = [i for i, t in enumerate(texts) if t and models and LETTER.search(t)]
     if asked:
-        c = costs([texts[i].encode("utf-8", "surrogatepass") for i in asked], model[1])
+        raw = [texts[i].encode("utf-8", "surrogatepass") for i in asked]
+        langs, c = [lang for m in models for lang in m[0]], np.concatenate([costs(raw, m[1]) for m in models], 1)
         best = c.argmin(1)
         p = 1 / np.exp2(np.clip(c.min(1, keepdims=True) - c, -1000, 0)).sum(1)
         for i, b, s in zip(asked, best.tolist(), p.tolist(), strict=True):
-            out[i] = (model[0][b], s)
+            out[i] = (langs[b], s)
     return out
 
 
+def fit(train_on: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most: int = MOST_CHARS):
+    """The models of all blocks, as a broadcast variable that names their files."""
+    known = pick(train_on, id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL AND lang IS NOT NULL").select("id", F.col("text").cast("string"), F.col("lang").cast("string"))
+    some = drawn(pieces_of(known, most), known.select("id", "text"), "lang", per_language, most)
+    langs = known.select("lang").distinct().select("lang", F.floor((F.row_number().over(Window.orderBy("lang")) - 1) / F.lit(BLOCK)).alias("block"))  # one row a label
+
+    def run(rows: pa.Table) -> pa.Table:
+        learned = zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist(), strict=True)
+        return pa.table({"model": pa.array([pickle.dumps(train([(k, t.encode("utf-8", "surrogatepass")) for k, t in learned]))], pa.binary())})
+
+    return stored(some.join(F.broadcast(langs), "lang").groupBy("block").applyInArrow(run, "model binary"))
+
+
 def identify(docs: DataFrame, train_on: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
     """``(doc_id, lang_pred, score)``; learns from the texts and labels of ``train_on`` alone."""
-    known = pick(train_on, id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & (F.length("text") <= MOST_CHARS))
-    common = known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "of").limit(LANGUAGES)
-    some = bounded_sample(known.join(F.broadcast(common), F.col("lang") == F.col("of"), "left_semi"), "lang", "id", per_language)
-    model = train([(r["lang"], r["text"].encode("utf-8", "surrogatepass")) for r in some.select("lang", "text").collect()])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = fit(train_on, id_col, text_col, lang_col, per_language)
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                got = predict(part.column(1).to_pylist(), sent.value)
+                got = predict(part.column(1).to_pylist(), sent.value.open())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     src = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("doc_id"), F.col("text").cast("string"))

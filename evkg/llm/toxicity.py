@@ -12,8 +12,8 @@ the sample that the models have not counted, turns these four into a probability
 
 Defined results: null text is empty; a text without a word has the score of zeros; labels other than
 0 and 1 are ignored, of several labels of one document the highest counts and of several texts of one id that
-with the smallest hash; without both classes every score is 0; texts are judged whole (longer ones than ``MOST_CHARS``
-are not learned from); an empty table gives an empty one; other columns are ignored.
+with the smallest hash; without both classes every score is 0; texts are judged whole (of longer ones than ``MOST_CHARS``
+pieces are learned from); an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,19 +26,17 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DBL, LONG, bounded_sample, pick, schema, table, written
+from .common import DBL, LONG, drawn, pick, pieces_of, schema, stored, table
 from .language_id import fold
 
 SYMBOLS = 40
 WORD = re.compile(r"[^\W\d_]+")
 END = re.compile(r"[.!?\n]+")
-#: At most so many labelled documents of each class are fitted, those with the smallest hashes, none above so many characters.
+#: At most so many pieces of labelled documents of each class are fitted, those with the smallest hashes, of so many characters.
 PER_CLASS, MOST_CHARS = 3_000, 100_000
 DISCOUNT = 0.75
 #: What is taken from a word's count; over one, so that a word seen once says no more than its spelling.
@@ -233,7 +231,8 @@ def train(rows: list[tuple[str, int]]):
     return Model(*[[t for t, c in zip(texts, y, strict=True) if c == k] for k in (1, 0)]), w, mid, dev
 
 
-def score(model, texts: list[str | None]) -> np.ndarray:
+def score(models: list, texts: list[str | None]) -> np.ndarray:
+    model = next(iter(models), None)  # none of no rows
     if model is None:
         return np.zeros(len(texts))
     by, w, mid, dev = model
@@ -241,31 +240,11 @@ def score(model, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((x - mid) / dev @ w[:-1] + w[-1], -30, 30)))
 
 
-class Stored:
-    """A trained model in a Parquet file that Spark brings to each executor; a worker reads it once."""
-
-    def __init__(self, name: str | None):
-        self.name, self.model = name, None
-
-    def __reduce__(self):
-        return Stored, (self.name,)
-
-    def open(self):
-        if self.model is None and self.name is not None:
-            for packed in pq.read_table(SparkFiles.get(self.name), partitioning=None).column(0):
-                self.model = pickle.loads(packed.as_py())
-        return self.model
-
-
-def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
-    """``(text, y)`` of the labelled documents that are learned from."""
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, most: int = MOST_CHARS) -> DataFrame:
+    """``(text, y)`` of the labelled documents that are learned from; drawn among the labels that have a document."""
     marks = pick(labels, id=id_col, y=label_col).where("y IN (0, 1) AND id IS NOT NULL").groupBy(F.col("id").cast("long").alias("id")).agg(F.max(F.col("y").cast("int")).alias("y"))
-    some = bounded_sample(marks, "y", "id", per_class).select(F.col("id").alias("_id"), "y")
-    src = pick(docs, id=id_col, text=text_col)
-    own = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = src.where(F.length(own) <= MOST_CHARS).join(F.broadcast(some), src["id"] == F.col("_id")).select("_id", own.alias("text"), "y")
-    # Rows that repeat an id count once, so the sample stays within its bound.
-    return rows.groupBy("_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y")
+    src = pick(docs, id=id_col, text=text_col).where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return drawn(pieces_of(src, most).join(marks, "id"), src, "y", per_class, most).select("text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS):
@@ -277,11 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
 
-    one, _ = written(sampled(docs, labels, id_col, text_col, label_col, per_class).repartition(1).mapInArrow(run, "model binary"))
-    sc, files = docs.sparkSession.sparkContext, one.inputFiles()  # one file, or none of no rows
-    if files:
-        sc.addFile(files[0])
-    return sc.broadcast(Stored(files[0].rsplit("/", 1)[1] if files else None))
+    return stored(sampled(docs, labels, id_col, text_col, label_col, per_class).repartition(1).mapInArrow(run, "model binary"))
 
 
 def scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -151,6 +151,22 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language_id.identify(more, more.where("false")).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """Forty labels, one of long texts only, ids with several texts: the same result however the table is dealt."""
+    rng = random.Random(3)
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(40)] for k in range(40)}
+    say = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    data = [(i % 90, say(k, 30), k) for i, k in enumerate(sorted(words) * 8)] + [(1000, say("l39", 30), None)]
+    data += [(2000 + i, say("l40", 9_000), "l40") for words["l40"] in [["zzyzx", "quux", "xyzzy", "frobnicate"]] for i in range(2)]
+    df = spark.createDataFrame(data + data[:50], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "MOST_CHARS", 5_000)
+    seen = [sorted(map(tuple, language_id.identify(df, df.repartition(n), per_language=5).collect()), key=str) for n in (1, 3, 7)]
+    assert seen[0] == seen[1] == seen[2]
+    known = {t: k for _, t, k in data if k}
+    got = language_id.identify(df.select(language_id.F.xxhash64("text").alias("doc_id"), "text"), df, per_language=5).join(df.select(language_id.F.xxhash64("text").alias("doc_id"), "text"), "doc_id").collect()
+    assert all(r["lang_pred"] == known.get(r["text"], "l39") for r in got)
+
+
 def brute_ppm(texts, order=4, whole=2):
     """Bits of a text: plain context dictionaries, escape method C with exclusion."""
     seen = {}
@@ -245,6 +261,11 @@ def test_toxicity(spark):
     copies = spark.createDataFrame([(i, f"{x} {n}") for n in range(300) for i, x in ((1, "a b c"), (2, "c d e"))], "doc_id long, text string")
     marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     assert toxicity.sampled(copies, marks).count() == 2  # rows that repeat an id don't break the bound
+    # Labels without a document take no place in the sample, long texts come in pieces.
+    few = marks.union(spark.createDataFrame([(10**6 + i, i % 2) for i in range(500)], marks.schema)) if len(marks.columns) == 2 else marks
+    long = docs.select("doc_id", toxicity.F.repeat(toxicity.F.lit("so it goes. "), 40).alias("text"))
+    parts = toxicity.sampled(long, few, most=100).groupBy("y").agg(toxicity.F.count("*").alias("n"), toxicity.F.max(toxicity.F.length("text")).alias("most")).collect()
+    assert parts and all(r["most"] <= 100 and r["n"] > 1 for r in parts)
     none = toxicity.fit(docs, labels.where("false"))
     assert toxicity.scores(more, none).agg({"score": "max"}).first()[0] == 0
 
@@ -260,7 +281,7 @@ def test_toxicity_model_stays_off_the_driver(spark, monkeypatch):
         model, none = toxicity.fit(docs, labels), toxicity.fit(docs, labels.where("false"))
     assert len(pickle.dumps(model.value)) < 1000
     got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, model).collect()}
-    want = toxicity.score(toxicity.train([(t, i % 2) for i, t in texts]), [t for _, t in texts])
+    want = toxicity.score([toxicity.train([(t, i % 2) for i, t in texts])], [t for _, t in texts])
     assert np.allclose([got[i] for i, _ in texts], want, rtol=0, atol=1e-12) and min(want) < 0.5 < max(want)
     assert sorted(r["doc_id"] for r in toxicity.drop_toxic(docs, model).collect()) == [i for i, _ in texts if want[i] < 0.5]
     assert {r["score"] for r in toxicity.scores(docs, none).collect()} == {0.0}
