@@ -117,7 +117,7 @@ def in_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     before = F.when(key == begins[0], F.lit(len(begins) - 1)).when(F.array_contains(later, key), own - 1)
     dealt = F.array_compact(F.array(F.struct(own, F.lit(0).alias("guest")), F.when(before.isNotNull(), F.struct(before.alias("range"), F.lit(1).alias("guest")))))
     rows = src.select(F.explode(dealt).alias("to"), "id", "text").select("to.range", "to.guest", "id", "text", F.xxhash64("text").alias("h"))
-    return rows.repartitionById(len(begins), F.col("range").cast("int")).sortWithinPartitions("range", "guest", F.col("id").asc_nulls_first(), "h", "text").drop("h")
+    return rows.repartitionById(len(begins), F.col("range").cast("int")).sortWithinPartitions("range", "guest", F.col("id").asc_nulls_first(), "h").drop("h")
 
 
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
