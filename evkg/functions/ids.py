@@ -5,10 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def rid(hid: Column | str, tid: Column | str) -> Column:
@@ -35,7 +33,30 @@ def eid_of(words, pos_tags, dependencies) -> str:
     return hashlib.sha1(json.dumps([edges, list(words), list(pos_tags)]).encode()).hexdigest()
 
 
-@F.pandas_udf(StringType())
-def eid(words: pd.Series, pos_tags: pd.Series, dependencies: pd.Series) -> pd.Series:
-    """``eid_of`` over Arrow batches; JSON's escapes of other scripts have no built-in form."""
-    return pd.Series([eid_of(list(w), list(p), [(e["gov"], e["dep"], e["dpt"]) for e in d]) for w, p, d in zip(words, pos_tags, dependencies, strict=True)])
+def _json_text(text: Column) -> Column:
+    """A string as JSON writes it in ASCII; other signs become references by UTF-16 unit."""
+    hexed = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n.cast("int")), 4, "0")))
+    rest = lambda n: n - 0x10000
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c)
+        pair = F.concat(hexed(F.shiftright(rest(n), 10) + 0xD800), hexed(rest(n).bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+        out = F.when(n > 0xFFFF, pair).otherwise(hexed(n))
+        for raw, said in (("\"", '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+            out = F.when(c == raw, F.lit(said)).otherwise(out)
+        return F.when(F.rlike(c, F.lit(_PLAIN)), c).otherwise(out)
+
+    full = F.array_join(F.transform(F.split(text, ""), one), "")
+    return F.concat(F.lit('"'), F.when(F.rlike(text, F.lit(_PLAIN)), text).otherwise(full), F.lit('"'))
+
+
+_PLAIN = r"\A[ !#-\[\]-~]*\z"
+
+
+def eid(words: Column | str, pos_tags: Column | str, dependencies: Column | str) -> Column:
+    """``eid_of`` as an expression."""
+    words, pos_tags, dependencies = (F.col(c) if isinstance(c, str) else c for c in (words, pos_tags, dependencies))
+    listed = lambda xs: F.concat(F.lit("["), F.array_join(xs, ", "), F.lit("]"))
+    point = lambda i: F.concat(F.lit("["), i.cast("string"), F.lit(", "), _json_text(F.get(words, i)), F.lit(", "), _json_text(F.get(pos_tags, i)), F.lit("]"))
+    edges = F.transform(dependencies, lambda e: F.concat(F.lit("["), point(e["gov"]), F.lit(", "), _json_text(e["dep"]), F.lit(", "), point(e["dpt"]), F.lit("]")))
+    return F.sha1(listed(F.array(listed(edges), listed(F.transform(words, _json_text)), listed(F.transform(pos_tags, _json_text)))))
