@@ -287,13 +287,14 @@ def parse(sentences: DataFrame, models: dict[str, Linear], occurrences: DataFram
 
 
 def edges(found: DataFrame, placed: DataFrame, similarity, threshold: float = 0.8) -> DataFrame:
-    """``(doc, sent_idx, hid, tid, sense, weight)`` by the connective's sentence: its weight of one is shared by all pairs of
+    """``(doc, head_idx, sent_idx, hid, tid, sense, weight)`` by the sentences of both arguments, the second of which is the
+    connective's: its weight of one is shared by all pairs of
     eventualities ``(doc, sent_idx, eid, places)`` that match its arguments by ``similarity`` of word places."""
-    one = found.withColumn("conn", F.struct("doc", "sent_idx", "indices", "sense"))
+    one = found.withColumn("conn", F.struct("doc", "sent_idx", "indices", "sense", "arg1_idx"))
     occ = placed.select(F.struct("doc", F.col("sent_idx").cast("int").alias("sent_idx")).alias("sent"), "eid", F.col("places").alias("words"))
     place = lambda i: F.struct("doc", F.col(i).alias("sent_idx")).alias("sent")
     heads = graph.argument_match(one.select("conn", place("arg1_idx"), F.col("arg1").alias("words")), occ, similarity, threshold)
     tails = graph.argument_match(one.select("conn", place("sent_idx"), F.col("arg2").alias("words")), occ, similarity, threshold)
     count = lambda df, e, c: df.select("conn", F.col("eid").alias(e), F.count("*").over(Window.partitionBy("conn")).alias(c))
     both = count(heads, "hid", "nh").join(count(tails, "tid", "nt"), "conn")
-    return both.select("conn.doc", "conn.sent_idx", "hid", "tid", F.col("conn.sense").alias("sense"), (F.lit(1.0) / (F.col("nh") * F.col("nt"))).alias("weight"))
+    return both.select("conn.doc", F.col("conn.arg1_idx").alias("head_idx"), "conn.sent_idx", "hid", "tid", F.col("conn.sense").alias("sense"), (F.lit(1.0) / (F.col("nh") * F.col("nt"))).alias("weight"))

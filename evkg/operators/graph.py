@@ -168,6 +168,11 @@ def relate(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return own.groupBy("sense").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
 
 
+def edge_sources(found: DataFrame) -> DataFrame:
+    """``(rid, head_sid, tail_sid)``: the pairs of sentences that an edge was found in, one row a pair, however many there are."""
+    return found.select(rid("hid", "tid").alias("rid"), "head_sid", "tail_sid").distinct()
+
+
 def with_texts(sources: DataFrame, sentences: DataFrame) -> DataFrame:
     """``(rid, head_text, tail_text)`` of provenance ``(rid, head_sid, tail_sid)``."""
     text = sentences.select("sid", "text")

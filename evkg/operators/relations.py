@@ -76,7 +76,8 @@ def shrink(edges: Column, head: Column, tail: Column) -> Column:
 
 
 def within(sentences: DataFrame, occurrences: DataFrame, table=CONNECTIVES) -> DataFrame:
-    """Seed relations of one sentence: ``occurrences`` has ``(sid, eid, position, raw_idx)``.
+    """Seed relations ``(hid, tid, sense, weight, head_sid, tail_sid)`` of one sentence; ``occurrences`` has ``(sid, eid,
+    position, raw_idx)``.
 
     The head is before the tail, a clause edge leads from one to the other and the connective's middle
     lies between them; ``instead`` follows both.
@@ -85,7 +86,7 @@ def within(sentences: DataFrame, occurrences: DataFrame, table=CONNECTIVES) -> D
     t = occurrences.select("sid", F.col("eid").alias("tid"), F.col("position").alias("tp"), F.col("raw_idx").alias("ti"))
     own = sentences.select("sid", "dependencies", present(F.col("tokens"), table=table).alias("conn")).where(F.size("conn") > 0)
     both = h.join(t, "sid").where("hp < tp").join(own, "sid").where(clause_link(F.col("dependencies"), F.col("hi"), F.col("ti")))
-    return both.select("hid", "tid", F.explode(joined(F.col("conn"), F.col("hp"), F.col("tp"))).alias("sense"), F.lit(1.0).alias("weight"), "sid")
+    return both.select("hid", "tid", F.explode(joined(F.col("conn"), F.col("hp"), F.col("tp"))).alias("sense"), F.lit(1.0).alias("weight"), F.col("sid").alias("head_sid"), F.col("sid").alias("tail_sid"))
 
 
 def across(sentences: DataFrame, occurrences: DataFrame, table=CONNECTIVES, near: int = NEAR) -> DataFrame:
@@ -96,4 +97,4 @@ def across(sentences: DataFrame, occurrences: DataFrame, table=CONNECTIVES, near
     pairs = sentences.select("sid", F.col("tokens").alias("a"), F.lead("sid").over(w).alias("next"), F.lead("tokens").over(w).alias("b")).where("next IS NOT NULL")
     out = pairs.join(one.select("sid", F.col("eid").alias("hid"), F.col("position").alias("hp")), "sid").join(one.select(F.col("sid").alias("next"), F.col("eid").alias("tid"), F.col("position").alias("tp")), "next")
     out = out.withColumn("tp", F.col("tp") + F.size("a")).where(F.col("tp") - F.col("hp") < near)
-    return out.select("hid", "tid", F.explode(joined(present(F.concat("a", "b"), table=table), F.col("hp"), F.col("tp"))).alias("sense"), F.lit(1.0).alias("weight"), "sid")
+    return out.select("hid", "tid", F.explode(joined(present(F.concat("a", "b"), table=table), F.col("hp"), F.col("tp"))).alias("sense"), F.lit(1.0).alias("weight"), F.col("sid").alias("head_sid"), F.col("next").alias("tail_sid"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evkg.functions.ids import rid
 from evkg.operators import concepts, extract, graph
 from evkg.plans import facade
 from evkg.schema import CONNECTIVES
@@ -27,18 +26,13 @@ def entity_types(occurrences: DataFrame) -> DataFrame:
 
 def nodes_of(occurrences: DataFrame) -> DataFrame:
     """Nodes with the sum of frequencies; all but the pattern follows from the id."""
-    same = [F.any_value(c).alias(c) for c in ("words", "pos_tags", "verbs", "skeleton_words", "skeleton_pos", "phrases", "skeleton_phrases", "phrase_at", "skeleton_at")]
+    same = [F.any_value(c).alias(c) for c in ("words", "pos_tags", "verbs", "skeleton_words", "skeleton_pos", "phrases", "skeleton_phrases", "phrase_at", "skeleton_at", "phrase_pos", "skeleton_phrase_pos")]
     out = occurrences.groupBy("eid").agg(F.sum("frequency").alias("frequency"), F.min("pattern").alias("pattern"), *same)
     out = out.join(entity_types(occurrences), "eid")
     typed = lambda at: F.transform(at, lambda i: F.get("ners", i))
     return out.withColumn("phrase_ners", typed("phrase_at")).withColumn("skeleton_ners", typed("skeleton_at"))
 
 
-def sources(occurrences: DataFrame, key: str) -> DataFrame:
-    """``(key, sources)``: the sentences that a node or edge was found in."""
-    return occurrences.groupBy(key).agg(F.array_sort(F.collect_set("sid")).alias("sources"))
-
-
 def build(sentences: DataFrame, taxonomy: DataFrame, out: str, least_node: float = 2.0, least_edge: float = 2.0, least_concept: float = 5.0, k: int = 3, lexicon=CONNECTIVES, clause_split: bool = False) -> dict[str, DataFrame]:
     """All tables by name; core nodes and edges reach their least weight, concepts theirs over the core graph."""
     spark = sentences.sparkSession
@@ -51,8 +45,9 @@ def build(sentences: DataFrame, taxonomy: DataFrame, out: str, least_node: float
 
     occurrences = step("occurrences", extract.extract(sentences, clause_split).withColumn("frequency", F.lit(1.0)))
     found = step("relation_occurrences", facade.relations_of(sentences, occurrences, lexicon))
-    step("node_sources", sources(occurrences, "eid"))
-    step("edge_sources", sources(found.select(rid("hid", "tid").alias("rid"), "sid"), "rid"))
+    # Long tables in order of their key, so that a look-up reads few row groups and no node gathers its sentences in a row.
+    step("node_sources", occurrences.select("eid", "sid").distinct().sortWithinPartitions("eid", "sid"))
+    step("edge_sources", graph.edge_sources(found).sortWithinPartitions("rid", "head_sid"))
     nodes = step("nodes", nodes_of(occurrences))
     edges = step("edges", graph.merge_edges(found))
     core = step("core_nodes", graph.core_nodes(nodes, least_node))

@@ -35,14 +35,15 @@ def parse_text(paragraphs: DataFrame, parser: Callable[[str], list[dict]], most:
     def run(batches):
         for b in batches:
             rows = [
-                {"doc": d, "para_idx": p, "sent_idx": piece * 10_000 + i, **{k: s.get(k) for k in ("text", "tokens", "lemmas", "pos_tags", "ners", "parse", "dependencies")}}
+                {"doc": d, "para_idx": p, "sent_idx": i, "piece": piece, **{k: s.get(k) for k in ("text", "tokens", "lemmas", "pos_tags", "ners", "parse", "dependencies")}}
                 for d, p, piece, t in zip(b["doc"], b["para_idx"], b["piece"], b["text"], strict=True) for i, s in enumerate(map(normalise, parser(t)))
             ]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in shape.split(", ")])
 
-    out = pieces.mapInPandas(run, PARSED)
-    w = F.row_number().over(graph.Window.partitionBy("doc").orderBy("para_idx", "sent_idx"))
-    return out.withColumn("sent_idx", w).withColumn("sid", F.concat_ws("|", "doc", "sent_idx"))
+    shape = f"{PARSED}, piece int"
+    out = pieces.mapInPandas(run, shape)
+    w = F.row_number().over(graph.Window.partitionBy("doc").orderBy("para_idx", "piece", "sent_idx"))
+    return out.withColumn("sent_idx", w).drop("piece").withColumn("sid", F.concat_ws("|", "doc", "sent_idx"))
 
 
 def eventualities(sentences: DataFrame, preset: str = "seed", in_order: bool = True) -> DataFrame:
@@ -54,18 +55,20 @@ def eventualities(sentences: DataFrame, preset: str = "seed", in_order: bool = T
 
 
 def relations_of(sentences: DataFrame, occurrences: DataFrame, table=CONNECTIVES, models=None, similarity=text.simpson, threshold: float = 0.8) -> DataFrame:
-    """``(hid, tid, sense, weight, sid)``: co-occurrence, and relations inside sentences and between neighbours; by
+    """``(hid, tid, sense, weight, head_sid, tail_sid)``: co-occurrence, and relations inside sentences and between neighbours; by
     seed connectives, or with trained ``models`` (``operators.discourse``) by discourse parsing, of sentences with ``doc``."""
     if not 0.0 <= threshold <= 1.0:
         raise ValueError("threshold must be between 0 and 1")
     placed = occurrences.select(F.col("sid").alias("sent"), "eid", F.col("position").alias("pos"))
-    both = graph.cooccurrence(placed).withColumnRenamed("sent", "sid")
+    both = graph.cooccurrence(placed).select("hid", "tid", "sense", "weight", F.col("sent").alias("head_sid"), F.col("sent").alias("tail_sid"))
     if models is None:
         return both.unionByName(relations.within(sentences, occurrences, table)).unionByName(relations.across(sentences, occurrences, table))
     own = occurrences.join(sentences.select("sid", "doc", "sent_idx"), "sid").select("doc", "sent_idx", "eid", F.col("raw_idx").alias("places"))
     found = discourse.parse(sentences, models, occurrences, table)
     told = discourse.edges(found, own, similarity, threshold)
-    return both.unionByName(told.join(sentences.select("doc", F.col("sent_idx").cast("int").alias("sent_idx"), "sid"), ["doc", "sent_idx"]).select("hid", "tid", "sense", "weight", "sid"))
+    place = lambda idx, sid: sentences.select("doc", F.col("sent_idx").cast("int").alias(idx), F.col("sid").alias(sid))
+    told = told.join(place("head_idx", "head_sid"), ["doc", "head_idx"]).join(place("sent_idx", "tail_sid"), ["doc", "sent_idx"])
+    return both.unionByName(told.select(*both.columns))
 
 
 def eventualities_and_relations(sentences: DataFrame, preset: str = "seed", models=None) -> tuple[DataFrame, DataFrame]:

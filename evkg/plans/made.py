@@ -106,6 +106,48 @@ def seed_across(s, d):
     return relations.across(rows, rows.select("sid", "eid", "position")).groupBy("hid", "tid", "sense").agg(F.count("*").alias("n"))
 
 
+_PAIRS = f"""WITH t(k, tokens, pos) AS (VALUES {", ".join(f"({i}, string_split('{t}', ' '), {p}::DOUBLE)" for i, (t, p) in enumerate(NEIGHBOURS))}),
+ o AS (SELECT o_custkey AS doc, o_orderkey AS sid, k, tokens, pos, 'e' || k AS eid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders JOIN t ON o_orderkey % {len(NEIGHBOURS)} = t.k),
+ x(sense, word) AS (VALUES ('Result', 'so'), ('Result', 'thus'), ('ChosenAlternative', 'instead'), ('Conjunction', 'and')),
+ p AS (SELECT a.eid AS hid, b.eid AS tid, a.sid AS head_sid, b.sid AS tail_sid, array_to_string(a.tokens, ' ') AS head_text, array_to_string(b.tokens, ' ') AS tail_text, list_concat(a.tokens, b.tokens) AS w, a.pos AS hp, len(a.tokens) + b.pos AS tp
+       FROM o a JOIN o b ON a.doc = b.doc AND b.i = a.i + 1 WHERE a.k <> 3 AND b.k <> 3),
+ s AS (SELECT DISTINCT hid, tid, head_sid, tail_sid, head_text, tail_text FROM p, x WHERE list_contains(w, word) AND tp - hp < 10 AND CASE WHEN word = 'instead' THEN list_position(w, word) - 1 > tp ELSE list_position(w, word) - 1 > hp AND list_position(w, word) - 1 < tp END
+       UNION ALL SELECT 'e3', 'f3', sid, sid, array_to_string(tokens, ' '), array_to_string(tokens, ' ') FROM o WHERE k = 3)"""
+
+
+def _paired(s, d):
+    """Sentences of orders with one eventuality each, two in the last of ``NEIGHBOURS``, and the relations found in them."""
+    from evkg.plans import facade
+
+    k = (F.col("o_orderkey") % len(NEIGHBOURS)).cast("int")
+    said = F.get(F.array(*[F.lit(t) for t, _ in NEIGHBOURS]), k)
+    rows = load(s, d, "orders").select(F.col("o_orderkey").alias("sid"), F.col("o_custkey").alias("doc"), F.struct("o_orderdate", "o_orderkey").alias("sent_idx"), said.alias("text"), F.split(said, " ").alias("tokens"), F.array().cast(DEPENDENCIES).alias("dependencies"), k.alias("k"))
+    one = lambda name, at: F.struct(F.concat(F.lit(name), "k").alias("eid"), at.cast("double").alias("position"), F.array().cast("array<int>").alias("raw_idx"))
+    own = F.array(one("e", F.get(F.array(*[F.lit(p) for _, p in NEIGHBOURS]), F.col("k"))))
+    own = F.when(F.col("k") == len(NEIGHBOURS) - 1, F.concat(own, F.array(one("f", F.lit(9.5))))).otherwise(own)
+    return rows, facade.relations_of(rows, rows.select("sid", F.explode(own).alias("x")).select("sid", "x.*"))
+
+
+@query(_PAIRS + " SELECT sha1(hid || '$' || tid) AS rid, head_sid, tail_sid, head_text, tail_text FROM s", False)
+def edge_sources(s, d):
+    rows, found = _paired(s, d)
+    return graph.with_texts(graph.edge_sources(found), rows)
+
+
+@query(_PAIRS + " SELECT count(*) AS n, CAST(sum(CASE WHEN head_sid <> tail_sid THEN 1 ELSE 0 END) AS BIGINT) AS crossing, round(avg(CASE WHEN head_sid <> tail_sid THEN 1.0 ELSE 0.0 END), 6) AS share FROM s", False)
+def found_crossing_share(s, d):
+    return graph.crossing_share(graph.edge_sources(_paired(s, d)[1])).withColumn("share", F.round("share", 6))
+
+
+@query(f"SELECT p_partkey::VARCHAR AS sid, CAST(len(string_split(w, ' ')) - 1 AS INTEGER) AS start, lower(p_brand) AS mention FROM part, (VALUES {', '.join(f'({i}, {chr(39)}{x[1]}{chr(39)})' for i, x in enumerate(EXPECTED))}) v(i, w) WHERE p_size % {len(EXPECTED)} = i AND contains(w, '*')", False)
+def eventuality_mentions(s, d):
+    made = sentences(s, d, SENTENCES)
+    last = F.size("tokens")
+    told = F.struct((last - 1).alias("start"), last.alias("end"), F.element_at("tokens", -1).alias("text"), F.lit("ORGANIZATION").alias("ner"), F.lit(None).cast("string").alias("link"), F.element_at("tokens", -1).alias("entity"))
+    out = extract.extract(made.withColumn("mentions", F.array(told)))
+    return out.select("sid", F.explode("mentions").alias("m")).select("sid", "m.start", F.col("m.text").alias("mention"))
+
+
 # ---- arguments, phrases, connectives ---------------------------------------------------------------
 
 

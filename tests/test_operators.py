@@ -120,6 +120,22 @@ def test_upsert_is_order_free(spark):
     assert sorted(map(tuple, lookup.upsert(old, new.orderBy(F.desc("k")), ["k"], ["v"]).collect())) == want
 
 
+def test_sentence_pairs(spark, tmp_path):
+    """The pairs of sentences that ``build`` writes: one sentence for co-occurrence, two for neighbours."""
+    from evkg.plans import build
+
+    texts = (("he left", "PRP VBD", [(1, "nsubj", 0)]), ("thus she wins", "RB PRP VBZ", [(2, "nsubj", 1)]), ("we go , they stay", "PRP VBP , PRP VBP", [(1, "nsubj", 0), (1, "parataxis", 4), (4, "nsubj", 3)]))
+    rows = [(f"{d}|{i}", d, i, t, t.split(), t.split(), p.split(), e) for d in ("a", "b") for i, (t, p, e) in enumerate(texts)]
+    sents = spark.createDataFrame(rows, "sid string, doc string, sent_idx int, text string, tokens array<string>, lemmas array<string>, pos_tags array<string>, dependencies array<struct<gov:int,dep:string,dpt:int>>")
+    got = build.build(sents, spark.createDataFrame([], "concept string, instance string, freq long"), str(tmp_path))
+    kinds = {r["rid"]: r["sense"] for r in got["edges"].collect()}
+    pairs = sorted((kinds[r["rid"]], r["head_sid"], r["tail_sid"]) for r in got["edge_sources"].collect())
+    assert pairs == [("Co_Occurrence", "a|2", "a|2"), ("Co_Occurrence", "b|2", "b|2"), ("Result", "a|0", "a|1"), ("Result", "b|0", "b|1")]
+    assert tuple(graph.crossing_share(got["edge_sources"]).first()) == (4, 2, 0.5)
+    said = {(r["head_text"], r["tail_text"]) for r in graph.with_texts(got["edge_sources"], sents).collect()}
+    assert said == {("he left", "thus she wins"), ("we go , they stay", "we go , they stay")}
+
+
 def test_connective_weights(spark):
     occ = spark.createDataFrame([(1, "a", ["x", "y"]), (1, "b", ["x", "y", "z"]), (1, "c", ["q"])], "sent int, eid string, words array<string>")
     arg = lambda w: spark.createDataFrame([("c1", 1, w)], "conn string, sent int, words array<string>")
@@ -343,6 +359,11 @@ def test_build(spark, tmp_path):
     assert all(r["hid"] in ids and r["tid"] in ids and r["weight"] >= 2.0 for r in edges) and got["core_edges"].count() == len(edges)
     named = {" ".join(r["words"]): r["weight"] for r in got["concepts"].collect()}
     assert named["__PERSON__0 find __PERSON__1 building"] == pytest.approx(2 * 3 / 4) and any("__CITY__0" in w for w in named)
-    assert [len(r["sources"]) for r in got["node_sources"].collect()] == [2] * len(nodes)
+    held = got["node_sources"].groupBy("eid").agg(F.count("*").alias("n")).collect()
+    assert [r["n"] for r in held] == [2] * len(nodes)  # a row for each sentence of a node
+    pairs = {tuple(r) for r in got["edge_sources"].select("head_sid", "tail_sid").collect()}
+    assert pairs and all(a.rsplit("|", 1)[0] == b.rsplit("|", 1)[0] for a, b in pairs)
+    texts = graph.with_texts(got["edge_sources"], twice.withColumn("text", F.array_join("tokens", " ")))
+    assert texts.count() == got["edge_sources"].count() and graph.crossing_share(got["edge_sources"]).first()["n"] == len(got["edge_sources"].collect())
     assert set(got) == {"occurrences", "relation_occurrences", "nodes", "edges", "core_nodes", "core_edges", "concept_pairs", "concepts", "concept_edges", "node_sources", "edge_sources"}
     assert build.build(twice.where("false"), tax, str(tmp_path / "none"))["concept_edges"].count() == 0
