@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
+from itertools import accumulate, groupby
+from operator import itemgetter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -186,12 +191,72 @@ def crossing_share(sources: DataFrame) -> DataFrame:
     return sources.agg(F.count("*").alias("n"), crossing.alias("crossing"), F.try_divide(crossing.cast("double"), F.count("*")).alias("share"))
 
 
+def _heads(batches):
+    """``(range, guest, hid, tails)`` of edges sorted by range, guest and head; the tails come one at a time."""
+    rows = (r for b in batches for r in zip(b["target"].tolist(), b["guest"].tolist(), b["hid"].tolist(), b["tid"].tolist(), strict=True))
+    for (target, guest, hid), own in groupby(rows, key=itemgetter(0, 1, 2)):
+        yield target, guest, hid, (r[3] for r in own)
+
+
+def _taken(hid: str, tails, max_nodes: int, max_edges: int) -> tuple[set[str], int]:
+    """The nodes and the number of edges of a head, up to the limits: a head that reaches one closes any slice."""
+    own, n = {hid}, 0
+    for n, t in enumerate(tails, 1):
+        own.add(t)
+        if n >= max_edges or len(own) >= max_nodes:
+            for _ in tails:  # the rest is read past, not held
+                pass
+            break
+    return own, n
+
+
+def _exits(heads, max_nodes: int, max_edges: int):
+    """``(entry, exit, slices)`` of one range: to which head the slices lead that begin with head ``entry`` of the range,
+    past its own heads (-1: the end of the table), and how many begin on the way.
+
+    The window holds the slice that begins at its left end; when the limits are reached that slice ends, and the window
+    moves on by a head.  So each edge is added and taken away once.  A slice from an earlier range ends no later
+    than the one that begins at the first head, so no head after that end is an entry.
+    """
+    window, seen, count = deque(), Counter(), 0
+    ways: dict[int, list[tuple[int, int]]] = {}  # head: the entries that lead there and their slices so far
+    passed, own_heads, first_end = 0, 0, None
+    for i, (guest, hid, tails) in enumerate(heads):
+        if not guest:
+            own_heads = i + 1
+            if first_end is None or i == first_end:
+                ways.setdefault(i, []).append((i, 0))
+        elif passed >= own_heads:
+            break  # all ways have left the range
+        own, n = _taken(hid, tails, max_nodes, max_edges)
+        window.append((own, n))
+        seen.update(own)
+        count += n
+        while window and (len(seen) >= max_nodes or count >= max_edges):
+            gone, m = window.popleft()
+            count -= m
+            for x in gone:
+                seen[x] -= 1
+                if not seen[x]:
+                    del seen[x]
+            if passed == 0:
+                first_end = i + 1
+            if passed < own_heads and passed in ways:  # ways that have left the range stay where they left it
+                ways.setdefault(i + 1, []).extend((e, k + 1) for e, k in ways.pop(passed))
+            passed += 1
+    for at, own in ways.items():
+        for entry, n in own:  # what is still open when the edges end, ends there
+            yield (entry, at, n) if at >= own_heads else (entry, -1, n + 1)
+
+
 def slices(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edges: int, ranges: int = 1) -> tuple[DataFrame, DataFrame]:
     """``(eid, slice)`` of nodes without edges, ``max_nodes`` a slice by id, and ``(hid, range, slice)`` of heads.
 
     Heads are taken by id; a slice is closed when it holds ``max_nodes`` distinct nodes or ``max_edges`` edges,
-    and holds all edges of its heads.  Of one range the slices follow one another exactly; with more ranges
-    of ids each is sliced by itself, in its own task, whose memory is one slice.
+    and holds all edges of its heads.  The slices are the same for any number of ``ranges`` of ids, which are cut in
+    parallel, each by one task that holds no more than a slice: first each range finds where slices lead that enter it at
+    any head of its first slice (it reads on into the ranges that such a slice can reach), then these few rows
+    a range are followed from the first head on, and last each range is cut from the head where it is entered.
     """
     shard = F.substring("eid", 1, 3)
     lone = singletons(nodes, edges).select("eid").withColumn("shard", shard)
@@ -200,22 +265,70 @@ def slices(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edges: int, r
     at = F.col("before") + F.row_number().over(Window.partitionBy("shard").orderBy("eid")) - 1
     alone = lone.join(F.broadcast(before), "shard").select("eid", F.floor(at / F.lit(max_nodes)).cast("long").alias("slice"))
 
+    of = F.floor(F.conv(F.substring("hid", 1, 4), 16, 10).cast("long") * F.lit(ranges) / F.lit(65_536)).cast("int")
+    own = edges.select("hid", "tid").distinct().withColumn("range", of)
+    dealt = lambda df: df.repartitionById(ranges, F.col("target")).sortWithinPartitions("target", "guest", "hid", "tid").select("target", "guest", "hid", "tid")
+    entries = {0: (0, 0)}
+    if ranges > 1:
+        stats = {r["range"]: (r["heads"], r["edges"]) for r in own.groupBy("range").agg(F.count_distinct("hid").alias("heads"), F.count("*").alias("edges")).collect()}  # a row a range
+        first, also = dict(zip(sorted(stats), accumulate((stats[r][0] for r in sorted(stats)), initial=0), strict=False)), {r: [] for r in range(ranges)}
+        for r in stats:  # the ranges that a slice can reach which begins with the last head of r
+            ahead = 0
+            for later in sorted(x for x in stats if x > r):
+                if ahead >= max_edges:
+                    break
+                also[later].append(r)
+                ahead += stats[later][1]
+
+        def found(batches):
+            for target, mine in groupby(_heads(batches), key=itemgetter(0)):
+                got = [(target, *x) for x in _exits((h[1:] for h in mine), max_nodes, max_edges)]
+                yield pd.DataFrame(got, columns=["range", "entry", "exit", "n"])
+
+        def followed(batches):
+            now, begun = 0, 0
+            for b in batches:
+                out = []
+                for r, entry, exit_, n in zip(b["range"].tolist(), b["entry"].tolist(), b["exit"].tolist(), b["n"].tolist(), strict=True):
+                    if first[r] + entry == now:
+                        out.append((r, entry, begun, n))
+                        now, begun = (first[r] + exit_ if exit_ >= 0 else -1), begun + n
+                yield pd.DataFrame(out, columns=["range", "entry", "exit", "n"])
+
+        shape = "range int, entry long, exit long, n long"
+        guests = F.array(*[F.array(*[F.lit(t) for t in also[r]]).cast("array<int>") for r in range(ranges)])
+        to = F.concat(F.array(F.struct(F.col("range").alias("target"), F.lit(0).alias("guest"))), F.transform(F.get(guests, F.col("range")), lambda t: F.struct(t.alias("target"), F.lit(1).alias("guest"))))
+        sent = own.select("hid", "tid", F.explode(to).alias("to")).select("hid", "tid", "to.target", "to.guest")
+        # No more rows a range than heads in one slice, and one at a time.
+        chain = dealt(sent).mapInPandas(found, shape).repartition(1).sortWithinPartitions("range", "entry").mapInPandas(followed, shape)
+        entered, begun = {r["range"]: (r["entry"], r["exit"], r["n"]) for r in chain.collect()}, 0  # a row a range
+        for r in sorted(stats):
+            entry, at_, n = entered.get(r, (None, begun, 0))
+            entries[r], begun = (entry, at_), at_ + n
+
     def cut(batches):
-        now, held, count, where = 0, set(), 0, None
-        for b in batches:
-            out = []
-            for r, hid, tids, n in zip(b["range"], b["hid"], b["tids"], b["n"], strict=True):
-                if where is not None and (r != where or len(held) >= max_nodes or count >= max_edges):
-                    now, held, count = (now + 1 if r == where else 0), set(), 0
-                where = r
-                held.update([hid, *tids])
-                count += n
-                out.append(now)
-            b = b[["hid", "range"]].copy()
-            b["slice"] = out
-            yield b
-
-    heads = edges.groupBy("hid").agg(F.collect_set("tid").alias("tids"), F.count_distinct("rid").alias("n"))
-    of = F.floor(F.conv(F.substring("hid", 1, 4), 16, 10).cast("long") * F.lit(ranges) / F.lit(65_536)).cast("long")
-    heads = heads.withColumn("range", of).repartition(ranges, "range").sortWithinPartitions("range", "hid")
-    return alone, heads.select("hid", "range", "tids", "n").mapInPandas(cut, "hid string, range long, slice long")
+        for target, mine in groupby(_heads(batches), key=itemgetter(0)):
+            entry, now = entries[target]
+            now, held, count, out = now - 1, set(), 0, []
+            for i, (_, _, hid, tails) in enumerate(mine):
+                if i == entry or (entry is not None and i > entry and (len(held) >= max_nodes or count >= max_edges)):
+                    now, held, count = now + 1, set(), 0
+                nodes_of, n = _taken(hid, tails, max_nodes, max_edges)
+                if entry is not None and i >= entry:
+                    held |= nodes_of
+                    count += n
+                out.append((hid, target, now))
+                if len(out) == 10_000:
+                    yield pd.DataFrame(out, columns=["hid", "range", "slice"])
+                    out = []
+            yield pd.DataFrame(out, columns=["hid", "range", "slice"])
+
+    return alone, dealt(own.select("hid", "tid", F.col("range").alias("target"), F.lit(0).alias("guest"))).mapInPandas(cut, "hid string, range long, slice long")
+
+
+def write_slices(edges: DataFrame, heads: DataFrame, path: str) -> None:
+    """The edges and the nodes of each slice, in folders by slice."""
+    own = edges.join(heads.select("hid", "slice"), "hid")
+    own.write.mode("overwrite").partitionBy("slice").parquet(f"{path}/edges")
+    ends = own.select("slice", F.explode(F.array("hid", "tid")).alias("eid")).distinct()
+    ends.write.mode("overwrite").partitionBy("slice").parquet(f"{path}/nodes")

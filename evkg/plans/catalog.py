@@ -299,6 +299,19 @@ def graph_slices(s, d):
     return graph.slices(tpch.nodes(s, d), tpch.edges(s, d), 1000, 60)[1].select("hid", "slice")
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT sha1('c' || o_custkey) AS hid, sha1('p' || (o_orderkey % 97)) AS tid FROM orders),
+ h AS (SELECT hid, list_append(list(tid), hid) AS w, count(*) AS n, row_number() OVER (ORDER BY hid) AS i FROM e GROUP BY 1),
+ cut(i, hid, slice, held, edges) AS (SELECT i, hid, 0, w, n FROM h WHERE i = 1 UNION ALL
+   SELECT h.i, h.hid, CASE WHEN len(held) >= 60 OR edges >= 150 THEN slice + 1 ELSE slice END, CASE WHEN len(held) >= 60 OR edges >= 150 THEN w ELSE list_distinct(list_concat(held, w)) END, CASE WHEN len(held) >= 60 OR edges >= 150 THEN n ELSE edges + n END
+   FROM cut JOIN h ON h.i = cut.i + 1)
+ SELECT hid, CAST(slice AS BIGINT) AS slice FROM cut""", False)
+def parallel_slices(s, d):
+    name = lambda kind, c: F.sha1(F.concat(F.lit(kind), c))
+    edges = load(s, d, "orders").select(name("c", F.col("o_custkey")).alias("hid"), name("p", F.col("o_orderkey") % 97).alias("tid"))
+    nodes = edges.select(F.col("hid").alias("eid")).distinct()
+    return graph.slices(nodes, edges, 60, 150, 8)[1].select("hid", "slice")
+
+
 @query("SELECT sha1(c_custkey::VARCHAR) AS eid, CAST((row_number() OVER (ORDER BY sha1(c_custkey::VARCHAR)) - 1) // 40 AS BIGINT) AS slice FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)", False)
 def lone_slices(s, d):
     name = lambda c: F.sha1(F.col(c).cast("string"))

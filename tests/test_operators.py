@@ -136,6 +136,37 @@ def test_sentence_pairs(spark, tmp_path):
     assert said == {("he left", "thus she wins"), ("we go , they stay", "we go , they stay")}
 
 
+def test_slices_in_ranges(spark, tmp_path):
+    """The same slices for any number of ranges, with hubs, slices that span ranges, and either limit first."""
+    import hashlib
+    import random
+
+    rng = random.Random(4)
+    name = lambda x: hashlib.sha1(str(x).encode()).hexdigest()
+    pairs = {(name(rng.randrange(300)), name(rng.choice([rng.randrange(20), rng.randrange(900)]))) for _ in range(1_500)} | {(name(h), name(t)) for h in (7, 8) for t in range(400)}
+    by = {}
+    for h, t in sorted(pairs):
+        by.setdefault(h, set()).add(t)
+    edges = spark.createDataFrame(sorted(pairs), "hid string, tid string")
+    edges = edges.union(edges.limit(100)).withColumn("rid", F.concat("hid", "tid"))  # an edge of two senses counts once
+    nodes = spark.createDataFrame([(name(x),) for x in range(950)], "eid string")
+    for most_nodes, most_edges in ((40, 1_000), (10_000, 60), (90, 110), (1, 1), (10_000, 100_000), (600, 700)):
+        want, now, held, count = {}, 0, set(), 0
+        for h in sorted(by):
+            if len(held) >= most_nodes or count >= most_edges:
+                now, held, count = now + 1, set(), 0
+            held |= {h, *by[h]}
+            count += len(by[h])
+            want[h] = now
+        for ranges in (1, 5, 64):
+            alone, heads = graph.slices(nodes, edges, most_nodes, most_edges, ranges)
+            assert {r["hid"]: r["slice"] for r in heads.collect()} == want, (most_nodes, most_edges, ranges)
+    assert alone.count() == len({name(x) for x in range(950)} - set(by) - {t for own in by.values() for t in own})
+    graph.write_slices(edges.dropDuplicates(["rid"]), graph.slices(nodes, edges, 600, 700, 4)[1], str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/edges").count() == len(pairs) and spark.read.parquet(f"{tmp_path}/nodes").select("slice").distinct().count() == max(want.values()) + 1
+    assert graph.slices(nodes, edges.where("false"), 5, 5, 3)[1].count() == 0
+
+
 def test_connective_weights(spark):
     occ = spark.createDataFrame([(1, "a", ["x", "y"]), (1, "b", ["x", "y", "z"]), (1, "c", ["q"])], "sent int, eid string, words array<string>")
     arg = lambda w: spark.createDataFrame([("c1", 1, w)], "conn string, sent int, words array<string>")
