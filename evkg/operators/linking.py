@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evkg.functions.text import has_word
-
 
 def mention_dictionary(links: DataFrame) -> DataFrame:
     """``(mention, entity, freq)`` from counts ``(mention, entity, n)``: shares of a mention, one at most."""
@@ -44,8 +43,9 @@ def contained(keys: DataFrame, posts: DataFrame) -> DataFrame:
     often = p.select(F.explode("own").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     each = k.select("key", "t", F.explode("t").alias("token")).join(often, "token", "left")
     rare = each.groupBy("key", "t").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    held = p.select("post", "own", F.explode("own").alias("token"))
-    return rare.join(held, "token").where(F.forall("t", lambda x: F.array_contains("own", x))).select("key", "post").distinct()
+    # A token travels without its post's other ones; only hits fetch them.
+    hits = rare.join(p.select("post", F.explode("own").alias("token")), "token").select("key", "t", "post")
+    return hits.join(p, "post").where(F.forall("t", lambda x: F.array_contains("own", x))).select("key", "post").distinct()
 
 
 def aliases(phrase: Column, stop_words) -> Column:
@@ -71,33 +71,107 @@ TIMES = (
 MORE_SHORT = {"september": ("Sept",), "tuesday": ("Tu", "Tues"), "thursday": ("Thur", "Thurs", "Th")}
 
 
+def one_person(names: list[str]) -> list[str]:
+    """For each of several names the smallest of those that it is joined to: names that hold one another at blanks,
+    directly or over others.  A name looks up its runs of words, no name looks at all others."""
+    up = {n: n for n in names}
+
+    def root(n: str) -> str:
+        while up[n] != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    sizes = sorted({n.count(" ") + 1 for n in up})
+    for name in up:
+        words = name.split(" ")
+        for k in (k for k in sizes if k <= len(words)):
+            for i in range(len(words) - k + 1):
+                held = " ".join(words[i : i + k])
+                if held in up:
+                    a, b = sorted((root(held), root(name)))
+                    up[b] = a
+    return [root(n) for n in names]
+
+
 def same_persons(mentions: DataFrame) -> DataFrame:
     """``(doc, mention, person)``: persons' mentions of one document that hold one another at word borders, directly or
-    over others, have the smallest of their texts as ``person``.
+    over others, have the smallest of their texts as ``person``.  The names of a document meet in one task."""
 
-    Mentions of a document are few and meet in one row; a document's groups are found there by repeated minimum.
-    """
-    docs = mentions.where("ner = 'PERSON'").groupBy("doc").agg(F.array_sort(F.collect_set("mention")).alias("all"))
-    linked = F.transform("all", lambda m: F.struct(m.alias("m"), F.filter("all", lambda n: has_word(m, n) | has_word(n, m)).alias("near")))
-    start = F.transform(linked, lambda x: F.struct(x["m"].alias("m"), x["near"].alias("near"), F.array_min(x["near"]).alias("least")))
-    least = lambda now, x: F.array_min(F.transform(F.filter(now, lambda y: F.array_contains(x["near"], y["m"])), lambda y: y["least"]))
-    settle = lambda now, _: F.transform(now, lambda x: F.struct(x["m"].alias("m"), x["near"].alias("near"), least(now, x).alias("least")))
-    done = docs.withColumn("x", F.explode(F.aggregate("all", start, settle)))
-    return done.select("doc", F.col("x.m").alias("mention"), F.col("x.least").alias("person"))
+    def run(names: pd.DataFrame) -> pd.DataFrame:
+        return names.assign(person=one_person(names["mention"].tolist()))
+
+    own = mentions.where("ner = 'PERSON'").select("doc", F.col("mention").cast("string")).where("mention IS NOT NULL").distinct()
+    return own.groupBy("doc").applyInPandas(run, f"doc {own.schema['doc'].dataType.simpleString()}, mention string, person string")
 
 
 def shared_candidates(candidates: DataFrame, persons: DataFrame) -> DataFrame:
-    """``(doc, person, entity, freq)``: the candidates of all mentions of a person; the frequency of one that several
+    """``(doc, person, entity, freq)``: the candidates of all mentions of a person, by document or by text alone; the frequency of one that several
     mentions bring is the mean of what is had so far and the next one's, in order of the mentions."""
-    own = persons.join(candidates, ["doc", "mention"]).groupBy("doc", "person", "entity").agg(F.array_sort(F.collect_list(F.struct("mention", "freq"))).alias("x"))
+    own = persons.join(candidates, [c for c in ("doc", "mention") if c in candidates.columns]).groupBy("doc", "person", "entity").agg(F.array_sort(F.collect_list(F.struct("mention", "freq"))).alias("x"))
     freq = F.aggregate(F.slice("x", 2, F.size("x")), F.col("x")[0]["freq"], lambda a, y: (a + y["freq"]) / 2)
     return own.select("doc", "person", "entity", freq.alias("freq"))
 
 
+#: Shares that differ from one by less count as one.
+CERTAIN = 1e-4
+
+
+def candidates_of(texts: DataFrame, dictionary: DataFrame, redirects: DataFrame, stop_words=()) -> DataFrame:
+    """``(mention, entity, freq)``: entities that the dictionary ``(mention, entity, freq)`` has for any alias of a text,
+    the highest share of each; a redirect ``(mention, entity)`` of an alias is certain."""
+    named = texts.select("mention").distinct().select("mention", F.explode(aliases(F.col("mention"), stop_words)).alias("alias"))
+    sure = redirects.select("mention", "entity", F.lit(1.0).alias("freq"))
+    known = dictionary.select("mention", "entity", F.col("freq").cast("double").alias("freq")).unionByName(sure).withColumnRenamed("mention", "alias")
+    return named.join(known, "alias").groupBy("mention", "entity").agg(F.max("freq").alias("freq"))
+
+
+def chosen(candidates: DataFrame, keys: list[str], vague: DataFrame) -> DataFrame:
+    """``(keys, entity)``: the likeliest candidate, of several the first by name.  A page of ``vague`` (``entity``), which only
+    tells names apart, gives way to the next certain one that is none; without one there is no link."""
+    told = candidates.join(vague.select("entity").distinct().withColumn("_v", F.lit(True)), "entity", "left")
+    rank = F.struct((-F.col("freq")).alias("f"), "entity", F.col("_v").isNotNull().alias("vague"))
+    sure = (F.abs(F.col("freq") - 1) < CERTAIN) & F.col("_v").isNull()
+    best = told.groupBy(*keys).agg(F.min(rank).alias("first"), F.min(F.when(sure, F.col("entity"))).alias("next"))
+    return best.select(*keys, F.when(~F.col("first.vague"), F.col("first.entity")).when(F.abs(F.col("first.f") + 1) < CERTAIN, F.col("next")).alias("entity")).where("entity IS NOT NULL")
+
+
+def link(mentions: DataFrame, dictionary: DataFrame, redirects: DataFrame, vague: DataFrame, persons: DataFrame, stop_words=()) -> DataFrame:
+    """``mentions`` ``(doc, mention, ner, ...)`` with their ``entity``, null where there is none.
+
+    Candidates come from the dictionary and the redirects by alias, once for each distinct text.  Mentions of persons,
+    by type or because the likeliest candidate is among ``persons`` (``entity``), share the candidates of all mentions
+    of their person in the document; all others have those of their text.
+    """
+    found = candidates_of(mentions, dictionary, redirects, stop_words)
+    likeliest = found.groupBy("mention").agg(F.min_by("entity", F.struct(-F.col("freq"), "entity")).alias("entity"))
+    known = likeliest.join(persons.select("entity").distinct(), "entity", "left_semi").select("mention", F.lit(True).alias("_p"))
+    typed = mentions.join(known, "mention", "left").withColumn("_p", F.coalesce(F.col("ner") == "PERSON", F.lit(False)) | F.col("_p").isNotNull())
+    people = same_persons(typed.where("_p").select("doc", "mention", F.lit("PERSON").alias("ner")))
+    by_person = chosen(shared_candidates(found, people), ["doc", "person"], vague)
+    own = people.join(by_person, ["doc", "person"]).select("doc", "mention", F.lit(True).alias("_p"), F.col("entity").alias("_own"))
+    by_text = chosen(found, ["mention"], vague).withColumnRenamed("entity", "_text")
+    out = typed.join(own, ["doc", "mention", "_p"], "left").join(by_text, "mention", "left")
+    return out.select(*mentions.columns, F.when(F.col("_p"), F.col("_own")).otherwise(F.col("_text")).alias("entity"))
+
+
+def link_sentences(sentences: DataFrame, dictionary: DataFrame, redirects: DataFrame, vague: DataFrame, persons: DataFrame, stop_words=(), address: str = "") -> DataFrame:
+    """``sentences`` whose ``mentions`` have their ``entity`` and, made of it and ``address``, their ``link``."""
+    each = sentences.select("doc", "sid", F.posexplode("mentions").alias("at", "m")).select("doc", "sid", "at", "m", F.col("m.text").alias("mention"), F.col("m.ner").alias("ner"))
+    told = link(each, dictionary, redirects, vague, persons, stop_words)
+    filled = F.struct("at", F.struct("m.start", "m.end", "m.text", "m.ner", F.coalesce(F.concat(F.lit(address), "entity"), "m.link").alias("link"), F.coalesce("entity", "m.entity").alias("entity")).alias("m"))
+    whole = told.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(filled)), lambda x: x["m"]).alias("_m"))
+    return sentences.join(whole, "sid", "left").withColumn("mentions", F.coalesce("_m", "mentions")).select(*sentences.columns)
+
+
 def pair_lookup(triples: DataFrame, posts: DataFrame) -> DataFrame:
-    """Triples ``(a, r, b)`` whose two words both occur in a post, in either order."""
+    """Triples ``(a, r, b)`` whose two words both occur in a post, in either order; each is looked up by its rarer word."""
     p = posts.select("post", F.explode(F.array_distinct("tokens")).alias("t"))
-    return triples.join(p.select("post", F.col("t").alias("a")), "a").join(p.select("post", F.col("t").alias("b")), ["post", "b"]).where("a <> b").select("post", "a", "r", "b")
+    often = p.groupBy("t").agg(F.count("*").alias("n"))
+    rows = triples.where("a <> b").join(often.toDF("a", "_na"), "a").join(often.toDF("b", "_nb"), "b")
+    first = (F.col("_na") < F.col("_nb")) | ((F.col("_na") == F.col("_nb")) & (F.col("a") < F.col("b")))
+    rows = rows.select("a", "r", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("t"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("_other"))
+    return rows.join(p, "t").join(p.select("post", F.col("t").alias("_other")), ["post", "_other"]).select("post", "a", "r", "b")
 
 
 def coverage(posts: DataFrame, triples: DataFrame) -> DataFrame:

@@ -301,6 +301,36 @@ def same_persons(s, d):
     return linking.same_persons(rows)
 
 
+#: Names in texts: a word with a capital, and such a word with the one after it.
+ONE, TWO = "[A-Z][a-z]+", "[A-Z][a-z]+ [a-z]+"
+
+
+@query(f"""WITH one AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '{ONE}')) AS mention FROM documents),
+ m AS (SELECT DISTINCT doc_id AS doc, unnest(list_concat(regexp_extract_all(text, '{TWO}'), regexp_extract_all(text, '{ONE}'))) AS mention FROM documents),
+ dict AS (SELECT mention, entity, least(1.0, n / sum(n) OVER (PARTITION BY mention)) AS freq FROM (SELECT mention, source AS entity, count(*) AS n FROM one WHERE source IS NOT NULL GROUP BY ALL)),
+ two AS (SELECT DISTINCT mention, string_split(mention, ' ')[1] AS a, string_split(mention, ' ')[2] AS b FROM m WHERE contains(mention, ' ')),
+ red AS (SELECT DISTINCT a || ' ' || upper(b[1]) || b[2:] AS alias, 'page ' || b[1] AS entity FROM two WHERE length(mention) % 5 = 0),
+ cand AS (SELECT mention, entity, freq FROM dict UNION ALL SELECT two.mention, red.entity, 1.0 FROM two JOIN red ON red.alias = a || ' ' || upper(b[1]) || b[2:]),
+ likely AS (SELECT mention, entity FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY freq DESC, entity) AS r FROM cand) WHERE r = 1),
+ typed AS (SELECT doc, m.mention, length(m.mention) % 3 <> 0 OR coalesce(entity = 'src1', false) AS p FROM m LEFT JOIN likely USING (mention)),
+ grp AS (SELECT t.doc, t.mention, coalesce(f.mention, t.mention) AS person FROM typed t LEFT JOIN typed f ON f.doc = t.doc AND f.p AND f.mention = string_split(t.mention, ' ')[1] WHERE t.p),
+ shared AS (SELECT doc, person, entity, list_reduce(list(freq ORDER BY mention), lambda x, y: (x + y) / 2) AS freq FROM grp JOIN cand USING (mention) GROUP BY ALL),
+ every AS (SELECT doc, person AS k, true AS p, entity, freq FROM shared UNION ALL SELECT NULL, mention, false, entity, freq FROM cand),
+ best AS (SELECT doc, k, p, CASE WHEN v <> 'src0' THEN v WHEN abs(f - 1) < 1e-4 THEN nxt END AS entity FROM (SELECT doc, k, p, arg_min(entity, (-freq, entity)) AS v, max(freq) AS f, min(CASE WHEN abs(freq - 1) < 1e-4 AND entity <> 'src0' THEN entity END) AS nxt FROM every GROUP BY ALL))
+ SELECT t.doc, t.mention, b.entity FROM typed t LEFT JOIN grp g ON g.doc = t.doc AND g.mention = t.mention LEFT JOIN best b ON b.p = t.p AND b.k = CASE WHEN t.p THEN g.person ELSE t.mention END AND (NOT t.p OR b.doc = t.doc)""", False)
+def entity_links(s, d):
+    docs = load(s, d, "documents")
+    names = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    mentions = docs.select(F.col("doc_id").alias("doc"), F.explode(F.concat(names(TWO), names(ONE))).alias("mention")).distinct()
+    mentions = mentions.withColumn("ner", F.when(F.length("mention") % 3 != 0, "PERSON").otherwise("CITY"))
+    counts = docs.where("source IS NOT NULL").select(F.explode(names(ONE)).alias("mention"), F.col("source").alias("entity")).groupBy("mention", "entity").agg(F.count("*").alias("n"))
+    w = F.split("mention", " ")
+    redirects = mentions.where(F.contains("mention", F.lit(" ")) & (F.length("mention") % 5 == 0)).select(F.concat_ws(" ", w[0], F.initcap(w[1])).alias("mention"), F.concat(F.lit("page "), F.substring(w[1], 1, 1)).alias("entity")).distinct()
+    one = lambda x: s.range(1).select(F.lit(x).alias("entity"))
+    out = linking.link(mentions, linking.mention_dictionary(counts), redirects, one("src0"), one("src1"))
+    return out.select("doc", "mention", "entity")
+
+
 @query("SELECT c_custkey AS doc, 'Ann' AS person, 'e1' AS entity, 0.375::DOUBLE AS freq FROM customer UNION ALL SELECT c_custkey, 'Ann', 'e2', 1.0 FROM customer", False)
 def shared_candidates(s, d):
     c = load(s, d, "customer").select(F.col("c_custkey").alias("doc"))
