@@ -196,7 +196,7 @@ def _segments(n: Column, edges: Column) -> Column:
     return F.get(F.transform(x, cut), 0)
 
 
-OUT = ["sid", "eid", "pattern", "words", "pos_tags", "verbs", "skeleton_words", "skeleton_pos", "phrases", "skeleton_phrases", "position", "raw_idx", "ners", "phrase_at", "skeleton_at", "phrase_pos", "skeleton_phrase_pos", "mentions", "dependencies"]
+OUT = ["sid", "eid", "pattern", "words", "pos_tags", "verbs", "skeleton_words", "skeleton_pos", "phrases", "skeleton_phrases", "position", "raw_idx", "ners", "phrase_at", "skeleton_at", "phrase_pos", "skeleton_phrase_pos", "mentions", "dependencies", "skeleton_dependencies"]
 MENTIONS = "array<struct<start:int,end:int,text:string,ner:string,link:string,entity:string>>"
 
 
@@ -231,6 +231,7 @@ def _constructed(found: DataFrame, use_lemma: bool) -> DataFrame:
         "skeleton_phrases": F.transform("skeleton_parts", phrase), "skeleton_at": F.transform("skeleton_parts", lambda p: p["head"]),
         "phrase_pos": F.transform("parts", lambda p: F.get("own_tags", p["head"])), "skeleton_phrase_pos": F.transform("skeleton_parts", lambda p: F.get("own_tags", p["head"])),
         "position": F.when(n > 0, total / n).otherwise(F.lit(0.0)), "raw_idx": F.col("kept"), "ners": F.col("own_ners"), "mentions": F.transform(inside, moved), "dependencies": F.col("edges"),
+        "skeleton_dependencies": F.filter("edges", lambda e: F.exists("core", lambda c: (place(c["gov"]) == e["gov"]) & (c["dep"] == e["dep"]) & (place(c["dpt"]) == e["dpt"]))),
     }
     return df.select("sid", "no", "clause", *[made[c].alias(c) if c in made else F.col(c) for c in OUT[1:]])
 

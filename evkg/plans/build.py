@@ -26,8 +26,10 @@ def entity_types(occurrences: DataFrame) -> DataFrame:
 
 def nodes_of(occurrences: DataFrame) -> DataFrame:
     """Nodes with the sum of frequencies; all but the pattern follows from the id."""
-    same = [F.any_value(c).alias(c) for c in ("words", "pos_tags", "verbs", "skeleton_words", "skeleton_pos", "phrases", "skeleton_phrases", "phrase_at", "skeleton_at", "phrase_pos", "skeleton_phrase_pos")]
-    out = occurrences.groupBy("eid").agg(F.sum("frequency").alias("frequency"), F.min("pattern").alias("pattern"), *same)
+    same = [F.any_value(c).alias(c) for c in ("words", "pos_tags", "verbs", "skeleton_words", "skeleton_pos", "phrases", "skeleton_phrases", "phrase_at", "skeleton_at", "phrase_pos", "skeleton_phrase_pos", "dependencies", "skeleton_dependencies")]
+    # Of its mentions a node keeps those of one occurrence, the one with most of them.
+    told = F.max_by("mentions", F.struct(F.size("mentions"), "sid")).alias("mentions")
+    out = occurrences.groupBy("eid").agg(F.sum("frequency").alias("frequency"), F.min("pattern").alias("pattern"), told, *same)
     out = out.join(entity_types(occurrences), "eid")
     typed = lambda at: F.transform(at, lambda i: F.get("ners", i))
     return out.withColumn("phrase_ners", typed("phrase_at")).withColumn("skeleton_ners", typed("skeleton_at"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evkg.functions import text
 from evkg.functions.ids import rid
-from evkg.operators import concepts, discourse, extract, graph, linking, lookup, post, relations, sampling
+from evkg.operators import concepts, discourse, extract, graph, linking, lookup, persons, post, relations, sampling
 from evkg.plans import tpch
 from evkg.plans.registry import query
 from evkg.plans.tpch import load
@@ -446,6 +446,60 @@ def concept_relations(s, d):
     return lookup.exact(edges, wanted, {"tid": "cid"}).groupBy("concept", "sense").agg(F.round(F.sum("weight"), 4).alias("weight"))
 
 
+# ---- persons by parse -----------------------------------------------------------------------------------
+
+
+def _in(word: str, words) -> str:
+    return f"{word} IN ({', '.join(repr(w) for w in words)})"
+
+
+def _like(a: str, b: str) -> str:
+    """Whether two words are one person's."""
+    return f"({a} = {b} OR {' OR '.join(f'({_in(a, ws)} AND {_in(b, ws)})' for ws in persons.SAME)})"
+
+
+def _label(k: str, word: str) -> str:
+    return f"CASE WHEN {_in(word, persons.POSSESSIVE)} THEN '[P{k}''s]' ELSE '[P{k}]' END"
+
+
+#: First and second three words of texts as subject, verb and object; words of even length are persons' names.
+_TRIPLES = f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM documents),
+ n AS (SELECT doc_id, 0 AS half, w[1] AS a, w[2] AS b, w[3] AS c FROM w WHERE len(w) >= 6 UNION ALL SELECT doc_id, 1, w[4], w[5], w[6] FROM w WHERE len(w) >= 6),
+ p AS (SELECT *, length(a) % 2 = 0 OR {_in("a", (*persons.INDEFINITE, *persons.SUBJECTS))} AS pa, length(c) % 2 = 0 OR {_in("c", persons.INDEFINITE)} AS pc FROM n),
+ q AS (SELECT *, CASE WHEN pa THEN {_label("0", "a")} ELSE a END || ' ' || b || ' ' || CASE WHEN pc AND pa AND NOT {_like("a", "c")} THEN {_label("1", "c")} WHEN pc THEN {_label("0", "c")} ELSE c END AS name FROM p)"""
+
+
+def _named_graph(s, d):
+    words = load(s, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("w")).where(F.size("w") >= 6)
+    name = lambda k: F.sha1(F.array_join(F.slice("w", k, 3), " "))
+    own = words.select(F.explode(F.array(F.slice("w", 1, 3), F.slice("w", 4, 3))).alias("words")).groupBy("words").agg(F.count("*").cast("double").alias("frequency"))
+    deps = F.array(*[F.struct(F.lit(1).alias("gov"), F.lit(x).alias("dep"), F.lit(t).alias("dpt")) for x, t in (("nsubj", 0), ("dobj", 2))]).cast(DEPENDENCIES)
+    types = F.transform("words", lambda w: F.when(F.length(w) % 2 == 0, "PERSON").otherwise("O"))
+    nodes = own.select(F.sha1(F.array_join("words", " ")).alias("eid"), "frequency", "words", F.split(F.lit("NN VB NN"), " ").alias("pos_tags"), types.alias("ners"), F.array().cast(extract.MENTIONS).alias("mentions"), deps.alias("skeleton_dependencies"), deps.alias("dependencies"))
+    edges = words.groupBy(name(1).alias("hid"), name(4).alias("tid")).agg(F.count("*").cast("double").alias("weight")).withColumn("sense", F.lit("Result"))
+    return persons.regraph(nodes, edges)
+
+
+@query(_TRIPLES + " SELECT name, count(*)::DOUBLE AS frequency, count(DISTINCT a || ' ' || b || ' ' || c) AS forms FROM q GROUP BY 1", False)
+def parsed_person_nodes(s, d):
+    return _named_graph(s, d)[0]
+
+
+@query(_TRIPLES + " SELECT h.name AS head, t.name AS tail, 'Result' AS sense, count(*)::DOUBLE AS weight FROM q h JOIN q t ON h.doc_id = t.doc_id AND h.half = 0 AND t.half = 1 GROUP BY ALL", False)
+def parsed_person_edges(s, d):
+    return _named_graph(s, d)[1]
+
+
+_AGREE = ", ".join(f"CASE WHEN h.p{x} AND t.p{y} AND {_like('h.' + x, 't.' + y)} THEN 'H_P' || {'0' if x == 'a' else 'h.no'} || '=T_P' || {'0' if y == 'a' else 't.no'} END" for x in "ac" for y in "ac")
+
+
+@query(_TRIPLES + f""", r AS (SELECT *, CASE WHEN pa AND NOT {_like("a", "c")} THEN 1 ELSE 0 END AS no FROM q)
+ SELECT DISTINCT head, tail, pair FROM (SELECT h.name AS head, t.name AS tail, unnest([{_AGREE}]) AS pair FROM r h JOIN r t ON h.doc_id = t.doc_id AND h.half = 0 AND t.half = 1) WHERE pair IS NOT NULL""", False)
+def person_alignments(s, d):
+    pairs = _named_graph(s, d)[2]
+    return pairs.select("head", "tail", F.explode("same").alias("x")).select("head", "tail", F.concat_ws("=", "x.a", "x.b").alias("pair")).distinct()
+
+
 # ---- discourse parsing --------------------------------------------------------------------------------
 
 #: A document of three sentences about a name (``*``): tokens, lemmas, tags, edges, parse.
