@@ -8,9 +8,11 @@ contamination.
 
 Every window that shares a shingle with an item is judged exactly; without one the similarity is zero.
 An item of fewer than five words is one shingle, and is found where a document has these words in a row.
-Documents and items meet on equal shingles (those of the benchmark are broadcast after their number is
-checked), so the rest of the corpus never leaves the scan.  The places where they meet are dealt by document,
-item and *segment*, two window lengths that overlap by one, so a window lies within a segment and no row
+A window must share 0.8 of an item's weight, so it shares one of its heaviest shingles that together weigh over 0.2
+of it.  Documents and items meet on these alone (broadcast after their number is checked), so the rest of the corpus
+never leaves the scan, and a prompt that most items share brings no document together with all of them.  Only the pairs
+of a document and an item that met are joined to the item's other shingles, inside the document.  The places where
+they meet are dealt by document, item and *segment*, two window lengths that overlap by one, so a window lies within a segment and no row
 grows with its document.  Segments, then windows, whose shared weight is below 0.8 of the item's are
 dropped: the similarity can't be higher than that share.
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, pick, sent, table, unused
 
@@ -75,11 +78,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     src = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
     hash_words = lambda rows: rows.select("doc_id", word_hashes(words(F.col("text"))).alias("w")).withColumn("doc", F.xxhash64("doc_id", "w"))
-    hashed = hash_words(src)
     w = F.col("w")
     grams = F.inline(placed(w, short)) if short else F.posexplode(shingles(w)).alias("pos", "h")
-    seen = hashed.select("doc_id", "doc", F.size("w").alias("n"), grams)
-    hits = seen.join(send(parts), "h")
+    heavy = Window.partitionBy("item").orderBy(F.col("w").desc(), "h")
+    rare = parts.withColumn("upto", F.sum("w").over(heavy) - w).join(items.select("item", "total").distinct(), "item")
+    rare = cut(rare.where(F.col("upto") <= F.lit(1 - similarity + SLACK) * F.col("total")).select("item", "h"))
+    met = hash_words(src).select("doc_id", "doc", grams).select("doc_id", "doc", "h").join(send(rare), "h").select("doc_id", "doc", "item").distinct()
+    met = cut(met)
+    found = hash_words(src.join(sent(met.select("doc_id").distinct()), "doc_id", "left_semi")).dropDuplicates(["doc"])
+    seen = found.select("doc", F.size("w").alias("n"), grams)
+    hits = met.join(send(parts), "item").join(seen, ["doc", "h"])
     long = F.least("len", "n")  # words of a window
     wide = F.greatest(long - K + 1, F.lit(1))  # and its shingles
     seg = F.floor(F.col("pos") / wide).cast("int")

@@ -20,4 +20,4 @@ QUERIES = {
     "op13_fill_middle": fill_middle.query,
 }
 
-ORACLES = {"op1_chat_format": chat_format.ORACLE, "op10_url_filter": url_filter.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
+ORACLES = {"op1_chat_format": chat_format.ORACLE, "op4_sharding": sharding.oracle(), "op10_url_filter": url_filter.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_fill_middle": fill_middle.ORACLE}

@@ -65,5 +65,14 @@ def assign_shards(df: DataFrame, key_col: str = "doc_id", shards=SHARDS, slots:
     return placed.select(*[kept[f"`{c}`"] for c in kept.columns], names[at].alias(slot_name), names[name].alias(shard_name))
 
 
+def oracle(shards=SHARDS, slots: int = SLOTS) -> str:
+    """DuckDB; the table is filled by its rule."""
+    owner = lookup_table(shards, slots)
+    return f"""
+WITH t AS (SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::UBIGINT % {slots} AS INTEGER) AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad(CAST(([{", ".join(map(str, owner))}])[slot + 1] AS VARCHAR), 3, '0') AS shard FROM t
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return assign_shards(pick(table(spark, sf_dir, "documents"), doc_id="doc_id"))

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from evkg.llm import fill_middle, filter_audit, fingerprint
+from evkg.llm import fill_middle, filter_audit, fingerprint, sharding
 from evkg.llm.common import table
 
 
@@ -34,6 +34,13 @@ def test_sql(spark, module):
     assert names == got.columns and rows(got) == want
 
 
+def test_sharding_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    got = sharding.query(spark, sf)
+    names, want = oracle(sf, sharding.oracle())
+    assert names == got.columns and rows(got) == want
+
+
 # Fingerprints.
 
 

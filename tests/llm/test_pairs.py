@@ -265,6 +265,26 @@ def test_leaks_of_edited_items(spark):
     assert len(want) == 162 and {(5, 5), (900, 900), (901, 110)} <= want.keys()
 
 
+def test_shared_prompt(spark, monkeypatch):
+    """A prompt that all items share brings no document together with all of them; the items themselves are found."""
+    r = random.Random(9)
+    fresh = lambda n: ["".join(r.choices("abcdefghij", k=8)) for _ in range(n)]
+    prompt = fresh(30)
+    items = [(i, " ".join(prompt + fresh(20))) for i in range(3_000)]
+    docs = [(i, " ".join(fresh(20) + prompt + fresh(20))) for i in range(200)] + [(1_000 + i, " ".join(fresh(5)) + " " + items[i][1]) for i in range(0, 3_000, 100)]
+    rows, real = [], decontamination.cut
+
+    def counted(df):
+        rows.append((df.columns, real(df)))
+        return rows[-1][1]
+
+    monkeypatch.setattr(decontamination, "cut", counted)
+    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == {(1_000 + i, i) for i in range(0, 3_000, 100)}
+    pairs = [df.count() for columns, df in rows if columns == ["doc_id", "doc", "item"]]
+    assert pairs and pairs[0] < 2 * 30  # not 230 documents x 3,000 items
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
