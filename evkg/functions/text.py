@@ -73,6 +73,12 @@ def triple(head: Column, sense: Column, tail: Column) -> Column:
     return F.concat_ws("$", head, sense, tail)
 
 
+def split_triple(said: Column) -> Column:
+    """``struct(head, sense, tail)`` of a triple; what follows a third mark stays in the tail."""
+    parts = F.split(said, "\\$", 3)
+    return F.struct(F.get(parts, 0).alias("head"), F.get(parts, 1).alias("sense"), F.get(parts, 2).alias("tail"))
+
+
 def index_overlap(argument: Column, own: Column) -> Column:
     """Shared over all indexes of an argument and an eventuality; 0 if both are empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(argument, own)).cast("double"), F.size(F.array_union(argument, own))), F.lit(0.0))

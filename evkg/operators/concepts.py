@@ -127,3 +127,10 @@ def explain(edges: DataFrame, pairs: DataFrame, head: str, tail: str, sense: str
     h = pairs.where(F.col("cid") == head).select(F.col("eid").alias("hid"))
     t = pairs.where(F.col("cid") == tail).select(F.col("eid").alias("tid"))
     return edges.where(F.col("sense") == sense).join(h, "hid", "left_semi").join(t, "tid", "left_semi")
+
+
+def sweep(weights: DataFrame, edges: DataFrame, thresholds) -> DataFrame:
+    """Concepts ``(cid, weight)`` and edges between them that remain at each least weight, in one pass over either table."""
+    from evkg.operators import graph
+
+    return graph.sweep(weights.select(F.col("cid").alias("eid"), F.col("weight").alias("frequency")), edges, thresholds)

@@ -124,3 +124,16 @@ def regraph(edges: DataFrame) -> DataFrame:
     twin = F.array(F.struct("head", "tail"), F.struct(swap_persons(F.col("head")).alias("head"), swap_persons(F.col("tail")).alias("tail")))
     both = named.select(F.explode(F.array_distinct(twin)).alias("e"), "sense", "weight")
     return both.groupBy(F.array_join("e.head", " ").alias("head"), F.array_join("e.tail", " ").alias("tail"), "sense").agg(F.sum("weight").alias("weight"))
+
+
+def processed(nodes: DataFrame, edges: DataFrame, low: int = 5, high: int = 1000, top: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """The whole treatment of a graph: nodes with few or very many edges go, then the ``top`` of highest degree, then those
+    that are no events; of the edges that keep both ends come the nodes and edges with persons named."""
+    from evkg.operators import graph
+
+    kept = graph.degree_filter(nodes, edges, low, high).select(*nodes.columns)
+    kept = clean_nodes(kept.join(graph.top_degree(edges, top).select("eid"), "eid", "left_anti").select(*nodes.columns))
+    words = lambda c: kept.select(F.col("eid").alias(c), F.col("words").alias({"hid": "head", "tid": "tail"}[c]))
+    rows = edges.join(words("hid"), "hid").join(words("tid"), "tid").select("head", "tail", "sense", "weight")
+    freq = kept.groupBy("words").agg(F.sum("frequency").alias("frequency"))
+    return regraph_nodes(rows, freq), regraph(rows)

@@ -61,3 +61,14 @@ def vocabulary(words: DataFrame, top: int) -> DataFrame:
 
 def to_ids(tokens: DataFrame, vocab: DataFrame, unknown: int = -1) -> DataFrame:
     return tokens.join(vocab.select("word", "id"), "word", "left").fillna(unknown, ["id"])
+
+
+def counters(triples: DataFrame, top: int) -> DataFrame:
+    """``(kind, value, n)`` of the commonest events (either end), relations and whole triples of ``(head, sense, tail)``, ``top``
+    of each kind; ties by value."""
+    whole = F.concat_ws("$", "head", "sense", "tail")
+    kinds = [("event", F.col("head")), ("event", F.col("tail")), ("relation", F.col("sense")), ("triple", whole)]
+    each = triples.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds])).alias("x")).select("x.*")
+    n = each.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("kind").orderBy(F.col("n").desc(), "value")
+    return n.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")

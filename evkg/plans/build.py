@@ -14,11 +14,16 @@ from evkg.plans import facade
 from evkg.schema import CONNECTIVES
 
 
-def entity_types(occurrences: DataFrame) -> DataFrame:
-    """``(eid, ners)``: for each word of a node its most frequent entity type other than O; verbs have none."""
+def type_counts(occurrences: DataFrame) -> DataFrame:
+    """``(eid, at, ner, n)``: how often each word of a node had each entity type; verbs have none."""
     each = occurrences.select("eid", "pos_tags", F.posexplode("ners").alias("at", "ner"), "frequency")
     each = each.withColumn("ner", F.when(F.startswith(F.col("pos_tags")[F.col("at")], F.lit("VB")), "O").otherwise(F.col("ner")))
-    seen = each.groupBy("eid", "at", "ner").agg(F.sum("frequency").alias("n"))
+    return each.groupBy("eid", "at", "ner").agg(F.sum("frequency").alias("n"))
+
+
+def entity_types(occurrences: DataFrame) -> DataFrame:
+    """``(eid, ners)``: for each word of a node its most frequent entity type other than O."""
+    seen = type_counts(occurrences)
     rank = F.struct(F.when(F.col("ner") != "O", F.col("n")).otherwise(F.lit(0.0)), F.col("ner"))
     best = seen.groupBy("eid", "at").agg(F.max_by("ner", rank).alias("ner"))
     return best.groupBy("eid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ner"))), lambda x: x["ner"]).alias("ners"))

@@ -244,6 +244,22 @@ def merge_graphs(s, d):
     return graph.merge_graphs(n, other, keys=["eid"], value="frequency")
 
 
+@query(""", t AS (SELECT h.words AS head, sense, t.words AS tail FROM edges JOIN nodes h ON hid = h.eid JOIN nodes t ON tid = t.eid),
+ x AS (SELECT 'event' AS kind, head AS value FROM t UNION ALL SELECT 'event', tail FROM t UNION ALL SELECT 'relation', sense FROM t UNION ALL SELECT 'triple', head || '$' || sense || '$' || tail FROM t)
+ SELECT kind, value, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, value) AS r FROM (SELECT kind, value, count(*) AS n FROM x GROUP BY ALL)) WHERE r <= 10""")
+def triple_counters(s, d):
+    n = tpch.nodes(s, d).select("eid", "words")
+    rows = tpch.edges(s, d).join(n.toDF("hid", "head"), "hid").join(n.toDF("tid", "tail"), "tid")
+    return stats.counters(rows, 10)
+
+
+@query(""", w AS (SELECT cid, sum(score * frequency) AS weight FROM pairs JOIN nodes USING (eid) GROUP BY 1), ce AS (SELECT DISTINCT h.cid AS hid, t.cid AS tid FROM edges e JOIN pairs h ON e.hid = h.eid JOIN pairs t ON e.tid = t.eid WHERE h.cid <> t.cid),
+ th(threshold) AS (SELECT unnest([1.0, 100.0, 200.0, 400.0])::DOUBLE) SELECT threshold, (SELECT count(*) FROM w WHERE weight >= threshold) AS n_nodes, (SELECT count(*) FROM ce JOIN w h ON ce.hid = h.cid JOIN w t ON ce.tid = t.cid WHERE least(h.weight, t.weight) >= threshold) AS n_edges FROM th""")
+def concept_sweep(s, d):
+    pairs = tpch.pairs(s, d)
+    return concepts.sweep(concepts.concept_weights(pairs, tpch.nodes(s, d)), concepts.concept_edges(tpch.edges(s, d), pairs), [1, 100, 200, 400])
+
+
 @query("SELECT h.words AS head, t.words AS tail, sense, sum(weight) AS weight FROM edges JOIN nodes h ON hid = h.eid JOIN nodes t ON tid = t.eid GROUP BY ALL")
 def merged_words(s, d):
     return graph.by_words(tpch.nodes(s, d), tpch.edges(s, d))[1]

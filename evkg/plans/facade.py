@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evkg.functions import text
 from evkg.operators import discourse, extract, graph, relations
-from evkg.schema import CONNECTIVES
+from evkg.schema import CLAUSE_WORDS, CONNECTIVES
 
 PARSED = "doc string, para_idx int, sent_idx int, text string, tokens array<string>, lemmas array<string>, pos_tags array<string>, ners array<string>, parse string, dependencies array<struct<gov:int,dep:string,dpt:int>>"
 #: ``seed``: rules on whole sentences, questions and clauses of wh-words left out; ``discourse``: rules on clauses.
@@ -74,3 +74,45 @@ def relations_of(sentences: DataFrame, occurrences: DataFrame, table=CONNECTIVES
 def eventualities_and_relations(sentences: DataFrame, preset: str = "seed", models=None) -> tuple[DataFrame, DataFrame]:
     found = eventualities(sentences, preset)
     return found, relations_of(sentences, found, models=models)
+
+
+def triplets(occurrences: DataFrame, found: DataFrame) -> DataFrame:
+    """``(head_sid, tail_sid, head, sense, tail, weight)`` of found relations, as joined words; ``to_json`` of its rows is the JSON form."""
+    said = occurrences.groupBy("eid").agg(F.array_join(F.any_value("words"), " ").alias("said"))
+    out = found.join(said.toDF("hid", "head"), "hid").join(said.toDF("tid", "tail"), "tid")
+    return out.select("head_sid", "tail_sid", "head", "sense", "tail", "weight")
+
+
+def found_again(sources: DataFrame, sentences: DataFrame, preset: str = "seed", table=CONNECTIVES, models=None) -> DataFrame:
+    """``(rid, sense)`` that the sentences of ``sources`` (``rid, head_sid, tail_sid``) still yield: only these are extracted again."""
+    sids = sources.select(F.explode(F.array("head_sid", "tail_sid")).alias("sid")).distinct()
+    own = sentences.join(sids, "sid", "left_semi")
+    found = relations_of(own, eventualities(own, preset), table, models)
+    named = found.select(graph.rid("hid", "tid").alias("rid"), "sense", "head_sid", "tail_sid")
+    return named.join(sources, ["rid", "head_sid", "tail_sid"], "left_semi").select("rid", "sense").distinct()
+
+
+EVENTUALITY = "eid string, pattern string, words array<string>, pos_tags array<string>, position double, raw_idx array<int>"
+
+
+class _Eventualities:
+    """One sentence to its eventualities, for SQL."""
+
+    def eval(self, tokens, lemmas, pos_tags, dependencies, skip=None):
+        edges = [(e["gov"], e["dep"], e["dpt"]) for e in dependencies or ()]
+        for e in extract.eventualities(list(tokens), list(lemmas), list(pos_tags), edges, CLAUSE_WORDS if skip is None else tuple(skip)):
+            yield e["eid"], e["pattern"], e["words"], e["pos_tags"], float(e["position"]), e["raw_idx"]
+
+
+def register(spark) -> None:
+    """Makes ``eventualities(tokens, lemmas, pos_tags, dependencies, skip)`` a table function of the session's SQL, for lateral
+    joins with any table of sentences; ``skip`` are the words whose sentences are left out, null for those of the rules."""
+    spark.udtf.register("eventualities", F.udtf(_Eventualities, returnType=EVENTUALITY))
+
+
+def connectives(table: DataFrame) -> dict[str, tuple[str, ...]]:
+    """A table ``(sense, connective)``, some hundred rows, as the relation operators take it."""
+    out: dict[str, tuple[str, ...]] = {}
+    for r in table.select("sense", "connective").distinct().orderBy("sense", "connective").collect():
+        out[r["sense"]] = (*out.get(r["sense"], ()), r["connective"])
+    return out

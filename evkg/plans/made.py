@@ -72,6 +72,15 @@ def extract_eventualities(s, d):
     return out.select("sid", "eid", "pattern", F.array_join("words", " ").alias("words"), F.array_join("skeleton_words", " ").alias("skeleton"), F.array_join("skeleton_phrases", "|").alias("phrases"))
 
 
+@query(f"SELECT sid, eid, pattern, words FROM ({_EXTRACTED})", False)
+def sql_eventualities(s, d):
+    from evkg.plans import facade
+
+    facade.register(s)
+    sentences(s, d, SENTENCES).createOrReplaceTempView("parsed_sentences")
+    return s.sql("SELECT sid, eid, pattern, array_join(words, ' ') AS words FROM parsed_sentences, LATERAL eventualities(tokens, lemmas, pos_tags, dependencies, NULL)")
+
+
 @query(f"SELECT eid, count(*)::DOUBLE AS frequency, any_value(pattern) AS pattern FROM ({_EXTRACTED}) GROUP BY 1", False)
 def merged_eventualities(s, d):
     return extract.merged(extract.extract(sentences(s, d, SENTENCES))).select("eid", "frequency", "pattern")

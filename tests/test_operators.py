@@ -132,6 +132,18 @@ def test_sentence_pairs(spark, tmp_path):
     pairs = sorted((kinds[r["rid"]], r["head_sid"], r["tail_sid"]) for r in got["edge_sources"].collect())
     assert pairs == [("Co_Occurrence", "a|2", "a|2"), ("Co_Occurrence", "b|2", "b|2"), ("Result", "a|0", "a|1"), ("Result", "b|0", "b|1")]
     assert tuple(graph.crossing_share(got["edge_sources"]).first()) == (4, 2, 0.5)
+    from evkg.plans import facade
+
+    again = facade.found_again(got["edge_sources"].where("head_sid LIKE 'a%'"), sents)
+    assert sorted(r["sense"] for r in again.collect()) == ["Co_Occurrence", "Result"]
+    gone = facade.found_again(got["edge_sources"], sents.where("sent_idx <> 1"))
+    assert [r["sense"] for r in gone.collect()] == ["Co_Occurrence"]  # a neighbour is missing
+    told = facade.triplets(got["occurrences"], got["relation_occurrences"]).where("head_sid = 'a|0'").collect()
+    assert [(r["head"], r["sense"], r["tail"]) for r in told] == [("he left", "Result", "she wins")]
+    types = build.type_counts(got["occurrences"]).where("at = 0").groupBy("ner").agg(F.sum("n").alias("n")).collect()
+    assert [tuple(r) for r in types] == [("O", 8.0)]
+    table = facade.connectives(spark.createDataFrame([("Result", "thus"), ("Result", "so"), ("Reason", "as")], "sense string, connective string"))
+    assert table == {"Reason": ("as",), "Result": ("so", "thus")}
     said = {(r["head_text"], r["tail_text"]) for r in graph.with_texts(got["edge_sources"], sents).collect()}
     assert said == {("he left", "thus she wins"), ("we go , they stay", "we go , they stay")}
 
@@ -261,6 +273,21 @@ def test_parser_is_given(spark):
         facade.eventualities(sents, "other")
 
 
+def test_processed(spark):
+    """Degrees, the highest of them, events, then names: a graph of five."""
+    from evkg.operators import post
+
+    said = {"a": "i see you", "b": "he run", "c": "be quiet", "A": "hub", "e": "they see 3 dog", "f": "lone"}
+    nodes = spark.createDataFrame([(k, v.split(), 2.0) for k, v in said.items()], "eid string, words array<string>, frequency double")
+    pairs = [("a", "b"), ("b", "a"), ("a", "c"), ("c", "a"), ("a", "e"), ("e", "a"), ("b", "c"), ("c", "b")] + [p for k in "abce" for p in (("A", k), (k, "A"))]
+    edges = spark.createDataFrame([(h, t, "Reason", 1.0) for h, t in pairs], "hid string, tid string, sense string, weight double")
+    n, e = post.processed(nodes, edges, 1, 100, 1)
+    assert sorted(map(tuple, e.collect())) == sorted([("PersonX see PersonZ", "PersonY run", "Reason", 1.0), ("PersonY see PersonZ", "PersonX run", "Reason", 1.0), ("PersonX run", "PersonY see PersonZ", "Reason", 1.0), ("PersonY run", "PersonX see PersonZ", "Reason", 1.0)])
+    assert {r["words"] for r in n.collect()} == {"PersonX see PersonZ", "PersonY see PersonZ", "PersonX run", "PersonY run"}
+    t = spark.createDataFrame([("a$b$c$d",), ("a",)], "t string").select(text.split_triple(F.col("t")).alias("x")).collect()
+    assert [tuple(r["x"]) for r in t] == [("a", "b", "c$d"), ("a", None, None)]
+
+
 def test_name_persons(spark):
     from evkg.operators import post
 
