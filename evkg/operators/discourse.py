@@ -25,6 +25,8 @@ from evkg.schema import CONNECTIVES
 STEPS = ("connective", "position", "constituent", "first", "second", "sense")
 #: Features that a model knows at most, and labels that a step may have.
 VOCABULARY, LABELS = 1 << 17, 64
+#: Rows of features that are scored at once.
+ROWS = 10_000
 FOUND = "doc string, sent_idx int, connective string, indices array<int>, arg1_idx int, arg1 array<int>, arg2 array<int>, sense string"
 
 
@@ -95,7 +97,7 @@ def describe(step: str, s: Sentence, at: list[int], part=None, before: str = "NO
         way = trees.node_path(s.parse, own, part)
         side = "left" if part[2] < at[0] else "right"
         lefts, rights = (len(trees.siblings(s.parse, own, w)) for w in ("left", "right"))
-        out |= {"way": way, "side": side, "lefts": str(lefts), "rights": str(rights), "side+lefts": f"{side}|{lefts > 1}", "way+lefts": f"{way}|{lefts > 1}", "C+side": f"{out['low']}|{side}", "label": part[1]}
+        out |= {"way": way, "side": side, "lefts": str(lefts), "rights": str(rights), "side+lefts": f"{side}|{lefts > 1}", "way+lefts": f"{way}|{lefts > 1}", "C+side": f"{out['low']}|{side}", "label": part[1], "beside": trees.relative_position(s.parse, own, part)}
     else:
         text = text or s
         words = [text.tokens[i].lower() for i in part]
@@ -154,14 +156,51 @@ def _clauses(s: Sentence, at: list[int], cut: bool):
 
 
 class Linear:
-    """A linear model over named features; unknown ones count for nothing."""
+    """A linear model over named features; unknown ones count for nothing.
+
+    Rows of features become columns of a sparse matrix in one look-up for a block of ``ROWS`` rows, and all labels of the
+    block are scored in one product, so that memory holds one block's features whatever the number of rows.
+    """
 
     def __init__(self, labels, known, weights, base):
-        self.labels, self.known, self.weights, self.base = list(labels), dict(known), weights, base
+        self.labels, self.base = list(labels), np.asarray(base)
+        self.names = pd.Index(sorted(known, key=known.get), dtype=object)
+        self.weights = np.ascontiguousarray(np.asarray(weights).T)  # a row for each feature
+
+    def sparse(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of the known features, row after row, each once a row, and where each row begins and the last ends."""
+        each = [list(dict.fromkeys(r)) for r in rows]
+        at = self.names.get_indexer(list(itertools.chain.from_iterable(each)))
+        row = np.repeat(np.arange(len(each)), [len(r) for r in each])[at >= 0]
+        return at[at >= 0], np.append(0, np.bincount(row, minlength=len(each)).cumsum())
+
+    def scores(self, rows: list[list[str]]) -> np.ndarray:
+        """A row of scores by label for each row of features."""
+        columns, ends = self.sparse(rows)
+        out = np.tile(self.base, (len(rows), 1))
+        some = np.flatnonzero(np.diff(ends))
+        if len(some):
+            out[some] += np.add.reduceat(self.weights[columns], ends[some], axis=0)
+        return out
+
+    def predict(self, rows) -> list[str]:
+        """The best label of each row of features, the first of equal ones."""
+        return [self.labels[i] for block in itertools.batched(rows, ROWS) for i in self.scores(list(block)).argmax(1)]
+
+
+def _fit_step(own: DataFrame, step: str, vocabulary: int, ridge: float) -> Linear | None:
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizer
 
-    def predict(self, features: list[str]) -> str:
-        at = [self.known[f] for f in set(features) if f in self.known]
-        return self.labels[int(np.argmax(self.weights[:, at].sum(1) + self.base))]
+    labels = sorted(r["label"] for r in own.select("label").distinct().limit(LABELS + 1).collect())
+    if len(labels) > LABELS:
+        raise ValueError(f"more than {LABELS} labels of {step}")
+    if len(labels) < 2:
+        return Linear(labels, {}, np.zeros((1, 0)), np.zeros(1)) if labels else None
+    words = CountVectorizer(inputCol="features", outputCol="x", vocabSize=vocabulary, binary=True).fit(own)
+    number = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
+    model = LogisticRegression(featuresCol="x", labelCol="y", regParam=ridge, maxIter=100, family="multinomial").fit(words.transform(own).withColumn("y", number.cast("double")))
+    return Linear(labels, {w: i for i, w in enumerate(words.vocabulary)}, model.coefficientMatrix.toArray(), model.interceptVector.toArray())
 
 
 def fit(rows: DataFrame, steps=STEPS, vocabulary: int = VOCABULARY, ridge: float = 0.01) -> dict[str, Linear]:
@@ -169,24 +208,12 @@ def fit(rows: DataFrame, steps=STEPS, vocabulary: int = VOCABULARY, ridge: float
 
     A step without rows is left out, one with a single label always gives it.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer
-
-    out = {}
-    for step in steps:
-        own = rows.where(F.col("step") == step).select("features", "label")
-        labels = sorted(r["label"] for r in own.select("label").distinct().limit(LABELS + 1).collect())
-        if len(labels) > LABELS:
-            raise ValueError(f"more than {LABELS} labels of {step}")
-        if len(labels) < 2:
-            out |= {step: Linear(labels, {}, np.zeros((1, 0)), np.zeros(1))} if labels else {}
-            continue
-        words = CountVectorizer(inputCol="features", outputCol="x", vocabSize=vocabulary, binary=True).fit(own)
-        number = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
-        model = LogisticRegression(featuresCol="x", labelCol="y", regParam=ridge, maxIter=100, family="multinomial").fit(words.transform(own).withColumn("y", number.cast("double")))
-        known = {w: i for i, w in enumerate(words.vocabulary)}
-        out[step] = Linear(labels, known, model.coefficientMatrix.toArray(), model.interceptVector.toArray())
-    return out
+    rows = rows.select("step", "features", "label").persist()  # each step reads it several times
+    try:
+        out = {step: _fit_step(rows.where(F.col("step") == step).select("features", "label"), step, vocabulary, ridge) for step in steps}
+    finally:
+        rows.unpersist()
+    return {step: model for step, model in out.items() if model}
 
 
 def _rows(sentences: DataFrame, table, occurrences: DataFrame | None = None) -> DataFrame:
@@ -242,29 +269,48 @@ def examples(sentences: DataFrame, known: DataFrame, table=CONNECTIVES) -> DataF
     return rows.mapInPandas(run, "step string, features array<string>, label string")
 
 
-def judge(models: dict[str, Linear], s: Sentence, prev: Sentence | None, at: list[int]):
-    """``(whether the first argument is in the same sentence, first, second, sense)`` of a phrase, or None."""
-    say = lambda step, *a: models[step].predict(describe(step, *a)) if step in models else None
-    if say("connective", s, at) != "1":
-        return None
-    same = say("position", s, at) != "PS"
-    if same and parallel(at):
-        first, second = between(s, at)
-    elif same:
-        told = [(x, say("constituent", s, at, x)) for x in constituents(s, at)]
-        first, second = (filled(s, [i for x, label in told if label == n for i in range(x[2], x[3])]) for n in "12")
-    else:
-        if prev is None:
-            return None
-        args = []
-        whole = (trees.strip(prev.tokens, list(range(len(prev.tokens)))), trees.strip(s.tokens, list(range(at[0]))) + trees.strip(s.tokens, list(range(at[-1] + 1, len(s.tokens)))))
-        for step, text, words, cut in (("first", prev, whole[0], False), ("second", s, whole[1], True)):
-            own = _clauses(text, at, cut)
-            kept = without(text, words, [tuple(c) for c, x, y in own if say(step, s, at, c, x, y, text) == "0"]) if own else []
-            args.append(kept or (own[-1 if step == "first" else 0][0] if own else []))
-        first, second = args
-    sense = say("sense", s, at)
-    return (same, first, second, sense) if first and second and sense not in (None, "None") else None
+def _without_rejected(text: Sentence, whole: list[int], told: list[tuple[list[int], str]], nearest: int) -> list[int]:
+    """An argument of clauses: all words but those of rejected clauses, or the ``nearest`` clause where none is left."""
+    kept = without(text, whole, [tuple(c) for c, label in told if label == "0"]) if told else []
+    return kept or (told[nearest][0] if told else [])
+
+
+def judge(models: dict[str, Linear], cases: list[tuple]) -> list[tuple | None]:
+    """``(whether the first argument is in the same sentence, first, second, sense)`` or None for each phrase
+    ``(sentence, the one before or None, words)``.  Each step scores all phrases that reach it together."""
+
+    def say(step, asked):
+        return models[step].predict(describe(step, *a) for a in asked) if step in models else [None] * len(asked)
+
+    def spread(step, asked):
+        """Labels of several things of each case, ``{case: [(thing, label)]}``."""
+        out: dict[int, list] = {}
+        for (n, thing, *_), label in zip(asked, say(step, [a for _, _, *a in asked]), strict=True):
+            out.setdefault(n, []).append((thing, label))
+        return out
+
+    here = lambda ns: [(cases[n][0], cases[n][2]) for n in ns]
+    yes = [n for n, x in enumerate(say("connective", here(range(len(cases))))) if x == "1"]
+    same = {n: x != "PS" for n, x in zip(yes, say("position", here(yes)), strict=True)}
+    args = {n: between(cases[n][0], cases[n][2]) for n in yes if same[n] and parallel(cases[n][2])}
+    inside = [n for n in yes if same[n] and n not in args]
+    told = spread("constituent", [(n, x, s, at, x) for n in inside for s, _, at in [cases[n]] for x in constituents(s, at)])
+    for n in inside:
+        args[n] = tuple(filled(cases[n][0], [i for x, label in told.get(n, []) if label == k for i in range(x[2], x[3])]) for k in "12")
+    across = [n for n in yes if not same[n] and cases[n][1] is not None]
+    first = spread("first", [(n, c, s, at, c, x, y, prev) for n in across for s, prev, at in [cases[n]] for c, x, y in _clauses(prev, at, False)])
+    second = spread("second", [(n, c, s, at, c, x, y, s) for n in across for s, _, at in [cases[n]] for c, x, y in _clauses(s, at, True)])
+    for n in across:
+        s, prev, at = cases[n]
+        rest = trees.strip(s.tokens, list(range(at[0]))) + trees.strip(s.tokens, list(range(at[-1] + 1, len(s.tokens))))
+        before = trees.strip(prev.tokens, list(range(len(prev.tokens))))
+        args[n] = (_without_rejected(prev, before, first.get(n, []), -1), _without_rejected(s, rest, second.get(n, []), 0))
+    both = [n for n in yes if n in args and all(args[n])]
+    out: list[tuple | None] = [None] * len(cases)
+    for n, sense in zip(both, say("sense", here(both)), strict=True):
+        if sense not in (None, "None"):
+            out[n] = (same[n], *args[n], sense)
+    return out
 
 
 def parse(sentences: DataFrame, models: dict[str, Linear], occurrences: DataFrame | None = None, table=CONNECTIVES) -> DataFrame:
@@ -273,14 +319,10 @@ def parse(sentences: DataFrame, models: dict[str, Linear], occurrences: DataFram
 
     def run(batches):
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                s, prev, found = _read(r)
-                for name, at in found:
-                    got = judge(sent.value, s, prev, at)
-                    if got:
-                        same, first, second, sense = got
-                        out.append((r.doc, r.sent_idx, name, at, r.sent_idx - (not same), first, second, sense))
+            rows = [(r.doc, r.sent_idx, *_read(r)) for r in b.itertuples(index=False)]
+            asked = [(doc, i, name, s, prev, at) for doc, i, s, prev, found in rows for name, at in found]
+            told = judge(sent.value, [x[3:] for x in asked])
+            out = [(doc, i, name, at, i - (not got[0]), *got[1:]) for (doc, i, name, _, _, at), got in zip(asked, told, strict=True) if got]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     return _rows(sentences, table, occurrences).mapInPandas(run, FOUND)

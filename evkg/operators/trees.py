@@ -59,6 +59,33 @@ def node_path(parse: str, one: tuple, two: tuple) -> str:
     return ">".join(x[1] for x in rise) + "".join(f"<{x[1]}" for x in reversed(fall))
 
 
+def relative_position(parse: str, one: tuple, two: tuple) -> str:
+    """Where the second node stands: ``left`` or ``right`` of the first, or ``middle`` where one is over the other or both are one."""
+    if two[3] <= one[2]:
+        return "left"
+    return "right" if one[3] <= two[2] else "middle"
+
+
+def subtree(parse: str | None, leaves) -> str:
+    """The bracketed parse of these leaves and of the nodes over them; of none an empty text, of all the parse itself."""
+    wanted, out, leaf = set(leaves), [[]], 0
+    for part in re.findall(r"\(|\)|[^\s()]+", parse or ""):
+        if part == "(":
+            out.append([])
+        elif part == ")":
+            if len(out) > 1:
+                own = out.pop()
+                if len(own) > 1:  # a label alone has lost its leaves
+                    out[-1].append(f"({' '.join(own)})")
+        elif len(out) > 1 and not out[-1]:
+            out[-1].append(part)
+        else:
+            if leaf in wanted:
+                out[-1].append(part)
+            leaf += 1
+    return " ".join(out[0])
+
+
 def compressed(labels: list[str]) -> list[str]:
     """A path without repeats of a label in a row."""
     return [label for label, _ in groupby(labels)]

@@ -533,7 +533,7 @@ def _trained(s):
     own = _talk(s.createDataFrame([(f"d{i}", n) for i, n in enumerate(("ann", "bo", "cy"))], "doc string, n string"), F.col("n"))
     gold = [x for i in range(3) for x in ((f"d{i}|1", [2], f"d{i}|1", [0, 1], [3, 4], "Reason"), (f"d{i}|3", [0], f"d{i}|2", [0, 1], [1, 2, 3, 4], "Result"))]
     known = s.createDataFrame(gold, "sid string, indices array<int>, arg1_sid string, arg1 array<int>, arg2 array<int>, sense string")
-    return discourse.fit(discourse.examples(own, known, TALK_TABLE).cache())
+    return discourse.fit(discourse.examples(own, known, TALK_TABLE))
 
 
 def _parts(s, d):
