@@ -14,7 +14,8 @@ loop ends there at the latest; ``identical`` reports the last comparison.
 Defined results: rows are ordered by turn, then role, then text (ties, repeats: all kept); a null
 role or text is empty; a null turn comes first; a null conv_id is a conversation of its own; an empty
 table gives an empty one; other columns are ignored.  The turns of one conversation meet in one row,
-as the formatted text is one string.
+as the formatted text is one string, so long texts and long conversations are formatted whole within one row's bound of
+2 GB.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ dropped: the similarity can't be higher than that share.
 
 Defined results: null texts are empty and match nothing, as do empty items; rows without an id are never
 reported; repeated rows and repeated items count once; a document shorter than an item is one
-window; an empty table gives an empty one; other columns are ignored (``drop_contaminated`` keeps them).
+window; an empty table gives an empty one; other columns are ignored (``drop_contaminated`` keeps them);
+long texts are searched whole.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ Defined results: null source or language is ``unknown``; null text has no words
 targets of values that don't occur are left out and the rest is scaled to one; a value without a target gets
 none; a target that names no observed value counts as left out; rows without an id are sampled by the hash of the
 empty string; repeated rows are kept or dropped together; an empty table gives an empty one; other columns are kept
-by ``sample``, whatever their names.
+by ``sample``, whatever their names; long texts are counted whole, and one cell may hold any part of the rows.
 """
 
 from __future__ import annotations

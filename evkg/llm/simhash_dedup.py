@@ -14,7 +14,7 @@ spanning forests of its links, never all of them.
 
 Defined results: null text is like empty text (fingerprint zero, linked like any other); repeated
 rows and equal fingerprints share a component; rows with a null id get the component of their
-fingerprint; an empty table gives an empty table; other columns are ignored.
+fingerprint; an empty table gives an empty table; other columns are ignored; long texts are read whole, one at a time in a task.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ by a rule and none is allowed by one.  An explicit allow comes first.
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and is allowed; all links
 of a page count, relative ones are resolved against its url (folder, ``.`` and ``..``, query or fragment alone); links
 of a page without a host, and empty ones, are ignored; null html has no links; repeated rows are judged each; an empty
-table gives an empty one; other columns are ignored.
+table gives an empty one; other columns are ignored; long urls and pages are read whole, and each link of a page is
+resolved against its whole url, so that work grows with links times the length of the url.
 """
 
 from __future__ import annotations
