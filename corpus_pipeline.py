@@ -1,4 +1,11 @@
-"""A corpus pipeline of five stages, each written as Parquet and read again by the next."""
+"""A corpus pipeline of five stages, each written as Parquet and read again by the next.
+
+Defined results: rows and their columns come out as they went in, with slot and shard added by the last stage; columns
+of any name pass, those named slot or shard are replaced by the last stage's. A null text is empty.
+Equal texts, so all empty ones too, are copies, of which the smallest id stays; rows that share an id stay or go together.
+Rows without an id are no copies and no leaks; they are drawn and placed by the hash of the empty string. Long texts
+are judged whole; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
