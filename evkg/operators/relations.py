@@ -22,27 +22,47 @@ def lexicon(table=CONNECTIVES) -> Column:
 def places(tokens: Column, words: Column) -> Column:
     """All 0-based places where a phrase begins."""
     starts = F.when(F.size(tokens) >= F.size(words), F.sequence(F.lit(0), F.size(tokens) - F.size(words))).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: F.slice(tokens, i + 1, F.size(words)) == words)
+    # The first word rules most places out before the phrase is compared.
+    return F.filter(starts, lambda i: (F.get(tokens, i) == F.get(words, F.lit(0))) & (F.slice(tokens, i + 1, F.size(words)) == words))
 
 
-def candidates(sentences: DataFrame, table=CONNECTIVES) -> DataFrame:
-    """``(sid, sense, connective, indices)``: phrases in a sentence, of one or two parts, in any case of letters.
+def phrases(tokens: Column, table=CONNECTIVES) -> Column:
+    """``array<struct<n, b, sense, connective, indices>>``: phrases in a sentence, of one or two parts, in any case of letters.
 
     Where some share words, those of more words come first, then those that begin later.
     """
-    low = sentences.select("sid", F.transform("tokens", lambda t: F.lower(t)).alias("low"))
     run = lambda i, w: F.sequence(i, i + F.size(w) - 1)
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
 
-    def found(x):
+    def found(low, x):
         one = lambda i: F.array(run(i, x["first"]))
-        two = lambda i: F.transform(F.filter(places(F.col("low"), x["second"]), lambda j: j >= i + F.size(x["first"])), lambda j: F.concat(run(i, x["first"]), run(j, x["second"])))
-        every = F.flatten(F.transform(places(F.col("low"), x["first"]), lambda i: F.when(F.size(x["second"]) > 0, two(i)).otherwise(one(i))))
+        two = lambda i, seconds: F.transform(F.filter(seconds, lambda j: j >= i + F.size(x["first"])), lambda j: F.concat(run(i, x["first"]), run(j, x["second"])))
+        singles = F.transform(places(low, x["first"]), one)
+        doubles = once(places(low, x["second"]), lambda seconds: F.transform(places(low, x["first"]), lambda i: two(i, seconds)))
+        every = F.flatten(F.when(F.size(x["second"]) > 0, doubles).otherwise(singles))
         return F.transform(every, lambda at: F.struct((-F.size(at)).alias("n"), (-at[0]).alias("b"), x["sense"].alias("sense"), x["connective"].alias("connective"), at.alias("indices")))
 
-    every = F.array_sort(F.flatten(F.transform(lexicon(table), found)))
-    none = F.filter(every, lambda x: F.lit(False))
-    kept = F.aggregate(every, none, lambda a, x: F.when(F.exists(a, lambda y: F.arrays_overlap(y["indices"], x["indices"])), a).otherwise(F.concat(a, F.array(x))))
-    return low.select("sid", F.explode(kept).alias("x")).select("sid", "x.sense", "x.connective", "x.indices")
+    def shared(own):
+        """Words of more than one of the phrases."""
+        again = lambda at: F.transform(F.slice(at, 2, F.size(at)), lambda i, k: F.when(i == F.get(at, k), i))
+        return once(F.array_sort(F.flatten(F.transform(own, lambda x: x["indices"]))), lambda at: F.array_distinct(F.filter(again(at), lambda i: i.isNotNull())))
+
+    def kept(own, taken):
+        """Phrases that share no word stay; only the others are compared with one another."""
+        alone = F.filter(own, lambda x: ~F.arrays_overlap(x["indices"], taken))
+        others = F.filter(own, lambda x: F.arrays_overlap(x["indices"], taken))
+        chosen = F.aggregate(others, F.slice(own, 1, 0), lambda a, x: F.when(F.exists(a, lambda y: F.arrays_overlap(y["indices"], x["indices"])), a).otherwise(F.concat(a, F.array(x))))
+        return F.when(F.size(taken) == 0, own).otherwise(F.array_sort(F.concat(alone, chosen)))
+
+    every = once(F.transform(tokens, lambda t: F.lower(t)), lambda low: F.array_sort(F.flatten(F.transform(lexicon(table), lambda x: found(low, x)))))
+    return once(every, lambda own: once(shared(own), lambda taken: kept(own, taken)))
+
+
+def candidates(sentences: DataFrame, table=CONNECTIVES) -> DataFrame:
+    """``(sid, sense, connective, indices)``: a row for each of ``phrases``."""
+    # An outer explode: before a plain one the optimizer would look all phrases up once more, to see that there are some.
+    found = sentences.select("sid", F.explode_outer(phrases(F.col("tokens"), table)).alias("x")).where("x IS NOT NULL")
+    return found.select("sid", "x.sense", "x.connective", "x.indices")
 
 
 def present(tokens: Column, table=CONNECTIVES) -> Column:
