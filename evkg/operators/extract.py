@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -237,17 +238,14 @@ def _constructed(found: DataFrame, use_lemma: bool) -> DataFrame:
 
 
 def _clauses(sentences: DataFrame) -> DataFrame:
-    """A row a clause, with the places of its words in the sentence (``clause``)."""
+    """A row a clause, with the places of its words in the sentence (``clause``).  Python sees what cuts the sentences alone."""
 
-    def run(batches):
-        for b in batches:
-            out = [trees.clauses(list(t), p, set(c) if c is not None else set()) for t, p, c in zip(b["tokens"], b["parse"], b["connective_idx"], strict=True)]
-            b = b.drop(columns=["parse", "connective_idx"])
-            yield b.assign(clauses=[[list(c) for c in x] for x in out])
+    def run(tokens: pd.Series, parses: pd.Series, connectives: pd.Series) -> pd.Series:
+        return pd.Series([[list(c) for c in trees.clauses(list(t), p, set(c) if c is not None else set())] for t, p, c in zip(tokens, parses, connectives, strict=True)], dtype=object)
 
-    wanted = [f for f in sentences.schema.fields if f.name not in ("parse", "connective_idx")]
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted) + ", clauses array<array<int>>"
-    cut = sentences.mapInPandas(run, shape).select("*", F.explode("clauses").alias("clause")).drop("clauses")
+    wanted = [c for c in sentences.columns if c not in ("parse", "connective_idx")]
+    found = F.pandas_udf(run, "array<array<int>>")("tokens", "parse", "connective_idx")
+    cut = sentences.select(*wanted, found.alias("clauses")).select(*wanted, F.explode_outer("clauses").alias("clause")).where("clause IS NOT NULL")
     pick = lambda c: F.transform("clause", lambda i: F.get(c, i))
     to = lambda i: (F.array_position("clause", i) - 1).cast("int")
     inner = F.filter("dependencies", lambda e: F.array_contains("clause", e["gov"]) & F.array_contains("clause", e["dpt"]))
@@ -258,6 +256,15 @@ def _clauses(sentences: DataFrame) -> DataFrame:
     return cut.withColumns(own)
 
 
+def dealt(sentences: DataFrame, by: str = "sid") -> DataFrame:
+    """``sentences`` over as many partitions as the session shuffles to, by ``by``.
+
+    A small file is read by one or two tasks however many cores there are, and ``extract``, which has no shuffle, stays
+    with them, though it takes far longer for a row than reading it.  Later steps by the same key move nothing again.
+    """
+    return sentences.repartition(int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
 def extract(sentences: DataFrame, clause_split: bool = False, skip=None, use_lemma: bool = True) -> DataFrame:
     """Occurrences from ``(sid, tokens, lemmas, pos_tags, dependencies)``, with entity types and mentions where there are
     ``ners`` and ``mentions``.

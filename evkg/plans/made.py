@@ -45,10 +45,10 @@ def _sentence(template, brand) -> dict:
 
 def sentences(s, d, templates):
     """A sentence for each part: its size picks the template, its brand is the name in it."""
-    part = load(s, d, "part")
+    part = extract.dealt(load(s, d, "part").select(F.col("p_partkey").cast("string").alias("sid"), "p_size", "p_brand"))
     made = [F.struct(*[c.alias(n) for n, c in _sentence(t, F.col("p_brand")).items()]) for t in templates]
     pick = F.get(F.array(*made), (F.col("p_size") % len(templates)).cast("int"))
-    return part.select(F.col("p_partkey").cast("string").alias("sid"), pick.alias("x")).select("sid", "x.*")
+    return part.select("sid", pick.alias("x")).select("sid", "x.*")
 
 
 def _sql(value: str) -> str:
@@ -538,7 +538,7 @@ def _trained(s):
 
 def _parts(s, d):
     brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
-    return _talk(load(s, d, "part").select(F.col("p_partkey").cast("string").alias("doc"), brand.alias("n")), F.col("n"))
+    return _talk(extract.dealt(load(s, d, "part").select(F.col("p_partkey").cast("string").alias("doc"), brand.alias("n")), "doc"), F.col("n"))
 
 
 @query("""SELECT p_partkey::VARCHAR AS doc, v.* FROM part, (VALUES (1, 'because', '2', 1, '0,1', '3,4', 'Reason'), (3, 'so', '0', 2, '0,1', '1,2,3,4', 'Result')) v(sent_idx, connective, indices, arg1_idx, arg1, arg2, sense)""", False)
