@@ -102,11 +102,13 @@ def within(sentences: DataFrame, occurrences: DataFrame, table=CONNECTIVES) -> D
     The head is before the tail, a clause edge leads from one to the other and the connective's middle
     lies between them; ``instead`` follows both.
     """
-    h = occurrences.select("sid", F.col("eid").alias("hid"), F.col("position").alias("hp"), F.col("raw_idx").alias("hi"))
-    t = occurrences.select("sid", F.col("eid").alias("tid"), F.col("position").alias("tp"), F.col("raw_idx").alias("ti"))
     own = sentences.select("sid", "dependencies", present(F.col("tokens"), table=table).alias("conn")).where(F.size("conn") > 0)
-    both = h.join(t, "sid").where("hp < tp").join(own, "sid").where(clause_link(F.col("dependencies"), F.col("hi"), F.col("ti")))
-    return both.select("hid", "tid", F.explode(joined(F.col("conn"), F.col("hp"), F.col("tp"))).alias("sense"), F.lit(1.0).alias("weight"), F.col("sid").alias("head_sid"), F.col("sid").alias("tail_sid"))
+    every = occurrences.groupBy("sid").agg(F.collect_list(F.struct("eid", "position", "raw_idx")).alias("every"))
+    # A head and then its tails: the occurrences are made once, and no row holds all pairs of a sentence.
+    heads = every.where(F.size("every") > 1).join(own, "sid").withColumn("h", F.explode("every"))
+    both = heads.withColumn("t", F.explode(F.filter("every", lambda t: F.col("h.position") < t["position"]))).where(clause_link(F.col("dependencies"), F.col("h.raw_idx"), F.col("t.raw_idx")))
+    senses = F.explode(joined(F.col("conn"), F.col("h.position"), F.col("t.position"))).alias("sense")
+    return both.select(F.col("h.eid").alias("hid"), F.col("t.eid").alias("tid"), senses, F.lit(1.0).alias("weight"), F.col("sid").alias("head_sid"), F.col("sid").alias("tail_sid"))
 
 
 def across(sentences: DataFrame, occurrences: DataFrame, table=CONNECTIVES, near: int = NEAR) -> DataFrame:
