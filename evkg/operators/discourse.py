@@ -226,8 +226,7 @@ def _rows(sentences: DataFrame, table, occurrences: DataFrame | None = None) ->
         own = own.withColumn("has", F.lit(True))
     kept = F.when(F.col("has"), F.struct("tokens", "pos_tags", "parse"))
     own = own.withColumn("prev", F.lag(kept).over(Window.partitionBy("doc").orderBy("sent_idx"))).where("has")
-    marks = relations.candidates(own, table).groupBy("sid").agg(F.collect_list(F.struct("connective", "indices")).alias("found"))
-    one = own.join(marks, "sid")
+    one = own.withColumn("found", F.transform(relations.phrases(F.col("tokens"), table), lambda x: F.struct(x["connective"].alias("connective"), x["indices"].alias("indices")))).where(F.size("found") > 0)
     return one.select("sid", "doc", F.col("sent_idx").cast("int").alias("sent_idx"), "tokens", "pos_tags", "parse", F.col("prev.tokens").alias("p_tokens"), F.col("prev.pos_tags").alias("p_tags"), F.col("prev.parse").alias("p_parse"), "found")
 
 
@@ -329,14 +328,18 @@ def parse(sentences: DataFrame, models: dict[str, Linear], occurrences: DataFram
 
 
 def edges(found: DataFrame, placed: DataFrame, similarity, threshold: float = 0.8) -> DataFrame:
-    """``(doc, head_idx, sent_idx, hid, tid, sense, weight)`` by the sentences of both arguments, the second of which is the
+    """``(doc, head_idx, sent_idx, hid, tid, sense, weight, head_sid, tail_sid)`` by the sentences of both arguments, the second of which is the
     connective's: its weight of one is shared by all pairs of
-    eventualities ``(doc, sent_idx, eid, places)`` that match its arguments by ``similarity`` of word places."""
-    one = found.withColumn("conn", F.struct("doc", "sent_idx", "indices", "sense", "arg1_idx"))
-    occ = placed.select(F.struct("doc", F.col("sent_idx").cast("int").alias("sent_idx")).alias("sent"), "eid", F.col("places").alias("words"))
-    place = lambda i: F.struct("doc", F.col(i).alias("sent_idx")).alias("sent")
-    heads = graph.argument_match(one.select("conn", place("arg1_idx"), F.col("arg1").alias("words")), occ, similarity, threshold)
-    tails = graph.argument_match(one.select("conn", place("sent_idx"), F.col("arg2").alias("words")), occ, similarity, threshold)
-    count = lambda df, e, c: df.select("conn", F.col("eid").alias(e), F.count("*").over(Window.partitionBy("conn")).alias(c))
-    both = count(heads, "hid", "nh").join(count(tails, "tid", "nt"), "conn")
-    return both.select("conn.doc", F.col("conn.arg1_idx").alias("head_idx"), "conn.sent_idx", "hid", "tid", F.col("conn.sense").alias("sense"), (F.lit(1.0) / (F.col("nh") * F.col("nt"))).alias("weight"))
+    eventualities ``(doc, sent_idx, eid, places)``, with ``sid`` if they have one, that match its arguments by ``similarity`` of word places."""
+    conn = F.struct("doc", "sent_idx", "indices", "sense", "arg1_idx").alias("conn")
+    side = lambda name, i, words: F.struct(F.lit(name).alias("side"), F.struct("doc", F.col(i).alias("sent_idx")).alias("sent"), F.col(words).alias("words"))
+    # Both arguments in one join: what was found is made once.
+    args = found.select(conn, F.explode(F.array(side("h", "arg1_idx", "arg1"), side("t", "sent_idx", "arg2"))).alias("x")).select(F.struct("conn", "x.side").alias("conn"), "x.sent", "x.words")
+    sid = F.col("sid") if "sid" in placed.columns else F.lit(None).cast("string")
+    occ = placed.select(F.struct("doc", F.col("sent_idx").cast("int").alias("sent_idx")).alias("sent"), F.struct("eid", sid.alias("sid")).alias("eid"), F.col("places").alias("words"))
+    matched = graph.argument_match(args, occ, similarity, threshold)
+    of = lambda name: F.collect_list(F.when(F.col("conn.side") == name, F.col("eid")))
+    both = matched.groupBy(F.col("conn.conn").alias("conn")).agg(of("h").alias("heads"), of("t").alias("tails"))
+    weight = F.lit(1.0) / (F.size("heads") * F.size("tails"))
+    pairs = both.where("size(tails) > 0").select("conn", "tails", weight.alias("weight"), F.explode("heads").alias("h")).select("conn", "h", "weight", F.explode("tails").alias("t"))
+    return pairs.select("conn.doc", F.col("conn.arg1_idx").alias("head_idx"), "conn.sent_idx", F.col("h.eid").alias("hid"), F.col("t.eid").alias("tid"), F.col("conn.sense").alias("sense"), "weight", F.col("h.sid").alias("head_sid"), F.col("t.sid").alias("tail_sid"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evkg.functions import text
 from evkg.operators import discourse, extract, graph, relations
 from evkg.schema import CLAUSE_WORDS, CONNECTIVES
+from evkg.sources import steps
 
 PARSED = "doc string, para_idx int, sent_idx int, text string, tokens array<string>, lemmas array<string>, pos_tags array<string>, ners array<string>, parse string, dependencies array<struct<gov:int,dep:string,dpt:int>>"
 #: ``seed``: rules on whole sentences, questions and clauses of wh-words left out; ``discourse``: rules on clauses.
@@ -59,16 +60,15 @@ def relations_of(sentences: DataFrame, occurrences: DataFrame, table=CONNECTIVES
     seed connectives, or with trained ``models`` (``operators.discourse``) by discourse parsing, of sentences with ``doc``."""
     if not 0.0 <= threshold <= 1.0:
         raise ValueError("threshold must be between 0 and 1")
+    if models is not None:  # five steps read them, and each would hold the whole plan of the extraction
+        occurrences = steps.kept(occurrences.select("sid", "eid", "position", "raw_idx"))
     placed = occurrences.select(F.col("sid").alias("sent"), "eid", F.col("position").alias("pos"))
     both = graph.cooccurrence(placed).select("hid", "tid", "sense", "weight", F.col("sent").alias("head_sid"), F.col("sent").alias("tail_sid"))
     if models is None:
         return both.unionByName(relations.within(sentences, occurrences, table)).unionByName(relations.across(sentences, occurrences, table))
-    own = occurrences.join(sentences.select("sid", "doc", "sent_idx"), "sid").select("doc", "sent_idx", "eid", F.col("raw_idx").alias("places"))
+    own = occurrences.join(sentences.select("sid", "doc", "sent_idx"), "sid").select("sid", "doc", "sent_idx", "eid", F.col("raw_idx").alias("places"))
     found = discourse.parse(sentences, models, occurrences, table)
-    told = discourse.edges(found, own, similarity, threshold)
-    place = lambda idx, sid: sentences.select("doc", F.col("sent_idx").cast("int").alias(idx), F.col("sid").alias(sid))
-    told = told.join(place("head_idx", "head_sid"), ["doc", "head_idx"]).join(place("sent_idx", "tail_sid"), ["doc", "sent_idx"])
-    return both.unionByName(told.select(*both.columns))
+    return both.unionByName(discourse.edges(found, own, similarity, threshold).select(*both.columns))
 
 
 def eventualities_and_relations(sentences: DataFrame, preset: str = "seed", models=None) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,16 @@
 
 import time
 
-from evkg.operators import relations
+from pyspark.sql import functions as F
+
+from evkg.operators import discourse, extract, relations
+from evkg.plans import facade, made
+
+OCCURRENCES = "sid string, eid string, position double, raw_idx array<int>"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_many_phrases(spark):
@@ -36,3 +45,25 @@ def test_contested_phrases(spark):
             if not any(set(x[4]) & set(y[4]) for y in kept):
                 kept.append(x)
         assert sorted(got.get(t, [])) == sorted((x[3], tuple(x[4])) for x in kept)
+
+
+def test_one_extraction(spark):
+    """With models the steps after it read what was extracted; seed relations read occurrences once."""
+    sents = made._talk(spark.createDataFrame([("d", "ann")], "doc string, n string"), F.col("n"))
+    found = facade.relations_of(sents, extract.extract(sents, clause_split=True), made.TALK_TABLE, {})
+    assert "nsubjpass" not in _plan(found) and {r["sense"] for r in found.collect()} == {"Co_Occurrence"}
+    occ = spark.createDataFrame([("d|1", "e", 0.5, [0, 1]), ("d|1", "f", 3.5, [3, 4])], OCCURRENCES)
+    within = relations.within(sents, occ, made.TALK_TABLE)
+    assert _plan(within).count("LogicalRDD [sid") == 1
+    assert [(r["hid"], r["tid"], r["sense"]) for r in within.collect()] == [("e", "f", "Reason")]
+
+
+def test_rows_of_discourse(spark):
+    """Phrases come with their sentence, by the documents' partitions alone."""
+    sents = extract.dealt(made._talk(spark.createDataFrame([("d", "ann")], "doc string, n string"), F.col("n")), "doc")
+    assert discourse._rows(sents, made.TALK_TABLE)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_dealt(spark, sf):
+    """The sentences of a file of one row group are extracted by many tasks."""
+    assert made.sentences(spark, sf, made.SENTENCES).rdd.getNumPartitions() == made._parts(spark, sf).rdd.getNumPartitions() == 8
