@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evkg.sources import steps
+
 
 def mention_dictionary(links: DataFrame) -> DataFrame:
     """``(mention, entity, freq)`` from counts ``(mention, entity, n)``: shares of a mention, one at most."""
@@ -96,13 +98,15 @@ def one_person(names: list[str]) -> list[str]:
 
 def same_persons(mentions: DataFrame) -> DataFrame:
     """``(doc, mention, person)``: persons' mentions of one document that hold one another at word borders, directly or
-    over others, have the smallest of their texts as ``person``.  The names of a document meet in one task."""
+    over others, have the smallest of their texts as ``person``.  The names of a document meet in one row."""
 
-    def run(names: pd.DataFrame) -> pd.DataFrame:
-        return names.assign(person=one_person(names["mention"].tolist()))
+    def run(names: pd.Series) -> pd.Series:
+        return pd.Series([one_person(list(x)) for x in names], dtype=object)
 
-    own = mentions.where("ner = 'PERSON'").select("doc", F.col("mention").cast("string")).where("mention IS NOT NULL").distinct()
-    return own.groupBy("doc").applyInPandas(run, f"doc {own.schema['doc'].dataType.simpleString()}, mention string, person string")
+    own = mentions.where("ner = 'PERSON'").select("doc", F.col("mention").cast("string").alias("mention")).where("mention IS NOT NULL")
+    # Arrays of many documents reach Python together: a call for each document costs more than its names.
+    each = own.groupBy("doc").agg(F.collect_set("mention").alias("mention")).select("doc", "mention", F.pandas_udf(run, "array<string>")("mention").alias("person"))
+    return each.select("doc", F.explode_outer(F.arrays_zip("mention", "person")).alias("x")).select("doc", "x.mention", "x.person")
 
 
 def shared_candidates(candidates: DataFrame, persons: DataFrame) -> DataFrame:
@@ -143,14 +147,18 @@ def link(mentions: DataFrame, dictionary: DataFrame, redirects: DataFrame, vague
     by type or because the likeliest candidate is among ``persons`` (``entity``), share the candidates of all mentions
     of their person in the document; all others have those of their text.
     """
-    found = candidates_of(mentions, dictionary, redirects, stop_words)
+    found = steps.kept(candidates_of(mentions, dictionary, redirects, stop_words))
     likeliest = found.groupBy("mention").agg(F.min_by("entity", F.struct(-F.col("freq"), "entity")).alias("entity"))
     known = likeliest.join(persons.select("entity").distinct(), "entity", "left_semi").select("mention", F.lit(True).alias("_p"))
     typed = mentions.join(known, "mention", "left").withColumn("_p", F.coalesce(F.col("ner") == "PERSON", F.lit(False)) | F.col("_p").isNotNull())
-    people = same_persons(typed.where("_p").select("doc", "mention", F.lit("PERSON").alias("ner")))
-    by_person = chosen(shared_candidates(found, people), ["doc", "person"], vague)
-    own = people.join(by_person, ["doc", "person"]).select("doc", "mention", F.lit(True).alias("_p"), F.col("entity").alias("_own"))
+    people = steps.kept(same_persons(typed.where("_p").select("doc", "mention", F.lit("PERSON").alias("ner"))))
     by_text = chosen(found, ["mention"], vague).withColumnRenamed("entity", "_text")
+    # A person one of whose mentions alone has candidates has what is chosen for its text; the candidates of the others meet.
+    with_any = found.select("mention").distinct().join(by_text, "mention", "left")
+    told = steps.kept(people.join(with_any, "mention").withColumn("_n", F.count("*").over(Window.partitionBy("doc", "person"))))
+    several = chosen(shared_candidates(found, told.where("_n > 1").select("doc", "mention", "person")), ["doc", "person"], vague)
+    by_person = told.where("_n = 1 AND _text IS NOT NULL").select("doc", "person", F.col("_text").alias("entity")).unionByName(several)
+    own = people.join(by_person, ["doc", "person"]).select("doc", "mention", F.lit(True).alias("_p"), F.col("entity").alias("_own"))
     out = typed.join(own, ["doc", "mention", "_p"], "left").join(by_text, "mention", "left")
     return out.select(*mentions.columns, F.when(F.col("_p"), F.col("_own")).otherwise(F.col("_text")).alias("entity"))
 

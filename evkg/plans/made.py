@@ -12,6 +12,7 @@ from evkg.operators import concepts, discourse, extract, graph, linking, lookup,
 from evkg.plans import tpch
 from evkg.plans.registry import query
 from evkg.plans.tpch import load
+from evkg.sources import steps
 
 DEPENDENCIES = "array<struct<gov:int,dep:string,dpt:int>>"
 #: Sentences about a brand (``*``): tokens, lemmas, tags, edges, bracketed parse.
@@ -331,7 +332,7 @@ def entity_links(s, d):
     docs = load(s, d, "documents")
     names = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
     mentions = docs.select(F.col("doc_id").alias("doc"), F.explode(F.concat(names(TWO), names(ONE))).alias("mention")).distinct()
-    mentions = mentions.withColumn("ner", F.when(F.length("mention") % 3 != 0, "PERSON").otherwise("CITY"))
+    mentions = steps.kept(mentions.withColumn("ner", F.when(F.length("mention") % 3 != 0, "PERSON").otherwise("CITY")))  # the texts are searched once
     counts = docs.where("source IS NOT NULL").select(F.explode(names(ONE)).alias("mention"), F.col("source").alias("entity")).groupBy("mention", "entity").agg(F.count("*").alias("n"))
     w = F.split("mention", " ")
     redirects = mentions.where(F.contains("mention", F.lit(" ")) & (F.length("mention") % 5 == 0)).select(F.concat_ws(" ", w[0], F.initcap(w[1])).alias("mention"), F.concat(F.lit("page "), F.substring(w[1], 1, 1)).alias("entity")).distinct()

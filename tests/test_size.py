@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from evkg.operators import discourse, extract, relations
+from evkg.operators import discourse, extract, linking, relations
 from evkg.plans import facade, made
 
 OCCURRENCES = "sid string, eid string, position double, raw_idx array<int>"
@@ -67,3 +67,18 @@ def test_rows_of_discourse(spark):
 def test_dealt(spark, sf):
     """The sentences of a file of one row group are extracted by many tasks."""
     assert made.sentences(spark, sf, made.SENTENCES).rdd.getNumPartitions() == made._parts(spark, sf).rdd.getNumPartitions() == 8
+
+
+def test_persons_in_batches(spark):
+    """Names of many documents reach Python together; a person with one known mention needs no candidates of others."""
+    rows = spark.createDataFrame([("d", "Ann", "PERSON"), ("d", "Ann Lee", "PERSON"), ("d", "Ann", "PERSON"), (None, "Lee", "PERSON"), ("d", None, "PERSON"), ("d", "Bo", "CITY")], "doc string, mention string, ner string")
+    found = linking.same_persons(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsIn" not in plan and "ArrowEvalPython" in plan
+    assert sorted(map(tuple, found.collect()), key=str) == [("d", "Ann Lee", "Ann"), ("d", "Ann", "Ann"), (None, "Lee", "Lee")]
+    table = lambda data, shape: spark.createDataFrame(data, shape)
+    known = table([("Ann", "e1", 0.4), ("Ann", "e2", 0.6), ("Lee", "e3", 1.0)], "mention string, entity string, freq double")
+    none, pages = table([], "entity string"), table([("Ann Lee Ray", "e4")], "mention string, entity string")
+    docs = table([("d", "Ann", "PERSON"), ("d", "Ann Lee", "PERSON"), ("f", "Ann", "PERSON"), ("f", "Ann Lee Ray", "PERSON"), ("f", "Lee", "CITY")], "doc string, mention string, ner string")
+    got = {(r["doc"], r["mention"]): r["entity"] for r in linking.link(docs, known, pages, none, none).collect()}
+    assert got == {("d", "Ann"): "e2", ("d", "Ann Lee"): "e2", ("f", "Ann"): "e4", ("f", "Ann Lee Ray"): "e4", ("f", "Lee"): "e3"}
