@@ -36,6 +36,14 @@ class Sentence:
     def __init__(self, tokens, tags, parse):
         self.tokens, self.tags, self.parse = list(tokens), list(tags), parse
         self.nodes = trees.spans(parse)
+        self.known: dict = {}
+
+    def once(self, make, at, *more):
+        """``make(self, at, *more)``, made once for each list of words: the steps and constituents of a connective ask for the same."""
+        key = (make, *at, *more)
+        if key not in self.known:
+            self.known[key] = make(self, at, *more)
+        return self.known[key]
 
     def at(self, values: list[str], i: int) -> str:
         return values[i] if 0 <= i < len(values) else "NONE"
@@ -59,25 +67,39 @@ def _label(node) -> str:
     return node[1] if node else "NONE"
 
 
-def _basic(s: Sentence, at: list[int]) -> dict[str, str]:
+def _own(s: Sentence, at: list[int]):
+    return s.own(at)
+
+
+def _beside(s: Sentence, at: list[int], where: str) -> list[tuple]:
+    """Siblings of a connective's own node."""
+    own = s.once(_own, at)
+    return trees.siblings(s.parse, own, where) if own else []
+
+
+def _named(features: dict[str, str]) -> list[str]:
+    return [f"{k}={v}" for k, v in features.items()]
+
+
+def _basic(s: Sentence, at: list[int]) -> list[str]:
     """Words, tags and neighbours of a connective."""
     lo, hi = at[0], at[-1]
     word, tag = " ".join(s.at(s.tokens, i) for i in at), "_".join(s.at(s.tags, i) for i in at)
     out = {"C": word, "low": word.lower(), "pos": tag, "prev+C": f"{s.at(s.tokens, lo - 1)}|{word}", "C+next": f"{word}|{s.at(s.tokens, hi + 1)}"}
     for name, i in (("prev", lo - 1), ("prev2", lo - 2), ("next", hi + 1)):
         out |= {f"{name}word": s.at(s.tokens, i), f"{name}pos": s.at(s.tags, i), f"{name}pos+pos": f"{s.at(s.tags, i)}|{tag}"}
-    return out
+    return _named(out)
 
 
-def _categories(s: Sentence, at: list[int]) -> dict[str, str]:
-    """Categories of a connective's node and those around it, and each two of them."""
-    own = s.own(at)
-    side = lambda where: trees.siblings(s.parse, own, where) if own else []
-    left, right = side("left"), side("right")
+def _categories(s: Sentence, at: list[int]) -> list[str]:
+    """Categories of a connective's node and those around it, each two of them, and its path to the root."""
+    own = s.once(_own, at)
+    left, right = s.once(_beside, at, "left"), s.once(_beside, at, "right")
     one = {"self": _label(own), "parent": _label(s.over(own)), "left": _label(left[-1] if left else None), "right": _label(right[0] if right else None)}
     two = {f"{a}+{b}": f"{one[a]}|{one[b]}" for a, b in itertools.combinations(one, 2)}
     word = " ".join(s.at(s.tokens, i) for i in at).lower()
-    return one | two | {f"C+{k}": f"{word}|{v}" for k, v in one.items()}
+    path = trees.path_to_root(s.parse, at[0]) if s.nodes else []
+    return _named(one | two | {f"C+{k}": f"{word}|{v}" for k, v in one.items()} | {"path": ">".join(path), "short": ">".join(trees.compressed(path))})
 
 
 def _place(s: Sentence, i: int) -> str:
@@ -86,24 +108,24 @@ def _place(s: Sentence, i: int) -> str:
 
 def describe(step: str, s: Sentence, at: list[int], part=None, before: str = "NONE", after: str = "NONE", text: Sentence | None = None) -> list[str]:
     """Named features of a connective, or of a constituent (its node) or clause (its words, in the sentence ``text``) beside it."""
-    out = _basic(s, at)
+    basic = s.once(_basic, at)
     if step in ("connective", "sense"):
-        path = trees.path_to_root(s.parse, at[0]) if s.nodes else []
-        out |= _categories(s, at) | {"path": ">".join(path), "short": ">".join(trees.compressed(path))}
-    elif step == "position":
-        out |= {"place": _place(s, at[0]), "C+place": f"{out['low']}|{_place(s, at[0])}"}
+        return basic + s.once(_categories, at)
+    low = " ".join(s.at(s.tokens, i) for i in at).lower()
+    if step == "position":
+        out = {"place": _place(s, at[0]), "C+place": f"{low}|{_place(s, at[0])}"}
     elif step == "constituent":
-        own = s.own(at)
+        own = s.once(_own, at)
         way = trees.node_path(s.parse, own, part)
         side = "left" if part[2] < at[0] else "right"
-        lefts, rights = (len(trees.siblings(s.parse, own, w)) for w in ("left", "right"))
-        out |= {"way": way, "side": side, "lefts": str(lefts), "rights": str(rights), "side+lefts": f"{side}|{lefts > 1}", "way+lefts": f"{way}|{lefts > 1}", "C+side": f"{out['low']}|{side}", "label": part[1], "beside": trees.relative_position(s.parse, own, part)}
+        lefts, rights = (len(s.once(_beside, at, w)) for w in ("left", "right"))
+        out = {"way": way, "side": side, "lefts": str(lefts), "rights": str(rights), "side+lefts": f"{side}|{lefts > 1}", "way+lefts": f"{way}|{lefts > 1}", "C+side": f"{low}|{side}", "label": part[1], "beside": trees.relative_position(s.parse, own, part)}
     else:
         text = text or s
         words = [text.tokens[i].lower() for i in part]
-        out |= {"first": words[0], "last": words[-1], "before": before, "after": after, "verb": str(any(text.tags[i].startswith("VB") for i in part))}
-        out |= {"where": _place(text, part[0]), "side": "left" if text is not s or part[0] < at[0] else "right", "C+first": f"{out['low']}|{words[0]}"}
-    return [f"{k}={v}" for k, v in out.items()]
+        out = {"first": words[0], "last": words[-1], "before": before, "after": after, "verb": str(any(text.tags[i].startswith("VB") for i in part))}
+        out |= {"where": _place(text, part[0]), "side": "left" if text is not s or part[0] < at[0] else "right", "C+first": f"{low}|{words[0]}"}
+    return basic + _named(out)
 
 
 def parallel(at: list[int]) -> bool:
@@ -203,6 +225,11 @@ def _fit_step(own: DataFrame, step: str, vocabulary: int, ridge: float) -> Linea
     return Linear(labels, {w: i for i, w in enumerate(words.vocabulary)}, model.coefficientMatrix.toArray(), model.interceptVector.toArray())
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Kept rows in as few partitions as ``ROWS`` rows each need: training passes over them a few hundred times, and a pass takes a task for each partition, empty or not."""
+    return rows.coalesce(max(1, -(-rows.count() // ROWS)))
+
+
 def fit(rows: DataFrame, steps=STEPS, vocabulary: int = VOCABULARY, ridge: float = 0.01) -> dict[str, Linear]:
     """A model for each step from ``(step, features, label)``; at most ``vocabulary`` features of a step, the commonest, come to the driver.
 
@@ -210,7 +237,8 @@ def fit(rows: DataFrame, steps=STEPS, vocabulary: int = VOCABULARY, ridge: float
     """
     rows = rows.select("step", "features", "label").persist()  # each step reads it several times
     try:
-        out = {step: _fit_step(rows.where(F.col("step") == step).select("features", "label"), step, vocabulary, ridge) for step in steps}
+        few = _gathered(rows)
+        out = {step: _fit_step(few.where(F.col("step") == step).select("features", "label"), step, vocabulary, ridge) for step in steps}
     finally:
         rows.unpersist()
     return {step: model for step, model in out.items() if model}
@@ -226,14 +254,19 @@ def _rows(sentences: DataFrame, table, occurrences: DataFrame | None = None) ->
         own = own.withColumn("has", F.lit(True))
     kept = F.when(F.col("has"), F.struct("tokens", "pos_tags", "parse"))
     own = own.withColumn("prev", F.lag(kept).over(Window.partitionBy("doc").orderBy("sent_idx"))).where("has")
-    one = own.withColumn("found", F.transform(relations.phrases(F.col("tokens"), table), lambda x: F.struct(x["connective"].alias("connective"), x["indices"].alias("indices")))).where(F.size("found") > 0)
-    return one.select("sid", "doc", F.col("sent_idx").cast("int").alias("sent_idx"), "tokens", "pos_tags", "parse", F.col("prev.tokens").alias("p_tokens"), F.col("prev.pos_tags").alias("p_tags"), F.col("prev.parse").alias("p_parse"), "found")
+    one = own.withColumn("found", relations.phrases(F.col("tokens"), table)).where(F.size("found") > 0)
+    return one.select("sid", "doc", F.col("sent_idx").cast("int").alias("sent_idx"), "tokens", "pos_tags", "parse", F.col("prev.tokens").alias("p_tokens"), F.col("prev.pos_tags").alias("p_tags"), F.col("prev.parse").alias("p_parse"), F.col("found.connective").alias("names"), F.col("found.indices").alias("places"))
 
 
 def _read(r) -> tuple[Sentence, Sentence | None, list]:
     s = Sentence(r.tokens, r.pos_tags, r.parse)
     prev = Sentence(r.p_tokens, r.p_tags, r.p_parse) if r.p_tokens is not None else None
-    return s, prev, sorted((c["connective"], sorted(int(i) for i in c["indices"])) for c in r.found)
+    return s, prev, sorted((name, sorted(int(i) for i in at)) for name, at in zip(r.names, r.places, strict=True))
+
+
+def _text(r) -> tuple:
+    """All that a sentence is judged by: its words, tags and parse, and those of the one before."""
+    return tuple(r.tokens), tuple(r.pos_tags), r.parse, None if r.p_tokens is None else (tuple(r.p_tokens), tuple(r.p_tags), r.p_parse)
 
 
 def examples(sentences: DataFrame, known: DataFrame, table=CONNECTIVES) -> DataFrame:
@@ -318,13 +351,17 @@ def parse(sentences: DataFrame, models: dict[str, Linear], occurrences: DataFram
 
     def run(batches):
         for b in batches:
-            rows = [(r.doc, r.sent_idx, *_read(r)) for r in b.itertuples(index=False)]
-            asked = [(doc, i, name, s, prev, at) for doc, i, s, prev, found in rows for name, at in found]
-            told = judge(sent.value, [x[3:] for x in asked])
-            out = [(doc, i, name, at, i - (not got[0]), *got[1:]) for (doc, i, name, _, _, at), got in zip(asked, told, strict=True) if got]
+            rows = [(_text(r), r) for r in b.itertuples(index=False)]
+            # Equal sentences after equal ones are judged once.
+            asked = [(text, name, s, prev, at) for text, r in dict(rows).items() for s, prev, found in [_read(r)] for name, at in found]
+            told: dict = {}
+            for (text, name, _, _, at), got in zip(asked, judge(sent.value, [x[2:] for x in asked]), strict=True):
+                if got:
+                    told.setdefault(text, []).append((name, at, *got))
+            out = [(r.doc, r.sent_idx, name, at, r.sent_idx - (not same), *rest) for text, r in rows for name, at, same, *rest in told.get(text, ())]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
-    return _rows(sentences, table, occurrences).mapInPandas(run, FOUND)
+    return _rows(sentences, table, occurrences).drop("sid").mapInPandas(run, FOUND)
 
 
 def edges(found: DataFrame, placed: DataFrame, similarity, threshold: float = 0.8) -> DataFrame:

@@ -82,3 +82,40 @@ def test_persons_in_batches(spark):
     docs = table([("d", "Ann", "PERSON"), ("d", "Ann Lee", "PERSON"), ("f", "Ann", "PERSON"), ("f", "Ann Lee Ray", "PERSON"), ("f", "Lee", "CITY")], "doc string, mention string, ner string")
     got = {(r["doc"], r["mention"]): r["entity"] for r in linking.link(docs, known, pages, none, none).collect()}
     assert got == {("d", "Ann"): "e2", ("d", "Ann Lee"): "e2", ("f", "Ann"): "e4", ("f", "Ann Lee Ray"): "e4", ("f", "Lee"): "e3"}
+
+
+def test_equal_sentences_are_judged_once(spark, monkeypatch):
+    """Sentences of the same words after the same ones are judged once in a batch; each keeps its own relations."""
+    asked = []
+    monkeypatch.setattr(discourse, "judge", lambda models, cases: asked.append(len(cases)) or [(at[0] > 0, at, [len(s.tokens)], "S") for s, _, at in cases])
+    sents = made._talk(spark.createDataFrame([(f"d{i:02}", n) for i, n in enumerate(("ann", "bo") * 20)], "doc string, n string"), F.col("n"))
+    batches, rows = [], discourse._rows(sents, made.TALK_TABLE).drop("sid")
+    local = type("Rows", (), {"drop": lambda self, c: self, "mapInPandas": lambda self, run, shape: batches.extend(run([rows.toPandas()]))})
+    monkeypatch.setattr(discourse, "_rows", lambda *a: local())
+    discourse.parse(sents, {})
+    told = batches[0]
+    # "because" of the first sentence and "so" twice of the last, for two names
+    assert asked == [6] and len(told) == 40 * 3
+    got = sorted((r.doc, r.sent_idx, r.connective, tuple(r.indices), r.arg1_idx) for r in told.itertuples())
+    assert got == sorted((f"d{i:02}", *x) for i in range(40) for x in ((1, "because", (2,), 1), (3, "so", (0,), 2), (3, "so", (3,), 3)))
+
+
+def test_shared_features(monkeypatch):
+    """What several steps ask of a connective is worked out once, and a repeat gives the same."""
+    s = discourse.Sentence("we sleep because it rain".split(), "PRP VBP IN PRP VBP".split(), "(ROOT (S (NP (PRP we)) (VP (VBP sleep) (SBAR (IN because) (S (NP (PRP it)) (VP (VBP rain)))))))")
+    calls, basic = [], discourse._basic
+    monkeypatch.setattr(discourse, "_basic", lambda *a: calls.append(a) or basic(*a))
+    said = [discourse.describe("constituent", s, [2], x) for x in discourse.constituents(s, [2])]
+    assert discourse.describe("sense", s, [2]) == discourse.describe("connective", s, [2]) and len(calls) == 1
+    assert said == [discourse.describe("constituent", s, [2], x) for x in discourse.constituents(s, [2])] and len(said) > 1
+    assert discourse.describe("sense", s, [1])[0] == "C=sleep" and len(calls) == 2
+
+
+def test_few_training_rows(spark):
+    """Training passes over as many partitions as its rows fill, however many they come in."""
+    rows = spark.range(30).repartition(40).persist()
+    assert discourse._gathered(rows).rdd.getNumPartitions() == 1 and discourse._gathered(rows).count() == 30
+    assert discourse._gathered(rows.where("false")).count() == 0
+    more = spark.range(discourse.ROWS * 3 + 1).repartition(40)
+    assert discourse._gathered(more).rdd.getNumPartitions() == 4
+    rows.unpersist()
