@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evkg.operators.extract import dealt
 from evkg.sources import steps
 
 
@@ -27,14 +28,29 @@ def best_entities(mentions: DataFrame, dictionary: DataFrame, redirects: DataFra
     return found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def heaviest(nodes: DataFrame, edges: DataFrame, k: int, cap: int, seed: int = 0) -> DataFrame:
+    """``(hid, told)``: of each head, with every sense but the last, the ``k`` heaviest successors that are nodes, as ``array<struct<draw, tid, sense>>``
+    in order of their draws; more than ``cap`` can't be of use to a post.  ``edges`` are read once, with a row for each sense of a pair."""
+    pairs = edges.groupBy("hid", "tid").agg(F.sum("weight").alias("total"), F.collect_list(F.when(F.col("sense") != "Co_Occurrence", F.col("sense"))).alias("senses"))
+    best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("hid").orderBy(F.col("total").desc(), "tid"))).where(F.col("_r") <= k)
+    each = best.join(nodes.select(F.col("eid").alias("tid")), "tid", "left_semi").select("hid", "tid", F.explode("senses").alias("sense"))
+    one = F.struct(F.xxhash64("hid", "tid", "sense", F.lit(seed)).alias("draw"), "tid", "sense")
+    return each.groupBy("hid").agg(F.slice(F.array_sort(F.collect_list(one)), 1, cap).alias("told"))
+
+
 def inference(posts: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 8, cap: int = 20, seed: int = 0) -> DataFrame:
-    """Triples for the events of a post ``(post, eid)``: the ``k`` heaviest successors, every sense but the last, ``cap`` a post."""
-    total = edges.groupBy("hid", "tid").agg(F.sum("weight").alias("total"))
-    best = total.withColumn("_r", F.row_number().over(Window.partitionBy("hid").orderBy(F.col("total").desc(), "tid"))).where(F.col("_r") <= k)
-    own = posts.distinct().join(best, F.col("eid") == F.col("hid")).select("post", "hid", "tid")
-    out = own.join(edges.where("sense <> 'Co_Occurrence'").select("hid", "tid", "sense"), ["hid", "tid"]).join(nodes.select(F.col("eid").alias("tid")), "tid", "left_semi")
-    w = Window.partitionBy("post").orderBy(F.xxhash64("hid", "tid", "sense", F.lit(seed)), "hid", "tid", "sense")
-    return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).select("post", "hid", "sense", "tid")
+    """Triples for the events of a post ``(post, eid)``: the ``k`` heaviest successors, every sense but the last, ``cap`` a post.
+
+    Posts meet with their heads alone, over all of the session's partitions; triples, many times as many, are made of them
+    at the end where they are, and only those of posts with more than ``cap`` are ranked.
+    """
+    heads = steps.kept(heaviest(nodes, edges, k, cap, seed))
+    own = dealt(posts.select("post", F.col("eid").alias("hid")), "post").distinct().join(heads.select("hid", F.size("told").alias("_n")), "hid")
+    own = own.select("post", "hid", F.sum("_n").over(Window.partitionBy("post")).alias("_n"))
+    made = lambda some: own.where(some).join(heads, "hid").select("post", "hid", F.explode("told").alias("x"))
+    w = Window.partitionBy("post").orderBy("x.draw", "hid", "x.tid", "x.sense")
+    many = made(F.col("_n") > cap).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+    return made(F.col("_n") <= cap).unionByName(many).select("post", "hid", "x.sense", "x.tid")
 
 
 def contained(keys: DataFrame, posts: DataFrame) -> DataFrame:

@@ -119,3 +119,39 @@ def test_few_training_rows(spark):
     more = spark.range(discourse.ROWS * 3 + 1).repartition(40)
     assert discourse._gathered(more).rdd.getNumPartitions() == 4
     rows.unpersist()
+
+
+def test_triples_stay_where_they_are_made(spark, sf):
+    """Posts are moved with their heads alone: no triple, of which each head of a post has many, is shuffled or sorted unless its post has too many."""
+    from evkg.plans import catalog
+
+    plan = catalog.dialogue_inference(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    # both parts of the union, few and many triples: the explode stands above the only shuffle, and edges come from the table of heads
+    assert plan.count("Generate explode") == plan.count("Exchange hashpartitioning") == 2 and "l_linenumber" not in plan
+    one, two = plan.split("Generate explode")[1:]
+    assert "Exchange hashpartitioning(post" in one and "Exchange hashpartitioning(post" in two and "Exchange hash" not in plan.split("Generate explode")[0]
+
+
+def test_inference_by_hand(spark):
+    """All triples of posts with few, those of the smallest draws where there are more, against plain Python; nulls and repeats of posts, heads without triples."""
+    table = lambda data, shape: spark.createDataFrame(data, shape)
+    senses = ["Reason", "Result", "Co_Occurrence", "Contrast"]
+    edges = [(h, t, s, float(1 + (i * 7 + j * 5 + n) % 6)) for i, h in enumerate("abcd") for j, t in enumerate("vwxyz") for n, s in enumerate(senses) if (i + j * n) % 4]
+    edges += [("e", "v", "Co_Occurrence", 9.0), ("f", "none", "Reason", 9.0), ("f", "v", "Reason", 1.0), ("g", None, "Reason", 5.0), (None, "v", "Reason", 5.0)]
+    nodes = table([(x,) for x in "abcdefgvwxyz"] * 2, "eid string")
+    posts = [(1, "a"), (1, "a"), (1, "b"), (1, "c"), (2, "d"), (3, "e"), (3, "f"), (4, "g"), (5, None), (None, "a"), (6, "q"), (1, "d")]
+    draws = {(r["hid"], r["tid"], r["sense"]): r["d"] for r in table(edges, "hid string, tid string, sense string, weight double").select("hid", "tid", "sense", F.xxhash64("hid", "tid", "sense", F.lit(3)).alias("d")).collect()}
+    for k, cap in ((3, 5), (2, 1_000_000), (5, 1)):
+        want = []
+        for post in {p for p, _ in posts}:
+            rows = []
+            for h in {e for p, e in posts if p == post and e}:
+                total = {}
+                for a, t, _, x in edges:
+                    if a == h:
+                        total[t] = total.get(t, 0) + x
+                best = sorted(total, key=lambda t: (-total[t], t or ""))[:k]  # noqa: B023
+                rows += [(post, h, s, t) for a, t, s, _ in edges if a == h and t in best and t in "abcdefgvwxyz" and s != "Co_Occurrence"] if None not in best else []
+            want += sorted(rows, key=lambda r: draws[r[1], r[3], r[2]])[:cap]
+        got = linking.inference(table(posts, "post int, eid string"), nodes, table(edges, "hid string, tid string, sense string, weight double"), k, cap, 3)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str), (k, cap)
